@@ -33,15 +33,16 @@ class _Rows(dict):
 
 
 class ChunkCache:
-    """encode: gives for a list of chunks (ids of all in one int32 array, number of ids of each)."""
+    """encode: gives for a list of chunks (ids of all in one int32 array, number of ids of each, and if it likes a flag for each)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000, keep_ids: bool = True) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 700_000, keep_ids: bool = True) -> None:
         self.encode, self.limit, self.keep_ids = encode, limit, keep_ids
         self.clear()
 
     def clear(self) -> None:
         self.index = _Rows()
         self.lens = np.zeros(1024, np.int32)
+        self.flags = np.zeros(1024, bool)
         self.starts = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
@@ -59,10 +60,13 @@ class ChunkCache:
         rows = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
         if new := index.new:
             index.new = []
-            flat, lens = self.encode(new)
+            flat, lens, *flags = self.encode(new)
             first, last = index.taken - len(new), index.taken
             self.lens = self._room(self.lens, last)
             self.lens[first:last] = lens
+            if flags:
+                self.flags = self._room(self.flags, last)
+                self.flags[first:last] = flags[0]
             if self.keep_ids:
                 self.starts = self._room(self.starts, last)
                 self.starts[first:last] = self.used + np.cumsum(lens) - lens

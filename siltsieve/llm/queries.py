@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 from ._shared import table
 from .packing import pack
+from .sentencepiece_codec import encode
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.col("ids")
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.xxhash64(ids).alias("ids_xxhash64"), F.crc32("decoded").alias("decoded_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), "unequal")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     pieces = pack(table(spark, sf_dir, "documents"), lambda: word_piece_ids(path))
@@ -25,7 +32,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
