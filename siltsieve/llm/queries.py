@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ._shared import table
 from .packing import pack
+from .quality_rules import quality_rules
 from .sentencepiece_codec import encode
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
@@ -31,8 +32,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
