@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
+from .fingerprints import fingerprints
 from .packing import pack
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode
+from .sharding import shard
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 
@@ -37,8 +39,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_rejected")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op5_quality_rules, op8_sharding, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
