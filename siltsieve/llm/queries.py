@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ._shared import table
 from .fingerprints import fingerprints
+from .ngram_jaccard import ngram_jaccard
 from .packing import pack
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode
@@ -39,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_rejected")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op5_quality_rules, op8_sharding, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op5_quality_rules, op6_ngram_jaccard, op8_sharding, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
