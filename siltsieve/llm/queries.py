@@ -17,6 +17,7 @@ from .sentencepiece_codec import encode
 from .sharding import shard
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
+from .toxicity import held_out, score, train
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_rejected")
@@ -53,7 +60,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op5_quality_rules, op6_ngram_jaccard, op8_sharding, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op8_sharding, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,25 +40,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch: hashes of all, counts by text, and the batch's bytes with a space after each text."""
+    """The words of a batch: hashes of all, counts by text, and the batch's bytes with a space after each text.
 
-    def __init__(self, texts: list[bytes], lower: bool = False) -> None:
+    between: for each byte, whether it stands between words. prefixes: also hash words' first so many bytes.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, between: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> None:
         self.data = data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
         self.ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)  # of each text with its space
-        space = SPACE[data]
+        space = between[data]
         first = ~space
         first[1:] &= space[:-1]
         self.starts = np.flatnonzero(first)
         self.counts = np.diff(np.searchsorted(self.starts, self.ends), prepend=0)
         if not len(self.starts):
             self.hashes = np.zeros(0, np.uint64)
+            self.prefixes = [self.hashes] * len(prefixes)
             return
         begin = self.starts[0]
         spans = np.diff(self.starts, append=len(data))
         place = np.arange(begin, len(data)) - np.repeat(self.starts, spans)
         place[space[begin:]] = 0
         values = (LOWER if lower else TABLE)[data[begin:]] * powers(int(place.max()) + 1)[place]
+        if between is not SPACE:
+            values[space[begin:]] = 0
         self.hashes = mix(np.add.reduceat(values, self.starts - begin))
+        self.prefixes = [mix(np.add.reduceat(np.where(place < n, values, np.uint64(0)), self.starts - begin) + np.uint64(n)) for n in prefixes]
 
     def sums_of(self, flags: np.ndarray) -> np.ndarray:
         """For each text, the sum of a table of 256 values over its bytes."""
