@@ -15,6 +15,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode
 from .sharding import shard
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 from .toxicity import held_out, score, train
@@ -51,6 +52,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op8_sharding, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
