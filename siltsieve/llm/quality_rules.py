@@ -22,6 +22,8 @@ from .wordhash import SPACE, Words, ngrams, sums
 SLICE_BYTES = 1 << 20
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
+#: A host is rejected if the shrunk failure rate of any rule is above this.
+LIMIT = 0.5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _CHAR = ~SPACE
@@ -56,17 +58,18 @@ def count_batch(own: list[bytes]) -> list[np.ndarray]:
     return [w.counts.astype(np.int64), w.sums_of(_CHAR), w.sums_of(_SYMBOL), dup, repeat_words(w.hashes, w.counts)]
 
 
-def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host and COUNTS) of every row; a null text counts as one without words."""
+def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False) -> DataFrame:
+    """(doc_id, host and COUNTS) of every row, or with the whole row as a struct `row` for doc_id; a null text counts as one without words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = texts(batch)
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *map(pa.array, count_batch(own[a:b]))], ["doc_id", "host", *COUNTS])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *map(pa.array, count_batch(own[a:b]))], [batch.schema.names[0], "host", *COUNTS])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    return rows.mapInArrow(count, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    first = F.struct(*docs.columns).alias("row") if whole else F.col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(first, text_or_empty(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
+    return rows.mapInArrow(count, f"{f'row {docs.schema.simpleString()}' if whole else 'doc_id long'}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def rules() -> dict[str, Column]:
@@ -96,7 +99,21 @@ def beta_prior(rates: DataFrame, fails: str) -> tuple[float, float]:
     return m * strength, (1 - m) * strength
 
 
-def quality_rules(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def host_verdicts(counts: DataFrame, limit: float) -> DataFrame:
+    """(host, host_rate, host_rejected): the highest shrunk failure rate of each host, and whether it is above limit. counts: host and fail_<rule>."""
+    hosts = cut(counts.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(f"fail_{r}").cast("long")).alias(r) for r in rules()]))
+    shrunk = []
+    for r in rules():
+        alpha, beta = beta_prior(hosts, r)
+        shrunk.append((F.col(r) + alpha) / (F.col("n") + alpha + beta))
+    return hosts.select("host", F.greatest(*shrunk).alias("host_rate")).withColumn("host_rejected", F.col("host_rate") > limit)
+
+
+def _failures(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({f"fail_{r}": c for r, c in rules().items()})
+
+
+def quality_rules(docs: DataFrame, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row for each of docs: id, host, COUNTS, base_failed, fail_<rule>, host_rate (the highest shrunk rate), host_rejected, kept.
 
     limit: a host is rejected if the shrunk rate of any rule is above it.
@@ -105,13 +122,13 @@ def quality_rules(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", t
     judged by themselves; repeated rows count each; an empty table gives an empty result; further
     columns are left out.
     """
-    failed = rules()
-    counts = cut(document_counts(docs, id_col, text_col, host_col).withColumns({f"fail_{r}": c for r, c in failed.items()}))
-    hosts = cut(counts.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(f"fail_{r}").cast("long")).alias(r) for r in failed]))
-    shrunk = []
-    for r in failed:
-        alpha, beta = beta_prior(hosts, r)
-        shrunk.append((F.col(r) + alpha) / (F.col("n") + alpha + beta))
-    verdicts = hosts.select("host", F.greatest(*shrunk).alias("host_rate"))
-    out = counts.join(verdicts, "host", "left").withColumn("host_rejected", F.coalesce(F.col("host_rate") > limit, F.lit(False)))
-    return out.select(F.col("doc_id").alias(id_col), F.col("host").alias(host_col), *COUNTS, F.col("fail_base").alias("base_failed"), *[f"fail_{r}" for r in failed], "host_rate", "host_rejected", (~F.col("fail_base") & ~F.col("host_rejected")).alias("kept"))
+    counts = cut(_failures(document_counts(docs, id_col, text_col, host_col)))
+    out = counts.join(host_verdicts(counts, limit), "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    return out.select(F.col("doc_id").alias(id_col), F.col("host").alias(host_col), *COUNTS, F.col("fail_base").alias("base_failed"), *[f"fail_{r}" for r in rules()], "host_rate", "host_rejected", (~F.col("fail_base") & ~F.col("host_rejected")).alias("kept"))
+
+
+def keep_good(docs: DataFrame, limit: float = LIMIT, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs, whole, that quality_rules keeps. Texts are counted twice instead of being shuffled."""
+    counted = _failures(document_counts(docs, text_col=text_col, host_col=host_col, whole=True))
+    verdicts = host_verdicts(_failures(document_counts(docs, docs.columns[0], text_col, host_col)), limit).where("host_rejected").select("host")
+    return counted.where(~F.col("fail_base")).join(verdicts, "host", "left_anti").select("row.*")

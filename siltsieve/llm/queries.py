@@ -19,6 +19,7 @@ from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 from .toxicity import held_out, score, train
+from .warc_fixity import fixity_report
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = F.when(F.col("page_id") % 101 == 7, "WARC/1.1").otherwise("WARC/1.0")
+    return fixity_report(table(spark, sf_dir, "pages"), damaged)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints, op10_warc_fixity)}
 
 
 def oracle_sql() -> dict[str, str]:

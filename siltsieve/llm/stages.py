@@ -1,4 +1,8 @@
-"""The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame."""
+"""The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of docs. Null and empty texts pass the filters that don't
+concern them and go where a rule says so; an empty table passes through all of them.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import table
+from .ngram_jaccard import ngram_jaccard
 from .packing import pack
+from .quality_rules import keep_good
+from .substring_dedup import substring_dedup
 from .tokenizer_chunks import word_piece_ids
+from .toxicity import keep_clean, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    return keep_clean(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or whose host is rejected go."""
+    return keep_good(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; rows of equal ids are one document."""
+    gone = ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; so do documents of which nothing is left, and n_chars is that of the text left."""
+    out = substring_dedup(docs).where((F.size("removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return out.withColumn("n_chars", F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,4 +47,4 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("quality rules", quality), ("n-gram Jaccard join", ngram_join), ("substring dedup", repeats), ("packing", packing)]

@@ -28,7 +28,7 @@ from .wordhash import Words, sums
 SLICE_BYTES = 1 << 20
 #: Bounds of the sample of labelled rows, of the vocabulary and of what a term must show in the sample.
 MOST_EXAMPLES, MOST_TERMS, LEAST_DOCUMENTS, LEAST_LEANING = 8192, 1024, 4, 6.0
-BLOCK, NEIGHBOURS, SHOWN = 64, 16, 3
+BLOCK, NEIGHBOURS, SHOWN, THRESHOLD = 64, 16, 3, 0.7
 PREFIXES = (3, 4, 5)
 BETWEEN = np.ones(256, bool)
 BETWEEN[0x80:] = False
@@ -212,13 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
     return build([examples[i] for i in sorted(examples)], vocabulary, idf, k)
 
 
-def score(docs: DataFrame, index: Index, threshold: float = 0.7, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted, evidence) of every row of docs; evidence: the nearest examples, at most SHOWN, with their labels.
-
-    Edge cases: a null or empty text has no terms and gets the rate of examples without any;
-    repeated rows are scored each; an empty table gives an empty result; without labels, or with one
-    label only, there is no vocabulary and every text gets the same score; further columns are left out.
-    """
+def _scored(docs: DataFrame, index: Index, k: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(doc_id, score, evidence) of every row, or (row, score) with the whole row as a struct."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
@@ -234,8 +229,26 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7, k: int = NEIGHB
                     best, sim = index.nearest(term[x:y], index.vector(term[x:y], often[x:y]), k)
                     votes[i] = index.vote(best, sim)
                     evidence[i] = [{"doc_id": int(index.ids[j]), "similarity": float(s), "toxic": int(index.toxic[j])} for j, s in zip(best[:SHOWN], sim[:SHOWN], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(index.probability(votes)), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+                more = [] if whole else [pa.array(evidence, kind)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(index.probability(votes)), *more], [batch.schema.names[0], "score", *["evidence"] * len(more)])
 
+    if whole:
+        return docs.select(F.struct(*docs.columns).alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"row {docs.schema.simpleString()}, score double")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
+    return rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
+
+
+def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, predicted, evidence) of every row of docs; evidence: the nearest examples, at most SHOWN, with their labels.
+
+    Edge cases: a null or empty text has no terms and gets the rate of examples without any;
+    repeated rows are scored each; an empty table gives an empty result; without labels, or with one
+    label only, there is no vocabulary and every text gets the same score; further columns are left out.
+    """
+    out = _scored(docs, index, k, id_col, text_col, whole=False)
     return out.select(F.col("doc_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, index: Index, threshold: float = THRESHOLD, k: int = NEIGHBOURS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole, that score below threshold."""
+    return _scored(docs, index, k, "", text_col, whole=True).where(F.col("score") < threshold).select("row.*")
