@@ -11,10 +11,10 @@ the similarity by their sizes and by the place of the column in either row.
    first, then frequent ones, each by hash. Two rows of similarity t share a column within their
    first n - ceil(t * n) + 1, so only those are dealt out.
 3. A column's rows are first set against one of them that could be similar (a star, linear in their
-   number), and these pairs are verified on whole sets. Rows that got into one component need no
-   comparison among themselves; every other pair of a column's rows that the bounds allow is then
-   verified, too. So no link between components is lost and a group of many near copies costs no
-   more than its size.
+   number); overlap counts are summed by pair, and pairs that reach their bound are verified on whole
+   sets. Rows that got into one component need no comparison among themselves; the overlap of every
+   other pair of a column's rows is then counted, and those that reach the bound are verified, too.
+   So no link between components is lost and a group of many near copies costs no more than its size.
 
 Hashes have 64 bits throughout (see wordhash). Similarity is compared in whole numbers.
 """
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, cut, text_or_empty, texts
-from .components import components
+from ..operators.graph import components
+from ._shared import byte_slices, cut, release, text_or_empty, texts
 from .wordhash import Words, distinct, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -75,9 +75,17 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, S
             yield ids[a:b], Sets(own[a:b], k)
 
 
+#: Columns are counted by the first KEY_BITS of their hashes: PART_BITS give the part of the range, 32 are stored.
+PART_BITS = 12
+KEY_BITS = PART_BITS + 32
+
+
 def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """(h, n) of every column in more than LEAST_FREQUENT documents. Columns travel as packed 64-bit blocks, one for each task and part of the hash range; equal sets within a task count once."""
-    width = max(1, (4 * parts - 1).bit_length())
+    """(h, n) of every column in more than LEAST_FREQUENT documents; h: the first KEY_BITS of its hash.
+
+    Columns travel as blocks of 32-bit numbers, one for each task and part of the hash range; equal
+    sets within a task count once. Two columns with one key count as one, which costs no results.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,10 +93,10 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
+            keys = np.sort(np.concatenate(held)) >> np.uint64(64 - KEY_BITS)
             held.clear()
-            cuts = np.searchsorted(values, np.arange(1, 1 << width, dtype=np.uint64) << np.uint64(64 - width))
-            blocks = [(i, x) for i, x in enumerate(np.split(values, cuts)) if len(x)]
+            cuts = np.searchsorted(keys, np.arange(1, 1 << PART_BITS, dtype=np.uint64) << np.uint64(32))
+            blocks = [(i, x) for i, x in enumerate(np.split(keys.astype(np.uint32), cuts)) if len(x)]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([x.tobytes() for _, x in blocks], pa.binary())], ["block", "data"])
 
         for _, s in sets_of(batches, k):
@@ -98,10 +106,9 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 seen.add(name)
             if len(seen) > 1_000_000:
                 seen.clear()
-            keep = np.repeat(np.array(new), s.counts)
-            held.append(s.values[keep])
+            held.append(s.values[np.repeat(np.array(new), s.counts)])
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 4_000_000:
                 yield flush()
                 size = 0
         if size:
@@ -111,21 +118,22 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
         blocks: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks.setdefault(i, []).append(np.frombuffer(data, np.uint64))
+                blocks.setdefault(i, []).append(np.frombuffer(data, np.uint32))
         while blocks:
-            values = np.sort(np.concatenate(blocks.popitem()[1]))
+            i, held = blocks.popitem()
+            values = np.sort(np.concatenate(held))
             at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
             n = np.diff(at, append=len(values))
             many = n > LEAST_FREQUENT
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(values[at[many]].view(np.int64)), pa.array(n[many].astype(np.int64))], ["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values[at[many]].astype(np.int64) + (i << 32)), pa.array(n[many].astype(np.int64))], ["h", "n"])
 
     rows = docs.mapInArrow(pack, "block int, data binary")
     return rows.repartition(parts, "block").mapInArrow(count, "h long, n long")
 
 
 def frequent_columns(docs: DataFrame, k: int, parts: int) -> np.ndarray:
-    """The most frequent columns, MOST_FREQUENT at most, ascending. Others may be frequent where there are more; that costs time, not results."""
+    """Keys of the most frequent columns, MOST_FREQUENT at most, ascending. Others may be frequent where there are more; that costs time, not results."""
     counts = cut(count_columns(docs, k, parts))
     by = {r.e: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()}  # a few dozen rows
     least, total = 64, 0
@@ -150,7 +158,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:  # n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = frequent.value, set()
         for _, s in sets_of(batches, k):
-            hot = is_in(s.values, table)
+            hot = is_in(s.values >> np.uint64(64 - KEY_BITS), table)
             rows: list[np.ndarray] = []
             nodes: list[int] = []
             for i, (n, name) in enumerate(zip(s.counts.tolist(), s.names.tolist(), strict=True)):
@@ -222,49 +230,71 @@ def shared_lists(postings: DataFrame, percent: int, parts: int) -> DataFrame:
     return postings.repartition(parts, "h").mapInArrow(run, "h long, node long, size int, place int")
 
 
+PAIRS = "a long, b long, size_a long, size_b long, c long"
+
+
+def pair_batch(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> pa.RecordBatch:
+    """(a, b, size_a, size_b, c) of pairs, a < b, each once with how often it stands there."""
+    swap = x > y
+    a, b, size_a, size_b = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, size_y, size_x), np.where(swap, size_x, size_y)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (a[at], b[at], size_a[order][at], size_b[order][at], np.diff(at, append=len(a)))], ["a", "b", "size_a", "size_b", "c"])
+
+
+def overlapping(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs whose shared columns, summed up, reach the bound by size.
+
+    c counts the columns that both rows have in their beginnings. Say that the beginning of x ends
+    first; every shared column up to there is counted, and x has size - prefix more. So of the
+    overlap that the sizes need, c must be what the larger of the two rests leaves.
+    """
+    total = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("c").alias("c"))
+    both, large = F.expr(f"{percent} * (size_a + size_b)"), F.expr(f"{percent} * greatest(size_a, size_b)")
+    up = lambda x, n: F.floor((x + n - 1) / n)  # noqa: E731  exact far beyond any text's size
+    return total.where(F.col("c") >= up(both, 100 + percent) - up(large, 100) + 1).select("a", "b")
+
+
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """For each column, each row with the first leader that it could be similar to; a row without one leads those after it."""
+    """Pairs of each column's rows with the first leader that they could be similar to; a row without one leads those after it.
+
+    Only pairs that reach the bound by what these columns count; the others are left to cross_pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(batches)
         if not lists.ok:
             return
-        node, size, place = (lists.columns[c] for c in ("node", "size", "place"))
-        size, place = size.astype(np.int64), place.astype(np.int64)
+        node, size, place = (lists.columns[c].astype(np.int64) for c in ("node", "size", "place"))
         two = lists.begins[lists.lens == 2]
-        good = possible(size[two], place[two], size[two + 1], place[two + 1], percent)
-        a, b = [node[two[good]]], [node[two[good] + 1]]
+        x, y = [two], [two + 1]
         for begin, n in zip(lists.begins[lists.lens > 2].tolist(), lists.lens[lists.lens > 2].tolist(), strict=True):
             rest = np.arange(begin, begin + n)
             while len(rest) > 1:
                 leader, rest = rest[0], rest[1:]
                 ok = possible(size[rest], place[rest], size[leader], place[leader], percent)
-                a.append(np.full(int(ok.sum()), node[leader]))
-                b.append(node[rest[ok]])
+                x.append(np.full(int(ok.sum()), leader))
+                y.append(rest[ok])
                 rest = rest[~ok]
-        pairs = np.unique(np.stack([np.minimum(x := np.concatenate(a), y := np.concatenate(b)), np.maximum(x, y)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        x, y = np.concatenate(x), np.concatenate(y)
+        if len(x):
+            yield pair_batch(node[x], node[y], size[x], size[y])
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    return overlapping(lists.mapInArrow(run, PAIRS), percent)
 
 
 def cross_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Every pair of a column's rows that are in different components and could be similar. lists has a column `component`."""
+    """Every pair of rows in different components whose shared columns reach the bound. lists has a column `component`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(batches)
         if not lists.ok:
             return
-        node, size, place, part = (lists.columns[c] for c in ("node", "size", "place", "component"))
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        held: list[np.ndarray] = []
+        node, size, part = (lists.columns[c].astype(np.int64) for c in ("node", "size", "component"))
+        x: list[np.ndarray] = []
+        y: list[np.ndarray] = []
         count = 0
-
-        def flush() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
         for begin, n in zip(lists.begins.tolist(), lists.lens.tolist(), strict=True):
             end = begin + n
             if (part[begin:end] == part[begin]).all():
@@ -274,17 +304,19 @@ def cross_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
             for i in range(begin, end - 1):
                 rest = np.arange(i + 1, stop[i - begin])
                 rest = rest[part[rest] != part[i]]
-                rest = rest[possible(size[rest], place[rest], size[i], place[i], percent)]
                 if len(rest):
-                    held.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])]))
+                    x.append(np.full(len(rest), i))
+                    y.append(rest)
                     count += len(rest)
-                if count > 500_000:
-                    yield flush()
-                    count = 0
-        if held:
-            yield flush()
+                if count > 2_000_000:
+                    i_x, i_y = np.concatenate(x), np.concatenate(y)
+                    yield pair_batch(node[i_x], node[i_y], size[i_x], size[i_y])
+                    x, y, count = [], [], 0
+        if x:
+            i_x, i_y = np.concatenate(x), np.concatenate(y)
+            yield pair_batch(node[i_x], node[i_y], size[i_x], size[i_y])
 
-    return lists.repartition(parts, "h").mapInArrow(run, "a long, b long").distinct()
+    return overlapping(lists.repartition(parts, "h").mapInArrow(run, PAIRS), percent)
 
 
 def wanted_filter(nodes: DataFrame) -> np.ndarray:
@@ -315,7 +347,7 @@ def wanted_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
-    """(doc_id, size, node, data) of every document; data: its set, where the filter wants it."""
+    """(doc_id, size, node, data) of every document; data: its set, where the filter wants it (once for equal sets in a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -352,6 +384,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
+def linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets_wanted for all documents, those of pairs that link); only sets of rows in pairs leave their tasks."""
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(wanted_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+    rows = cut(sets_wanted(docs, k, wanted))
+    sets = rows.where("data is not null").groupBy("node").agg(F.first("data").alias("data"))
+    out = cut(verified(pairs, sets, percent))
+    release(spark)
+    return rows, out
+
+
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs.
 
@@ -367,15 +410,15 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     context, parts = spark.sparkContext, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     frequent = context.broadcast(frequent_columns(docs, k, parts))
+    release(spark)
     lists = cut(shared_lists(postings(docs, k, percent, frequent), percent, parts))
-    wanted = context.broadcast(wanted_filter(lists.select("node")))
-    rows = cut(sets_wanted(docs, k, wanted))
-    sets = rows.where("data is not null").groupBy("node").agg(F.first("data").alias("data"))
-    links = cut(verified(star_pairs(lists, percent), sets, percent))
+    release(spark)
+    rows, links = linked(docs, k, cut(star_pairs(lists, percent)), percent)
     known = components(links)
     labelled = lists.join(known, "node", "left").select("h", "node", "size", "place", F.coalesce("component", "node").alias("component"))
-    more = cut(verified(cross_pairs(labelled, percent, parts), sets, percent))
-    found = components(links.unionByName(more))
+    pairs = cut(cross_pairs(labelled, percent, parts))
+    release(spark)
+    found = components(links.unionByName(linked(docs, k, pairs, percent)[1])) if not pairs.isEmpty() else known
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     groups = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")

@@ -6,8 +6,8 @@ import re
 import pytest
 
 from siltsieve.llm import ngram_jaccard as module
-from siltsieve.llm.components import components
 from siltsieve.llm.ngram_jaccard import ngram_jaccard
+from siltsieve.operators.graph import components
 
 
 def shingle_set(text: str | None) -> frozenset:
