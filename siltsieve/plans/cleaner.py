@@ -58,7 +58,8 @@ class Cleaner:
 
     def repair(self, df: DataFrame) -> DataFrame:
         """df with repaired values, and repaired (some attribute violated) and changed (some value is another)."""
-        out = df.withColumns({"repaired": F.lit(False), "changed": F.lit(False)})
+        if not self.rules:
+            return df.withColumns({"repaired": F.lit(False), "changed": F.lit(False)})
         found = self.fixes(df)
         attrs = list(dict.fromkeys(r.rhs for r in self.rules))
         wide = found.groupBy("kid").agg(*[F.max(F.when(F.col("attr") == a, F.col("fix"))).alias(f"fix_{i}") for i, a in enumerate(attrs)])
