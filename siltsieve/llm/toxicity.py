@@ -125,18 +125,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3) -> tuple[float,
     return max(slope, 0.0), shift
 
 
-def choose_terms(hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The terms that lean most on the labels. hashes: each example's distinct terms one after another."""
-    label = np.repeat(toxic, counts)
-    terms, at = np.unique(hashes, return_inverse=True)
-    n1, n0 = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    with_1, n = np.bincount(at, label, len(terms)), np.bincount(at, minlength=len(terms))
-    p = n / len(toxic)
-    spread = np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) + 1e-9
-    leaning = np.abs(with_1 / n1 - (n - with_1) / n0) / spread
-    leaning[(n < LEAST_DOCUMENTS) | (leaning < LEAST_LEANING)] = 0
-    order = np.lexsort((terms, -leaning))[:MOST_TERMS]
-    return terms[order[leaning[order] > 0]]
+def choose_terms(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """The terms that lean most on the labels, MOST_TERMS at most. counts: (term, n, n_toxic) over the sample of so many toxic and clean documents."""
+    n, with_1 = F.col("n"), F.col("n_toxic")
+    p = n / F.lit(toxic + clean)
+    spread = F.sqrt(p * (1 - p) * F.lit(1 / max(toxic, 1) + 1 / max(clean, 1))) + 1e-9
+    leaning = F.abs(with_1 / max(toxic, 1) - (n - with_1) / max(clean, 1)) / spread
+    best = counts.where(n >= LEAST_DOCUMENTS).withColumn("leaning", leaning).where(F.col("leaning") >= LEAST_LEANING)
+    return np.array([r.term for r in best.orderBy(F.desc("leaning"), "term").limit(MOST_TERMS).select("term").collect()], np.int64).view(np.uint64)
 
 
 def build(examples: list[tuple[int, bool, list[int], list[int]]], vocabulary: Vocabulary, idf: np.ndarray, k: int) -> Index:
@@ -169,19 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES).collect()
     sample = spark.createDataFrame(chosen, known.schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sample_texts = rows.join(F.broadcast(sample.select("doc_id")), "doc_id").select("doc_id", "text")
+    sample_texts = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            for label, text in zip(batch.column(2).to_pylist(), texts(batch), strict=True):
                 got = np.unique(np.concatenate([h for h, _ in terms_of([text])]))
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([got.tobytes()], pa.binary())], ["doc_id", "terms"])
+                yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.full(len(got), int(label)), pa.int32())], ["term", "toxic"])
 
     label = {r.doc_id: r.toxic for r in chosen}
-    own = {r.doc_id: np.frombuffer(r.terms, np.uint64) for r in sample_texts.mapInArrow(distinct_terms, "doc_id long, terms binary").toLocalIterator()}
-    ids = sorted(own)
-    toxic = np.array([label[i] for i in ids], bool)
-    vocabulary = Vocabulary(choose_terms(np.concatenate([own[i] for i in ids]), np.array([len(own[i]) for i in ids]), toxic) if ids else np.zeros(0, np.uint64))
+    found = {r.toxic: r.n for r in rows.select("doc_id").join(F.broadcast(sample), "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    term_counts = sample_texts.mapInArrow(distinct_terms, "term long, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"))
+    vocabulary = Vocabulary(choose_terms(term_counts, found.get(True, 0), found.get(False, 0)))
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
