@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,29 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_memos: list[Callable] = []
+
+
+def memo(f: Callable) -> Callable:
+    """f's results are kept in a worker from task to task, until a task of another operator begins (see evict)."""
+    kept = lru_cache(maxsize=1)(f)
+    _memos.append(kept)
+
+    def get(*args):  # noqa: ANN002, ANN202
+        evict(kept)
+        return kept(*args)
+
+    return get
+
+
+def evict(but: Callable | None = None) -> None:
+    """Let go of what other operators keep in this worker, so that their memory does not add up."""
+    for f in _memos:
+        if f is not but and f.cache_info().currsize:
+            f.cache_clear()
+            gc.collect()
+
+
 def byte_slices(sizes: list[int], limit: int) -> list[tuple[int, int]]:
     """Consecutive ranges [a, b) whose sizes add up to at most limit; a larger item stands alone."""
     out, a, total = [], 0, 0

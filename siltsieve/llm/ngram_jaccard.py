@@ -10,11 +10,14 @@ the similarity by their sizes and by the place of the column in either row.
    number of them, form a bounded broadcast table. Every row orders its columns alike: rare ones
    first, then frequent ones, each by hash. Two rows of similarity t share a column within their
    first n - ceil(t * n) + 1, so only those are dealt out.
-3. A column's rows are first set against one of them that could be similar (a star, linear in their
-   number); overlap counts are summed by pair, and pairs that reach their bound are verified on whole
-   sets. Rows that got into one component need no comparison among themselves; the overlap of every
+3. A column's rows are first set against a few leaders among them (stars, linear in their number);
+   overlap counts are summed by pair, and pairs that reach their bound are verified on whole
+   sets; rows that are left outside a long column's largest component get more leaders from it. Rows
+   that got into one component need no comparison among themselves; the overlap of every
    other pair of a column's rows is then counted, and those that reach the bound are verified, too.
    So no link between components is lost and a group of many near copies costs no more than its size.
+   Frequent columns are dealt into blocks of rows, each with stars of its own, whose components then
+   meet by one row each; for the rest, rows outside a column's largest component go to all its blocks.
 
 Hashes have 64 bits throughout (see wordhash). Similarity is compared in whole numbers.
 """
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -34,7 +37,17 @@ from .wordhash import Words, distinct, mix, shingles
 
 SLICE_BYTES = 1 << 20
 #: The table of frequent columns holds at most so many, and none with fewer rows than LEAST_FREQUENT.
-MOST_FREQUENT, LEAST_FREQUENT = 1 << 20, 32
+MOST_FREQUENT, LEAST_FREQUENT = 1 << 20, 8
+#: A frequent column with more rows is dealt into blocks of about so many.
+BLOCK_ROWS = 20_000
+#: Leaders of a column with more than LONG_LIST rows; others have one.
+LEADERS, LONG_LIST = 8, 16
+#: New leaders of such a column for rows that are not yet in its largest component.
+MORE_LEADERS = 32
+#: A leader leads in some of the columns that it shares with a row; it is tried from this part of the bound on.
+SHARE = 2
+#: A row of the matrix with more partners than this is verified in a block of about so many.
+BLOCK = 32
 #: Bits of the filter that says which rows' sets are wanted.
 FILTER_BITS = 1 << 25
 
@@ -132,8 +145,8 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "block").mapInArrow(count, "h long, n long")
 
 
-def frequent_columns(docs: DataFrame, k: int, parts: int) -> np.ndarray:
-    """Keys of the most frequent columns, MOST_FREQUENT at most, ascending. Others may be frequent where there are more; that costs time, not results."""
+def frequent_columns(docs: DataFrame, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, numbers of rows) of the most frequent columns, MOST_FREQUENT at most, by key. Others may be frequent where there are more; that costs time, not results."""
     counts = cut(count_columns(docs, k, parts))
     by = {r.e: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()}  # a few dozen rows
     least, total = 64, 0
@@ -142,8 +155,10 @@ def frequent_columns(docs: DataFrame, k: int, parts: int) -> np.ndarray:
         if total > MOST_FREQUENT:
             break
         least = e
-    got = counts.where(F.floor(F.log2("n")) >= least).select("h").toArrow().column(0).to_numpy()
-    return np.sort(got.view(np.uint64))
+    got = counts.where(F.floor(F.log2("n")) >= least).select("h", "n").toArrow()
+    keys, n = (got.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(keys)
+    return keys[order].view(np.uint64), n[order]
 
 
 def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -153,10 +168,14 @@ def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:  # noqa: ANN001
-    """(h, node, size, place) of the columns at the beginning of each row of the matrix; node: the set's name."""
+    """(h, node, size, place, col, blocks) of the columns at the beginning of each row of the matrix.
+
+    node: the set's name. A column with too many rows for one task is dealt into blocks by node:
+    then col is the column and h stands for it and the block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = frequent.value, set()
+        (table, n_rows), seen = frequent.value, set()
         for _, s in sets_of(batches, k):
             hot = is_in(s.values >> np.uint64(64 - KEY_BITS), table)
             rows: list[np.ndarray] = []
@@ -176,13 +195,25 @@ def postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:  # n
                 lens = np.array([len(x) for x in rows])
                 ends = np.cumsum(lens)
                 place = np.arange(ends[-1]) - np.repeat(ends - lens, lens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.repeat(s.names[nodes], lens)), pa.array(np.repeat(s.counts[nodes], lens).astype(np.int32)), pa.array(place.astype(np.int32))], ["h", "node", "size", "place"])
+                h, node = np.concatenate(rows), np.repeat(s.names[nodes], lens)
+                blocks = np.ones(len(h), np.int32)
+                if len(table):
+                    at = np.minimum(np.searchsorted(table, h >> np.uint64(64 - KEY_BITS)), len(table) - 1)
+                    large = np.flatnonzero((table[at] == h >> np.uint64(64 - KEY_BITS)) & (n_rows[at] > BLOCK_ROWS))
+                    blocks[large] = -(-n_rows[at[large]] // BLOCK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(np.repeat(s.counts[nodes], lens).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(blocks)], ["h", "node", "size", "place", "blocks"])
+
+    rows = docs.mapInArrow(run, "h long, node long, size int, place int, blocks int")
+    large = F.col("blocks") > 1
+    return rows.select(F.when(large, block_key("h", F.pmod("node", "blocks"))).otherwise(F.col("h")).alias("h"), "node", "size", "place", F.when(large, F.col("h")).alias("col"), "blocks")
 
-    return docs.mapInArrow(run, "h long, node long, size int, place int")
+
+def block_key(column: str, block: Column) -> Column:
+    return F.xxhash64(column, block.cast("int"))
 
 
 class Lists:
-    """The postings of a task, sorted by column, then by size and node; each node once a column."""
+    """The postings of a task, sorted by column, then by size and node; each node once a column. Null becomes 0."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
         held = list(batches)
@@ -190,7 +221,7 @@ class Lists:
         if not self.ok:
             return
         all_rows = pa.Table.from_batches(held)
-        columns = {c: all_rows.column(c).to_numpy() for c in all_rows.column_names}
+        columns = {c: (x.fill_null(0) if x.null_count else x).to_numpy() for c, x in zip(all_rows.column_names, all_rows.columns, strict=True)}
         order = np.lexsort((columns["node"], columns["size"], columns["h"]))
         columns = {c: x[order] for c, x in columns.items()}
         new = np.ones(len(order), bool)
@@ -201,7 +232,7 @@ class Lists:
         self.lens = np.diff(self.begins, append=len(h))
 
     def batch(self, keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in self.columns.values()], list(self.columns))
+        return pa.RecordBatch.from_arrays([pa.array(x[keep], mask=(self.columns["blocks"][keep] < 2) if c == "col" else None) for c, x in self.columns.items()], list(self.columns))
 
 
 def possible(size_a, place_a, size_b, place_b, percent: int):  # noqa: ANN001, ANN201
@@ -211,7 +242,7 @@ def possible(size_a, place_a, size_b, place_b, percent: int):  # noqa: ANN001, A
 
 
 def shared_lists(postings: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Postings of columns that two rows or more have, a column's rows together in a task."""
+    """Postings of columns that two rows or more have, a column's rows (or a block of them) together in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(batches)
@@ -224,10 +255,11 @@ def shared_lists(postings: DataFrame, percent: int, parts: int) -> DataFrame:
             near[1:] |= ok
             near[:-1] |= ok
             keep &= near
+            keep |= lists.columns["blocks"] > 1  # others may be in another block
             if keep.any():
                 yield lists.batch(keep)
 
-    return postings.repartition(parts, "h").mapInArrow(run, "h long, node long, size int, place int")
+    return postings.repartition(parts, "h").mapInArrow(run, "h long, node long, size int, place int, col long, blocks int")
 
 
 PAIRS = "a long, b long, size_a long, size_b long, c long"
@@ -243,23 +275,25 @@ def pair_batch(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(v) for v in (a[at], b[at], size_a[order][at], size_b[order][at], np.diff(at, append=len(a)))], ["a", "b", "size_a", "size_b", "c"])
 
 
-def overlapping(pairs: DataFrame, percent: int) -> DataFrame:
+def overlapping(pairs: DataFrame, percent: int, share: int = 1) -> DataFrame:
     """(a, b) of pairs whose shared columns, summed up, reach the bound by size.
 
     c counts the columns that both rows have in their beginnings. Say that the beginning of x ends
     first; every shared column up to there is counted, and x has size - prefix more. So of the
-    overlap that the sizes need, c must be what the larger of the two rests leaves.
+    overlap that the sizes need, c must be what the larger of the two rests leaves. share: where
+    only some columns were counted for a pair, the bound is divided by it.
     """
     total = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("c").alias("c"))
     both, large = F.expr(f"{percent} * (size_a + size_b)"), F.expr(f"{percent} * greatest(size_a, size_b)")
     up = lambda x, n: F.floor((x + n - 1) / n)  # noqa: E731  exact far beyond any text's size
-    return total.where(F.col("c") >= up(both, 100 + percent) - up(large, 100) + 1).select("a", "b")
+    return total.where(share * F.col("c") >= up(both, 100 + percent) - up(large, 100) + 1).select("a", "b")
 
 
-def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each column's rows with the first leader that they could be similar to; a row without one leads those after it.
+def star_pairs(lists: DataFrame, percent: int, again: int = 0) -> DataFrame:
+    """PAIRS of each column's rows with a few leaders that they could be similar to, chosen alike in all columns: the rows whose names come first in a few random orders.
 
-    Only pairs that reach the bound by what these columns count; the others are left to cross_pairs.
+    again: for a later round, the number of new leaders of each long list, for lists with a column
+    `component`; they come from the list's largest component and are set against rows of others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,31 +301,48 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
         if not lists.ok:
             return
         node, size, place = (lists.columns[c].astype(np.int64) for c in ("node", "size", "place"))
-        two = lists.begins[lists.lens == 2]
-        x, y = [two], [two + 1]
-        for begin, n in zip(lists.begins[lists.lens > 2].tolist(), lists.lens[lists.lens > 2].tolist(), strict=True):
-            rest = np.arange(begin, begin + n)
-            while len(rest) > 1:
-                leader, rest = rest[0], rest[1:]
-                ok = possible(size[rest], place[rest], size[leader], place[leader], percent)
-                x.append(np.full(int(ok.sum()), leader))
-                y.append(rest[ok])
-                rest = rest[~ok]
-        x, y = np.concatenate(x), np.concatenate(y)
-        if len(x):
+        part = lists.columns["component"] if again else None
+        x, y = [], []
+        for r in range(LEADERS, LEADERS + again) if again else range(LEADERS):
+            rank = mix(node.view(np.uint64) + np.uint64((r * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+            which = np.flatnonzero(lists.lens > (1 if r == 0 else LONG_LIST))
+            if not len(which):
+                continue
+            begins, lens = lists.begins[which], lists.lens[which]
+            offsets = np.cumsum(lens) - lens
+            at = np.arange(lens.sum()) + np.repeat(begins - offsets, lens)  # rows of these lists
+            if again:
+                if r == LEADERS:
+                    main = np.zeros(len(node), bool)
+                    for a, n in zip(begins.tolist(), lens.tolist(), strict=True):
+                        names, count = np.unique(part[a : a + n], return_counts=True)
+                        main[a : a + n] = part[a : a + n] == names[np.argmax(count)]
+                rank = np.where(main, rank, np.uint64(0xFFFFFFFFFFFFFFFF))
+            least = np.minimum.reduceat(rank[at], offsets)
+            own = np.flatnonzero(rank[at] == np.repeat(least, lens))
+            own = own[np.unique(np.searchsorted(offsets, own, "right"), return_index=True)[1]]
+            leader = np.repeat(at[own], lens)
+            ok = (leader != at) & possible(size[at], place[at], size[leader], place[leader], percent)
+            if again:
+                ok &= part[leader] != part[at]
+            x.append(leader[ok])
+            y.append(at[ok])
+        if x and len(x := np.concatenate(x)):
+            y = np.concatenate(y)
             yield pair_batch(node[x], node[y], size[x], size[y])
 
-    return overlapping(lists.mapInArrow(run, PAIRS), percent)
+    return lists.mapInArrow(run, PAIRS)
 
 
 def cross_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Every pair of rows in different components whose shared columns reach the bound. lists has a column `component`."""
+    """PAIRS of all rows of a column that are in different components and close enough in size. lists: as replicated() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(batches)
         if not lists.ok:
             return
         node, size, part = (lists.columns[c].astype(np.int64) for c in ("node", "size", "component"))
+        minor, home = lists.columns["minor"], lists.columns["home"]
         x: list[np.ndarray] = []
         y: list[np.ndarray] = []
         count = 0
@@ -304,6 +355,8 @@ def cross_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
             for i in range(begin, end - 1):
                 rest = np.arange(i + 1, stop[i - begin])
                 rest = rest[part[rest] != part[i]]
+                if minor[i] and len(rest):  # two that are in every block count where the smaller one is at home
+                    rest = rest[~minor[rest] | np.where(node[rest] < node[i], home[rest], home[i])]
                 if len(rest):
                     x.append(np.full(len(rest), i))
                     y.append(rest)
@@ -316,7 +369,25 @@ def cross_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
             i_x, i_y = np.concatenate(x), np.concatenate(y)
             yield pair_batch(node[i_x], node[i_y], size[i_x], size[i_y])
 
-    return overlapping(lists.repartition(parts, "h").mapInArrow(run, PAIRS), percent)
+    return lists.repartition(parts, "h").mapInArrow(run, PAIRS)
+
+
+def leaders(lists: DataFrame) -> DataFrame:
+    """One row of each component for each column that is dealt into blocks, so that components meet across blocks. lists has a column `component`."""
+    one = lists.where("col is not null").groupBy("col", "component").agg(F.min(F.struct("node", "size", "place")).alias("x"))
+    return one.select(F.col("col").alias("h"), "x.node", "x.size", "x.place")
+
+
+def replicated(lists: DataFrame) -> DataFrame:
+    """lists (with `component`) plus minor and home: in a column of several blocks, rows outside its largest component go to every block."""
+    whole = lists.where("col is null").select("h", "node", "size", "place", "component", F.lit(False).alias("minor"), F.lit(True).alias("home"))
+    split = lists.where("col is not null")
+    sizes = split.groupBy("col", "component").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("col").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("col", F.col("m.component").alias("major"))
+    split = split.join(major, "col").withColumn("minor", F.col("component") != F.col("major")).withColumn("own", F.pmod("node", "blocks"))
+    to = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.col("own").cast("int")))
+    split = split.withColumn("to", F.explode(to))
+    return whole.unionByName(split.select(block_key("col", F.col("to")).alias("h"), "node", "size", "place", "component", "minor", (F.col("to") == F.col("own")).alias("home")))
 
 
 def wanted_filter(nodes: DataFrame) -> np.ndarray:
@@ -367,21 +438,53 @@ def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
     return docs.mapInArrow(run, "doc_id long, size long, node long, data binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    both = int(is_in(small, large).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets (node, data) are similar enough."""
+    """Those of pairs (a, b) whose sets (node, data) are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row with more than BLOCK partners is a hub. Hubs that share their first partner are put into
+    blocks of at most about BLOCK, and each partner meets a whole block at once: rows grow with
+    partners and blocks, not with pairs.
+    """
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                both = int(is_in(small, large).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node, data, wanted, names, blobs = (batch.column(c)[i].as_py() for c in range(5))
+                own, wanted = np.frombuffer(data, np.uint64), set(wanted)
+                got = [x for x, blob in zip(names, blobs, strict=True) if x in wanted and similar(own, np.frombuffer(blob, np.uint64), percent)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(node, x) for x in got], pa.int64()), pa.array([max(node, x) for x in got], pa.int64())], ["a", "b"])
+
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first")).where(F.col("n") > BLOCK)
+    sizes = hubs.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    hubs = hubs.join(sizes, "first").select(F.col("a").alias("hub"), "n", F.xxhash64("first", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"))
+    hubs = cut(hubs)
+    if hubs.isEmpty():
+        plain, blocked = pairs, None
+    else:
+        # Of two hubs, the one with more partners stands in its block.
+        side = pairs.join(hubs.select(F.col("hub").alias("a"), F.col("n").alias("n_a"), F.col("block").alias("block_a")), "a", "left").join(hubs.select(F.col("hub").alias("b"), F.col("n").alias("n_b"), F.col("block").alias("block_b")), "b", "left")
+        side = cut(side.withColumn("first", F.coalesce(F.col("n_a"), F.lit(0)) >= F.coalesce(F.col("n_b"), F.lit(0))))
+        plain = side.where("block_a is null and block_b is null").select("a", "b")
+        meet = side.where("block_a is not null or block_b is not null").select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("first"), F.col("block_a")).otherwise(F.col("block_b")).alias("block"))
+        meet = meet.groupBy("block", "node").agg(F.collect_set("hub").alias("wanted"))
+        blocks = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").groupBy("block").agg(F.collect_list(F.struct("hub", "data")).alias("x")).select("block", F.col("x.hub").alias("names"), F.col("x.data").alias("blobs"))
+        blocked = meet.join(sets, "node").join(blocks, "block").select("node", "data", "wanted", "names", "blobs").mapInArrow(by_block, "a long, b long")
     one, two = (sets.select(F.col("node").alias(c), F.col("data").alias(f"data_{c}")) for c in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
+    out = plain.join(one, "a").join(two, "b").select("a", "b", "data_a", "data_b").mapInArrow(one_by_one, "a long, b long")
+    return out if blocked is None else out.unionByName(blocked)
 
 
 def linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -395,6 +498,14 @@ def linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> tuple[Dat
     return rows, out
 
 
+def classes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, size, component_id) of rows (doc_id, size, node); found: (node, component) of nodes with links. A row without a node is alone."""
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    groups = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    return rows.join(named, "node", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of docs.
 
@@ -413,13 +524,21 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     release(spark)
     lists = cut(shared_lists(postings(docs, k, percent, frequent), percent, parts))
     release(spark)
-    rows, links = linked(docs, k, cut(star_pairs(lists, percent)), percent)
+    rows, links = linked(docs, k, cut(overlapping(star_pairs(lists, percent), percent, SHARE)), percent)
     known = components(links)
-    labelled = lists.join(known, "node", "left").select("h", "node", "size", "place", F.coalesce("component", "node").alias("component"))
-    pairs = cut(cross_pairs(labelled, percent, parts))
+
+    def labelled() -> DataFrame:
+        return lists.join(known, "node", "left").select("h", "node", "size", "place", "col", "blocks", F.coalesce("component", "node").alias("component"))
+
+    rest = cut(overlapping(star_pairs(labelled().repartition(parts, "h"), percent, MORE_LEADERS), percent, SHARE))
+    if not rest.isEmpty():
+        links = links.unionByName(linked(docs, k, rest, percent)[1])
+        known = components(links)
+    if not lists.where("col is not null").isEmpty():
+        meeting = cut(overlapping(star_pairs(leaders(labelled()).repartition(parts, "h"), percent), percent, SHARE))
+        links = links.unionByName(linked(docs, k, meeting, percent)[1])
+        known = components(links)
+    pairs = cut(overlapping(cross_pairs(replicated(labelled()), percent, parts), percent))
     release(spark)
     found = components(links.unionByName(linked(docs, k, pairs, percent)[1])) if not pairs.isEmpty() else known
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    groups = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes(rows, found).select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

@@ -55,10 +55,15 @@ def near_copies(seed: int) -> list[tuple[int, str | None]]:
     return list(zip(ids, out, strict=True))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_against_brute_force(spark, monkeypatch, seed):
-    if seed == 2:
+    if seed > 1:
         monkeypatch.setattr(module, "LEAST_FREQUENT", 1)
+    if seed > 2:
+        monkeypatch.setattr(module, "BLOCK_ROWS", 3)
+        monkeypatch.setattr(module, "BLOCK", 2)
+        monkeypatch.setattr(module, "LONG_LIST", 3)
+        monkeypatch.setattr(module, "LEADERS", 1)
     rows = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     want = brute(rows)
