@@ -1,9 +1,13 @@
-"""MinHash fingerprints of documents.
+"""MinHash fingerprints of documents, and the classes of near copies that their bands find.
 
 A text's shingles are its runs of five words. Each of many universal hash functions
 (a * x + b mod 2**64) >> 32 keeps its smallest value over them, all in numpy; the low 16 bits of
 each minimum make the fingerprint. The share of equal minima estimates the Jaccard similarity.
 
+Near copies: a fingerprint is cut into bands; documents with equal bands are candidates, set first
+against one leader a bucket, and later, where that left several components in a bucket, against all
+rows of other components. Candidates are verified by exact Jaccard on their whole shingle sets.
+
 To set each document against the next one, rows are dealt into ranges of ids and sorted there; the
 first row of every range is also sent, as a last one, to the range before it. So no task needs more
 than a range, read once and shuffled once.
@@ -20,12 +24,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_or_empty, texts
-from .wordhash import Words, shingles
+from ..operators.graph import components
+from ._shared import cut, release, text_or_empty, texts
+from .ngram_jaccard import classes, cross_pairs, linked, sets_of, shared_lists, star_pairs
+from .wordhash import Words, mix, shingles
 
 SLICE_BYTES = 1 << 20
 WORDS = 5
 N_HASHES = 128
+#: Hashes to a band: 64 bits. A pair of similarity 0.8 shares 13 of 32 bands on average, and fewer than LEAST_BANDS once in a million.
+BAND, LEAST_BANDS = 4, 2
 RANGES_A_PARTITION = 3
 
 _random = np.random.Generator(np.random.PCG64(7_061_993))
@@ -46,7 +54,7 @@ def minhash(values: np.ndarray, counts: np.ndarray, n_hashes: int = N_HASHES) ->
 
 
 def minhash_texts(own: list[bytes], n_hashes: int = N_HASHES, k: int = WORDS) -> np.ndarray:
-    w = Words(own)
+    w = Words(own, lower=True)
     return minhash(*shingles(w.hashes, w.counts, k), n_hashes)
 
 
@@ -130,3 +138,50 @@ def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_i
 
     out = in_ranges(docs, id_col, text_col).mapInArrow(compute, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def band_lists(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
+    """(h, node, size, place, col, blocks) of every band of each distinct shingle set, as ngram_jaccard's postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, s in sets_of(batches, k):
+            new = []
+            for i, (n, name) in enumerate(zip(s.counts.tolist(), s.names.tolist(), strict=True)):
+                if n and name not in seen:
+                    seen.add(name)
+                    new.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if not new:
+                continue
+            bands = np.ascontiguousarray(minhash(s.values, s.counts, n_hashes)[new]).view(np.uint64)
+            n = bands.shape[1]
+            h = mix(bands + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(s.names[new], n)), pa.array(np.repeat(s.counts[new], n).astype(np.int32))], ["h", "node", "size"])
+
+    rows = docs.mapInArrow(run, "h long, node long, size int")
+    return rows.withColumns({"place": F.lit(0), "col": F.lit(None).cast("long"), "blocks": F.lit(1)})
+
+
+def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id) of every row of docs: the smallest id that links of at least this similarity reach.
+
+    Edge cases: as ngram_jaccard; a text without words is alone.
+    """
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+    def often(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_BANDS).select("a", "b"))
+
+    lists = cut(shared_lists(band_lists(docs, k, n_hashes), percent, parts))
+    release(spark)
+    rows, links = linked(docs, k, often(star_pairs(lists, percent)), percent)
+    known = components(links)
+    labelled = lists.join(known, "node", "left").select("h", "node", "size", F.coalesce("component", "node").alias("component"), F.lit(False).alias("minor"), F.lit(True).alias("home"))
+    pairs = often(cross_pairs(labelled, percent, parts))
+    release(spark)
+    found = components(links.unionByName(linked(docs, k, pairs, percent)[1])) if not pairs.isEmpty() else known
+    return classes(rows, found).select(F.col("doc_id").alias(id_col), F.col("component_id").alias("class_id"))

@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from siltsieve.llm.fingerprints import fingerprints, minhash_texts
+from siltsieve.llm.fingerprints import fingerprints, minhash_texts, near_copies
 from siltsieve.llm.sharding import least_loaded, shard
+from test_ngram_jaccard import brute
 
 ODD = [None, "", " ", "a", "é", "a b c", "日本" * 2000, "same text here " * 30, "same text here " * 30, "x"]
 
@@ -73,3 +74,10 @@ def test_empty_ties_and_clashes(spark):
     assert shard(one).count() == 1 and fingerprints(one).first().near_next == 1.0
     tied = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c")], "doc_id long, text string")
     assert shard(tied).count() == 4 == fingerprints(tied).count()
+
+
+def test_near_copies_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_copies(docs).collect()}
+    assert got == {d: c for d, (_, c) in brute([(r.doc_id, r.text) for r in docs.collect()]).items()}
+    assert near_copies(spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string")).where("class_id <> doc_id").count() == 0
