@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._shared import byte_slices, cut, release, text_or_empty, texts
+from ._shared import byte_slices, cut, evict, release, text_or_empty, texts
 from .wordhash import Words, distinct, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -81,6 +81,7 @@ class Sets:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, Sets]]:
+    evict()
     for batch in batches:
         own = texts(batch)
         ids = batch.column(0)
@@ -121,7 +122,7 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 seen.clear()
             held.append(s.values[np.repeat(np.array(new), s.counts)])
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush()
                 size = 0
         if size:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, cut, text_or_empty, texts
+from ._shared import byte_slices, cut, evict, text_or_empty, texts
 from .wordhash import SPACE, Words, ngrams, sums
 
 SLICE_BYTES = 1 << 20
@@ -62,6 +62,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, host and COUNTS) of every row, or with the whole row as a struct `row` for doc_id; a null text counts as one without words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict()
         for batch in batches:
             own = texts(batch)
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):

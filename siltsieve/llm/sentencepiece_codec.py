@@ -16,14 +16,13 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, text_or_empty, texts
+from ._shared import byte_slices, memo, text_or_empty, texts
 from .chunk_cache import ChunkCache, joined_encoder, sums
 
 MARK = "▁"
@@ -214,7 +213,7 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
+@memo
 def codec(path: str, threads: int = 1) -> Codec:
     """One to a worker, which keeps its memo from task to task."""
     return Codec(path, threads)

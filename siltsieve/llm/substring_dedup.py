@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, text_or_empty, texts
+from ._shared import byte_slices, evict, text_or_empty, texts
 from .wordhash import BASE, SPACE, Words, mix
 
 SLICE_BYTES = 4 << 20
@@ -93,6 +93,7 @@ def later_spans(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(key), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(later)], ["h", "doc_id", "key", "begin", "end", "later"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict()
         for batch in batches:
             own = texts(batch)
             docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from ._shared import memo
 from .chunk_cache import ChunkCache, joined_encoder, sums
 
 #: White space outside ASCII, by its UTF-8 bytes; a text that has some is encoded without the memo.
@@ -113,12 +113,12 @@ class WordPieceIds:
         return flat, sums(lens, counts)
 
 
-@lru_cache(maxsize=4)
+@memo
 def byte_level_counter(path: str) -> ByteLevelCounter:
     """One to a worker, which keeps its memo from task to task."""
     return ByteLevelCounter(path)
 
 
-@lru_cache(maxsize=4)
+@memo
 def word_piece_ids(path: str) -> WordPieceIds:
     return WordPieceIds(path)

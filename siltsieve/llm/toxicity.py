@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, text_or_empty, texts
+from ._shared import byte_slices, evict, text_or_empty, texts
 from .wordhash import Words, sums
 
 SLICE_BYTES = 1 << 20
@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
     sample_texts = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict()
         for batch in batches:
             for label, text in zip(batch.column(2).to_pylist(), texts(batch), strict=True):
                 got = np.unique(np.concatenate([h for h, _ in terms_of([text])]))
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict()
         v, n = shared.value, 0
         total = np.zeros(len(v.hashes), np.int64)
         for batch in batches:
@@ -213,6 +215,7 @@ def _scored(docs: DataFrame, index: Index, k: int, id_col: str, text_col: str, w
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict()
         index = shared.value
         for batch in batches:
             own = texts(batch)
