@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,7 @@ def memo(f: Callable) -> Callable:
     kept = lru_cache(maxsize=1)(f)
     _memos.append(kept)
 
+    @wraps(f)  # tasks find it by its name
     def get(*args):  # noqa: ANN002, ANN202
         evict(kept)
         return kept(*args)
