@@ -1,34 +1,42 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine, with votes weighted by similarity.
 
 1. A bounded sample of labelled rows gives the examples. Terms are words and their first 3 to 5
-   bytes; those that the labels lean on most, up to a fixed number, are the vocabulary.
-2. Document frequencies of the vocabulary are counted over all documents.
-3. The examples' TF-IDF vectors form an inverted index: by term, then in blocks of examples, with
-   the largest weight of each block. A text opens blocks in the order of the bound that these give
-   it, until no block can beat the k-th best similarity found, so the neighbours are exact.
+   bytes. Every term of an example is indexed, and every term of a text counts in its norm; how much
+   the labels lean on a term is a factor of its weight, never 0.
+2. Document frequencies of all terms are counted over all documents.
+3. The examples' TF-IDF vectors form an inverted index, by term. Terms of many examples have full
+   rows, so that a batch of texts is one matrix product; the others have lists. All examples that
+   share a term with a text are compared, so the neighbours are exact.
 4. The k nearest vote with the square of their similarity. Votes turn into probabilities by a
    logistic curve that is fitted to the examples' own votes, each without itself.
 
-The index has a fixed bound of size, so it is broadcast. Only texts are inputs of a score.
+The examples are bounded in number, so the index is broadcast. Only texts are inputs of a score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, evict, text_or_empty, texts
-from .wordhash import Words, sums
+from ._shared import byte_slices, cut, evict, text_or_empty, texts
+from .wordhash import Words
 
 SLICE_BYTES = 1 << 20
-#: Bounds of the sample of labelled rows, of the vocabulary and of what a term must show in the sample.
-MOST_EXAMPLES, MOST_TERMS, LEAST_DOCUMENTS, LEAST_LEANING = 8192, 1024, 4, 6.0
-BLOCK, NEIGHBOURS, SHOWN, THRESHOLD = 64, 16, 3, 0.7
+#: Bound of the sample of labelled rows.
+MOST_EXAMPLES = 8192
+#: Document frequencies are kept for all terms of examples and, where there are more than MOST_COUNTED others, for the most frequent of these; the rest count as rare.
+MOST_COUNTED, HELD_TERMS = 1 << 22, 1 << 21
+#: A term's weight is multiplied by LEAST_FACTOR + r / (r + HALF ** 2), r the square of its correlation with the label.
+LEAST_FACTOR, HALF = 0.05, 0.117
+#: Terms of at least one in FULL examples have full rows; so many texts are compared at once.
+FULL, TEXTS = 16, 128
+NEIGHBOURS, SHOWN, THRESHOLD = 16, 3, 0.7
 PREFIXES = (3, 4, 5)
 BETWEEN = np.ones(256, bool)
 BETWEEN[0x80:] = False
@@ -41,65 +49,157 @@ def terms_of(own: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(h, w.counts) for h in (w.hashes, *w.prefixes)]
 
 
-class Vocabulary:
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(hashes)
-        self.some = np.zeros(1 << 16, bool)  # most terms are told apart by 16 bits
-        self.some[self.hashes >> np.uint64(48)] = True
-
-    def counts(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, how often) of the vocabulary's terms in the texts, by text and term."""
-        if not len(self.hashes):
-            return (np.zeros(0, np.int64),) * 3
-        found = []
-        for hashes, n in terms_of(own):
-            at = np.flatnonzero(self.some[hashes >> np.uint64(48)])
-            term = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-            ok = self.hashes[term] == hashes[at]
-            text = np.searchsorted(np.cumsum(n), at[ok], "right")
-            found.append(text * len(self.hashes) + term[ok])
-        key, often = np.unique(np.concatenate(found), return_counts=True)
-        return key // len(self.hashes), key % len(self.hashes), often
+def distinct_terms(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, how often) of every term of each text, by text and hash."""
+    parts = terms_of(own)
+    seen, term = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    text = np.concatenate([np.repeat(np.arange(len(own)), n) for _, n in parts])
+    key, often = np.unique(text * len(seen) + term, return_counts=True)
+    size = max(len(seen), 1)
+    return key // size, seen[key % size], often
+
+
+def find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value in sorted_, or -1."""
+    if not len(sorted_):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, -1)
+
+
+class Postings:
+    """A term x example matrix by lists: of term t, example[starts[t]:starts[t + 1]] and their weights. [terms]: those rows in full."""
+
+    def __init__(self, term: np.ndarray, example: np.ndarray, often: np.ndarray, idf: np.ndarray, norm: np.ndarray) -> None:
+        order = np.argsort(term, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+        self.example, self.often, self.idf, self.norm = example[order].astype(np.int16), often[order].astype(np.int32), idf, norm
+        self._weight = None
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.idf), len(self.norm)
+
+    @property
+    def weight(self) -> np.ndarray:
+        if self._weight is None:
+            out = np.repeat(self.idf, np.diff(self.starts)).astype(np.float32)
+            for a in range(0, len(out), 1 << 19):
+                b = slice(a, a + (1 << 19))
+                out[b] *= (1 + np.log(self.often[b])) / self.norm[self.example[b]]
+            self._weight = out
+        return self._weight
+
+    def __getstate__(self) -> tuple:
+        # Spark keeps a file of it on every executor.
+        parts = np.diff(self.example, prepend=np.int16(0)), self.often, np.diff(self.starts)
+        return [(pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True), x.dtype, len(x)) for x in parts], self.idf, self.norm
+
+    def __setstate__(self, state: tuple) -> None:
+        parts, self.idf, self.norm = state
+        got = [np.ascontiguousarray(np.frombuffer(pa.decompress(x, n * d.itemsize, "zstd", asbytes=True), np.uint8).reshape(d.itemsize, n).T).view(d).reshape(n) for x, d, n in parts]
+        self.example, self.often, self.starts = np.cumsum(got[0], dtype=np.int16), got[1], np.concatenate([[0], np.cumsum(got[2])])
+        self._weight = None
+
+    def lists(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the terms' lists, one after the other; length of each)."""
+        n = self.starts[term + 1] - self.starts[term]
+        return np.repeat(self.starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+    def __getitem__(self, term: np.ndarray) -> np.ndarray:
+        at, n = self.lists(np.asarray(term))
+        out = np.zeros((len(n), self.shape[1]), np.float32)
+        out[np.repeat(np.arange(len(n)), n), self.example[at]] = self.weight[at]
+        return out
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:  # noqa: ANN001
+        return self[np.arange(self.shape[0])].astype(dtype or np.float32)
 
 
 @dataclass
 class Index:
-    """Examples by blocks. weights: term x example; most: term x block; shown: ids of examples."""
+    """Examples by terms. known, gain, local: hash of a counted term, its weight without the text's part, its number among the examples' terms (or -1); idf: the gain of these."""
 
-    vocabulary: Vocabulary
+    known: np.ndarray
+    gain: np.ndarray
+    local: np.ndarray
+    rare: float  # the gain of a term that is not known
     idf: np.ndarray
-    weights: np.ndarray
-    most: np.ndarray
+    weights: Postings
     toxic: np.ndarray
     ids: np.ndarray
     none: float  # the share of toxic examples among those without a term
     slope: float = 1.0
     shift: float = 0.0
+    shared: Broadcast | None = field(default=None, repr=False)
+    _full: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_full": None, "shared": None}
+
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each term among the full rows, or -1; full rows)."""
+        if self._full is None:
+            long = np.flatnonzero(np.diff(self.weights.starts) * FULL >= max(self.weights.shape[1], 1))
+            place = np.full(self.weights.shape[0], -1)
+            place[long] = np.arange(len(long))
+            self._full = place, self.weights[long]
+        return self._full
 
     def vector(self, term: np.ndarray, often: np.ndarray) -> np.ndarray:
         w = (1 + np.log(often)) * self.idf[term]
         return (w / np.sqrt((w * w).sum())).astype(np.float32)
 
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def vectors(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of the examples' terms in the texts; norms are over all terms of a text."""
+        text, h, often = distinct_terms(own)
+        at = find(self.known, h)
+        gain = np.full(len(h), self.rare)
+        gain[at >= 0] = self.gain[at[at >= 0]]
+        w = (1 + np.log(often)) * gain
+        w /= np.sqrt(np.bincount(text, w * w, len(own)))[text]
+        at = np.flatnonzero(at >= 0)[(term := self.local[at[at >= 0]]) >= 0]
+        return text[at], term[term >= 0], w[at].astype(np.float32)
+
+    def similarities(self, text: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """texts x examples."""
+        place, full = self.full()
+        at = place[term]
+        long = at >= 0
+        q = np.zeros((n, len(full)), np.float32)
+        q[text[long], at[long]] = w[long]
+        out = q @ full
+        text, term, w = text[~long], term[~long], w[~long]
+        edges = np.searchsorted(text, np.arange(n + 1)).tolist()
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                at, often = self.weights.lists(term[a:b])
+                out[i] += np.bincount(self.weights.example[at], np.repeat(w[a:b], often) * self.weights.weight[at], out.shape[1])
+        return out
+
+    @staticmethod
+    def best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k nearest, best first, ties by number."""
-        bound = w @ self.most[term]
-        best, best_sim, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # Sums in another order may differ in their last digits.
-            if bound[b] * (1 + 1e-5) < least or bound[b] <= 0:
-                break
-            sim = w @ self.weights[term, b * BLOCK : (b + 1) * BLOCK]
-            at = np.flatnonzero((sim >= least) & (sim > 0)) if len(best) >= k else np.flatnonzero(sim > 0)
-            if not len(at):
+        at = np.flatnonzero(sim >= max(np.partition(sim, -k)[-k], 1e-30)) if len(sim) > k else np.flatnonzero(sim > 0)
+        order = np.lexsort((at, -sim[at]))[:k]
+        return at[order], sim[at[order]]
+
+    def nearest(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.best(self.similarities(np.zeros(len(term), np.int64), term, w, 1)[0], k)
+
+    def neighbours(self, own: list[bytes], k: int, ids: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, examples, similarities) of each text with a term. ids: of the example that each text is, which is left out."""
+        text, term, w = self.vectors(own)
+        for a in range(0, len(own), TEXTS):
+            b = min(a + TEXTS, len(own))
+            x, y = np.searchsorted(text, [a, b])
+            if x == y:
                 continue
-            at = at[at + b * BLOCK != without]
-            best, best_sim = np.concatenate([best, at + b * BLOCK]), np.concatenate([best_sim, sim[at]])
-            if len(best) > k:
-                order = np.lexsort((best, -best_sim))[:k]
-                best, best_sim = best[order], best_sim[order]
-                least = float(best_sim[-1])
-        order = np.lexsort((best, -best_sim))
-        return best[order], best_sim[order]
+            sims = self.similarities(text[x:y] - a, term[x:y], w[x:y], b - a)
+            for i in np.unique(text[x:y]).tolist():
+                if ids is not None:
+                    sims[i - a][self.ids == ids[i]] = 0
+                yield i, *self.best(sims[i - a], k)
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
         w = sim.astype(np.float64) ** 2
@@ -125,106 +225,151 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3) -> tuple[float,
     return max(slope, 0.0), shift
 
 
-def choose_terms(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
-    """The terms that lean most on the labels, MOST_TERMS at most. counts: (term, n, n_toxic) over the sample of so many toxic and clean documents."""
-    n, with_1 = F.col("n"), F.col("n_toxic")
-    p = n / F.lit(toxic + clean)
-    spread = F.sqrt(p * (1 - p) * F.lit(1 / max(toxic, 1) + 1 / max(clean, 1))) + 1e-9
-    leaning = F.abs(with_1 / max(toxic, 1) - (n - with_1) / max(clean, 1)) / spread
-    best = counts.where(n >= LEAST_DOCUMENTS).withColumn("leaning", leaning).where(F.col("leaning") >= LEAST_LEANING)
-    return np.array([r.term for r in best.orderBy(F.desc("leaning"), "term").limit(MOST_TERMS).select("term").collect()], np.int64).view(np.uint64)
-
-
-def build(examples: list[tuple[int, bool, list[int], list[int]]], vocabulary: Vocabulary, idf: np.ndarray, k: int) -> Index:
-    """examples: (id, toxic, terms, how often)."""
-    some = [e for e in examples if e[2]]
-    none = [e[1] for e in examples if not e[2]]
-    # Examples that are alike stand together, so that blocks' bounds are tight.
-    some.sort(key=lambda e: (e[1], max(zip(e[3], e[2], strict=True))[1], e[0]))
-    n = -(-len(some) // BLOCK) * BLOCK
-    weights = np.zeros((len(idf), n), np.float32)
-    out = Index(vocabulary, idf, weights, np.zeros((len(idf), n // BLOCK), np.float32), np.array([e[1] for e in some] + [False] * (n - len(some)), np.float64), np.array([e[0] for e in some] + [0] * (n - len(some)), np.int64), (sum(none) + 0.02) / (len(none) + 1))
-    for i, e in enumerate(some):
-        weights[e[2], i] = out.vector(np.array(e[2]), np.array(e[3]))
-    out.most = weights.reshape(len(idf), -1, BLOCK).max(axis=2) if n else out.most
-    votes = [out.vote(*out.nearest(np.array(e[2]), weights[e[2], i], k, without=i)) for i, e in enumerate(some)] + [out.none] * len(none)
-    if votes:
-        v = np.clip(np.array(votes), 1e-6, 1 - 1e-6)
-        out.slope, out.shift = logistic(np.log(v / (1 - v)), np.array([e[1] for e in some] + none, np.float64))
+def factors(n: np.ndarray, n_toxic: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Of terms in n examples, n_toxic of them toxic, out of so many toxic and clean ones."""
+    if not toxic or not clean:
+        return np.full(len(n), LEAST_FACTOR)
+    p, all_ = n / (toxic + clean), toxic + clean
+    difference = n_toxic / toxic - (n - n_toxic) / clean
+    r = difference**2 * (toxic * clean / all_**2) / np.maximum(p * (1 - p), 1e-12)
+    return LEAST_FACTOR + r / (r + HALF**2)
+
+
+def all_terms(examples: list[tuple]) -> np.ndarray:
+    out = np.zeros(0, np.uint64)
+    for i in range(0, len(examples), 256):
+        out = np.unique(np.concatenate([out, *[e[2] for e in examples[i : i + 256]]]))
     return out
 
 
+def build(examples: list[tuple[int, bool, np.ndarray, np.ndarray]], n: int, known: np.ndarray, df: np.ndarray, rare: int) -> Index:
+    """examples: (id, toxic, hashes, how often), by id; known: the terms with counted document frequencies df, all of the examples' among them, out of n documents."""
+    some, none = [e for e in examples if len(e[2])], [e[1] for e in examples if not len(e[2])]
+    toxic = np.array([e[1] for e in some], np.float64)
+    example = np.repeat(np.arange(len(some), dtype=np.int16), [len(e[2]) for e in some])
+    own = all_terms(examples)
+    terms = [np.searchsorted(own, e[2]).astype(np.int32) for e in some]
+    term = np.concatenate([np.zeros(0, np.int32), *terms])
+    own_n, own_toxic = np.bincount(term, minlength=len(own)), np.bincount(term[toxic[example] > 0], minlength=len(own))
+    local = find(own, known).astype(np.int32)
+    factor = np.full(len(known), LEAST_FACTOR)
+    factor[local >= 0] = factors(own_n, own_toxic, int(toxic.sum()), len(some) - int(toxic.sum()))[local[local >= 0]]
+    gain = (np.log((1 + n) / (1 + df)) + 1) * factor
+    idf = gain[find(known, own)]
+    often = np.concatenate([np.zeros(0, np.int32), *[e[3] for e in some]])
+    norm = np.array([np.sqrt((((1 + np.log(e[3])) * idf[t]) ** 2).sum()) for e, t in zip(some, terms, strict=True)])
+    weights = Postings(term, example, often, idf, norm)
+    return Index(known, gain, local, (np.log((1 + n) / (1 + rare)) + 1) * LEAST_FACTOR, idf, weights, toxic, np.array([e[0] for e in some], np.int64), (sum(none) + 0.02) / (len(none) + 1))
+
+
 def held_out(id_col: str):  # noqa: ANN201
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """(term, n): in how many rows each term is; a null term: how many rows there are."""
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(parts: list) -> pa.RecordBatch:
+            term, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([y for _, y in parts]), len(term)).astype(np.int64)
+            parts[:] = [(term, n)]
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+
+        evict()
+        total, parts, held = 0, [], 0
+        for batch in batches:
+            own = texts(batch)
+            total += len(own)
+            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
+                parts.append(np.unique(distinct_terms(own[a:b])[1], return_counts=True))
+                held += len(parts[-1][0])
+                if held > HELD_TERMS:
+                    got = batch_of(parts)
+                    held = len(got)
+                    if 2 * held > HELD_TERMS:
+                        yield got
+                        parts, held = [], 0
+        if parts:
+            yield batch_of(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["term", "n"])
+
+    return rows.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """The index of at most MOST_EXAMPLES labelled rows that are not held out. Ids and labels of that sample, and its terms, come to the driver."""
+    """The index of at most MOST_EXAMPLES labelled rows that are not held out. Ids, labels and terms of that sample, and document frequencies of at most MOST_COUNTED more terms, come to the driver."""
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(F.col(label_col).cast("int")) == 1).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES).collect()
-    sample = spark.createDataFrame(chosen, known.schema)
+    label = {r.doc_id: r.toxic for r in chosen}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sample_texts = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    # Of rows with one id, one is the example.
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")
+    sample = cut(rows.join(F.broadcast(spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long")), "doc_id").groupBy("doc_id").agg(first).select("doc_id", F.col("m.text").alias("text")))
 
-    def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
         for batch in batches:
-            for label, text in zip(batch.column(2).to_pylist(), texts(batch), strict=True):
-                got = np.unique(np.concatenate([h for h, _ in terms_of([text])]))
-                yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.full(len(got), int(label)), pa.int32())], ["term", "toxic"])
-
-    label = {r.doc_id: r.toxic for r in chosen}
-    found = {r.toxic: r.n for r in rows.select("doc_id").join(F.broadcast(sample), "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    term_counts = sample_texts.mapInArrow(distinct_terms, "term long, toxic int").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"))
-    vocabulary = Vocabulary(choose_terms(term_counts, found.get(True, 0), found.get(False, 0)))
-    shared = spark.sparkContext.broadcast(vocabulary)
+            got = [distinct_terms([x])[1:] for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary())], ["doc_id", "terms", "often"])
+
+    examples = sorted(((r.doc_id, label[r.doc_id], np.frombuffer(bytes(r.terms), np.uint64), np.frombuffer(bytes(r.often), np.int32)) for r in sample.mapInArrow(terms, "doc_id long, terms binary, often binary").toLocalIterator()), key=lambda e: e[0])
+    own = spark.sparkContext.broadcast(all_terms(examples))
+    counts = cut(counted_terms(rows.select("text")))
+    # A term that is not counted is in one document, unless there are too many of two or more.
+    least, total = 2, 0
+    for n, terms_of_n in sorted(((r.n, r.c) for r in counts.where("term is not null and n >= 2").groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True):
+        total += terms_of_n
+        if total > MOST_COUNTED:
+            least = n + 1
+            break
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evict()
-        v, n = shared.value, 0
-        total = np.zeros(len(v.hashes), np.int64)
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = texts(batch)
-            n += len(own)
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                total += np.bincount(v.counts(own[a:b])[1], minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(total))], pa.int64()), pa.array([n, *total.tolist()], pa.int64())], ["term", "n"])
+            term, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            yield batch.filter(pa.array((n >= least) | (find(own.value, term.view(np.uint64)) >= 0)))
 
-    counts = {r.term: r.n for r in rows.select("doc_id", "text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one for each term
-    n, df = counts.pop(-1, 0), np.zeros(len(vocabulary.hashes))
-    df[list(counts)] = list(counts.values())
-    idf = np.log((1 + n) / (1 + df)) + 1
+    n = sum(r.n for r in counts.where("term is null").collect())
+    got = counts.where("term is not null").mapInArrow(wanted, "term long, n long").toArrow()
+    term, df = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(term)
+    out = build(examples, n, term[order], df[order], least - 1)
+    shared = out.shared = spark.sparkContext.broadcast(out)
 
-    def sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict()
         for batch in batches:
-            own = texts(batch)
+            ids, own = batch.column(0).to_pylist(), texts(batch)
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                text, term, often = v.counts(own[a:b])
-                cuts = np.searchsorted(text, np.arange(1, b - a))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tolist() for x in np.split(term, cuts)], pa.list_(pa.int64())), pa.array([x.tolist() for x in np.split(often, cuts)], pa.list_(pa.int64()))], ["doc_id", "terms", "often"])
+                votes = np.full(b - a, shared.value.none)
+                for i, best, sim in shared.value.neighbours(own[a:b], k, ids[a:b]):
+                    votes[i] = shared.value.vote(best, sim)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(votes)], ["doc_id", "vote"])
 
-    examples = {r.doc_id: (r.doc_id, label[r.doc_id], r.terms, r.often) for r in sample_texts.mapInArrow(sample_counts, "doc_id long, terms array<long>, often array<long>").collect()}
-    return build([examples[i] for i in sorted(examples)], vocabulary, idf, k)
+    own.unpersist()
+    votes = sorted((r.doc_id, r.vote) for r in sample.mapInArrow(own_votes, "doc_id long, vote double").collect())
+    if votes:
+        v = np.clip(np.array([x for _, x in votes]), 1e-6, 1 - 1e-6)
+        out.slope, out.shift = logistic(np.log(v / (1 - v)), np.array([label[i] for i, _ in votes], np.float64))
+    return out
 
 
 def _scored(docs: DataFrame, index: Index, k: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
     """(doc_id, score, evidence) of every row, or (row, score) with the whole row as a struct."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = index.shared or docs.sparkSession.sparkContext.broadcast(index)
+    fit = index.slope, index.shift  # the shared index may be from before these were known
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
         index = shared.value
+        index.slope, index.shift = fit
         for batch in batches:
             own = texts(batch)
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                text, term, often = index.vocabulary.counts(own[a:b])
                 votes, evidence = np.full(b - a, index.none), [[] for _ in range(b - a)]
-                first = np.flatnonzero(np.diff(text, prepend=-1))
-                for i, x, y in zip(text[first].tolist(), first.tolist(), [*first[1:].tolist(), len(text)][: len(first)], strict=True):
-                    best, sim = index.nearest(term[x:y], index.vector(term[x:y], often[x:y]), k)
+                for i, best, sim in index.neighbours(own[a:b], k):
                     votes[i] = index.vote(best, sim)
                     evidence[i] = [{"doc_id": int(index.ids[j]), "similarity": float(s), "toxic": int(index.toxic[j])} for j, s in zip(best[:SHOWN], sim[:SHOWN], strict=True)]
                 more = [] if whole else [pa.array(evidence, kind)]
@@ -240,8 +385,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, k: int =
     """(id, score, predicted, evidence) of every row of docs; evidence: the nearest examples, at most SHOWN, with their labels.
 
     Edge cases: a null or empty text has no terms and gets the rate of examples without any;
-    repeated rows are scored each; an empty table gives an empty result; without labels, or with one
-    label only, there is no vocabulary and every text gets the same score; further columns are left out.
+    repeated rows are scored each; an empty table gives an empty result; with one label only, no term leans on a label; without labels every text gets the same score; further columns are left out.
     """
     out = _scored(docs, index, k, id_col, text_col, whole=False)
     return out.select(F.col("doc_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

@@ -58,3 +58,19 @@ def test_edges(spark, trained):
     empty = t.train(docs, labels.limit(0))
     assert {r.predicted for r in t.score(odd, empty).collect()} == {0}
     assert t.train(docs.limit(0), labels).weights.shape[1] == 0
+
+
+def test_all_terms_count(spark):
+    """No term is left out of the index or of a norm, also in a small sample without strong terms."""
+    ids = list(range(400))
+    texts = {i: f"common{i % 7} words{i % 5} here " + ("zlorp" if i % 10 == 0 else f"calm{i % 3}") + f" only{i}" for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = t.train(docs, spark.createDataFrame([(i, int(i % 10 == 0)) for i in ids[:60]], "doc_id long, toxic int"))
+    every = set(np.concatenate([t.distinct_terms([texts[int(i)].encode()])[1] for i in index.ids]).tolist())
+    assert len(index.idf) == len(every) and (index.idf > 0).all()
+    some = texts[int(index.ids[0])]
+    new = " ".join(f"unheard{j}" for j in range(500))
+    rows = [(1, some), (2, some.split()[0] + " " + new)]
+    got = {r.doc_id: r.evidence for r in t.score(spark.createDataFrame(rows, "doc_id long, text string"), index).collect()}
+    assert got[1][0].doc_id == int(index.ids[0]) and abs(got[1][0].similarity - 1) < 1e-5
+    assert 0 < got[2][0].similarity < 0.5
