@@ -16,7 +16,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode
 from .sharding import shard
-from .substring_dedup import substring_dedup
+from .substring_dedup import WINDOW, substring_dedup
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 from .toxicity import held_out, score, train
@@ -55,7 +55,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed")
+    return substring_dedup(table(spark, sf_dir, "documents"), window=WINDOW).select("doc_id", "text", "removed")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ sentences and MIN_WORDS words from a sentence on. Spans are joined globally by h
 equal spans, by document and place, stays, and all sentences that any later one covers go. The first
 place of a sentence is never covered by a later span, so nothing is lost altogether.
 
+A passage that starts and ends within sentences may hold no such span. With a window, there are
+further spans: texts are also cut before the word with the least hash of every so many consecutive
+ones (the last of equal ones), and a span runs from a cut to the first one at least MIN_WORDS words
+on. Any MIN_WORDS + 2 * window words that stand in two places hold one of these, however they are cut.
+
 Before the shuffle, every batch keeps its own first of equal spans and reports the later ones at
 once, so a passage that is in a third of all documents sends a row a batch, not one a document.
 """
@@ -26,6 +31,8 @@ from .wordhash import BASE, SPACE, Words, mix
 
 SLICE_BYTES = 4 << 20
 MIN_SENTENCES, MIN_WORDS, LONG = 3, 20, 16
+#: 20 + 2 * 15 = 50 words.
+WINDOW = 15
 NO_ID = -(1 << 63)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -54,29 +61,45 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, text[first]
 
 
-def spans(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def least_words(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts: first words of texts and those with the least hash of any window within a text, text of each)."""
+    text = np.repeat(np.arange(len(w.counts)), w.counts)
+    cut = np.diff(text, prepend=-1) > 0
+    for a in range(0, len(text) - window + 1, 1 << 16):
+        some = np.lib.stride_tricks.sliding_window_view(w.hashes[a : a + (1 << 16) + window - 1], window)
+        last = np.arange(a, a + len(some)) + window - 1
+        at = last - some[:, ::-1].argmin(axis=1)
+        cut[at[text[last - window + 1] == text[last]]] = True
+    first = np.flatnonzero(cut)
+    return first, text[first]
+
+
+def spans(own: list[bytes], window: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first byte, end byte) of every span of a batch; bytes count from the text's start, white space after a sentence belongs to it."""
     w = Words(own)
-    first, text = sentences(w)
-    n, words = len(first), len(w.starts)
+    words = len(w.starts)
     none = np.zeros(0, np.int64)
-    if not n:
+    if not words:
         return np.zeros(0, np.uint64), none, none, none
-    lens = np.diff(first, append=words)
-    sentence_end = first + lens
-    last_of_text = np.searchsorted(text, np.arange(len(own)), "right")[text]  # end of the text's sentences
-    to = np.maximum(np.arange(n) + MIN_SENTENCES, np.searchsorted(sentence_end, first + MIN_WORDS, "left") + 1)
-    ok = np.flatnonzero(to <= last_of_text)
-    a, b = first[ok], sentence_end[to[ok] - 1]
     # With a polynomial over all words before each one, that of any run is a difference, moved to place 0.
     up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(words, BASE, np.uint64)]), dtype=np.uint64)
     down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(words, INVERSE, np.uint64)]), dtype=np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(w.hashes * up[:-1], dtype=np.uint64)])
-    total = (sums[b] - sums[a]) * down[a]
     starts = np.append(w.starts, 0)
-    begin_of = (w.ends - np.array([len(t) + 1 for t in own]))[text[ok]]
-    end_byte = np.where(to[ok] < last_of_text[ok], starts[np.minimum(b, words)], w.ends[text[ok]] - 1)
-    return mix(total), text[ok], w.starts[a] - begin_of, end_byte - begin_of
+    begins = w.ends - np.array([len(t) + 1 for t in own])
+    parts = []
+    for first, text, least in [(*sentences(w), MIN_SENTENCES), *([(*least_words(w, window), 1)] if window else [])]:
+        n = len(first)
+        sentence_end = first + np.diff(first, append=words)
+        last_of_text = np.searchsorted(text, np.arange(len(own)), "right")[text]  # end of the text's sentences
+        to = np.maximum(np.arange(n) + least, np.searchsorted(sentence_end, first + MIN_WORDS, "left") + 1)
+        ok = np.flatnonzero(to <= last_of_text)
+        a, b = first[ok], sentence_end[to[ok] - 1]
+        total = (sums[b] - sums[a]) * down[a]
+        end_byte = np.where(to[ok] < last_of_text[ok], starts[np.minimum(b, words)], w.ends[text[ok]] - 1)
+        begin_of = begins[text[ok]]
+        parts.append((mix(total), text[ok], w.starts[a] - begin_of, end_byte - begin_of))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def firsts(h: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +108,7 @@ def firsts(h: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -
     return order, np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(order) else np.zeros(0, bool)
 
 
-def later_spans(rows: DataFrame) -> DataFrame:
+def later_spans(rows: DataFrame, window: int | None = None) -> DataFrame:
     """(doc_id, key, begin, end) of every span that is not the first with its hash. rows: doc_id, key, text."""
     schema = "h long, doc_id long, key long, begin int, end int, later boolean"
 
@@ -99,7 +122,7 @@ def later_spans(rows: DataFrame) -> DataFrame:
             docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = []
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                h, text, begin, end = spans(own[a:b])
+                h, text, begin, end = spans(own[a:b], window)
                 parts.append((h, docs[a:b][text], keys[a:b][text], begin, end))
             if parts:
                 h, doc, key, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -155,9 +178,11 @@ def merged(begin: list[int], end: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None) -> DataFrame:
     """docs with the text that is left, and removed array<struct<begin, end>>: byte ranges of the old text, disjoint, in order.
 
+    window: also find passages that no whole sentences lie in, of MIN_WORDS + 2 * window words at least.
+
     Edge cases: a null text stays null; a text of fewer sentences or words than a span needs stays
     as it is; repeated rows (equal id and text) are one place and keep the same text; rows of equal
     ids and other texts are told apart by the texts' hash; a null id comes first in the order; all
@@ -166,7 +191,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key, doc = F.xxhash64(text_or_empty(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc_id"), key.alias("key"), text_or_empty(text_col).alias("text"))
-    later = later_spans(rows).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    later = later_spans(rows, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
     columns = [c for c in docs.columns if c != "removed"]
     both = docs.select(*columns).withColumns({"__doc": doc, "__key": key}).join(later.withColumnsRenamed({"doc_id": "__doc", "key": "__key"}), ["__doc", "__key"], "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

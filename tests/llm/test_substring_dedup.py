@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from siltsieve.llm.substring_dedup import LONG, MIN_SENTENCES, MIN_WORDS, substring_dedup
+from siltsieve.llm.substring_dedup import LONG, MIN_SENTENCES, MIN_WORDS, WINDOW, spans, substring_dedup
 from siltsieve.llm.wordhash import Words
 
 
@@ -120,3 +120,28 @@ def test_edges(spark):
     kept = [x.text for x in got if x.doc_id == 1]
     assert len(kept) == 3 and {x.text for x in got if x.doc_id == 2} == {""}
     assert t in kept[0] or t in kept[2]
+
+
+def test_any_passage_of_50_words_holds_a_span(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+
+    def words(n: int, kind: int) -> list[str]:
+        if kind == 2:  # few distinct words
+            return [r.choice("abc") for _ in range(n)]
+        return [word() + ("." if kind and i % 15 == 8 else "") for i in range(n)]
+
+    missed, rows = 0, []
+    for case in range(300):
+        kind, n = case % 3, MIN_WORDS + 2 * WINDOW
+        source, other = words(200, kind), words(100, kind)
+        at, to = r.randrange(150), r.randrange(100)
+        copy = other[:to] + source[at : at + n] + other[to:]
+        a, b = (" ".join(x).encode() for x in (source, copy))
+        (h, *_), (g, _, begin, end) = spans([a], WINDOW), spans([b], WINDOW)
+        p, q = (len(" ".join(copy[:k])) for k in (to, to + n))
+        missed += not any(x in set(h.tolist()) and p <= y and z <= q + 1 for x, y, z in zip(g.tolist(), begin.tolist(), end.tolist(), strict=True))
+        rows += [(2 * case, a.decode()), (2 * case + 1, b.decode())] if kind < 2 else []
+    assert not missed
+    got = {x.doc_id: x.removed for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=WINDOW).collect()}
+    assert all(bool(v) == bool(d % 2) for d, v in got.items())
