@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ._shared import cut, release, text_or_empty, texts
-from .ngram_jaccard import classes, cross_pairs, linked, sets_of, shared_lists, star_pairs
+from .ngram_jaccard import Sets, classes, cross_pairs, linked, named, sets_of, shared_lists, star_pairs
 from .wordhash import Words, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -90,11 +90,12 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("last"), F.col("key").desc(), F.xxhash64("text")).select("bucket", "last", "doc_id", "text")
 
 
-def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text", node_col: str | None = None) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of docs.
 
     The edited text has its last half replaced by the beginning of the next document in descending
     order of ids (after the last: the first). near_*: the share of equal minima, 0 to 1.
+    node_col: also give the name of the text's shingle set (null without words) by this name.
 
     Edge cases: a null text counts as empty; texts without words have equal fingerprints; of rows
     with equal ids the order is that of their texts' hashes; a null id comes last; a single row is
@@ -123,6 +124,8 @@ def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_i
             new = [edited(rows[i][3], rows[i + 1][3]) for i in own]
             prints_new = minhash_texts([t for _, t in new], n_hashes)
             old = prints[own]
+            sets = Sets([rows[i][3] for i in own], WORDS) if node_col else None
+            more = [pa.array(sets.names, mask=sets.counts == 0)] if node_col else []
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([rows[i][2] for i in own], pa.int64()),
@@ -132,12 +135,13 @@ def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_i
                     pa.array([x.astype(">u2").tobytes().hex() for x in prints_new]),
                     pa.array((old == prints_new).mean(axis=1)),
                     pa.array((old == prints[[i + 1 for i in own]]).mean(axis=1)),
+                    *more,
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *["node"] * len(more)],
             )
 
-    out = in_ranges(docs, id_col, text_col).mapInArrow(compute, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("doc_id", id_col)
+    out = in_ranges(docs, id_col, text_col).mapInArrow(compute, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + (", node long" if node_col else ""))
+    return out.withColumnsRenamed({"doc_id": id_col, "node": node_col} if node_col else {"doc_id": id_col})
 
 
 def band_lists(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
@@ -164,11 +168,8 @@ def band_lists(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
     return rows.withColumns({"place": F.lit(0), "col": F.lit(None).cast("long"), "blocks": F.lit(1)})
 
 
-def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id) of every row of docs: the smallest id that links of at least this similarity reach.
-
-    Edge cases: as ngram_jaccard; a text without words is alone.
-    """
+def near_links(docs: DataFrame, k: int, percent: int, n_hashes: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows as linked gives them, (node, component) of nodes with links of at least this similarity)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -184,4 +185,19 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: in
     pairs = often(cross_pairs(labelled, percent, parts))
     release(spark)
     found = components(links.unionByName(linked(docs, k, pairs, percent)[1])) if not pairs.isEmpty() else known
-    return classes(rows, found).select(F.col("doc_id").alias(id_col), F.col("component_id").alias("class_id"))
+    return rows, found
+
+
+def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id) of every row of docs: the smallest id that links of at least this similarity reach.
+
+    Edge cases: as ngram_jaccard; a text without words is alone.
+    """
+    return classes(*near_links(docs, k, percent, n_hashes, id_col, text_col)).select(F.col("doc_id").alias(id_col), F.col("component_id").alias("class_id"))
+
+
+def fingerprints_and_classes(docs: DataFrame, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """fingerprints of every row of docs, each with near_copies' class_id; rows meet by their shingle sets, so repeated and null ids do no harm."""
+    of_sets = named(*near_links(docs, WORDS, percent, n_hashes, id_col, text_col)).withColumnsRenamed({"node": "__node", "component_id": "__class"})
+    rows = fingerprints(docs, n_hashes, id_col, text_col, node_col="__node")
+    return rows.join(of_sets, "__node", "left").withColumn("class_id", F.coalesce("__class", id_col)).drop("__node", "__class")

@@ -499,12 +499,16 @@ def linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> tuple[Dat
     return rows, out
 
 
-def classes(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, size, component_id) of rows (doc_id, size, node); found: (node, component) of nodes with links. A row without a node is alone."""
+def named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component_id) of each node of rows (doc_id, size, node); found: (node, component) of nodes with links."""
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     groups = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+
+
+def classes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, size, component_id) of rows. A row without a node is alone."""
+    return rows.join(named(rows, found), "node", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

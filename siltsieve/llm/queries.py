@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from .fingerprints import fingerprints
+from .fingerprints import fingerprints_and_classes
 from .ngram_jaccard import ngram_jaccard
 from .oracles import SQL
 from .packing import pack
@@ -63,7 +63,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints_and_classes(table(spark, sf_dir, "documents"))
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from siltsieve.llm.fingerprints import fingerprints, minhash_texts, near_copies
+from siltsieve.llm.fingerprints import fingerprints, fingerprints_and_classes, minhash_texts, near_copies
+from siltsieve.llm.queries import op9_fingerprints
 from siltsieve.llm.sharding import least_loaded, shard
 from test_ngram_jaccard import brute
 
@@ -81,3 +82,15 @@ def test_near_copies_against_brute_force(spark):
     got = {r.doc_id: r.class_id for r in near_copies(docs).collect()}
     assert got == {d: c for d, (_, c) in brute([(r.doc_id, r.text) for r in docs.collect()]).items()}
     assert near_copies(spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string")).where("class_id <> doc_id").count() == 0
+
+
+def test_query_gives_classes_of_near_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = op9_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    want = {d: c for d, (_, c) in brute([(r.doc_id, r.text) for r in docs.collect()]).items()}
+    assert len(rows) == len(want) and {r.doc_id: r.class_id for r in rows} == want
+    assert any(d != c for d, c in want.items())
+    t = " ".join(f"w{i}" for i in range(60))
+    odd = spark.createDataFrame([(5, t), (5, "other words"), (7, t + " end"), (7, t + " end"), (None, t), (8, None), (None, "")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_chars, r.class_id) for r in fingerprints_and_classes(odd).collect())
+    assert got == sorted([(5, len(t), 5), (5, 11, 5), (7, len(t) + 4, 5), (7, len(t) + 4, 5), (0, len(t), 5), (8, 0, 8), (0, 0, None)], key=lambda x: x[:2])
