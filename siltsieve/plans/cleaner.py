@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions.rules import Rule
 from ..operators import classes, repair
 from ..operators.detect import clean, detect_all
@@ -41,7 +42,7 @@ class Cleaner:
         return clean(df, self.detect(df))
 
     def fixes(self, df: DataFrame) -> DataFrame:
-        """(kid, attr, fix): on arrival for right-hand sides of one rule, as classes stand at the end for those of several (without windows)."""
+        """(kid, attr, fix): on arrival for right-hand sides of one rule, as classes stand at the end for those of several (with a window that is an error, as on streams)."""
         self._check(df)
         by: dict[str, list[Rule]] = {}
         for r in self.rules:
@@ -50,6 +51,8 @@ class Cleaner:
         for attr, own in by.items():
             if len(own) == 1:
                 one = repair.repair_rule(df, own[0], self.mode, self.step).where("violating").select("kid", "fix")
+            elif self.mode != "none":
+                raise ConfigError("rules that share a right-hand side are repaired without windows")
             else:
                 one = classes.repair_shared(df, own)
             one = one.withColumn("attr", F.lit(attr))

@@ -228,3 +228,15 @@ def test_clean_tuples_stay_and_only_right_sides_change(spark):
     assert len(out) == 50 and all(out[i + 1].a == a and out[i + 1].c == c for i, (a, _, c) in enumerate(rows))
     assert all(r.b == rows[k - 1][1] for k, r in out.items() if not r.repaired) and {r.b for r in out.values()} <= {"x", "y", "z"}
     assert df.join(Cleaner([RULE]).repair(df).where(F.col("changed") & ~F.col("repaired")), "kid").count() == 0
+
+
+def test_windows_with_a_shared_right_hand_side_are_an_error(spark):
+    from siltsieve.errors import ConfigError
+    from siltsieve.functions.rules import parse_rule
+    from siltsieve.plans.cleaner import Cleaner
+
+    df = spark.createDataFrame([(1, 1, "a", "b", "x"), (2, 2, "a", "b", "y")], "kid long, tid long, p string, q string, v string")
+    rules = [parse_rule(0, "FD,p,v"), parse_rule(1, "FD,q,v")]
+    with pytest.raises(ConfigError):
+        Cleaner(rules, mode="basic", step=10).fixes(df)
+    assert Cleaner(rules).fixes(df).count() == 2
