@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, wraps
 
@@ -32,6 +33,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of steps in the shared folder: a lost executor loses nothing of them, and those that no result needs any more can be dropped."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.place, self.tables = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.place}/{len(self.tables)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[path] = out
+        return out
+
+    def drop(self, *dfs: DataFrame, but: DataFrame | None = None) -> None:
+        """Delete the files of dfs, or of all tables but one."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path, table in list(self.tables.items()):
+            if table is not None and (any(table is x for x in dfs) if dfs else table is not but):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+                self.tables[path] = None
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark drops them once the driver's collectors see that nobody refers to them."""
     gc.collect()

@@ -5,8 +5,8 @@ A text's shingles are its runs of five words. Each of many universal hash functi
 each minimum make the fingerprint. The share of equal minima estimates the Jaccard similarity.
 
 Near copies: a fingerprint is cut into bands; documents with equal bands are candidates, set first
-against one leader a bucket, and later, where that left several components in a bucket, against all
-rows of other components. Candidates are verified by exact Jaccard on their whole shingle sets.
+against a few leaders a band, and where that left several components in a band, by blocks of rows
+(see ngram_jaccard). Candidates are verified by exact Jaccard on their whole shingle sets.
 
 To set each document against the next one, rows are dealt into ranges of ids and sorted there; the
 first row of every range is also sent, as a last one, to the range before it. So no task needs more
@@ -24,9 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
-from ._shared import cut, release, text_or_empty, texts
-from .ngram_jaccard import Sets, classes, cross_pairs, linked, named, sets_of, shared_lists, star_pairs
+from ._shared import Scratch, release, text_or_empty, texts
+from .ngram_jaccard import BLOCK_ROWS, Rows, Sets, block_key, by_lead, few, keyed, linked_components, named, rows_of, sets_of, shared_lists
 from .wordhash import Words, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -144,8 +143,8 @@ def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_i
     return out.withColumnsRenamed({"doc_id": id_col, "node": node_col} if node_col else {"doc_id": id_col})
 
 
-def band_lists(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
-    """(h, node, size, place, col, blocks) of every band of each distinct shingle set, as ngram_jaccard's postings."""
+def band_lists(docs: DataFrame, k: int, n_hashes: int, scratch: Scratch) -> DataFrame:
+    """(h, node, size, place, col, blocks) of every band of each distinct shingle set, as ngram_jaccard's postings; a band of too many sets for one task is dealt into blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -164,28 +163,26 @@ def band_lists(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
             h = mix(bands + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(s.names[new], n)), pa.array(np.repeat(s.counts[new], n).astype(np.int32))], ["h", "node", "size"])
 
-    rows = docs.mapInArrow(run, "h long, node long, size int")
-    return rows.withColumns({"place": F.lit(0), "col": F.lit(None).cast("long"), "blocks": F.lit(1)})
+    bands = scratch.cut(docs.mapInArrow(run, "h long, node long, size int"))
+    large = scratch.cut(bands.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("h", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+    rows = bands.join(few(large, large.count()), "h", "left")
+    split, h = F.col("blocks").isNotNull(), F.col("h")
+    return rows.select(F.when(split, block_key("h", F.pmod("node", "blocks"))).otherwise(h).alias("h"), "node", "size", F.lit(0).alias("place"), F.when(split, h).alias("col"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
 
-def near_links(docs: DataFrame, k: int, percent: int, n_hashes: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows as linked gives them, (node, component) of nodes with links of at least this similarity)."""
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+def near_links(docs: DataFrame, k: int, percent: int, n_hashes: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[Rows, DataFrame]:
+    """(rows_of all documents, (node, component) of nodes with links of at least this similarity)."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = keyed(docs, id_col, text_col)
 
     def often(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_BANDS).select("a", "b"))
+        return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("led").alias("led")).where(F.col("c") >= LEAST_BANDS).select(*by_lead())
 
-    lists = cut(shared_lists(band_lists(docs, k, n_hashes), percent, parts))
-    release(spark)
-    rows, links = linked(docs, k, often(star_pairs(lists, percent)), percent)
-    known = components(links)
-    labelled = lists.join(known, "node", "left").select("h", "node", "size", F.coalesce("component", "node").alias("component"), F.lit(False).alias("minor"), F.lit(True).alias("home"))
-    pairs = often(cross_pairs(labelled, percent, parts))
-    release(spark)
-    found = components(links.unionByName(linked(docs, k, pairs, percent)[1])) if not pairs.isEmpty() else known
-    return rows, found
+    lists = scratch.cut(shared_lists(band_lists(docs, k, n_hashes, scratch), percent, parts))
+    scratch.drop(but=lists)
+    release(docs.sparkSession)
+    rows = rows_of(docs, k, lists, scratch)
+    return rows, linked_components(rows, lists, often, percent, parts, scratch)
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,11 +190,18 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: in
 
     Edge cases: as ngram_jaccard; a text without words is alone.
     """
-    return classes(*near_links(docs, k, percent, n_hashes, id_col, text_col)).select(F.col("doc_id").alias(id_col), F.col("component_id").alias("class_id"))
+    scratch = Scratch(docs.sparkSession)
+    rows, found = near_links(docs, k, percent, n_hashes, id_col, text_col, scratch)
+    names = scratch.cut(named(rows.docs, found))
+    return rows.docs.join(few(names, names.count()), "node", "left").select(F.col("doc_id").alias(id_col), F.coalesce("component_id", "doc_id").alias("class_id"))
 
 
 def fingerprints_and_classes(docs: DataFrame, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """fingerprints of every row of docs, each with near_copies' class_id; rows meet by their shingle sets, so repeated and null ids do no harm."""
-    of_sets = named(*near_links(docs, WORDS, percent, n_hashes, id_col, text_col)).withColumnsRenamed({"node": "__node", "component_id": "__class"})
-    rows = fingerprints(docs, n_hashes, id_col, text_col, node_col="__node")
-    return rows.join(of_sets, "__node", "left").withColumn("class_id", F.coalesce("__class", id_col)).drop("__node", "__class")
+    scratch = Scratch(docs.sparkSession)
+    rows, found = near_links(docs, WORDS, percent, n_hashes, id_col, text_col, scratch)
+    names = scratch.cut(named(rows.docs, found).select(F.col("node").alias("__node"), F.col("component_id").alias("__class")))
+    scratch.drop(but=names)
+    release(docs.sparkSession)
+    out = fingerprints(docs, n_hashes, id_col, text_col, node_col="__node")
+    return out.join(few(names, names.count()), "__node", "left").withColumn("class_id", F.coalesce("__class", id_col)).drop("__node", "__class")

@@ -1,38 +1,45 @@
 """Exact Jaccard join of documents on their word n-grams, as a blocked sparse matrix product.
 
-The matrix has a row for each distinct set of n-grams and a column for each n-gram. Columns are
-dealt into blocks by hash; within a block, the product of the matrix with its transpose gives the
-pairs of rows that share a column, and overlap counts accumulate only for pairs that can still reach
-the similarity by their sizes and by the place of the column in either row.
+The matrix has a row for each distinct set of n-grams and a column for each n-gram. The product of
+the matrix with its transpose holds the overlaps of all pairs of rows; only those blocks of it are
+computed whose rows can still reach the similarity, by their sizes and by the places of the columns
+that they share.
 
 1. Documents with equal sets are one row of the matrix from the start.
 2. How many rows hold a column is counted over all rows; the most frequent columns, up to a fixed
    number of them, form a bounded broadcast table. Every row orders its columns alike: rare ones
    first, then frequent ones, each by hash. Two rows of similarity t share a column within their
-   first n - ceil(t * n) + 1, so only those are dealt out.
+   first n - ceil(t * n) + 1, so only those are dealt out, as lists by column.
 3. A column's rows are first set against a few leaders among them (stars, linear in their number);
    overlap counts are summed by pair, and pairs that reach their bound are verified on whole
-   sets; rows that are left outside a long column's largest component get more leaders from it. Rows
-   that got into one component need no comparison among themselves; the overlap of every
-   other pair of a column's rows is then counted, and those that reach the bound are verified, too.
-   So no link between components is lost and a group of many near copies costs no more than its size.
-   Frequent columns are dealt into blocks of rows, each with stars of its own, whose components then
-   meet by one row each; for the rest, rows outside a column's largest component go to all its blocks.
+   sets; rows that are left outside a long column's largest component get more leaders from it.
+4. Rows in one component need no comparison among themselves. All others are put into blocks of
+   bounded size, by component where that is large, else by the longest column they share, and by
+   size; a row without such company is a block by itself. Each column names the pairs of blocks that
+   could hold a link, at the first column that they share as far as that can be told, and the
+   product of two such blocks is computed in one task. What grows with a group of near copies is
+   the number of its blocks, not that of its pairs, and a pair of blocks gives links between
+   components, not between rows.
+
+Frequent columns are dealt into blocks of rows, each with stars of its own, whose components then
+meet by one row each; after that, rows outside such a column's largest component go to all its parts.
 
 Hashes have 64 bits throughout (see wordhash). Similarity is compared in whole numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._shared import byte_slices, cut, evict, release, text_or_empty, texts
+from ._shared import Scratch, byte_slices, evict, release, text_or_empty, texts
 from .wordhash import Words, distinct, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -46,8 +53,15 @@ LEADERS, LONG_LIST = 8, 16
 MORE_LEADERS = 32
 #: A leader leads in some of the columns that it shares with a row; it is tried from this part of the bound on.
 SHARE = 2
-#: A row of the matrix with more partners than this is verified in a block of about so many.
-BLOCK = 32
+#: A block holds about so many rows of the matrix, or fewer with about so many columns.
+BLOCK, BLOCK_VALUES = 64, 1 << 16
+#: A block that meets more than so many others does so in several tasks.
+GUESTS = 512
+#: A table of at most so many rows of a few numbers is broadcast, a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
+#: Rows and pairs that a task holds at once.
+CHUNK, PAIRS_AT_ONCE = 1 << 20, 1 << 19
+NO_ID = -(1 << 63)
 #: Bits of the filter that says which rows' sets are wanted.
 FILTER_BITS = 1 << 25
 
@@ -84,13 +98,12 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, S
     evict()
     for batch in batches:
         own = texts(batch)
-        ids = batch.column(0)
         for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-            yield ids[a:b], Sets(own[a:b], k)
+            yield batch.slice(a, b - a), Sets(own[a:b], k)
 
 
 #: Columns are counted by the first KEY_BITS of their hashes: PART_BITS give the part of the range, 32 are stored.
-PART_BITS = 12
+PART_BITS = 16
 KEY_BITS = PART_BITS + 32
 
 
@@ -122,33 +135,39 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 seen.clear()
             held.append(s.values[np.repeat(np.array(new), s.counts)])
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > 4_000_000:
                 yield flush()
                 size = 0
         if size:
             yield flush()
 
+    def counts_of(i: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values = np.sort(np.concatenate(held))
+        at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        n = np.diff(at, append=len(values))
+        many = n > LEAST_FREQUENT
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(values[at[many]].astype(np.int64) + (i << 32)), pa.array(n[many].astype(np.int64))], ["h", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[np.ndarray]] = {}
+        block, held = -1, []  # one part of the range at a time
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks.setdefault(i, []).append(np.frombuffer(data, np.uint32))
-        while blocks:
-            i, held = blocks.popitem()
-            values = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            n = np.diff(at, append=len(values))
-            many = n > LEAST_FREQUENT
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(values[at[many]].astype(np.int64) + (i << 32)), pa.array(n[many].astype(np.int64))], ["h", "n"])
+                if i != block and held:
+                    yield from counts_of(block, held)
+                    held = []
+                block = i
+                held.append(np.frombuffer(data, np.uint32))
+        if held:
+            yield from counts_of(block, held)
 
     rows = docs.mapInArrow(pack, "block int, data binary")
-    return rows.repartition(parts, "block").mapInArrow(count, "h long, n long")
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(count, "h long, n long")
 
 
-def frequent_columns(docs: DataFrame, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_columns(docs: DataFrame, k: int, parts: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(keys, numbers of rows) of the most frequent columns, MOST_FREQUENT at most, by key. Others may be frequent where there are more; that costs time, not results."""
-    counts = cut(count_columns(docs, k, parts))
+    counts = scratch.cut(count_columns(docs, k, parts))
     by = {r.e: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()}  # a few dozen rows
     least, total = 64, 0
     for e in sorted(by, reverse=True):
@@ -158,6 +177,7 @@ def frequent_columns(docs: DataFrame, k: int, parts: int) -> tuple[np.ndarray, n
         least = e
     got = counts.where(F.floor(F.log2("n")) >= least).select("h", "n").toArrow()
     keys, n = (got.column(c).to_numpy() for c in ("h", "n"))
+    scratch.drop(counts)
     order = np.argsort(keys)
     return keys[order].view(np.uint64), n[order]
 
@@ -213,14 +233,14 @@ def block_key(column: str, block: Column) -> Column:
     return F.xxhash64(column, block.cast("int"))
 
 
+def by_column(postings: DataFrame, parts: int) -> DataFrame:
+    return postings.repartition(parts, "h").sortWithinPartitions("h")
+
+
 class Lists:
-    """The postings of a task, sorted by column, then by size and node; each node once a column. Null becomes 0."""
+    """Postings of whole columns, sorted by column, then by size and node; each node once a column. Null becomes 0."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
-        held = list(batches)
-        self.ok = any(x.num_rows for x in held)
-        if not self.ok:
-            return
+    def __init__(self, held: list[pa.RecordBatch]) -> None:
         all_rows = pa.Table.from_batches(held)
         columns = {c: (x.fill_null(0) if x.null_count else x).to_numpy() for c, x in zip(all_rows.column_names, all_rows.columns, strict=True)}
         order = np.lexsort((columns["node"], columns["size"], columns["h"]))
@@ -232,8 +252,26 @@ class Lists:
         self.begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         self.lens = np.diff(self.begins, append=len(h))
 
-    def batch(self, keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[keep], mask=(self.columns["blocks"][keep] < 2) if c == "col" else None) for c, x in self.columns.items()], list(self.columns))
+
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Lists]:
+    """A task's postings, which come by column (by_column), in chunks of whole columns; so memory follows CHUNK or the longest column."""
+    held: list[pa.RecordBatch] = []
+    rows, limit = 0, CHUNK
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            table = pa.Table.from_batches(held)
+            h = table.column("h").to_numpy()
+            end = len(h) - int(np.argmax(h[::-1] != h[-1])) if h[0] != h[-1] else 0
+            if end:
+                yield Lists(table.slice(0, end).to_batches())
+                held, rows = table.slice(end).to_batches(), len(h) - end
+            limit = max(CHUNK, 2 * rows)
+    if held:
+        yield Lists(held)
 
 
 def possible(size_a, place_a, size_b, place_b, percent: int):  # noqa: ANN001, ANN201
@@ -242,65 +280,72 @@ def possible(size_a, place_a, size_b, place_b, percent: int):  # noqa: ANN001, A
     return rest >= need(size_a, size_b, percent)
 
 
+LISTED = "h long, node long, size int, place int, col long, blocks int, len long"
+
+
 def shared_lists(postings: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Postings of columns that two rows or more have, a column's rows (or a block of them) together in a task."""
+    """Postings of columns that two rows or more have, with len, how many rows about the column has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = Lists(batches)
-        if lists.ok:
+        for lists in lists_of(batches):
+            own = lists.columns
             keep = np.repeat(lists.lens > 1, lists.lens)
             # A row is of use only if the next smaller or larger one could reach it by size alone.
-            size, h = lists.columns["size"].astype(np.int64), lists.columns["h"]
+            size, h = own["size"].astype(np.int64), own["h"]
             near = np.zeros(len(h), bool)
             ok = (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
             near[1:] |= ok
             near[:-1] |= ok
             keep &= near
-            keep |= lists.columns["blocks"] > 1  # others may be in another block
+            keep |= own["blocks"] > 1  # others may be in another block
             if keep.any():
-                yield lists.batch(keep)
+                own["len"] = np.repeat(lists.lens, lists.lens) * own["blocks"]
+                yield pa.RecordBatch.from_arrays([pa.array(own[c][keep], mask=(own["blocks"][keep] < 2) if c == "col" else None) for c in ("h", "node", "size", "place", "col", "blocks", "len")], ["h", "node", "size", "place", "col", "blocks", "len"])
 
-    return postings.repartition(parts, "h").mapInArrow(run, "h long, node long, size int, place int, col long, blocks int")
+    return by_column(postings, parts).mapInArrow(run, LISTED)
 
 
-PAIRS = "a long, b long, size_a long, size_b long, c long"
+PAIRS = "a long, b long, size_a long, size_b long, c long, led long"
 
 
 def pair_batch(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> pa.RecordBatch:
-    """(a, b, size_a, size_b, c) of pairs, a < b, each once with how often it stands there."""
+    """(a, b, size_a, size_b, c, led) of pairs, a < b, each once with how often it stands there, and how often a comes as x."""
     swap = x > y
     a, b, size_a, size_b = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, size_y, size_x), np.where(swap, size_x, size_y)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (a[at], b[at], size_a[order][at], size_b[order][at], np.diff(at, append=len(a)))], ["a", "b", "size_a", "size_b", "c"])
+    led = np.add.reduceat((~swap[order]).astype(np.int64), at)
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (a[at], b[at], size_a[order][at], size_b[order][at], np.diff(at, append=len(a)), led)], ["a", "b", "size_a", "size_b", "c", "led"])
 
 
 def overlapping(pairs: DataFrame, percent: int, share: int = 1) -> DataFrame:
-    """(a, b) of pairs whose shared columns, summed up, reach the bound by size.
+    """(home, guest) of pairs whose shared columns, summed up, reach the bound by size; home: the one that more often led.
 
     c counts the columns that both rows have in their beginnings. Say that the beginning of x ends
     first; every shared column up to there is counted, and x has size - prefix more. So of the
     overlap that the sizes need, c must be what the larger of the two rests leaves. share: where
     only some columns were counted for a pair, the bound is divided by it.
     """
-    total = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("c").alias("c"))
+    total = pairs.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("c").alias("c"), F.sum("led").alias("led"))
     both, large = F.expr(f"{percent} * (size_a + size_b)"), F.expr(f"{percent} * greatest(size_a, size_b)")
     up = lambda x, n: F.floor((x + n - 1) / n)  # noqa: E731  exact far beyond any text's size
-    return total.where(share * F.col("c") >= up(both, 100 + percent) - up(large, 100) + 1).select("a", "b")
+    return total.where(share * F.col("c") >= up(both, 100 + percent) - up(large, 100) + 1).select(*by_lead())
+
 
+def by_lead() -> list[Column]:
+    first = 2 * F.col("led") >= F.col("c")
+    return [F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest")]
 
-def star_pairs(lists: DataFrame, percent: int, again: int = 0) -> DataFrame:
+
+def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0) -> DataFrame:
     """PAIRS of each column's rows with a few leaders that they could be similar to, chosen alike in all columns: the rows whose names come first in a few random orders.
 
     again: for a later round, the number of new leaders of each long list, for lists with a column
     `component`; they come from the list's largest component and are set against rows of others.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = Lists(batches)
-        if not lists.ok:
-            return
+    def pairs_of(lists: Lists) -> Iterator[pa.RecordBatch]:
         node, size, place = (lists.columns[c].astype(np.int64) for c in ("node", "size", "place"))
         part = lists.columns["component"] if again else None
         x, y = [], []
@@ -332,45 +377,11 @@ def star_pairs(lists: DataFrame, percent: int, again: int = 0) -> DataFrame:
             y = np.concatenate(y)
             yield pair_batch(node[x], node[y], size[x], size[y])
 
-    return lists.mapInArrow(run, PAIRS)
-
-
-def cross_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
-    """PAIRS of all rows of a column that are in different components and close enough in size. lists: as replicated() gives them."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = Lists(batches)
-        if not lists.ok:
-            return
-        node, size, part = (lists.columns[c].astype(np.int64) for c in ("node", "size", "component"))
-        minor, home = lists.columns["minor"], lists.columns["home"]
-        x: list[np.ndarray] = []
-        y: list[np.ndarray] = []
-        count = 0
-        for begin, n in zip(lists.begins.tolist(), lists.lens.tolist(), strict=True):
-            end = begin + n
-            if (part[begin:end] == part[begin]).all():
-                continue
-            # By size, the rows that one can be similar to end where the next larger are too large.
-            stop = begin + np.searchsorted(size[begin:end], size[begin:end] * 100 // percent, "right")
-            for i in range(begin, end - 1):
-                rest = np.arange(i + 1, stop[i - begin])
-                rest = rest[part[rest] != part[i]]
-                if minor[i] and len(rest):  # two that are in every block count where the smaller one is at home
-                    rest = rest[~minor[rest] | np.where(node[rest] < node[i], home[rest], home[i])]
-                if len(rest):
-                    x.append(np.full(len(rest), i))
-                    y.append(rest)
-                    count += len(rest)
-                if count > 2_000_000:
-                    i_x, i_y = np.concatenate(x), np.concatenate(y)
-                    yield pair_batch(node[i_x], node[i_y], size[i_x], size[i_y])
-                    x, y, count = [], [], 0
-        if x:
-            i_x, i_y = np.concatenate(x), np.concatenate(y)
-            yield pair_batch(node[i_x], node[i_y], size[i_x], size[i_y])
-
-    return lists.repartition(parts, "h").mapInArrow(run, PAIRS)
+        for some in lists_of(batches):
+            yield from pairs_of(some)
+
+    return by_column(lists, parts).mapInArrow(run, PAIRS)
 
 
 def leaders(lists: DataFrame) -> DataFrame:
@@ -379,16 +390,82 @@ def leaders(lists: DataFrame) -> DataFrame:
     return one.select(F.col("col").alias("h"), "x.node", "x.size", "x.place")
 
 
-def replicated(lists: DataFrame) -> DataFrame:
-    """lists (with `component`) plus minor and home: in a column of several blocks, rows outside its largest component go to every block."""
-    whole = lists.where("col is null").select("h", "node", "size", "place", "component", F.lit(False).alias("minor"), F.lit(True).alias("home"))
-    split = lists.where("col is not null")
-    sizes = split.groupBy("col", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("col").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("col", F.col("m.component").alias("major"))
-    split = split.join(major, "col").withColumn("minor", F.col("component") != F.col("major")).withColumn("own", F.pmod("node", "blocks"))
-    to = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.col("own").cast("int")))
+def units(lists: DataFrame) -> DataFrame:
+    """(node, component, block, n): the block of each row of the matrix, and how many rows about it has. lists has a column `component`."""
+    own = lists.groupBy("node").agg(F.max("component").alias("component"), F.max("size").alias("size"), F.max(F.struct("len", F.coalesce("col", "h").alias("h"))).alias("long"))
+    large = own.groupBy("component").agg(F.count("*").alias("of")).where(F.col("of") > LONG_LIST)
+    key = F.when(F.col("of").isNotNull(), F.xxhash64("component", F.lit(0))).when(F.col("long.len") > LONG_LIST, F.xxhash64("long.h", F.lit(1)))
+    own = own.join(large, "component", "left").select("node", "component", "size", key.alias("key"), F.floor(F.log("size") / math.log(1.25)).cast("int").alias("bucket"))
+    some = own.where("key is not null")
+    k = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_VALUES))
+    total = some.groupBy("key", "bucket").agg(F.count("*").alias("of"), k.alias("k"))
+    some = some.join(total, ["key", "bucket"]).select("node", "component", F.xxhash64("key", "bucket", F.pmod(F.xxhash64("node"), "k")).alias("block"), F.ceil(F.col("of") / F.col("k")).cast("int").alias("n"))
+    return some.unionByName(own.where("key is null").select("node", "component", F.col("node").alias("block"), F.lit(1).alias("n")))
+
+
+def dealt(lists: DataFrame, unit: DataFrame) -> DataFrame:
+    """lists with their units, prev (the column before in the row, or null), minor and home.
+
+    In a column of several parts, rows outside its largest component are minor and go to every part;
+    home: the part where two units of such rows meet.
+    """
+    before = F.lag(F.coalesce("col", "h")).over(Window.partitionBy("node").orderBy("place", F.coalesce("col", "h")))
+    rows = lists.withColumn("prev", before).join(unit, "node")
+    columns = ["node", "size", "place", "prev", "component", "block", "n"]
+    whole = rows.where("col is null").select("h", *columns, F.lit(False).alias("minor"), F.lit(True).alias("home"))
+    split = rows.where("col is not null")
+    sizes = split.groupBy("col", "component").agg(F.count("*").alias("of"))
+    major = sizes.groupBy("col").agg(F.max(F.struct("of", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("col", F.col("m.component").alias("major"))
+    split = split.join(major, "col").withColumn("minor", F.col("component") != F.col("major"))
+    to = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod("node", "blocks").cast("int")))
     split = split.withColumn("to", F.explode(to))
-    return whole.unionByName(split.select(block_key("col", F.col("to")).alias("h"), "node", "size", "place", "component", "minor", (F.col("to") == F.col("own")).alias("home")))
+    return whole.unionByName(split.select(block_key("col", F.col("to")).alias("h"), *columns, "minor", (F.col("to") == F.pmod("block", "blocks")).alias("home")))
+
+
+def block_pairs(lists: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(home, guest) of blocks that rows of different components in one column may link; home: the larger one. lists: as dealt() gives them.
+
+    Bounds are taken over a block's rows in the column, so none is missed. Where all of both blocks'
+    rows also share the column before, they met there and are left out.
+    """
+
+    def pairs_of(lists: Lists) -> Iterator[pa.RecordBatch]:
+        own = lists.columns
+        order = np.lexsort((own["block"], own["h"]))
+        h, block = own["h"][order], own["block"][order]
+        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])]))
+        h, block, n = h[at], block[at], own["n"][order][at]
+        size, place = (own[c][order].astype(np.int64) for c in ("size", "place"))
+        least, most, rest = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(size - place, at)
+        part, prev = (own[c][order] for c in ("component", "prev"))
+        part, other = np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
+        prev, prev_other = np.minimum.reduceat(prev, at), np.maximum.reduceat(prev, at)
+        minor, home = np.logical_and.reduceat(own["minor"][order], at), own["home"][order][at]
+        ends = np.searchsorted(h, h, "right")
+        many = ends - np.arange(len(h))  # partners of each unit, itself included
+        steps = np.cumsum(many)
+        a = 0
+        while a < len(h):
+            b = max(a + 1, int(np.searchsorted(steps, (steps[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
+            x = np.repeat(np.arange(a, b), many[a:b])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b]) + x
+            a = b
+            ok = (part[x] != part[y]) | (part[x] != other[x]) | (part[y] != other[y])
+            x, y = x[ok], y[ok]
+            ok = (100 * most[x] >= percent * least[y]) & (100 * most[y] >= percent * least[x]) & (np.minimum(rest[x], rest[y]) >= need(least[x], least[y], percent))
+            ok &= (prev[x] == 0) | (prev[x] != prev_other[x]) | (prev[x] != prev[y]) | (prev[x] != prev_other[y])
+            ok &= ~(minor[x] & minor[y]) | np.where(block[x] <= block[y], home[x], home[y])
+            x, y = x[ok], y[ok]
+            if len(x):
+                first = (n[x] > n[y]) | ((n[x] == n[y]) & (block[x] <= block[y]))
+                pairs = np.unique(np.stack([np.where(first, block[x], block[y]), np.where(first, block[y], block[x])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["home", "guest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in lists_of(batches):
+            yield from pairs_of(some)
+
+    return by_column(lists, parts).mapInArrow(run, "home long, guest long").distinct()
 
 
 def wanted_filter(nodes: DataFrame) -> np.ndarray:
@@ -419,12 +496,12 @@ def wanted_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
-    """(doc_id, size, node, data) of every document; data: its set, where the filter wants it (once for equal sets in a task)."""
+    """(doc_id, key, size, node, data) of every document; data: its set, where the filter wants it (once for equal sets in a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         seen: set[int] = set()
-        for ids, s in sets_of(batches, k):
+        for rows, s in sets_of(batches, k):
             at = mix(s.names.view(np.uint64)) % np.uint64(FILTER_BITS)
             hit = (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
             data: list[bytes | None] = []
@@ -434,81 +511,162 @@ def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
                     seen.add(name)
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s.counts.astype(np.int64)), pa.array([x if n else None for x, n in zip(s.names.tolist(), s.counts.tolist(), strict=True)], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "size", "node", "data"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(s.counts.astype(np.int64)), pa.array([x if n else None for x, n in zip(s.names.tolist(), s.counts.tolist(), strict=True)], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "key", "size", "node", "data"])
+
+    return docs.mapInArrow(run, "doc_id long, key long, size long, node long, data binary")
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked to be broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+class Block:
+    """Rows of the matrix, by column."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]) -> None:
+        sets = [np.frombuffer(data, np.uint64) for _, data in rows]
+        self.component = np.array([c for c, _ in rows], np.int64)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.columns, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)[np.argsort(at, kind="stable")]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.columns)))])
+
+    def links(self, component: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(component, component) of similar rows, each two once a step."""
+        k = len(self.sizes)
+        step = max(1, min(len(sets), (CHUNK // k) // max(1, int(max(len(x) for x in sets)))))
+        for a in range(0, len(sets), step):
+            some = sets[a : a + step]
+            sizes = np.array([len(x) for x in some], np.int64)
+            values, guest = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
+            at = np.minimum(np.searchsorted(self.columns, values), len(self.columns) - 1)
+            ok = self.columns[at] == values
+            at, guest = at[ok], guest[ok]
+            n = self.starts[at + 1] - self.starts[at]
+            row = self.row[np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)]
+            both = np.bincount(np.repeat(guest, n) * k + row, minlength=len(some) * k).reshape(len(some), k)
+            i, j = np.nonzero((100 + percent) * both >= percent * (sizes[:, None] + self.sizes))
+            x, y = component[a : a + step][i], self.component[j]
+            if (differ := x != y).any():
+                got = np.unique(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], 1), axis=0)
+                yield got[:, 0], got[:, 1]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch, members: DataFrame | None = None) -> DataFrame:
+    """(a, b): components that similar rows of two blocks link. pairs: (home, guest); sets: (node, data); members: (block, node, component), or None where blocks are single rows.
+
+    A home's rows come once to a task, and its guests stream past them, so memory follows a block,
+    not the number of pairs; a home with many guests is dealt over several tasks.
+    """
+    pairs = scratch.cut(pairs)
+    n = pairs.count()
+    at = ["home", "salt"]
+    homes = pairs.groupBy("home").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("k"))
+    salted = pairs.join(homes, "home").select("home", "guest", F.pmod(F.xxhash64("guest"), "k").cast("int").alias("salt"))
+    homes = homes.select("home", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    if members is None:
+        own = sets.select(F.col("node").alias("block"), F.col("node").alias("component"), "data")
+    else:
+        used = pairs.select(F.col("home").alias("block")).union(pairs.select("guest")).distinct()
+        some = scratch.cut(members.join(few(used, 2 * n), "block", "left_semi"))
+        own = scratch.cut(sets.join(few(some, some.count()), "node").select("block", "component", "data"))
+    guests = own.join(few(salted, n), own.block == salted.guest).select(*at, F.lit(1).alias("kind"), "component", "data")
+    homes = own.join(few(homes, n), own.block == homes.home).select(*at, F.lit(0).alias("kind"), "component", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, block = None, [], None
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            begins = np.flatnonzero(new).tolist()
+            for a, b in zip(begins, [*begins[1:], batch.num_rows]):
+                own, data = batch.column(3)[a:b].to_numpy(), batch.column(4)[a:b].to_pylist()
+                if (keys[0][a], keys[1][a]) != now:
+                    now, rows, block = (keys[0][a], keys[1][a]), [], None
+                if not keys[2][a]:
+                    rows += zip(own.tolist(), data, strict=True)
+                    continue
+                block = block or Block(rows)
+                for x, y in byte_slices([len(d) for d in data], SLICE_BYTES):
+                    for got in block.links(own[x:y], [np.frombuffer(d, np.uint64) for d in data[x:y]], percent):
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, node long, data binary")
+    both = homes.unionByName(guests).repartition(parts, *at).sortWithinPartitions(*at, "kind")
+    return scratch.cut(both.mapInArrow(run, "a long, b long").distinct())
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    small, large = (x, y) if len(x) < len(y) else (y, x)
-    both = int(is_in(small, large).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+@dataclass
+class Rows:
+    """Of all documents: (doc_id, key, size, node), and the sets (node, data) of those that stand in lists."""
 
+    docs: DataFrame
+    sets: DataFrame
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets (node, data) are similar enough.
 
-    A row with more than BLOCK partners is a hub. Hubs that share their first partner are put into
-    blocks of at most about BLOCK, and each partner meets a whole block at once: rows grow with
-    partners and blocks, not with pairs.
-    """
+def rows_of(docs: DataFrame, k: int, lists: DataFrame, scratch: Scratch) -> Rows:
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(lists.select("node")))
+    rows = scratch.cut(sets_wanted(docs, k, wanted))
+    return Rows(rows.select("doc_id", "key", "size", "node"), rows.where("data is not null").select("node", "data"))
 
-    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                node, data, wanted, names, blobs = (batch.column(c)[i].as_py() for c in range(5))
-                own, wanted = np.frombuffer(data, np.uint64), set(wanted)
-                got = [x for x, blob in zip(names, blobs, strict=True) if x in wanted and similar(own, np.frombuffer(blob, np.uint64), percent)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([min(node, x) for x in got], pa.int64()), pa.array([max(node, x) for x in got], pa.int64())], ["a", "b"])
-
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first")).where(F.col("n") > BLOCK)
-    sizes = hubs.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    hubs = hubs.join(sizes, "first").select(F.col("a").alias("hub"), "n", F.xxhash64("first", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("block"))
-    hubs = cut(hubs)
-    if hubs.isEmpty():
-        plain, blocked = pairs, None
-    else:
-        # Of two hubs, the one with more partners stands in its block.
-        side = pairs.join(hubs.select(F.col("hub").alias("a"), F.col("n").alias("n_a"), F.col("block").alias("block_a")), "a", "left").join(hubs.select(F.col("hub").alias("b"), F.col("n").alias("n_b"), F.col("block").alias("block_b")), "b", "left")
-        side = cut(side.withColumn("first", F.coalesce(F.col("n_a"), F.lit(0)) >= F.coalesce(F.col("n_b"), F.lit(0))))
-        plain = side.where("block_a is null and block_b is null").select("a", "b")
-        meet = side.where("block_a is not null or block_b is not null").select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("first"), F.col("block_a")).otherwise(F.col("block_b")).alias("block"))
-        meet = meet.groupBy("block", "node").agg(F.collect_set("hub").alias("wanted"))
-        blocks = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").groupBy("block").agg(F.collect_list(F.struct("hub", "data")).alias("x")).select("block", F.col("x.hub").alias("names"), F.col("x.data").alias("blobs"))
-        blocked = meet.join(sets, "node").join(blocks, "block").select("node", "data", "wanted", "names", "blobs").mapInArrow(by_block, "a long, b long")
-    one, two = (sets.select(F.col("node").alias(c), F.col("data").alias(f"data_{c}")) for c in ("a", "b"))
-    out = plain.join(one, "a").join(two, "b").select("a", "b", "data_a", "data_b").mapInArrow(one_by_one, "a long, b long")
-    return out if blocked is None else out.unionByName(blocked)
-
-
-def linked(docs: DataFrame, k: int, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sets_wanted for all documents, those of pairs that link); only sets of rows in pairs leave their tasks."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(wanted_filter(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
-    rows = cut(sets_wanted(docs, k, wanted))
-    sets = rows.where("data is not null").groupBy("node").agg(F.first("data").alias("data"))
-    out = cut(verified(pairs, sets, percent))
+def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame], DataFrame], percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of all nodes with links. lists: as shared_lists() gives them; stars: (home, guest) of PAIRS that are worth a comparison."""
+    spark = lists.sparkSession
+    links = verified(stars(star_pairs(lists, percent, parts)), rows.sets, percent, parts, scratch)
     release(spark)
-    return rows, out
+    known = components(links)
+
+    def labelled() -> DataFrame:
+        return lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def more(pairs: DataFrame, members: DataFrame | None = None) -> None:
+        nonlocal links, known
+        got = verified(pairs, rows.sets, percent, parts, scratch, members)
+        release(spark)
+        if not got.isEmpty():
+            links = links.unionByName(got)
+            known = components(links)
+
+    more(stars(star_pairs(labelled(), percent, parts, MORE_LEADERS)))
+    if not lists.where("col is not null").isEmpty():
+        more(stars(star_pairs(leaders(labelled()), percent, parts)))
+    unit = scratch.cut(units(labelled()))
+    more(block_pairs(dealt(lists, unit), percent, parts), unit.select("block", "node", "component"))
+    return known
 
 
 def named(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, component_id) of each node of rows (doc_id, size, node); found: (node, component) of nodes with links."""
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    groups = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    """(node, component, component_id) of each node of rows (doc_id, size, node) with several documents or with links; found: (node, component) of nodes with links."""
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    groups = least.join(found, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    return groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key); key: a hash of the text."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
-def classes(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, size, component_id) of rows. A row without a node is alone."""
-    return rows.join(named(rows, found), "node", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+def ngram_rows(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, key, size, node, component, component_id) of every row of docs, which is as keyed() gives it.
+
+    node: the name of its set, null without words; component: that of its component, null where it is alone.
+    """
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    frequent = spark.sparkContext.broadcast(frequent_columns(docs, k, parts, scratch))
+    release(spark)
+    lists = scratch.cut(shared_lists(postings(docs, k, percent, frequent), percent, parts))
+    release(spark)
+    rows = rows_of(docs, k, lists, scratch)
+    found = linked_components(rows, lists, lambda pairs: overlapping(pairs, percent, SHARE), percent, parts, scratch)
+    names = scratch.cut(named(rows.docs, found))
+    out = scratch.cut(rows.docs.join(few(names, names.count()), "node", "left").select("doc_id", "key", "size", "node", "component", F.coalesce("component_id", "doc_id").alias("component_id")))
+    scratch.drop(but=out)
+    return out
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -519,31 +677,32 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     component_id: the smallest id that links reach, its own included.
 
     Edge cases: a null text and one without words have an empty set and link with nothing; repeated
-    rows are rows with equal sets; a null id is kept, in a component by its other rows; an empty
-    table gives an empty result; further columns are left out.
+    rows are rows with equal sets; a null id is kept, in a component by its other rows; a very long
+    text is a row of its size; an empty table gives an empty result; further columns are left out.
     """
-    spark = docs.sparkSession
-    context, parts = spark.sparkContext, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    frequent = context.broadcast(frequent_columns(docs, k, parts))
-    release(spark)
-    lists = cut(shared_lists(postings(docs, k, percent, frequent), percent, parts))
-    release(spark)
-    rows, links = linked(docs, k, cut(overlapping(star_pairs(lists, percent), percent, SHARE)), percent)
-    known = components(links)
+    rows = ngram_rows(keyed(docs, id_col, text_col), k, percent, Scratch(docs.sparkSession))
+    return rows.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
-    def labelled() -> DataFrame:
-        return lists.join(known, "node", "left").select("h", "node", "size", "place", "col", "blocks", F.coalesce("component", "node").alias("component"))
 
-    rest = cut(overlapping(star_pairs(labelled().repartition(parts, "h"), percent, MORE_LEADERS), percent, SHARE))
-    if not rest.isEmpty():
-        links = links.unionByName(linked(docs, k, rest, percent)[1])
-        known = components(links)
-    if not lists.where("col is not null").isEmpty():
-        meeting = cut(overlapping(star_pairs(leaders(labelled()).repartition(parts, "h"), percent), percent, SHARE))
-        links = links.unionByName(linked(docs, k, meeting, percent)[1])
-        known = components(links)
-    pairs = cut(overlapping(cross_pairs(replicated(labelled()), percent, parts), percent))
-    release(spark)
-    found = components(links.unionByName(linked(docs, k, pairs, percent)[1])) if not pairs.isEmpty() else known
-    return classes(rows, found).select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each component of ngram_jaccard one row stays, that of the smallest id (a null id first), of equal ids that of the smallest hash of its text.
+
+    Edge cases: rows are told apart by id and text, so rows of one id with different texts stand for
+    themselves; of rows that are equal in both, one stays; texts without words all stay; all columns
+    are kept, also those with names used here.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = ngram_rows(keyed(docs, id_col, text_col), k, percent, scratch).where("component is not null")
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")
+    rows = rows.select(place.alias("place"), "component")
+    chosen = rows.groupBy("component").agg(F.min("place").alias("chosen"))
+    rows = rows.groupBy("component", "place").agg(F.count("*").alias("n")).join(chosen, "component")
+    # Nothing to do for a chosen row that stands once.
+    rows = scratch.cut(rows.select(F.col("place.id").alias("__id"), F.col("place.key").alias("__key"), (F.col("place") == F.col("chosen")).alias("__stays"), "n").where("not __stays or n > 1").drop("n"))
+    columns = docs.columns
+    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(text_or_empty(text_col))})
+    marked = marked.join(few(rows, rows.count()), ["__id", "__key"], "left")
+    once = marked.where("__stays is null")
+    if not rows.where("__stays").isEmpty():
+        once = once.unionByName(marked.where("__stays").dropDuplicates(["__id", "__key"]))
+    return once.select(columns)

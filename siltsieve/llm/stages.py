@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from .ngram_jaccard import ngram_jaccard
+from .ngram_jaccard import keep_one
 from .packing import pack
 from .quality_rules import keep_good
 from .substring_dedup import substring_dedup
@@ -30,9 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows of equal ids are one document."""
-    gone = ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one document stays, that of the smallest id; rows are told apart by id and text (see keep_one)."""
+    return keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from siltsieve.llm import ngram_jaccard as module
-from siltsieve.llm.ngram_jaccard import ngram_jaccard
+from siltsieve.llm.ngram_jaccard import keep_one, ngram_jaccard
 from siltsieve.operators.graph import components
 
 
@@ -62,6 +62,11 @@ def test_against_brute_force(spark, monkeypatch, seed):
     if seed > 2:
         monkeypatch.setattr(module, "BLOCK_ROWS", 3)
         monkeypatch.setattr(module, "BLOCK", 2)
+        monkeypatch.setattr(module, "GUESTS", 3)
+        monkeypatch.setattr(module, "CHUNK", 50)
+        monkeypatch.setattr(module, "PAIRS_AT_ONCE", 7)
+    if seed > 3:
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(module, "LONG_LIST", 3)
         monkeypatch.setattr(module, "LEADERS", 1)
     rows = near_copies(seed)
@@ -87,3 +92,15 @@ def test_empty_ties_and_clashes(spark):
     assert ngram_jaccard(spark.createDataFrame([], "doc_id long, text string, h int")).count() == 0
     tied = spark.createDataFrame([(4, "a b", 1), (4, "a b", 1), (2, "A  b", 2), (3, "x", 3)], "doc_id long, text string, node int")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard(tied).collect()) == [(2, 1, 2), (3, 1, 3), (4, 1, 2), (4, 1, 2)]
+
+
+def test_one_of_each_group_stays(spark):
+    """Rows of equal ids and different texts stand for themselves; equal rows are one; nothing is lost."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (7, b, "s"), (7, b, "s"), (None, "alone here", "t"), (9, None, "u"), (9, None, "u"), (8, "", "v"), (3, "same words", "w"), (3, "same words", "w")]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string"))
+    assert got.columns == ["doc_id", "text", "key"]
+    assert sorted((r.doc_id or 0, r.text or "", r.key) for r in got.collect()) == sorted([(1, a, "p"), (5, b, "r"), (0, "alone here", "t"), (9, "", "u"), (9, "", "u"), (8, "", "v"), (3, "same words", "w")])
+    nulls = spark.createDataFrame([(None, a), (None, a + " more"), (4, a)], "doc_id long, text string")
+    assert [r.doc_id for r in keep_one(nulls).collect()] == [None]
+    assert keep_one(nulls.limit(0)).count() == 0
