@@ -1,12 +1,15 @@
 """Toxicity by the nearest labelled examples, in exact TF-IDF cosine, with votes weighted by similarity.
 
-1. A bounded sample of labelled rows gives the examples. Terms are words and their first 3 to 5
-   bytes. Every term of an example is indexed, and every term of a text counts in its norm; how much
-   the labels lean on a term is a factor of its weight, never 0.
-2. Document frequencies of all terms are counted over all documents.
-3. The examples' TF-IDF vectors form an inverted index, by term. Terms of many examples have full
-   rows, so that a batch of texts is one matrix product; the others have lists. All examples that
-   share a term with a text are compared, so the neighbours are exact.
+1. A bounded sample of labelled rows gives the examples. Terms are words and their first 4 bytes.
+   Every term of an example is indexed, and every term of a text counts in its norm; how much the
+   labels lean on a term is a factor of its weight, never 0. A term that no example has counts as one
+   that is in a document for each sample of this size.
+2. Document frequencies of all indexed terms are counted over all documents.
+3. The examples' TF-IDF vectors form an inverted index, by term, in blocks of examples that are alike;
+   for each term and block the largest weight is kept. These give a bound of a text's similarity to
+   any example of a block. The blocks of the highest bounds are compared first, then all whose bound
+   reaches the k-th best similarity found there, so the neighbours are exact. Terms of many examples
+   have full rows, so that a block meets many texts in one matrix product; the others have lists.
 4. The k nearest vote with the square of their similarity. Votes turn into probabilities by a
    logistic curve that is fitted to the examples' own votes, each without itself.
 
@@ -29,33 +32,30 @@ from .wordhash import Words
 
 SLICE_BYTES = 1 << 20
 #: Bound of the sample of labelled rows.
-MOST_EXAMPLES = 8192
-#: Document frequencies are kept for all terms of examples and, where there are more than MOST_COUNTED others, for the most frequent of these; the rest count as rare.
-MOST_COUNTED, HELD_TERMS = 1 << 22, 1 << 21
+MOST_EXAMPLES = 4096
+#: Examples of a block; blocks that every text is compared with.
+BLOCK, FIRST = 64, 2
+#: Document counts travel in parts of so many terms.
+PART = 4096
 #: A term's weight is multiplied by LEAST_FACTOR + r / (r + HALF ** 2), r the square of its correlation with the label.
 LEAST_FACTOR, HALF = 0.05, 0.117
 #: Terms of at least one in FULL examples have full rows; so many texts are compared at once.
 FULL, TEXTS = 16, 128
 NEIGHBOURS, SHOWN, THRESHOLD = 16, 3, 0.7
-PREFIXES = (3, 4, 5)
+PREFIXES = (4,)
 BETWEEN = np.ones(256, bool)
 BETWEEN[0x80:] = False
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
-def terms_of(own: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words and for each kind of prefix: (hashes of all, number for each text)."""
-    w = Words(own, lower=True, between=BETWEEN, prefixes=PREFIXES)
-    return [(h, w.counts) for h in (w.hashes, *w.prefixes)]
-
-
 def distinct_terms(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, how often) of every term of each text, by text and hash."""
-    parts = terms_of(own)
-    seen, term = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    text = np.concatenate([np.repeat(np.arange(len(own)), n) for _, n in parts])
-    key, often = np.unique(text * len(seen) + term, return_counts=True)
-    size = max(len(seen), 1)
+    w = Words(own, lower=True, between=BETWEEN, prefixes=PREFIXES)
+    words, first, word = np.unique(w.hashes, return_index=True, return_inverse=True)
+    kinds = [words, *(h[first] for h in w.prefixes)]
+    seen, term = np.unique(np.concatenate(kinds), return_inverse=True)
+    text, size = np.repeat(np.arange(len(own)), w.counts), max(len(seen), 1)
+    key, often = np.unique(np.concatenate([text * size + t[word] for t in term.reshape(len(kinds), -1)]), return_counts=True)
     return key // size, seen[key % size], often
 
 
@@ -116,14 +116,41 @@ class Postings:
         return self[np.arange(self.shape[0])].astype(dtype or np.float32)
 
 
+def ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class Blocks:
+    """Block maxima of postings. Of terms with full rows (place: their number or -1): full[block, row, example] and top[row, block]; of others: entries of one term and block, with their postings and the largest weight."""
+
+    def __init__(self, p: Postings) -> None:
+        terms, examples = p.shape
+        self.n = max(1, -(-examples // BLOCK))
+        lens = np.diff(p.starts)
+        long = np.flatnonzero(lens * FULL >= max(examples, 1))
+        self.place = np.full(terms, -1)
+        self.place[long] = np.arange(len(long))
+        full = np.zeros((len(long), self.n * BLOCK), np.float32)
+        full[:, :examples] = p[long]
+        self.full = np.ascontiguousarray(full.reshape(len(long), self.n, BLOCK).transpose(1, 0, 2))
+        self.top = self.full.max(axis=2).T
+        term, block = np.repeat(np.arange(terms), lens), p.example.astype(np.int64) // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.begin = np.flatnonzero(new)
+        self.len = np.diff(self.begin, append=len(term))
+        self.block = block[self.begin]
+        self.most = np.maximum.reduceat(p.weight, self.begin) if len(term) else np.zeros(0, np.float32)
+        self.starts = np.searchsorted(term[self.begin], np.arange(terms + 1))
+
+
 @dataclass
 class Index:
-    """Examples by terms. known, gain, local: hash of a counted term, its weight without the text's part, its number among the examples' terms (or -1); idf: the gain of these."""
+    """Examples by terms. known: hashes of terms, ascending; idf: their weights without the text's part."""
 
     known: np.ndarray
-    gain: np.ndarray
-    local: np.ndarray
-    rare: float  # the gain of a term that is not known
+    rare: float  # the weight of a term that is not known
     idf: np.ndarray
     weights: Postings
     toxic: np.ndarray
@@ -132,19 +159,16 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
     shared: Broadcast | None = field(default=None, repr=False)
-    _full: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    _blocks: Blocks | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_full": None, "shared": None}
+        return self.__dict__ | {"_blocks": None, "shared": None}
 
-    def full(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each term among the full rows, or -1; full rows)."""
-        if self._full is None:
-            long = np.flatnonzero(np.diff(self.weights.starts) * FULL >= max(self.weights.shape[1], 1))
-            place = np.full(self.weights.shape[0], -1)
-            place[long] = np.arange(len(long))
-            self._full = place, self.weights[long]
-        return self._full
+    @property
+    def blocks(self) -> Blocks:
+        if self._blocks is None:
+            self._blocks = Blocks(self.weights)
+        return self._blocks
 
     def vector(self, term: np.ndarray, often: np.ndarray) -> np.ndarray:
         w = (1 + np.log(often)) * self.idf[term]
@@ -154,28 +178,9 @@ class Index:
         """(text, term, weight) of the examples' terms in the texts; norms are over all terms of a text."""
         text, h, often = distinct_terms(own)
         at = find(self.known, h)
-        gain = np.full(len(h), self.rare)
-        gain[at >= 0] = self.gain[at[at >= 0]]
-        w = (1 + np.log(often)) * gain
+        w = (1 + np.log(often)) * np.where(at >= 0, self.idf[at] if len(self.idf) else 0.0, self.rare)
         w /= np.sqrt(np.bincount(text, w * w, len(own)))[text]
-        at = np.flatnonzero(at >= 0)[(term := self.local[at[at >= 0]]) >= 0]
-        return text[at], term[term >= 0], w[at].astype(np.float32)
-
-    def similarities(self, text: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        """texts x examples."""
-        place, full = self.full()
-        at = place[term]
-        long = at >= 0
-        q = np.zeros((n, len(full)), np.float32)
-        q[text[long], at[long]] = w[long]
-        out = q @ full
-        text, term, w = text[~long], term[~long], w[~long]
-        edges = np.searchsorted(text, np.arange(n + 1)).tolist()
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            if b > a:
-                at, often = self.weights.lists(term[a:b])
-                out[i] += np.bincount(self.weights.example[at], np.repeat(w[a:b], often) * self.weights.weight[at], out.shape[1])
-        return out
+        return text[at >= 0], at[at >= 0], w[at >= 0].astype(np.float32)
 
     @staticmethod
     def best(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,21 +189,57 @@ class Index:
         order = np.lexsort((at, -sim[at]))[:k]
         return at[order], sim[at[order]]
 
+    def search(self, text: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int, own: np.ndarray | None = None) -> np.ndarray:
+        """texts x examples: similarities, exact where they may be among a text's k best. own: an example for each text, which is left out, or -1."""
+        x = self.blocks
+        at = x.place[term]
+        long = at >= 0
+        q = np.zeros((n, x.full.shape[1]), np.float32)
+        q[text[long], at[long]] = w[long]
+        text, term, w = text[~long], term[~long], w[~long]
+        many = x.starts[term + 1] - x.starts[term]
+        entry = ranges(x.starts[term], many)
+        text, w, block = np.repeat(text, many), np.repeat(w, many), x.block[entry]
+        # Sums of single precision are off by less than that.
+        bound = (q @ x.top + np.bincount(text * x.n + block, w * x.most[entry], n * x.n).reshape(n, x.n)) * (1 + 1e-4)
+        sims = np.zeros((n, x.n, BLOCK), np.float32)
+        mine = None if own is None else (np.flatnonzero(own >= 0), own[own >= 0] // BLOCK, own[own >= 0] % BLOCK)
+
+        def compare(which: np.ndarray) -> None:
+            for b in np.flatnonzero(which.any(axis=0)).tolist():
+                rows = np.flatnonzero(which[:, b])
+                sims[rows, b] = q[rows] @ x.full[b]
+            some = which[text, block]
+            often = x.len[entry[some]]
+            at = ranges(x.begin[entry[some]], often)
+            np.add(sims, np.bincount(np.repeat(text[some] * (x.n * BLOCK), often) + self.weights.example[at], np.repeat(w[some], often) * self.weights.weight[at], sims.size).reshape(sims.shape), out=sims, casting="same_kind")
+            if mine:
+                sims[mine] = 0
+
+        first = np.zeros((n, x.n), bool)
+        np.put_along_axis(first, np.argpartition(bound, -min(FIRST, x.n), axis=1)[:, -min(FIRST, x.n) :], True, axis=1)
+        first &= bound > 0
+        compare(first)
+        flat = sims.reshape(n, -1)
+        least = np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(n, np.float32)
+        compare((bound > 0) & (bound >= least[:, None]) & ~first)
+        return flat
+
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.best(self.similarities(np.zeros(len(term), np.int64), term, w, 1)[0], k)
+        return self.best(self.search(np.zeros(len(term), np.int64), term, w, 1, k)[0], k)
 
     def neighbours(self, own: list[bytes], k: int, ids: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(text, examples, similarities) of each text with a term. ids: of the example that each text is, which is left out."""
         text, term, w = self.vectors(own)
+        place = {x: i for i, x in enumerate(self.ids.tolist())} if ids is not None else {}
         for a in range(0, len(own), TEXTS):
             b = min(a + TEXTS, len(own))
             x, y = np.searchsorted(text, [a, b])
             if x == y:
                 continue
-            sims = self.similarities(text[x:y] - a, term[x:y], w[x:y], b - a)
+            mine = np.array([place.get(i, -1) for i in ids[a:b]]) if ids is not None else None
+            sims = self.search(text[x:y] - a, term[x:y], w[x:y], b - a, k, mine)
             for i in np.unique(text[x:y]).tolist():
-                if ids is not None:
-                    sims[i - a][self.ids == ids[i]] = 0
                 yield i, *self.best(sims[i - a], k)
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
@@ -242,66 +283,90 @@ def all_terms(examples: list[tuple]) -> np.ndarray:
     return out
 
 
-def build(examples: list[tuple[int, bool, np.ndarray, np.ndarray]], n: int, known: np.ndarray, df: np.ndarray, rare: int) -> Index:
-    """examples: (id, toxic, hashes, how often), by id; known: the terms with counted document frequencies df, all of the examples' among them, out of n documents."""
+def alike(term: np.ndarray, w: np.ndarray, starts: np.ndarray, terms: int) -> np.ndarray:
+    """An order of examples in which those that are nearest to the same one of some of them stand together. Of example i: term[starts[i]:starts[i + 1]]."""
+    n = len(starts) - 1
+    pivots = np.unique(np.linspace(0, n - 1, min(n, BLOCK)).astype(np.int64))
+    table = np.zeros((terms, len(pivots)), np.float32)
+    for j, i in enumerate(pivots.tolist()):
+        table[term[starts[i] : starts[i + 1]], j] = w[starts[i] : starts[i + 1]]
+    nearest = np.zeros(n, np.int64)
+    for a in range(0, n, 128):
+        b = min(a + 128, n)
+        at = slice(starts[a], starts[b])
+        nearest[a:b] = np.add.reduceat(table[term[at]] * w[at, None], starts[a:b] - starts[a]).argmax(axis=1)
+    return np.argsort(nearest, kind="stable")
+
+
+def build(examples: list[tuple[int, bool, np.ndarray, np.ndarray]], n: int, known: np.ndarray, df: np.ndarray) -> Index:
+    """examples: (id, toxic, hashes, how often), by id; known: all their terms, ascending, which df of n documents have."""
     some, none = [e for e in examples if len(e[2])], [e[1] for e in examples if not len(e[2])]
-    toxic = np.array([e[1] for e in some], np.float64)
-    example = np.repeat(np.arange(len(some), dtype=np.int16), [len(e[2]) for e in some])
-    own = all_terms(examples)
-    terms = [np.searchsorted(own, e[2]).astype(np.int32) for e in some]
-    term = np.concatenate([np.zeros(0, np.int32), *terms])
-    own_n, own_toxic = np.bincount(term, minlength=len(own)), np.bincount(term[toxic[example] > 0], minlength=len(own))
-    local = find(own, known).astype(np.int32)
-    factor = np.full(len(known), LEAST_FACTOR)
-    factor[local >= 0] = factors(own_n, own_toxic, int(toxic.sum()), len(some) - int(toxic.sum()))[local[local >= 0]]
-    gain = (np.log((1 + n) / (1 + df)) + 1) * factor
-    idf = gain[find(known, own)]
+    lens = np.array([len(e[2]) for e in some], np.int64)
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    term = np.searchsorted(known, np.concatenate([np.zeros(0, np.uint64), *[e[2] for e in some]])).astype(np.int32)
     often = np.concatenate([np.zeros(0, np.int32), *[e[3] for e in some]])
-    norm = np.array([np.sqrt((((1 + np.log(e[3])) * idf[t]) ** 2).sum()) for e, t in zip(some, terms, strict=True)])
-    weights = Postings(term, example, often, idf, norm)
-    return Index(known, gain, local, (np.log((1 + n) / (1 + rare)) + 1) * LEAST_FACTOR, idf, weights, toxic, np.array([e[0] for e in some], np.int64), (sum(none) + 0.02) / (len(none) + 1))
+    toxic = np.array([e[1] for e in some], np.float64)
+    of_toxic = np.repeat(toxic > 0, lens)
+    factor = factors(np.bincount(term, minlength=len(known)), np.bincount(term[of_toxic], minlength=len(known)), int(toxic.sum()), len(some) - int(toxic.sum()))
+    idf = (np.log((1 + n) / (1 + df)) + 1) * factor
+    norm = np.zeros(len(some))
+    if some:
+        w = (1 + np.log(often)) * idf[term]
+        norm = np.sqrt(np.add.reduceat(w * w, starts[:-1]))
+        order = alike(term, (w / np.repeat(norm, lens)).astype(np.float32), starts, len(known))
+    else:
+        order = np.zeros(0, np.int64)
+    place = np.empty(len(some), np.int16)
+    place[order] = np.arange(len(some))
+    # By example within a term.
+    at = ranges(starts[order], lens[order])
+    weights = Postings(term[at], np.repeat(place, lens)[at], often[at], idf, norm[order])
+    rare = (np.log((1 + n) / (1 + n / (1 + len(examples)))) + 1) * LEAST_FACTOR
+    return Index(known, rare, idf, weights, toxic[order], np.array([e[0] for e in some], np.int64)[order], (sum(none) + 0.02) / (len(none) + 1))
 
 
 def held_out(id_col: str):  # noqa: ANN201
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def counted_terms(rows: DataFrame) -> DataFrame:
-    """(term, n): in how many rows each term is; a null term: how many rows there are."""
+def document_counts(rows: DataFrame, known: Broadcast) -> np.ndarray:
+    """In how many rows each term is, and, at the end, how many rows there are; numbers of the size of known come to the driver."""
+    kind = "part int, counts binary"
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(parts: list) -> pa.RecordBatch:
-            term, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([y for _, y in parts]), len(term)).astype(np.int64)
-            parts[:] = [(term, n)]
-            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+    def parts_of(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
-        total, parts, held = 0, [], 0
+        terms = known.value
+        total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             own = texts(batch)
-            total += len(own)
+            total[-1] += len(own)
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                parts.append(np.unique(distinct_terms(own[a:b])[1], return_counts=True))
-                held += len(parts[-1][0])
-                if held > HELD_TERMS:
-                    got = batch_of(parts)
-                    held = len(got)
-                    if 2 * held > HELD_TERMS:
-                        yield got
-                        parts, held = [], 0
-        if parts:
-            yield batch_of(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["term", "n"])
+                at = find(terms, distinct_terms(own[a:b])[1])
+                total[:-1] += np.bincount(at[at >= 0], minlength=len(terms))
+        yield parts_of({i: x for i, a in enumerate(range(0, len(total), PART)) if (x := total[a : a + PART]).any()})
 
-    return rows.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(x, np.int64)
+        yield parts_of(total)
+
+    out = np.zeros(len(known.value) + 1, np.int64)
+    for r in rows.mapInArrow(count, kind).repartition(16, "part").mapInArrow(add, kind).collect():
+        own = np.frombuffer(r.counts, np.int64)
+        out[r.part * PART : r.part * PART + len(own)] = own
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """The index of at most MOST_EXAMPLES labelled rows that are not held out. Ids, labels and terms of that sample, and document frequencies of at most MOST_COUNTED more terms, come to the driver."""
+    """The index of at most MOST_EXAMPLES labelled rows that are not held out. Ids, labels and terms of that sample come to the driver, and the document frequencies of these terms."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(F.col(label_col).cast("int")) == 1).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES).collect()
+    given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(F.col(label_col).cast("int")) == 1).alias("toxic"))
+    chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES).collect()
     label = {r.doc_id: r.toxic for r in chosen}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # Of rows with one id, one is the example.
@@ -315,26 +380,11 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary())], ["doc_id", "terms", "often"])
 
     examples = sorted(((r.doc_id, label[r.doc_id], np.frombuffer(bytes(r.terms), np.uint64), np.frombuffer(bytes(r.often), np.int32)) for r in sample.mapInArrow(terms, "doc_id long, terms binary, often binary").toLocalIterator()), key=lambda e: e[0])
-    own = spark.sparkContext.broadcast(all_terms(examples))
-    counts = cut(counted_terms(rows.select("text")))
-    # A term that is not counted is in one document, unless there are too many of two or more.
-    least, total = 2, 0
-    for n, terms_of_n in sorted(((r.n, r.c) for r in counts.where("term is not null and n >= 2").groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True):
-        total += terms_of_n
-        if total > MOST_COUNTED:
-            least = n + 1
-            break
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            term, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            yield batch.filter(pa.array((n >= least) | (find(own.value, term.view(np.uint64)) >= 0)))
-
-    n = sum(r.n for r in counts.where("term is null").collect())
-    got = counts.where("term is not null").mapInArrow(wanted, "term long, n long").toArrow()
-    term, df = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(term)
-    out = build(examples, n, term[order], df[order], least - 1)
+    known = all_terms(examples)
+    shared_terms = spark.sparkContext.broadcast(known)
+    counts = document_counts(rows.select("text"), shared_terms)
+    shared_terms.unpersist()
+    out = build(examples, int(counts[-1]), known, counts[:-1])
     shared = out.shared = spark.sparkContext.broadcast(out)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +397,6 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
                     votes[i] = shared.value.vote(best, sim)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(votes)], ["doc_id", "vote"])
 
-    own.unpersist()
     votes = sorted((r.doc_id, r.vote) for r in sample.mapInArrow(own_votes, "doc_id long, vote double").collect())
     if votes:
         v = np.clip(np.array([x for _, x in votes]), 1e-6, 1 - 1e-6)

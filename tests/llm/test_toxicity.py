@@ -74,3 +74,53 @@ def test_all_terms_count(spark):
     got = {r.doc_id: r.evidence for r in t.score(spark.createDataFrame(rows, "doc_id long, text string"), index).collect()}
     assert got[1][0].doc_id == int(index.ids[0]) and abs(got[1][0].similarity - 1) < 1e-5
     assert 0 < got[2][0].similarity < 0.5
+
+
+def test_scores_from_texts(spark):
+    """Cosines, votes and scores against plain Python that starts from the texts."""
+    import math
+    import re
+    from collections import Counter
+
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in ("plain", "calm", "stone", "river", "odd", "vile") for b in ("", "s", "ly", "ness", "x1", "é")]
+    texts = {i: " ".join(r.choices(words[-6:] if i % 9 == 0 and r.random() < 0.5 else words, k=r.choice([0, 1, 4, 30, 200]))) for i in range(500)}
+    labels = {i: int(i % 9 == 0) for i in range(0, 500, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    index = t.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+
+    def terms(text: str) -> Counter:
+        own = [w.lower() for w in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", text)]
+        return Counter([(0, w) for w in own] + [(1, w.encode()[:4]) for w in own])
+
+    bags = {i: terms(x) for i, x in texts.items()}
+    ids = sorted(i for i in index.ids.tolist())
+    assert set(ids) == {i for i in labels if bags[i] and i not in {x.doc_id for x in docs.where(t.held_out("doc_id")).collect()}}
+    all_ids = [i for i in labels if not any(i == x.doc_id for x in docs.where(t.held_out("doc_id")).collect())]
+    df = Counter(x for b in bags.values() for x in b)
+    inside, toxic = Counter(x for i in ids for x in bags[i]), Counter(x for i in ids if labels[i] for x in bags[i])
+    n_toxic, n_clean = sum(labels[i] for i in ids), sum(1 - labels[i] for i in ids)
+
+    def gain(x: tuple) -> float:
+        if x not in inside:
+            return (math.log((1 + 500) / (1 + 500 / (1 + len(all_ids)))) + 1) * t.LEAST_FACTOR
+        p = inside[x] / len(ids)
+        d = toxic[x] / n_toxic - (inside[x] - toxic[x]) / n_clean
+        rr = d * d * n_toxic * n_clean / len(ids) ** 2 / max(p * (1 - p), 1e-12)
+        return (math.log(501 / (1 + df[x])) + 1) * (t.LEAST_FACTOR + rr / (rr + t.HALF**2))
+
+    def vector(bag: Counter) -> dict:
+        v = {x: (1 + math.log(n)) * gain(x) for x, n in bag.items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items() if b}
+    for row in t.score(docs, index).collect():
+        if not bags[row.doc_id]:
+            continue
+        v = vectors[row.doc_id]
+        sims = sorted(((sum(w * vectors[i].get(x, 0) for x, w in v.items()), i) for i in ids), reverse=True)[: t.NEIGHBOURS]
+        assert np.allclose([e.similarity for e in row.evidence], [s for s, _ in sims[: t.SHOWN] if s > 0], atol=1e-4)
+        if sims[-1][0] - sorted((sum(w * vectors[i].get(x, 0) for x, w in v.items()) for i in ids), reverse=True)[t.NEIGHBOURS] > 1e-5:  # no tie at the edge
+            vote = (sum(s * s * labels[i] for s, i in sims) + index.none) / (sum(s * s for s, _ in sims) + 1)
+            assert abs(row.score - 1 / (1 + math.exp(-(index.slope * math.log(vote / (1 - vote)) + index.shift)))) < 1e-3
