@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +107,24 @@ def byte_slices(sizes: list[int], limit: int) -> list[tuple[int, int]]:
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A string column without nulls as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], name: str, least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that come sorted by a column of whole numbers, put together so that each has all rows of its keys, and at least so many rows but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows, limit = 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            table = pa.Table.from_batches(held)
+            key = table.column(name).to_numpy()
+            end = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+            if end:
+                yield table.slice(0, end).to_batches()
+                held, rows = table.slice(end).to_batches(), len(key) - end
+            limit = max(least, 2 * rows)
+    if held:
+        yield held

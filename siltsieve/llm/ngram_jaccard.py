@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._shared import Scratch, byte_slices, evict, release, text_or_empty, texts
+from ._shared import Scratch, byte_slices, evict, release, text_or_empty, texts, whole_keys
 from .wordhash import Words, distinct, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -255,23 +255,7 @@ class Lists:
 
 def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Lists]:
     """A task's postings, which come by column (by_column), in chunks of whole columns; so memory follows CHUNK or the longest column."""
-    held: list[pa.RecordBatch] = []
-    rows, limit = 0, CHUNK
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= limit:
-            table = pa.Table.from_batches(held)
-            h = table.column("h").to_numpy()
-            end = len(h) - int(np.argmax(h[::-1] != h[-1])) if h[0] != h[-1] else 0
-            if end:
-                yield Lists(table.slice(0, end).to_batches())
-                held, rows = table.slice(end).to_batches(), len(h) - end
-            limit = max(CHUNK, 2 * rows)
-    if held:
-        yield Lists(held)
+    return map(Lists, whole_keys(batches, "h", CHUNK))
 
 
 def possible(size_a, place_a, size_b, place_b, percent: int):  # noqa: ANN001, ANN201

@@ -1,16 +1,16 @@
 """Removal of passages that stand elsewhere before, by hashes of runs of consecutive sentences.
 
-A sentence ends with `.`, `!` or `?` before white space, or at a line end. One of more than
-LONG words is cut further after words whose hash says so, so that text without punctuation has
-pieces, too, and the same ones in every copy. A span is the shortest run of at least MIN_SENTENCES
-sentences and MIN_WORDS words from a sentence on. Spans are joined globally by hash; the first of
-equal spans, by document and place, stays, and all sentences that any later one covers go. The first
-place of a sentence is never covered by a later span, so nothing is lost altogether.
-
-A passage that starts and ends within sentences may hold no such span. With a window, there are
-further spans: texts are also cut before the word with the least hash of every so many consecutive
-ones (the last of equal ones), and a span runs from a cut to the first one at least MIN_WORDS words
-on. Any MIN_WORDS + 2 * window words that stand in two places hold one of these, however they are cut.
+A sentence ends with `.`, `!` or `?` before white space, or at a line end. One of more than LONG
+words is cut further, before the word with the least hash of every LONG consecutive words in it (the
+last of equal ones), so that text without punctuation has pieces, too, and the same ones in every
+copy. A span is the shortest run of at least MIN_SENTENCES pieces and MIN_WORDS words from a piece
+on. Spans are joined globally by hash; the first of equal spans, by document and place, stays, and
+all pieces that any later one covers go. The first place of a piece is never covered by a later span,
+so nothing is lost altogether.
+
+Any MIN_WORDS + 2 * LONG words that stand in two places hold a common span, wherever they begin and
+end: no piece is longer than LONG, so there is a cut in the first LONG words that both places have, and
+one in the last LONG; where the places' other cuts differ, near the ends, these don't come between.
 
 Before the shuffle, every batch keeps its own first of equal spans and reports the later ones at
 once, so a passage that is in a third of all documents sends a row a batch, not one a document.
@@ -26,13 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, evict, text_or_empty, texts
+from ._shared import byte_slices, evict, text_or_empty, texts, whole_keys
 from .wordhash import BASE, SPACE, Words, mix
 
-SLICE_BYTES = 4 << 20
-MIN_SENTENCES, MIN_WORDS, LONG = 3, 20, 16
+SLICE_BYTES, CHUNK = 4 << 20, 1 << 19
 #: 20 + 2 * 15 = 50 words.
-WINDOW = 15
+MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 15
 NO_ID = -(1 << 63)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -55,26 +54,19 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     end = _ENDS[last] | (_QUOTES[last] & _ENDS[before]) | (lines[following] > lines[word_ends])
     end[np.cumsum(w.counts)[w.counts > 0] - 1] = True
     first = np.flatnonzero(np.concatenate([[True], end[:-1]])) if n else np.zeros(0, np.int64)
-    long = np.repeat((lens := np.diff(first, append=n)) > LONG, lens)
-    end |= long & ((w.hashes & np.uint64(7)) == 0)
+    lens = np.diff(first, append=n)
+    # Places where LONG words of one long sentence begin.
+    left = np.repeat(first + lens, lens) - np.arange(n)
+    begins = np.flatnonzero(np.repeat(lens > LONG, lens) & (left >= LONG))
+    for a in range(0, len(begins), 1 << 16):
+        some = begins[a : a + (1 << 16)]
+        least = some + LONG - 1 - w.hashes[some[:, None] + np.arange(LONG - 1, -1, -1)].argmin(axis=1)
+        end[least[least > 0] - 1] = True
     first = np.flatnonzero(np.concatenate([[True], end[:-1]])) if n else first
     return first, text[first]
 
 
-def least_words(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cuts: first words of texts and those with the least hash of any window within a text, text of each)."""
-    text = np.repeat(np.arange(len(w.counts)), w.counts)
-    cut = np.diff(text, prepend=-1) > 0
-    for a in range(0, len(text) - window + 1, 1 << 16):
-        some = np.lib.stride_tricks.sliding_window_view(w.hashes[a : a + (1 << 16) + window - 1], window)
-        last = np.arange(a, a + len(some)) + window - 1
-        at = last - some[:, ::-1].argmin(axis=1)
-        cut[at[text[last - window + 1] == text[last]]] = True
-    first = np.flatnonzero(cut)
-    return first, text[first]
-
-
-def spans(own: list[bytes], window: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first byte, end byte) of every span of a batch; bytes count from the text's start, white space after a sentence belongs to it."""
     w = Words(own)
     words = len(w.starts)
@@ -87,19 +79,17 @@ def spans(own: list[bytes], window: int | None = None) -> tuple[np.ndarray, np.n
     sums = np.concatenate([[np.uint64(0)], np.cumsum(w.hashes * up[:-1], dtype=np.uint64)])
     starts = np.append(w.starts, 0)
     begins = w.ends - np.array([len(t) + 1 for t in own])
-    parts = []
-    for first, text, least in [(*sentences(w), MIN_SENTENCES), *([(*least_words(w, window), 1)] if window else [])]:
-        n = len(first)
-        sentence_end = first + np.diff(first, append=words)
-        last_of_text = np.searchsorted(text, np.arange(len(own)), "right")[text]  # end of the text's sentences
-        to = np.maximum(np.arange(n) + least, np.searchsorted(sentence_end, first + MIN_WORDS, "left") + 1)
-        ok = np.flatnonzero(to <= last_of_text)
-        a, b = first[ok], sentence_end[to[ok] - 1]
-        total = (sums[b] - sums[a]) * down[a]
-        end_byte = np.where(to[ok] < last_of_text[ok], starts[np.minimum(b, words)], w.ends[text[ok]] - 1)
-        begin_of = begins[text[ok]]
-        parts.append((mix(total), text[ok], w.starts[a] - begin_of, end_byte - begin_of))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    first, text = sentences(w)
+    n = len(first)
+    sentence_end = first + np.diff(first, append=words)
+    last_of_text = np.searchsorted(text, np.arange(len(own)), "right")[text]  # end of the text's sentences
+    to = np.maximum(np.arange(n) + MIN_SENTENCES, np.searchsorted(sentence_end, first + MIN_WORDS, "left") + 1)
+    ok = np.flatnonzero(to <= last_of_text)
+    a, b = first[ok], sentence_end[to[ok] - 1]
+    total = (sums[b] - sums[a]) * down[a]
+    end_byte = np.where(to[ok] < last_of_text[ok], starts[np.minimum(b, words)], w.ends[text[ok]] - 1)
+    begin_of = begins[text[ok]]
+    return mix(total), text[ok], w.starts[a] - begin_of, end_byte - begin_of
 
 
 def firsts(h: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +98,7 @@ def firsts(h: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray) -
     return order, np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(order) else np.zeros(0, bool)
 
 
-def later_spans(rows: DataFrame, window: int | None = None) -> DataFrame:
+def later_spans(rows: DataFrame) -> DataFrame:
     """(doc_id, key, begin, end) of every span that is not the first with its hash. rows: doc_id, key, text."""
     schema = "h long, doc_id long, key long, begin int, end int, later boolean"
 
@@ -122,7 +112,7 @@ def later_spans(rows: DataFrame, window: int | None = None) -> DataFrame:
             docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = []
             for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                h, text, begin, end = spans(own[a:b], window)
+                h, text, begin, end = spans(own[a:b])
                 parts.append((h, docs[a:b][text], keys[a:b][text], begin, end))
             if parts:
                 h, doc, key, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -132,10 +122,7 @@ def later_spans(rows: DataFrame, window: int | None = None) -> DataFrame:
                 order, later = order[~same], ~first[~same]
                 yield batch_of(h[order], doc[order], key[order], begin[order], end[order], later)
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         h, doc, key, begin, end = (t.column(c).to_numpy() for c in ("h", "doc_id", "key", "begin", "end"))
         order, first = firsts(h, doc, key, begin)
@@ -148,11 +135,10 @@ def later_spans(rows: DataFrame, window: int | None = None) -> DataFrame:
         if out.any():
             yield batch_of(h[out], doc[out], key[out], begin[out], end[out], np.ones(int(out.sum()), bool))
 
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Spans that are known to be later ones don't need their hash's task.
-    got = rows.mapInArrow(hashed, schema).withColumn("to", F.when(F.col("later"), F.xxhash64("doc_id", "begin", "h")).otherwise(F.col("h"))).repartition(parts, "to").drop("to")
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans come by hash, so a task holds CHUNK of them or those of one hash, of which each batch of texts sends one."""
+        done: list[pa.RecordBatch] = []
+
         def open_ones() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 later = batch.column(5)
@@ -160,10 +146,16 @@ def later_spans(rows: DataFrame, window: int | None = None) -> DataFrame:
                     done.append(batch.filter(later))
                 yield batch.filter(pc.invert(later))
 
-        done: list[pa.RecordBatch] = []
-        yield from joined(open_ones())
+        for held in whole_keys(open_ones(), "h", CHUNK):
+            yield from joined(held)
+            yield from done
+            done.clear()
         yield from done
 
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Spans that are known to be later ones don't need their hash's task.
+    to = F.when(F.col("later"), F.xxhash64("doc_id", "begin", "h")).otherwise(F.col("h"))
+    got = rows.mapInArrow(hashed, schema).withColumn("to", to).repartition(parts, "to").drop("to").sortWithinPartitions("h")
     return got.mapInArrow(split, schema).select("doc_id", "key", "begin", "end")
 
 
@@ -178,11 +170,9 @@ def merged(begin: list[int], end: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text that is left, and removed array<struct<begin, end>>: byte ranges of the old text, disjoint, in order.
 
-    window: also find passages that no whole sentences lie in, of MIN_WORDS + 2 * window words at least.
-
     Edge cases: a null text stays null; a text of fewer sentences or words than a span needs stays
     as it is; repeated rows (equal id and text) are one place and keep the same text; rows of equal
     ids and other texts are told apart by the texts' hash; a null id comes first in the order; all
@@ -191,7 +181,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key, doc = F.xxhash64(text_or_empty(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc_id"), key.alias("key"), text_or_empty(text_col).alias("text"))
-    later = later_spans(rows, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    later = later_spans(rows).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
     columns = [c for c in docs.columns if c != "removed"]
     both = docs.select(*columns).withColumns({"__doc": doc, "__key": key}).join(later.withColumnsRenamed({"doc_id": "__doc", "key": "__key"}), ["__doc", "__key"], "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 import re
 
-from siltsieve.llm.substring_dedup import LONG, MIN_SENTENCES, MIN_WORDS, WINDOW, spans, substring_dedup
+import numpy as np
+
+from siltsieve.llm.substring_dedup import LONG, MIN_SENTENCES, MIN_WORDS, spans, substring_dedup
 from siltsieve.llm.wordhash import Words
 
 
@@ -24,12 +26,10 @@ def units(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
         if ends[i]:
             if len(held) > LONG:
                 hashes = Words([data[words[j][0] : words[j][1]] for j in held]).hashes
-                part = []
-                for j, h in zip(held, hashes.tolist(), strict=True):
-                    part.append(j)
-                    if h % 8 == 0 or j == held[-1]:
-                        out.append(part)
-                        part = []
+                hashes = hashes.tolist()
+                cuts = {max(range(a, a + LONG), key=lambda j: (-hashes[j], j)) for a in range(len(held) - LONG + 1)} | {0}
+                edges = [*sorted(cuts), len(held)]
+                out += [held[a:b] for a, b in zip(edges, edges[1:])]
             else:
                 out.append(held)
             held = []
@@ -129,19 +129,21 @@ def test_any_passage_of_50_words_holds_a_span(spark):
     def words(n: int, kind: int) -> list[str]:
         if kind == 2:  # few distinct words
             return [r.choice("abc") for _ in range(n)]
-        return [word() + ("." if kind and i % 15 == 8 else "") for i in range(n)]
+        ends = {0: [], 1: [15], 3: [3, 14, 15, 16, 31]}[kind]
+        stops = np.cumsum(r.choices(ends, k=n)) if ends else []
+        return [word() + ("." if i in stops else "") for i in range(n)]
 
     missed, rows = 0, []
-    for case in range(300):
-        kind, n = case % 3, MIN_WORDS + 2 * WINDOW
+    for case in range(400):
+        kind, n = case % 4, MIN_WORDS + 2 * LONG
         source, other = words(200, kind), words(100, kind)
         at, to = r.randrange(150), r.randrange(100)
         copy = other[:to] + source[at : at + n] + other[to:]
         a, b = (" ".join(x).encode() for x in (source, copy))
-        (h, *_), (g, _, begin, end) = spans([a], WINDOW), spans([b], WINDOW)
+        (h, *_), (g, _, begin, end) = spans([a]), spans([b])
         p, q = (len(" ".join(copy[:k])) for k in (to, to + n))
         missed += not any(x in set(h.tolist()) and p <= y and z <= q + 1 for x, y, z in zip(g.tolist(), begin.tolist(), end.tolist(), strict=True))
-        rows += [(2 * case, a.decode()), (2 * case + 1, b.decode())] if kind < 2 else []
+        rows += [(2 * case, a.decode()), (2 * case + 1, b.decode())] if kind != 2 else []
     assert not missed
-    got = {x.doc_id: x.removed for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=WINDOW).collect()}
+    got = {x.doc_id: x.removed for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(bool(v) == bool(d % 2) for d, v in got.items())
