@@ -29,4 +29,4 @@ def with_tid(df: DataFrame, key: str = "kid", tid: str = "tid") -> DataFrame:
 
 def pane(step: int, tid: str = "tid") -> Column:
     """The pane of a tuple: panes are step tuples long and count from 1. A window is a tuple's pane and the one before."""
-    return (F.floor((F.col(tid) - 1) / step) + 1).cast("long")
+    return F.expr(f"(`{tid}` - 1) div {int(step)} + 1")

@@ -1,15 +1,28 @@
-"""Cutting lineage into the folder that driver and executors share."""
+"""The folder that driver and executors share, and cutting lineage into it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ConfigError
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into spark.checkpoint.dir; a temporary folder only where the session names none."""
-    context = df.sparkSession.sparkContext
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where a local session (a test) names none, a temporary folder. On a cluster that is an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="siltsieve-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltsieve-"))
+        context.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once into the shared folder; a lost executor loses nothing of it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule
+from ..functions.order import pane
+from ..functions.rules import Rule, value
 from ..functions.shared import cut
 from .detect import members
 from .graph import components
+from .repair import episodes
 
 
 def cells(df: DataFrame, rules: Sequence[Rule], panes: tuple[int, int] | None = None, step: int | None = None) -> DataFrame:
@@ -57,6 +59,42 @@ def repair_shared(df: DataFrame, rules: Sequence[Rule], panes: tuple[int, int] |
     return dc.join(n, ["root", "v"]).join(best, "root").select("kid", F.when(F.col("n") == -F.col("m.c"), F.col("v")).otherwise(F.col("m.v")).alias("fix"))
 
 
+def repair_shared_windows(df: DataFrame, rules: Sequence[Rule], mode: str, step: int) -> DataFrame:
+    """(kid, fix) of every tuple in a violating group, by the classes as they stand at the end of its pane.
+
+    In basic mode a group's cells are those of a pane and the one before. In cumulative mode they are
+    kept, from the pane before the first of a run of violating panes on; a group counts for one pane
+    more, as a link. All windows are computed at once, each class under the name of its window. Equal
+    tuples of a pane are one cell with a count, so cells follow the different values, not the tuples.
+    """
+    names = [f"l{i}" for i in range(len(rules))]
+    lhs = [F.when(r.sees(), value(r.lhs)).alias(c) for r, c in zip(rules, names, strict=True)]
+    rows = df.select("kid", pane(step).alias("p"), value(rules[0].rhs).alias("v"), *lhs).where(F.coalesce(*names).isNotNull())
+    rows = rows.withColumn("cell", F.to_json(F.struct("p", "v", *names)))
+    super_cells = cut(rows.groupBy("cell", "p", "v", *names).agg(F.count("*").alias("n")))
+    found = None
+    for r, name in zip(rules, names, strict=True):
+        own = super_cells.where(F.col(name).isNotNull()).select("cell", "p", F.col(name).alias("l"), "v", "n")
+        seen = own.select("l", "p", "v").distinct()
+        both = seen.unionByName(seen.withColumn("p", F.col("p") + 1))
+        two = both.groupBy("l", "p").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("l", "p")
+        if mode == "basic":
+            life = two.select("l", F.col("p").alias("w"), (F.col("p") - 1).alias("first"), F.lit(True).alias("bad"))
+        else:
+            lives = episodes(two.join(seen.select("l", "p").distinct(), ["l", "p"]))
+            life = lives.select("l", F.col("p").alias("w"), (F.col("birth") - 1).alias("first"), F.lit(True).alias("bad"))
+            life = life.unionByName(lives.groupBy("l", "birth").agg((F.max("p") + 1).alias("w")).select("l", "w", (F.col("birth") - 1).alias("first"), F.lit(False).alias("bad")))
+        one = own.join(life, "l").where(F.col("p").between(F.col("first"), F.col("w")))
+        one = one.select(F.concat_ws("|", "w", "cell").alias("kid"), "cell", F.concat_ws(":", "w", F.lit(r.rid), "l").alias("vc"), "v", "n", (F.col("bad") & (F.col("p") == F.col("w"))).alias("mine"))
+        found = one if found is None else found.unionByName(one)
+    found = cut(found)
+    dc = cut(found.join(class_of(found), "vc").groupBy("root", "kid", "cell", "v", "n").agg(F.max("mine").alias("mine")))
+    n = dc.groupBy("root", "v").agg(F.sum("n").alias("of"))
+    best = n.groupBy("root").agg(F.min(F.struct((-F.col("of")).alias("c"), F.col("v").alias("v"))).alias("m"))
+    fixes = dc.where("mine").join(n, ["root", "v"]).join(best, "root").select("cell", F.when(F.col("of") == -F.col("m.c"), F.col("v")).otherwise(F.col("m.v")).alias("fix"))
+    return rows.join(fixes, "cell").select("kid", "fix")
+
+
 def graph_stats(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row: causes, classes, classes of a single cause."""
     own = cut(cells(df, rules))

@@ -3,8 +3,9 @@
 A tuple violates a rule when its group (equal left-hand sides, earlier tuples of the window and
 itself) has two values or more. So all it takes is the place where each value is first seen: from
 the second of these on, every tuple of the group violates, and that second one is the new violation.
-First places are hash aggregates with partial results in every task; a hot group is neither sorted
-nor gathered. With windows the groups are those of (lhs, pane), and values of the pane before count
+First places are hash aggregates with partial results in every task, so a hot group is not gathered
+for them; tuples then meet their group's place in a join, which Spark broadcasts where the places are
+few and whose hot keys adaptive execution splits. With windows the groups are those of (lhs, pane), and values of the pane before count
 as seen at 0.
 """
 
@@ -55,14 +56,20 @@ def detect_all(df: DataFrame, rules: Sequence[Rule], step: int | None = None) ->
     return out
 
 
-def new_violations(df: DataFrame, rule: Rule, step: int | None = None) -> DataFrame:
-    """(kid, tid, l, r, othervalue, other_tids): new violations with the one value that stood before and its tuples."""
+def other_tuples(df: DataFrame, rule: Rule, step: int | None = None) -> DataFrame:
+    """(kid, tid, l, r, othervalue, other_tid): new violations, a row for each tuple with the one value that stood before."""
     rows = members(df, rule, step)
     turns = turning_points(rows, step is not None)
-    fresh = rows.join(turns, ["l", "p"]).where("tid = t2").select("kid", "tid", "l", "r", "p", "other")
-    old = rows.select("l", F.col("p").alias("q"), F.col("tid").alias("old"), F.col("r").alias("other"))
+    fresh = rows.join(turns, ["l", "p"]).where("tid = t2").select("kid", "tid", "l", "r", "p", F.col("other").alias("othervalue"))
+    old = rows.select("l", F.col("p").alias("q"), F.col("tid").alias("other_tid"), F.col("r").alias("othervalue"))
     near = F.col("q").between(F.col("p") - 1, F.col("p"))
-    return fresh.join(old, ["l", "other"]).where(near & (F.col("old") < F.col("tid"))).groupBy("kid", "tid", "l", "r", F.col("other").alias("othervalue")).agg(F.array_sort(F.collect_list("old")).alias("other_tids"))
+    return fresh.join(old, ["l", "othervalue"]).where(near & (F.col("other_tid") < F.col("tid"))).select("kid", "tid", "l", "r", "othervalue", "other_tid")
+
+
+def new_violations(df: DataFrame, rule: Rule, step: int | None = None) -> DataFrame:
+    """(kid, tid, l, r, othervalue, n_other, first_other, last_other): new violations with the one value that stood before, and how many tuples have it; other_tuples has these."""
+    own = other_tuples(df, rule, step).groupBy("kid", "tid", "l", "r", "othervalue")
+    return own.agg(F.count("*").alias("n_other"), F.min("other_tid").alias("first_other"), F.max("other_tid").alias("last_other"))
 
 
 def cell_groups(df: DataFrame, rule: Rule, step: int | None = None) -> DataFrame:

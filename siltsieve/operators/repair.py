@@ -54,24 +54,26 @@ def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None
     rows = rows.join(turns, ["l", "p"], "left").withColumn("violating", F.coalesce(F.col("tid") >= F.col("t2"), F.lit(False))).drop("t2")
     if mode == "none":
         # Groups without two values need no counts.
-        rows = rows.withColumn("p", F.floor((F.col("tid") - 1) / CHUNK).cast("long")).withColumn("e", F.lit(0).cast("long"))
-        live = rows.join(turns.select("l"), "l", "left_semi")
+        rows = rows.withColumn("p", F.expr(f"(tid - 1) div {CHUNK}")).withColumn("e", F.lit(0).cast("long"))
+        turned = turns.select("l")
+        live, quiet = rows.join(turned, "l", "left_semi"), rows.join(turned, "l", "left_anti")
         base = _before_growing(live.groupBy("l", "e", "p", "r").agg(F.count("*").alias("n")))
     elif mode == "basic":
-        live = rows = rows.withColumn("e", F.lit(0).cast("long"))
+        live, quiet = rows.withColumn("e", F.lit(0).cast("long")), None
         base = _before_basic(live.groupBy("l", "e", "p", "r").agg(F.count("*").alias("n")))
     else:
         lives = episodes(rows.where("violating").select("l", "p").distinct())
         with_birth = lives.unionByName(lives.select("l", (F.col("birth") - 1).alias("p"), "birth").distinct()).withColumnRenamed("birth", "e")
         counts = rows.groupBy("l", "p", "r").agg(F.count("*").alias("n")).join(with_birth, ["l", "p"])
         base = _before_growing(counts.select("l", "e", "p", "r", "n"))
-        live = rows.join(lives.withColumnRenamed("birth", "e"), ["l", "p"])
+        live, quiet = rows.join(lives.withColumnRenamed("birth", "e"), ["l", "p"]), rows.join(lives, ["l", "p"], "left_anti")
     own = Window.partitionBy("l", "e", "p", "r").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("l", "e", "p").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = live.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.count("*").over(own))
     led = counted.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
-    fixes = led.where("violating").select("tid", F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v")).alias("fix"))
-    return rows.select("kid", "tid", "r", "violating").join(fixes, "tid", "left")
+    fix = F.when(F.col("violating"), F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v")))
+    out = led.select("kid", "tid", "r", "violating", fix.alias("fix"))
+    return out if quiet is None else out.unionByName(quiet.select("kid", "tid", "r", "violating", F.lit(None).cast("string").alias("fix")))
 
 
 def candidates(df: DataFrame, rule: Rule, k: int) -> DataFrame:

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
 from ..functions.rules import Rule
 from ..operators import classes, repair
 from ..operators.detect import clean, detect_all
@@ -26,8 +25,8 @@ class Cleaner:
     columns: list[str] = field(default_factory=list)
 
     @classmethod
-    def from_config(cls, text: str) -> Cleaner:
-        c = parse_config(text)
+    def from_config(cls, text: str, prefix: str | None = None) -> Cleaner:
+        c = parse_config(text, prefix)
         return cls(c.rules, c.mode, c.window_step, c.repair_mode, c.columns)
 
     def _check(self, df: DataFrame) -> None:
@@ -42,7 +41,7 @@ class Cleaner:
         return clean(df, self.detect(df))
 
     def fixes(self, df: DataFrame) -> DataFrame:
-        """(kid, attr, fix): on arrival for right-hand sides of one rule, as classes stand at the end for those of several (with a window that is an error, as on streams)."""
+        """(kid, attr, fix): on arrival for right-hand sides of one rule, as classes stand at the end (with a window: of its pane) for those of several."""
         self._check(df)
         by: dict[str, list[Rule]] = {}
         for r in self.rules:
@@ -52,7 +51,7 @@ class Cleaner:
             if len(own) == 1:
                 one = repair.repair_rule(df, own[0], self.mode, self.step).where("violating").select("kid", "fix")
             elif self.mode != "none":
-                raise ConfigError("rules that share a right-hand side are repaired without windows")
+                one = classes.repair_shared_windows(df, own, self.mode, self.step)
             else:
                 one = classes.repair_shared(df, own)
             one = one.withColumn("attr", F.lit(attr))
@@ -60,17 +59,18 @@ class Cleaner:
         return out.select("kid", "attr", "fix")
 
     def repair(self, df: DataFrame) -> DataFrame:
-        """df with repaired values, and repaired (some attribute violated) and changed (some value is another)."""
+        """df with repaired values, and repaired (some attribute violated) and changed (some value is another), which replace columns of these names."""
         if not self.rules:
             return df.withColumns({"repaired": F.lit(False), "changed": F.lit(False)})
         found = self.fixes(df)
         attrs = list(dict.fromkeys(r.rhs for r in self.rules))
-        wide = found.groupBy("kid").agg(*[F.max(F.when(F.col("attr") == a, F.col("fix"))).alias(f"fix_{i}") for i, a in enumerate(attrs)])
+        wide = found.groupBy("kid").agg(*[F.max(F.when(F.col("attr") == a, F.col("fix"))).alias(f"__fix_{i}") for i, a in enumerate(attrs)])
         out = df.join(wide, "kid", "left")
-        fix = [F.col(f"fix_{i}") for i in range(len(attrs))]
+        fix = [F.col(f"__fix_{i}") for i in range(len(attrs))]
         changed = [F.coalesce(f != F.coalesce(F.col(a).cast("string"), F.lit("")), F.lit(False)) for f, a in zip(fix, attrs, strict=True)]
         flags = {"repaired": F.coalesce(*fix).isNotNull(), "changed": F.greatest(*changed) if len(changed) > 1 else changed[0]}
-        return out.withColumns(flags).withColumns({a: F.coalesce(f, F.col(a).cast("string")) for f, a in zip(fix, attrs, strict=True)}).select(*df.columns, *flags)
+        new = {a: F.coalesce(f, F.col(a).cast("string")) for f, a in zip(fix, attrs, strict=True)}
+        return out.select(*[new[c].alias(c) if c in new else c for c in df.columns if c not in flags], *[f.alias(c) for c, f in flags.items()])
 
     def repair_stream(self, sdf: DataFrame) -> DataFrame:
         from ..streaming.stateful import repair_stream

@@ -1,4 +1,10 @@
-"""Configuration from a properties file: `prefix.key=value` lines, `#` comments, a backslash escapes."""
+"""Configuration from a properties file: `key=value` lines, `#` comments, a backslash escapes.
+
+Keys of a job begin with a prefix: `<prefix>.schema`, `.window`, `.window.size`, `.topology.rw`,
+`.topology.name`, `.repair.proposal.size`, `.rule.num`, `.rule.<i>`, `.input`, `.output`. Those of the
+connector have none: `kafka.topic`, `kafka.control.topic`, `kafka.server`, `kafka.server.port`,
+`kafka.data.delimiter`. All others are kept in `other` and mean nothing here.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +26,11 @@ class Config:
     repair_mode: str = "delayed"
     separator: str = r"\|"
     proposal_size: int = 5
+    input: str | None = None
+    output: str | None = None
+    topic: str | None = None
+    control_topic: str | None = None
+    servers: str | None = None
     other: dict[str, str] = field(default_factory=dict)
 
 
@@ -33,27 +44,48 @@ def parse_properties(text: str) -> dict[str, str]:
     return out
 
 
-def parse_config(text: str) -> Config:
-    """Keys count without their first part. The window is `false`, `basic`, or `cumulative` (also written as the keys' first part); its size is the step by which it slides."""
+def parse_config(text: str, prefix: str | None = None) -> Config:
+    """prefix: of the job's keys; by default that of the key `<prefix>.schema`. The window is `false`, `basic`, or `cumulative` (also written as the prefix); its size is the step by which it slides."""
     whole = parse_properties(text)
-    prefixes = {k.partition(".")[0] for k in whole if "." in k}
-    p = {k.partition(".")[2] or k: v for k, v in whole.items()}
-    if "schema" not in p:
+    if prefix is None:
+        found = [k.removesuffix(".schema") for k in whole if k.endswith(".schema")]
+        if len(found) != 1:
+            raise ConfigError("no schema" if not found else f"several schemas: {', '.join(found)}")
+        prefix = found[0]
+    own = {k.removeprefix(f"{prefix}."): v for k, v in whole.items() if k.startswith(f"{prefix}.")}
+    if "schema" not in own:
         raise ConfigError("no schema")
-    window = p.get("window", "false").lower()
-    mode = {"false": "none", "basic": "basic", "cumulative": "cumulative", **{x: "cumulative" for x in prefixes}}.get(window)
+    window = own.get("window", "false").lower()
+    mode = {"false": "none", "basic": "basic", "cumulative": "cumulative", prefix.lower(): "cumulative"}.get(window)
     if mode is None:
         raise ConfigError(f"unknown window mode {window}")
-    step = int(p["window.size"]) if mode != "none" and "window.size" in p else None
+    step = whole_number(own, "window.size") if mode != "none" and "window.size" in own else None
     if mode != "none" and not step:
         raise ConfigError("a window needs a size")
-    out = Config([c.strip() for c in p["schema"].split(",")], mode=mode, window_step=step)
-    texts = [x for x in p.get("rules", p.get("rule", "")).split(";") if x.strip()]
-    texts += [v for k, v in sorted(p.items(), key=lambda kv: [int(x) for x in re.findall(r"\d+", kv[0])]) if re.fullmatch(r"rules?\.?\d+", k)]
-    out.rules = [parse_rule(i, t).validate(out.columns) for i, t in enumerate(texts)]
-    if "rw" in p and p["rw"] not in REPAIR_MODES:
-        raise ConfigError(f"unknown repair mode {p['rw']}")
-    out.repair_mode = REPAIR_MODES[p.get("rw", "3")]
-    out.separator, out.proposal_size = p.get("delimiter", out.separator), int(p.get("proposal.size", 5))
-    out.other = p
+    out = Config([c.strip() for c in own["schema"].split(",")], mode=mode, window_step=step)
+    numbers = sorted(int(m[1]) for k in own if (m := re.fullmatch(r"rule\.(\d+)", k)))
+    if "rule.num" in own:
+        n = whole_number(own, "rule.num")
+        if missing := [i for i in range(n) if i not in numbers]:
+            raise ConfigError(f"no rule {missing[0]} of {n}")
+        numbers = list(range(n))
+    out.rules = [parse_rule(i, own[f"rule.{i}"]).validate(out.columns) for i in numbers]
+    rw = own.get("topology.rw", "3")
+    if rw not in REPAIR_MODES:
+        raise ConfigError(f"unknown repair mode {rw}")
+    out.repair_mode = REPAIR_MODES[rw]
+    out.separator = whole.get("kafka.data.delimiter", out.separator)
+    out.proposal_size = whole_number(own, "repair.proposal.size") if "repair.proposal.size" in own else out.proposal_size
+    out.input, out.output = own.get("input"), own.get("output")
+    out.topic, out.control_topic = whole.get("kafka.topic"), whole.get("kafka.control.topic")
+    if "kafka.server" in whole:
+        out.servers = f"{whole['kafka.server']}:{whole.get('kafka.server.port', '9092')}"
+    out.other = whole
     return out
+
+
+def whole_number(p: dict[str, str], key: str) -> int:
+    try:
+        return int(p[key])
+    except ValueError:
+        raise ConfigError(f"{key} is not a whole number: {p[key]}") from None

@@ -219,9 +219,8 @@ def fd_detect_hot(spark, d):  # noqa: ANN001, ANN201
 @query(f"""WITH {DIRTY_SQL}, {s_sql(RULES[0])}, {det_sql()} SELECT a.kid, a.tid, a.l, a.r, min(o.r) AS othervalue, CAST(count(*) AS BIGINT) AS n_other, CAST(min(o.tid) AS BIGINT) AS first_other, CAST(sum(o.tid) AS BIGINT) AS sum_other
  FROM d a JOIN s o ON a.l = o.l AND o.tid < a.tid WHERE a.vio AND a.one_before GROUP BY a.kid, a.tid, a.l, a.r""")
 def new_violation(spark, d):  # noqa: ANN001, ANN201
-    out = detect.new_violations(dirty_orders(spark, d), RULES[0])
-    tids = F.col("other_tids")
-    return out.select("kid", "tid", "l", "r", "othervalue", F.size(tids).cast("long").alias("n_other"), tids[0].alias("first_other"), F.aggregate(tids, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_other"))
+    own = detect.other_tuples(dirty_orders(spark, d), RULES[0]).groupBy("kid", "tid", "l", "r", "othervalue")
+    return own.agg(F.count("*").alias("n_other"), F.min("other_tid").alias("first_other"), F.sum("other_tid").alias("sum_other"))
 
 
 @query(f"WITH {DIRTY_SQL}, {s_sql(RULES[0])}, {det_sql()} SELECT kid, tid FROM d WHERE vio AND NOT one_before")
@@ -416,6 +415,40 @@ def rw_dr(spark, d):  # noqa: ANN001, ANN201
     return classes.repair_shared(dirty_orders(spark, d), PAIR)
 
 
+def window_classes_sql(rules: list[Rule], mode: str) -> str:
+    """Classes of every window w as they stand at the end of pane w: cell, comp, dc, n, best."""
+    out = []
+    for r in rules:
+        i = r.rid
+        out.append(f"""b{i} AS (SELECT kid, {r.lhs} AS l, {r.rhs} AS v, CAST(floor((tid - 1) / {STEP}) AS BIGINT) + 1 AS p FROM dirty WHERE {cond(r)}),
+ two{i} AS (SELECT l, p FROM (SELECT l, p, v FROM b{i} UNION ALL SELECT l, p + 1, v FROM b{i}) z GROUP BY l, p HAVING min(v) <> max(v))""")
+        if mode == "basic":
+            out.append(f"life{i} AS (SELECT l, p AS w, p - 1 AS f, true AS bad FROM two{i})")
+        else:
+            out.append(f"""vio{i} AS (SELECT DISTINCT b{i}.l, b{i}.p FROM b{i} JOIN two{i} ON b{i}.l = two{i}.l AND b{i}.p = two{i}.p),
+ isl{i} AS (SELECT l, p, p - row_number() OVER (PARTITION BY l ORDER BY p) AS g FROM vio{i}),
+ ep{i} AS (SELECT l, p, min(p) OVER (PARTITION BY l, g) AS birth FROM isl{i}),
+ life{i} AS (SELECT l, p AS w, birth - 1 AS f, true AS bad FROM ep{i} UNION ALL SELECT l, max(p) + 1, birth - 1, false FROM ep{i} GROUP BY l, birth)""")
+    cells = " UNION ALL ".join(f"SELECT w, w || ':{r.rid}:' || b{r.rid}.l AS vc, kid, v, bad AND p = w AS mine FROM b{r.rid} JOIN life{r.rid} ON b{r.rid}.l = life{r.rid}.l AND p BETWEEN f AND w" for r in rules)
+    return f"""{", ".join(out)}, cell AS ({cells}),
+ e AS (SELECT DISTINCT a.vc AS x, b.vc AS y FROM cell a JOIN cell b ON a.kid = b.kid AND a.w = b.w),
+ cc(x, root) AS (SELECT DISTINCT vc, vc FROM cell UNION SELECT e.y, cc.root FROM cc JOIN e ON cc.x = e.x),
+ comp AS (SELECT x AS vc, min(root) AS root FROM cc GROUP BY x),
+ dc AS (SELECT root, kid, v, bool_or(mine) AS mine FROM cell JOIN comp ON cell.vc = comp.vc GROUP BY root, kid, v),
+ n AS (SELECT root, v, count(*) AS n FROM dc GROUP BY root, v),
+ best AS (SELECT root, min({{'a': -n, 'v': v}}) AS m FROM n GROUP BY root)"""
+
+
+@query(f"WITH RECURSIVE {DIRTY_SQL}, {window_classes_sql(PAIR, 'basic')} {SHARED_FIX} WHERE mine")
+def rw_win_basic(spark, d):  # noqa: ANN001, ANN201
+    return classes.repair_shared_windows(dirty_orders(spark, d), PAIR, "basic", STEP)
+
+
+@query(f"WITH RECURSIVE {DIRTY_SQL}, {window_classes_sql(PAIR, 'cumulative')} {SHARED_FIX} WHERE mine")
+def rw_win_cumulative(spark, d):  # noqa: ANN001, ANN201
+    return classes.repair_shared_windows(dirty_orders(spark, d), PAIR, "cumulative", STEP)
+
+
 @query(f"{SHARED_SQL}, z AS (SELECT root, count(*) AS k FROM comp GROUP BY root) SELECT CAST(sum(k) AS BIGINT) AS n_causes, count(*) AS n_classes, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_never_merged FROM z")
 def violation_graph_stats(spark, d):  # noqa: ANN001, ANN201
     return classes.graph_stats(dirty_orders(spark, d), PAIR)
@@ -468,7 +501,7 @@ def repair_apply(spark, d):  # noqa: ANN001, ANN201
     return repair.apply(df, repair.repair_rule(df, RULES[6]), "cname").select("kid", "cname", "repaired", "changed")
 
 
-@query(f"""WITH RECURSIVE {DIRTY_SQL}, {classes_sql(PAIR)}, fx AS ({SHARED_FIX}), {s_sql(RULES[6])}, {NONE_SQL.replace('m.', 'm.')}
+@query(f"""WITH RECURSIVE {DIRTY_SQL}, {classes_sql(PAIR)}, fx AS ({SHARED_FIX}), {s_sql(RULES[6])}, {NONE_SQL}
  SELECT dirty.kid, coalesce(fx.fix, segment) AS segment, coalesce(fixed.fix, cname) AS cname, fx.fix IS NOT NULL OR fixed.fix IS NOT NULL AS repaired FROM dirty LEFT JOIN fx ON dirty.kid = fx.kid LEFT JOIN fixed ON dirty.kid = fixed.kid""")
 def output_join(spark, d):  # noqa: ANN001, ANN201
     return Cleaner([*PAIR, RULES[6]]).repair(dirty_orders(spark, d)).select("kid", "segment", "cname", "repaired")

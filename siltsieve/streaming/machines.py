@@ -50,11 +50,19 @@ class GroupMachine:
 
 
 class ClassMachine:
-    """All groups of the rules that share a right-hand side, without windows; classes of causes are merged as tuples link them."""
+    """All groups of the rules that share a right-hand side; classes of causes are merged as tuples link them.
 
-    def __init__(self, immediate: bool = False) -> None:
-        self.immediate, self.last = immediate, 0
+    With a window, groups hold the tuples of two panes, and a new pane lets go of those before. In
+    basic mode a cause is a group with two values there. In cumulative mode a cause keeps its cells
+    until a whole pane has passed without a violation of it.
+    """
+
+    def __init__(self, immediate: bool = False, mode: str = "none", step: int | None = None) -> None:
+        self.immediate, self.mode, self.step, self.last, self.pane = immediate, mode, step, 0, 0
         self.groups: dict[tuple[int, str], dict[int, str]] = {}
+        self.values: dict[tuple[int, str], Counter] = {}  # of each group
+        self.kept: dict[tuple[int, str], dict[int, str]] = {}  # cells of each cause
+        self.violated: dict[tuple[int, str], int] = {}  # last pane
         self.causes: dict[int, set[tuple[int, str]]] = {}  # of each tuple
         self.root: dict[tuple[int, str], tuple[int, str]] = {}
         self.cells: dict[tuple[int, str], dict[int, str]] = {}  # of each class
@@ -73,51 +81,77 @@ class ClassMachine:
             self.root[b] = a
             self.cells[a].update(self.cells.pop(b))
 
-    def _add_cause(self, vc: tuple[int, str]) -> None:
-        self.root[vc], self.cells[vc] = vc, dict(self.groups[vc])
-        for tid in self.groups[vc]:
+    def _add_cause(self, vc: tuple[int, str], kept: dict[int, str]) -> None:
+        self.root[vc], self.cells[vc], self.kept[vc] = vc, dict(kept), kept
+        for tid in kept:
             self.causes.setdefault(tid, set()).add(vc)
 
+    def _rebuild(self, kept: dict[tuple[int, str], dict[int, str]]) -> None:
+        self.causes, self.root, self.cells, self.kept = {}, {}, {}, {}
+        for vc, own in kept.items():
+            self._add_cause(vc, own)
+        for own in self.causes.values():
+            first, *rest = own
+            for vc in rest:
+                self._merge(first, vc)
+
     def keep_only(self, rids: set[int]) -> None:
         """Drop all rules but these, and split classes that only they held together."""
         if self.rids <= rids:
             self.rids |= rids
             return
         self.rids = set(rids)
-        causes = [vc for vc in self.root if vc[0] in rids]
-        self.groups = {vc: g for vc, g in self.groups.items() if vc[0] in rids}
-        self.causes, self.root, self.cells = {}, {}, {}
-        for vc in causes:
-            self._add_cause(vc)
-        for own in self.causes.values():
-            first, *rest = own
-            for vc in rest:
-                self._merge(first, vc)
+        for table in (self.groups, self.values, self.violated):
+            for vc in [vc for vc in table if vc[0] not in rids]:
+                del table[vc]
+        self._rebuild({vc: own for vc, own in self.kept.items() if vc[0] in rids})
+
+    def _slide(self, pane: int) -> None:
+        self.pane, first = pane, (pane - 2) * self.step + 1
+        for vc, g in list(self.groups.items()):
+            if own := {t: v for t, v in g.items() if t >= first}:
+                self.groups[vc], self.values[vc] = own, Counter(own.values())
+            else:
+                del self.groups[vc], self.values[vc]
+        if self.mode == "basic":
+            self._rebuild({vc: dict(g) for vc, g in self.groups.items() if len(self.values[vc]) > 1})
+        else:
+            self.violated = {vc: p for vc, p in self.violated.items() if p >= pane - 1}
+            self._rebuild({vc: own for vc, own in self.kept.items() if vc in self.violated})
 
     def process(self, tid: int, value: str, groups: list[tuple[int, str]]) -> tuple[bool, bool, str | None]:
         """(violating, new to some rule, fix); groups: (rid, lhs) of each rule that sees the tuple."""
         if tid <= self.last:
             raise OrderError(f"tuple {tid} comes after {self.last}")
         self.last = tid
+        if self.mode != "none" and (pane := (tid - 1) // self.step + 1) != self.pane:
+            self._slide(pane)
         own, new = [], []
         for vc in groups:
-            g = self.groups.setdefault(vc, {})
+            g, values = self.groups.setdefault(vc, {}), self.values.setdefault(vc, Counter())
+            before = len(values)
             g[tid] = value
+            values[value] += 1
             if vc in self.root:
-                own.append(vc)
-                self.cells[self._find(vc)][tid] = value
+                self.cells[self._find(vc)][tid] = self.kept[vc][tid] = value
                 self.causes.setdefault(tid, set()).add(vc)
-            elif len(g) > 1 and value != next(iter(g.values())):
+            elif len(values) > 1:
+                self._add_cause(vc, dict(g))
+            if len(values) > 1:
                 own.append(vc)
-                new.append(vc)
-                self._add_cause(vc)
+                self.violated[vc] = self.pane
+                if before == 1:
+                    new.append(vc)
         if not own:
+            # Causes that the tuple links without violating, in cumulative mode.
+            for vc in list(self.causes.get(tid, ()))[1:]:
+                self._merge(vc, next(iter(self.causes[tid])))
             return False, False, None
-        for vc in own[1:]:
+        for vc in self.causes[tid]:
             self._merge(own[0], vc)
         early = self._fix(own[0], value) if self.immediate else None
         for vc in new:
-            for other in {x for t in self.groups[vc] for x in self.causes[t]}:
+            for other in {x for t in self.groups[vc] for x in self.causes.get(t, ())}:
                 self._merge(vc, other)
         return True, bool(new), early or self._fix(own[0], value)
 

@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from ..plans.cleaner import Cleaner
 
 
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltsieve-")
-
-
 def drain(spark: SparkSession, df: DataFrame, cleaner: Cleaner, name: str, batches: int = 3) -> DataFrame:
     """df in a few files by order of tid, read as a stream, repaired, and written as Parquet in the shared folder; the rows written."""
-    place = f"{shared_folder(spark)}/{name}"
+    place = f"{shared_dir(spark)}/{name}"
     last = df.agg(F.max("tid")).first()[0] or 0
     size = max(1, -(-last // batches))
     for i in range(batches):

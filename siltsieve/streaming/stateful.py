@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..errors import ConfigError
 from ..functions.rules import Rule, value
 from .machines import ClassMachine, GroupMachine
 
@@ -30,8 +29,6 @@ def repair_stream(sdf: DataFrame, rules: Sequence[Rule], mode: str = "none", ste
     by: dict[str, list[Rule]] = {}
     for r in rules:
         by.setdefault(r.rhs, []).append(r)
-    if mode != "none" and any(len(x) > 1 for x in by.values()):
-        raise ConfigError("rules that share a right-hand side are repaired without windows on streams")
     rids = {attr: {r.rid for r in own} for attr, own in by.items()}
     sides = []
     for attr, own in by.items():
@@ -42,7 +39,7 @@ def repair_stream(sdf: DataFrame, rules: Sequence[Rule], mode: str = "none", ste
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         whole = key[0].startswith("class:")
-        machine = pickle.loads(state.get[0]) if state.exists else ClassMachine(repair_mode == "immediate") if whole else GroupMachine(mode, step)
+        machine = pickle.loads(state.get[0]) if state.exists else ClassMachine(repair_mode == "immediate", mode, step) if whole else GroupMachine(mode, step)
         data = pd.concat(list(batches)).sort_values("tid")
         if whole:
             machine.keep_only(rids[key[0].removeprefix("class:")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -168,17 +170,56 @@ def test_rules_and_errors():
 
 
 def test_config(spark):
-    text = "# comment\nx.schema=kid,a,b,c\nx.window=x\nx.window.size=100\nx.rw=2\nx.delimiter=\\\\|\nx.rules=CFD,a,b,(c neq null);FD,a,c\nx.proposal.size=7\n"
+    text = "# comment\nx.schema=kid,a,b,c\nx.window=x\nx.window.size=100\nx.topology.rw=2\nkafka.data.delimiter=\\\\|\nx.rule.num=2\nx.rule.0=CFD,a,b,(c neq null)\n#x.rule.0=FD,b,c\nx.rule.1=FD,a,c\nx.rule.2=FD,c,a\nx.repair.proposal.size=7\nhdfs.window=false\n"
     c = parse_config(text)
     assert (c.mode, c.window_step, c.repair_mode, c.separator, c.proposal_size, len(c.rules)) == ("cumulative", 100, "immediate", "\\|", 7, 2)
     assert Cleaner.from_config(text.replace("x.window=x", "x.window=false")).step is None
-    for bad in ("x.window=false", text.replace("x.window=x", "x.window=odd"), text.replace("x.rw=2", "x.rw=9")):
+    bad = [text.replace("x.window=x", f"x.window={w}") for w in ("odd", "kafka", "hdfs")] + [text.replace("rw=2", "rw=9"), text.replace("x.schema", "x.columns"), text.replace("rule.num=2", "rule.num=4"), text.replace("size=100", "size=many"), text + "y.schema=a\n"]
+    for each in ("x.window=false", *bad):
         with pytest.raises(ConfigError):
-            parse_config(bad)
+            parse_config(each)
+    assert parse_config(text + "y.schema=a\n", "x").mode == "cumulative"
     with pytest.raises(ConfigError):
         repair.repair_rule(spark.range(1), RULE, "basic")
 
 
+def test_a_whole_configuration():
+    """All kinds of keys that a deployed job has, also those that mean nothing here."""
+    text = """job.topology.name=job
+job.topology.maxspoutpending=5000
+job.topology.spout.num=1
+
+# rw-basic 1, rw-ir 2, rw-dr 3
+job.topology.rw=3
+job.window=job
+job.window.size=2000000
+job.input=inputdata/sample
+#job.output=/elsewhere
+job.output=outputdata/sample_output
+job.topology.repair.worker.bolt.num=3
+job.repair.proposal.size=5
+job.schema=kid,item,store,ticket,store_name,item_id
+job.rule.num=3
+#job.rule.0=CFD,store,item_id,(store neq null)
+job.rule.0=CFD,item,item_id,(item neq null)
+job.rule.1=CFD,store,store_name,(store neq null)
+job.rule.2=CFD,ticket,store_name,(ticket neq null)
+#job.rule.3=CFD,item,store,(item neq null)
+hdfs.fs=hdfs://host:9000
+zookeeper.host=host:2181
+kafka.control.topic=control
+kafka.topic=data
+kafka.server=host
+kafka.server.port=9093
+#kafka.producer.msgnum
+kafka.data.delimiter=\\\\|
+"""
+    c = parse_config(text)
+    assert (c.mode, c.window_step, c.repair_mode, c.separator, c.proposal_size) == ("cumulative", 2_000_000, "delayed", "\\|", 5)
+    assert (c.input, c.output, c.topic, c.control_topic, c.servers) == ("inputdata/sample", "outputdata/sample_output", "data", "control", "host:9093")
+    assert [(r.lhs, r.rhs, r.cond_attr) for r in c.rules] == [("item", "item_id", "item"), ("store", "store_name", "store"), ("ticket", "store_name", "ticket")]
+
+
 def test_lines(spark):
     got = lines.parse_delimited(spark.createDataFrame([("1|a||",), ("x|b",), ("",)], "value string"), ["kid", "a", "b", "c"]).collect()
     assert [tuple(r) for r in got] == [(1, "a", "", ""), (None, "b", None, None), (None, None, None, None)]
@@ -209,8 +250,11 @@ def test_shared_side_streams_in_both_modes(spark):
         want = [m.process(t, v, [(0, k), (1, x)]) for t, (k, x, v) in enumerate(rows, 1)]
         got = drain(spark, df, Cleaner(rules, repair_mode=mode), f"shared_{mode}").orderBy("tid").collect()
         assert [(r.violating, r.is_new, r.fix) for r in got] == want
-    with pytest.raises(ConfigError):
-        Cleaner(rules, "basic", 5).repair_stream(df)
+    for mode in ("basic", "cumulative"):
+        m = ClassMachine(False, mode, 7)
+        want = [m.process(t, v, [(0, k), (1, x)]) for t, (k, x, v) in enumerate(rows, 1)]
+        got = drain(spark, df, Cleaner(rules, mode, 7), f"shared_{mode}_window").orderBy("tid").collect()
+        assert [(r.violating, r.is_new, r.fix) for r in got] == want
 
 
 def test_only_rule_attributes_are_read(spark, tmp_path):
@@ -230,13 +274,79 @@ def test_clean_tuples_stay_and_only_right_sides_change(spark):
     assert df.join(Cleaner([RULE]).repair(df).where(F.col("changed") & ~F.col("repaired")), "kid").count() == 0
 
 
-def test_windows_with_a_shared_right_hand_side_are_an_error(spark):
-    from siltsieve.errors import ConfigError
-    from siltsieve.functions.rules import parse_rule
-    from siltsieve.plans.cleaner import Cleaner
+def window_classes(rows: list[tuple], mode: str, step: int) -> dict[int, str]:
+    """kid -> fix by the classes at the end of each pane, for rules k -> v and l -> v over rows (k, l, v)."""
+    pane = {t: (t - 1) // step + 1 for t in range(1, len(rows) + 1)}
+    groups: dict[tuple, list[int]] = {}
+    for t, (k, x, _) in enumerate(rows, 1):
+        groups.setdefault((0, k), []).append(t)
+        groups.setdefault((1, x), []).append(t)
+    value = {t: r[2] for t, r in enumerate(rows, 1)}
+    out: dict[int, str] = {}
+    for w in range(1, max(pane.values()) + 1):
+        causes: dict[tuple, tuple[list[int], bool]] = {}
+        for vc, own in groups.items():
+            def violating(p: int, own: list[int] = own) -> bool:
+                return any(pane[t] == p for t in own) and len({value[t] for t in own if pane[t] in (p - 1, p)}) > 1
+
+            if mode == "basic":
+                live = [t for t in own if pane[t] in (w - 1, w)]
+                if len({value[t] for t in live}) > 1:
+                    causes[vc] = live, True
+            else:
+                end = w if violating(w) else w - 1 if violating(w - 1) else None
+                if end is not None:
+                    birth = end
+                    while violating(birth - 1):
+                        birth -= 1
+                    causes[vc] = [t for t in own if birth - 1 <= pane[t] <= w], end == w
+        parts = [({vc}, set(live)) for vc, (live, _) in causes.items()]
+        merged = True
+        while merged:
+            merged = False
+            for i in range(len(parts)):
+                for j in range(i + 1, len(parts)):
+                    if parts[i][1] & parts[j][1]:
+                        parts[i] = parts[i][0] | parts[j][0], parts[i][1] | parts[j][1]
+                        del parts[j]
+                        merged = True
+                        break
+                if merged:
+                    break
+        for vcs, live in parts:
+            counts = Counter(value[t] for t in live)
+            for t in live:
+                if pane[t] == w and any(bad and t in own for vc in vcs for own, bad in [causes[vc]]):
+                    out[t] = decide(counts, value[t])
+    return out
 
-    df = spark.createDataFrame([(1, 1, "a", "b", "x"), (2, 2, "a", "b", "y")], "kid long, tid long, p string, q string, v string")
-    rules = [parse_rule(0, "FD,p,v"), parse_rule(1, "FD,q,v")]
-    with pytest.raises(ConfigError):
-        Cleaner(rules, mode="basic", step=10).fixes(df)
-    assert Cleaner(rules).fixes(df).count() == 2
+
+@pytest.mark.parametrize("mode", ["basic", "cumulative"])
+def test_windows_with_a_shared_right_hand_side(spark, mode):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = [(r.choice("pqrstuvw"), r.choice("abcdefgh"), r.choice("xxxxyz")) for _ in range(70)]
+        rules = [Rule(0, "k", "v"), Rule(1, "l", "v")]
+        got = {x.kid: x.fix for x in Cleaner(rules, mode, 6).fixes(frame(spark, rows, "k string, l string, v string")).collect()}
+        assert got == window_classes(rows, mode, 6)
+
+
+@pytest.mark.parametrize("mode", ["basic", "cumulative"])
+def test_window_machine_of_shared_sides(mode):
+    """The last tuple of a pane is decided by the classes as they stand at its end; a lone rule gives what its group machine gives; state is let go."""
+    import random
+
+    for seed in range(60):
+        r = random.Random(seed)
+        rows = [(r.choice("pqrstuvw"), r.choice("abcdefgh"), r.choice("xxxxyz")) for _ in range(70)]
+        m = ClassMachine(False, mode, 6)
+        got = {t: m.process(t, v, [(0, k), (1, x)]) for t, (k, x, v) in enumerate(rows, 1)}
+        for t in range(6, 71, 6):
+            want = window_classes(rows[:t], mode, 6)
+            assert got[t][0] == (t in want) and got[t][2] == want.get(t)
+        assert all(t > 70 - 12 for g in m.groups.values() for t in g)
+        one, own = ClassMachine(False, mode, 6), {}
+        for t, (k, _, v) in enumerate(rows, 1):
+            assert one.process(t, v, [(0, k)]) == own.setdefault(k, GroupMachine(mode, 6)).process(t, v)
