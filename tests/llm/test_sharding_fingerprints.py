@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -37,13 +38,31 @@ def test_shards(spark):
     assert max(loads.values()) <= max(4 / 3 * sum(loads.values()) / 24, max(groups.values())) * 1.05
 
 
-def test_heap_and_bundles(spark):
-    assert least_loaded([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
-    rows = shard(spark.range(60_000).selectExpr("id as doc_id", "concat('t', id) as text")).collect()
-    loads = Counter()
-    for r in rows:
-        loads[r.shard] += r["size"]
-    assert len(rows) == 60_000 and max(loads.values()) < 1.01 * min(loads.values())
+def plain_schedule(sizes: list[int], n: int) -> list[int]:
+    """Loads after each group, the largest first, went to the shard with the least."""
+    loads = [0] * n
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
+def test_schedule_is_that_of_all_groups(spark):
+    assert least_loaded([(5, 1), (4, 1), (3, 2)], 2) == [(5, [1, 0]), (4, [0, 1]), (3, [1, 1])]
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.choice([1, 2, 5, 24])
+        sizes = {r.randint(1, r.choice([3, 60, 2000])): r.choice([1, 2, 30, 400]) for _ in range(r.choice([1, 4, 40]))}
+        got = least_loaded(list(sizes.items()), n)
+        assert {s: sum(c) for s, c in got} == sizes
+        assert [sum(s * c[i] for s, c in got) for i in range(n)] == plain_schedule([s for s, k in sizes.items() for _ in range(k)], n)
+    for docs in (documents(spark), spark.range(60_000).selectExpr("id as doc_id", "concat('t', id) as text")):
+        rows = shard(docs).collect()
+        groups, loads = Counter(), Counter()
+        for x in docs.collect():
+            groups[x.text or ""] += len((x.text or "").encode()) + 8
+        for x in rows:
+            loads[x.shard] += x["size"]
+        assert [loads[i] for i in range(24)] == plain_schedule(list(groups.values()), 24)
 
 
 def test_fingerprints(spark):
