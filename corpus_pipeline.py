@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltsieve.llm import stages
-from siltsieve.llm._shared import shared_dir, table
+from siltsieve.llm._shared import Scratch, table
 
 STAGES = stages.STAGES
 
@@ -15,10 +15,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the table documents."""
-    import uuid
-
-    docs, place = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
-        docs = spark.read.parquet(f"{place}/{k}")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop(but=docs)
     return docs

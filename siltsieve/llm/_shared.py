@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
@@ -13,25 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["Scratch", "byte_slices", "cut", "evict", "memo", "release", "shared_dir", "table", "text_or_empty", "texts", "whole_keys"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        if not (found := spark.sparkContext.getCheckpointDir()):
-            found = tempfile.mkdtemp(prefix="siltsieve-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared folder; a lost executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Scratch:
@@ -83,12 +72,22 @@ def memo(f: Callable) -> Callable:
     return get
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda n: 0
+
+
 def evict(but: Callable | None = None) -> None:
-    """Let go of what other operators keep in this worker, so that their memory does not add up."""
+    """Let go of what other operators keep in this worker, and of memory that only its allocators hold, so that these don't add up."""
     for f in _memos:
         if f is not but and f.cache_info().currsize:
             f.cache_clear()
             gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def byte_slices(sizes: list[int], limit: int) -> list[tuple[int, int]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, release, text_or_empty, texts
-from .ngram_jaccard import BLOCK_ROWS, Rows, Sets, block_key, by_lead, few, keyed, linked_components, named, rows_of, sets_of, shared_lists
+from .ngram_jaccard import BLOCK_ROWS, SEEN, Rows, Sets, block_key, by_lead, few, keyed, linked_components, named, rows_of, sets_of, shared_lists
 from .wordhash import Words, mix, shingles
 
 SLICE_BYTES = 1 << 20
@@ -154,7 +154,7 @@ def band_lists(docs: DataFrame, k: int, n_hashes: int, scratch: Scratch) -> Data
                 if n and name not in seen:
                     seen.add(name)
                     new.append(i)
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             if not new:
                 continue

@@ -60,7 +60,9 @@ GUESTS = 512
 #: A table of at most so many rows of a few numbers is broadcast, a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Rows and pairs that a task holds at once.
-CHUNK, PAIRS_AT_ONCE = 1 << 20, 1 << 19
+CHUNK, PAIRS_AT_ONCE = 1 << 18, 1 << 18
+#: Names of sets that a task remembers, to send each once.
+SEEN = 200_000
 NO_ID = -(1 << 63)
 #: Bits of the filter that says which rows' sets are wanted.
 FILTER_BITS = 1 << 25
@@ -131,11 +133,11 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
             for name in s.names.tolist():
                 new.append(name not in seen)
                 seen.add(name)
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             held.append(s.values[np.repeat(np.array(new), s.counts)])
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield flush()
                 size = 0
         if size:
@@ -210,7 +212,7 @@ def postings(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:  # n
                 first = own[~mark][:p]
                 rows.append(first if len(first) == p else np.concatenate([first, own[mark][: p - len(first)]]))
                 nodes.append(i)
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             if rows:
                 lens = np.array([len(x) for x in rows])
@@ -493,7 +495,7 @@ def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
                 data.append(s.of(i).tobytes() if h and n and name not in seen else None)
                 if data[-1]:
                     seen.add(name)
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(s.counts.astype(np.int64)), pa.array([x if n else None for x, n in zip(s.names.tolist(), s.counts.tolist(), strict=True)], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "key", "size", "node", "data"])
 
@@ -519,7 +521,7 @@ class Block:
     def links(self, component: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(component, component) of similar rows, each two once a step."""
         k = len(self.sizes)
-        step = max(1, min(len(sets), (CHUNK // k) // max(1, int(max(len(x) for x in sets)))))
+        step = max(1, min(len(sets), ((1 << 20) // k) // max(1, int(max(len(x) for x in sets)))))
         for a in range(0, len(sets), step):
             some = sets[a : a + step]
             sizes = np.array([len(x) for x in some], np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._shared import byte_slices, evict, text_or_empty, texts, whole_keys
 from .wordhash import BASE, SPACE, Words, mix
 
-SLICE_BYTES, CHUNK = 4 << 20, 1 << 19
+SLICE_BYTES, CHUNK = 1 << 20, 1 << 18
 #: 20 + 2 * 15 = 50 words.
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 15
 NO_ID = -(1 << 63)

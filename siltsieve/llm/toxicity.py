@@ -40,7 +40,7 @@ PART = 4096
 #: A term's weight is multiplied by LEAST_FACTOR + r / (r + HALF ** 2), r the square of its correlation with the label.
 LEAST_FACTOR, HALF = 0.05, 0.117
 #: Terms of at least one in FULL examples have full rows; so many texts are compared at once.
-FULL, TEXTS = 16, 128
+FULL, TEXTS = 16, 32
 NEIGHBOURS, SHOWN, THRESHOLD = 16, 3, 0.7
 PREFIXES = (4,)
 BETWEEN = np.ones(256, bool)
