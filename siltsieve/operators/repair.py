@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..functions.rules import Rule
+from ..functions.shared import cut
 from .detect import members, turning_points
 
 #: Tuples to a chunk where there is no window.
@@ -49,7 +50,8 @@ def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None
         raise ConfigError(f"unknown window mode {mode}")
     if (mode == "none") == bool(step):
         raise ConfigError("a window needs a step, and only a window has one")
-    rows = members(df, rule, step)
+    # They are read several times below; the order of tuples behind them is computed once.
+    rows = cut(members(df, rule, step))
     turns = turning_points(rows, bool(step)).select("l", "p", "t2")
     rows = rows.join(turns, ["l", "p"], "left").withColumn("violating", F.coalesce(F.col("tid") >= F.col("t2"), F.lit(False))).drop("t2")
     if mode == "none":

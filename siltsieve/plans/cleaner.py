@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule
+from ..functions.shared import cut
 from ..operators import classes, repair
 from ..operators.detect import clean, detect_all
 from .config import parse_config
@@ -46,6 +47,8 @@ class Cleaner:
         by: dict[str, list[Rule]] = {}
         for r in self.rules:
             by.setdefault(r.rhs, []).append(r)
+        if len(self.rules) > 1:
+            df = cut(df.select("kid", "tid", *[c for c in dict.fromkeys(a for r in self.rules for a in r.attributes) if c not in ("kid", "tid")]))
         out = None
         for attr, own in by.items():
             if len(own) == 1:

@@ -1,4 +1,4 @@
-"""Rows, rates and durations of running queries."""
+"""Rows, rates, durations and failures of running queries."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ class Throughput(StreamingQueryListener):
 
     def __init__(self) -> None:
         self.batches: list[tuple[int, int, float, int]] = []
+        self.failures: list[str] = []
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
         pass
@@ -22,8 +23,15 @@ class Throughput(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
-        pass
+        if event.exception:
+            self.failures.append(event.exception)
 
     @property
     def rows(self) -> int:
         return sum(b[1] for b in self.batches)
+
+    def report(self) -> dict[str, float]:
+        """Totals so far: batches, rows, failures, rows a second while batches ran, and the 95th percentile of their milliseconds."""
+        took = sorted(b[3] for b in self.batches)
+        seconds = sum(took) / 1000
+        return {"batches": len(took), "rows": self.rows, "failures": len(self.failures), "rows_per_second": self.rows / seconds if seconds else 0.0, "p95_ms": took[min(len(took) - 1, int(0.95 * len(took)))] if took else 0}

@@ -40,14 +40,19 @@ def repair_stream(sdf: DataFrame, rules: Sequence[Rule], mode: str = "none", ste
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         whole = key[0].startswith("class:")
         machine = pickle.loads(state.get[0]) if state.exists else ClassMachine(repair_mode == "immediate", mode, step) if whole else GroupMachine(mode, step)
-        data = pd.concat(list(batches)).sort_values("tid")
+        held = list(batches)
+        data = held[0] if len(held) == 1 else pd.concat(held)
+        if len(data) > 1:
+            data = data.sort_values("tid")
         if whole:
             machine.keep_only(rids[key[0].removeprefix("class:")])
-        out = []
-        for kid, tid, attr, r, groups in zip(data.kid, data.tid, data.attr, data.r, data.groups, strict=True):
-            got = machine.process(int(tid), r, [(int(g["rid"]), g["l"]) for g in groups]) if whole else machine.process(int(tid), r)
-            out.append((kid, tid, attr, *got))
+        tids, values = data["tid"].tolist(), data["r"].tolist()
+        if whole:
+            got = [machine.process(t, r, [(int(g["rid"]), g["l"]) for g in groups]) for t, r, groups in zip(tids, values, data["groups"], strict=True)]
+        else:
+            got = [machine.process(t, r) for t, r in zip(tids, values, strict=True)]
         state.update((pickle.dumps(machine),))
-        yield pd.DataFrame(out, columns=["kid", "tid", "attr", "violating", "is_new", "fix"])
+        violating, new, fix = zip(*got, strict=True)
+        yield pd.DataFrame({"kid": data["kid"].to_numpy(), "tid": tids, "attr": data["attr"].to_numpy(), "violating": violating, "is_new": new, "fix": fix})
 
     return rows.groupBy("key").applyInPandasWithState(run, OUT, "machine binary", "append", GroupStateTimeout.NoTimeout)

@@ -350,3 +350,53 @@ def test_window_machine_of_shared_sides(mode):
         one, own = ClassMachine(False, mode, 6), {}
         for t, (k, _, v) in enumerate(rows, 1):
             assert one.process(t, v, [(0, k)]) == own.setdefault(k, GroupMachine(mode, 6)).process(t, v)
+
+
+def job_config(tmp_path, window: str = "false") -> str:
+    return f"x.schema=key,zip,city\nx.window={window}\nx.window.size=50\nx.rule.num=1\nx.rule.0=CFD,zip,city,(zip neq null)\nx.input={tmp_path}/in\nx.output={tmp_path}/out\nkafka.data.delimiter=\\\\|\n"
+
+
+def test_a_job_from_lines_to_lines(spark, tmp_path):
+    from siltsieve.plans.job import run_batch
+
+    rows = [(i, "pq"[i % 2], "b" if i == 7 else "a") for i in range(1, 12)] + [(12, "null", "c"), (13, "", "d")]
+    spark.createDataFrame([("|".join(map(str, r)),) for r in rows], "value string").write.text(f"{tmp_path}/in")
+    run_batch(spark, job_config(tmp_path))
+    got = sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect())
+    assert got == sorted("|".join(map(str, (i, z, "a" if i == 7 else c))) for i, z, c in rows)
+    with pytest.raises(ConfigError):
+        run_batch(spark, job_config(tmp_path).replace("x.input", "x.other"))
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_a_stream_job_and_its_metrics(spark, tmp_path, bad):
+    import time
+
+    from siltsieve.plans.job import start_stream
+    from siltsieve.streaming.metrics import Throughput
+
+    rows = [(i, "pq"[i % 2], "xyz"[i * i % 7 % 3]) for i in range(1, 41)]
+    keys = [1 if bad else r[0] for r in rows]  # equal keys are out of order
+    spark.createDataFrame([(f"{k}|{z}|{c}",) for k, (_, z, c) in zip(keys, rows, strict=True)], "value string").coalesce(1).write.text(f"{tmp_path}/in")
+    seen = Throughput()
+    spark.streams.addListener(seen)
+    try:
+        q = start_stream(spark, job_config(tmp_path, "basic"), lines=lines.stream_lines(spark, f"{tmp_path}/in"), name=f"job-{bad}-{tmp_path.name}")
+        if bad:
+            with pytest.raises(Exception):  # noqa: B017
+                q.awaitTermination()
+        else:
+            q.awaitTermination()
+        for _ in range(100):
+            if seen.failures if bad else seen.rows >= 40:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    if bad:
+        assert seen.report()["failures"] == 1
+        return
+    assert seen.report()["rows"] == 40 and seen.report()["failures"] == 0 and seen.report()["rows_per_second"] > 0
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("tid").collect()
+    machines = {z: GroupMachine("basic", 50) for z in "pq"}
+    assert [(r.violating, r.is_new, r.fix) for r in got] == [machines[z].process(i, c) for i, z, c in rows]
