@@ -1,32 +1,34 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model file is parsed here (protocol buffer wire format), and a tokenizers.Tokenizer is rebuilt
-from it: normaliser, metaspace marker, unigram scores or BPE merges, byte fallback. Batches are
-encoded by the library's threads, as many as a task has cores.
+from it: normaliser, metaspace marker, unigram scores or BPE merges, byte fallback. It encodes
+batches of texts in the library's threads.
 
-Verified parity: everything the rebuilt tokenizer encodes is also encoded by sentencepiece, once
-for each distinct chunk of text; where they differ (the library breaks ties between merges of
-equal score in another order) the ids of sentencepiece stand and the difference is counted.
+Verified parity: sentencepiece encodes every text, too. Where a text's ids differ (the library breaks
+ties between merges of equal score in another order) those of sentencepiece stand, and the text is
+marked as unequal.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, memo, text_or_empty, texts
-from .chunk_cache import ChunkCache, joined_encoder, sums
+from ._shared import memo, text_or_empty, text_slices
+from .chunk_cache import sums
 
 MARK = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Threads of the libraries for a task of one core: batches end in single texts, while others wait.
+THREADS = 2
 #: Kinds of pieces and models, as the model format numbers them.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -95,7 +97,7 @@ class Model:
         found = [(-score, i, k) for i, (p, score, kind) in enumerate(self.pieces) if p in known for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
         return [(self.pieces[i][0][:k], self.pieces[i][0][k:]) for _, i, k in sorted(found)]
 
-    def tokenizer(self, normalise: bool = True):
+    def tokenizer(self):
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
@@ -105,13 +107,12 @@ class Model:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
             out = Tokenizer(models.BPE(vocab=vocab, merges=self.merges(), unk_token=self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback))
         steps = []
-        if normalise:
-            if self.charsmap:
-                steps.append(normalizers.Precompiled(self.charsmap))
-            if self.remove_extra_whitespaces:
-                steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
-            if self.add_dummy_prefix:
-                steps.append(normalizers.Prepend(MARK))
+        if self.charsmap:
+            steps.append(normalizers.Precompiled(self.charsmap))
+        if self.remove_extra_whitespaces:
+            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        if self.add_dummy_prefix:
+            steps.append(normalizers.Prepend(MARK))
         if self.escape_whitespaces:
             steps.append(normalizers.Replace(" ", MARK))
         if steps:
@@ -120,85 +121,33 @@ class Model:
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
         return out
 
-    @property
-    def cuts_at_spaces(self) -> bool:
-        """Whether text may be cut before any run of spaces: no piece crosses such a place, and spaces are kept as they are."""
-        whole = not self.charsmap and self.add_dummy_prefix and not self.remove_extra_whitespaces and self.escape_whitespaces and self.byte_fallback
-        return whole and not any(re.search(f"[^{MARK}]{MARK}", p) or " " in p for p, _, _ in self.pieces)
-
-    @property
-    def cuts_at_line_ends(self) -> bool:
-        return self.cuts_at_spaces and not any("\n" in p for p, _, _ in self.pieces)
-
 
 class Codec:
-    def __init__(self, path: str, threads: int = 1) -> None:
+    def __init__(self, path: str, threads: int = THREADS) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         import sentencepiece
 
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
-        self.whole, bare = self.model.tokenizer(), self.model.tokenizer(normalise=False)
-        self.lines = self.model.cuts_at_line_ends
-        self.memo = self.model.cuts_at_spaces
-        starts = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
-        self.encode_chunks = joined_encoder(bare, self._shown, lambda t: t.startswith(MARK) and t[1:].isalpha(), starts, at_end=False)
-        self.cache = ChunkCache(self._checked)
+        self.whole = self.model.tokenizer()
         table = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.piece_lens = np.array([len(x) for x in table], np.int64)
         self.piece_starts = np.cumsum(self.piece_lens) - self.piece_lens
         self.piece_bytes = np.frombuffer(b"".join(table), np.uint8)
 
-    @staticmethod
-    def _shown(chunk: bytes) -> str:
-        """A key stands for the chunk after one space; one that starts with a line end has no space before it, NUL marks one that has."""
-        text = chunk.decode(errors="replace")
-        return text if text[:1] == "\n" else MARK + text.removeprefix("\x00").replace(" ", MARK)
-
-    def _checked(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, lens = self.encode_chunks(chunks)
-        plain = [x.decode(errors="replace") for x in chunks]
-        # sentencepiece puts a space before any text but the empty one; before a line end that is a piece of its own.
-        want = [w[1:] if t[:1] == "\n" else w for t, w in zip(plain, self.judge.encode([t.removeprefix("\x00") for t in plain], num_threads=self.threads), strict=True)]
-        if b"" in chunks:
-            want[chunks.index(b"")] = self.whole.encode("\n").ids[:1] if self.lines else [self.judge.piece_to_id(MARK)]
-        want_lens = np.fromiter(map(len, want), np.int32, len(want))
-        want_flat = np.fromiter((i for w in want for i in w), np.int32, int(want_lens.sum()))
-        if np.array_equal(lens, want_lens) and np.array_equal(flat, want_flat):
-            return flat, lens, np.zeros(len(lens), bool)
-        got = np.split(flat, np.cumsum(lens)[:-1])
-        return want_flat, want_lens, np.array([g.tolist() != w for g, w in zip(got, want, strict=True)])
-
     def ids(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each, chunks of each that the rebuilt tokenizer gave other ids)."""
-        parts: list[list[bytes] | None] = []
-        for text in own:
-            if not self.memo or b"\x00" in text or MARK.encode() in text:
-                parts.append(None)
-            elif not text:
-                parts.append([])
-            elif b"  " in text or b" \n" in text or text[:1] in (b" ", b"\n"):
-                parts.append([b"\x00" + x[1:] if x[1:2] == b"\n" else x[1:] for x in re.findall(rb" +[^ ]*", b" " + text)])
-            else:
-                parts.append((text.replace(b"\n", b" \n") if self.lines else text).split(b" "))
-        known = [p for p in parts if p is not None]
-        rows = self.cache.rows([x for p in known for x in p])
-        flat, lens = self.cache.ids(rows)
-        chunks = [len(p) for p in known]
-        counts, unequal = sums(lens, chunks), sums(self.cache.flags[rows], chunks)
-        if len(known) == len(own):
-            return flat, counts, unequal
-        pieces = iter(zip(np.split(flat, np.cumsum(counts)[:-1]), unequal.tolist(), strict=True) if known else [])
-        both = [self._direct(text) if p is None else next(pieces) for text, p in zip(own, parts, strict=True)]
-        return np.concatenate([x for x, _ in both]).astype(np.int32), np.array([len(x) for x, _ in both], np.int64), np.array([n for _, n in both], np.int64)
-
-    def _direct(self, text: bytes) -> tuple[np.ndarray, int]:
-        shown = text.decode(errors="replace")
-        got, want = self.whole.encode(shown, add_special_tokens=False).ids, self.judge.encode(shown)
-        return np.array(want, np.int32), int(got != want)
+        """(ids of all texts one after another, number of ids of each, 1 for each to which the rebuilt tokenizer gave other ids)."""
+        shown = [x.decode(errors="replace") for x in own]
+        got = [e.ids if x else [] for x, e in zip(own, self.whole.encode_batch_fast(shown, add_special_tokens=False), strict=True)]
+        want = self.judge.encode(shown, num_threads=self.threads)
+        unequal = np.array([g != w for g, w in zip(got, want, strict=True)], np.int64)
+        for i in np.flatnonzero(unequal).tolist():
+            got[i] = want[i]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum())), counts, unequal
 
     def texts(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The inverse of ids(): the bytes that the pieces stand for, gathered from a table."""
@@ -214,31 +163,30 @@ class Codec:
 
 
 @memo
-def codec(path: str, threads: int = 1) -> Codec:
-    """One to a worker, which keeps its memo from task to task."""
+def codec(path: str, threads: int = THREADS) -> Codec:
+    """One to a worker, kept from task to task."""
     return Codec(path, threads)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int | None = None) -> DataFrame:
     """(id, ids array<int>, decoded string, unequal long) of every row of docs.
 
-    decoded: the text that the ids stand for. unequal: to how many chunks of the text the rebuilt
-    tokenizer gives other ids than sentencepiece; ids are always those of sentencepiece.
+    decoded: the text that the ids stand for. ids: of the rebuilt tokenizer; where those of
+    sentencepiece are others, unequal is 1 and they stand.
 
     Edge cases: a null text counts as empty and has no ids; an empty table gives an empty result;
     repeated rows are encoded each; further columns, also any named like the results, are left out.
     """
-    cores = threads or int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
+    cores = threads or max(THREADS, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path, cores)
         for batch in batches:
-            own = texts(batch)
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                flat, counts, unequal = c.ids(own[a:b])
+            for some, own in text_slices(batch, SLICE_BYTES):
+                flat, counts, unequal = c.ids(own)
                 back = c.texts(flat, counts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(back, pa.binary()).cast(pa.string()), pa.array(unequal)], ["doc_id", "ids", "decoded", "unequal"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(back, pa.binary()).cast(pa.string()), pa.array(unequal)], ["doc_id", "ids", "decoded", "unequal"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string, unequal long").withColumnRenamed("doc_id", id_col)

@@ -43,13 +43,17 @@ def test_every_odd_pair_of_texts():
 
 
 def test_memo_that_overflows_and_long_texts():
-    tok, counter = Tokenizer.from_file(BYTE), ByteLevelCounter(BYTE)
-    counter.cache.limit = 5
+    words, tok = WordPieceIds(WORD), Tokenizer.from_file(WORD)
+    words.cache.limit = 5
     for x in ODD:
-        assert counter.counts([x.encode()]).tolist() == [len(tok.encode(x, add_special_tokens=False))]
-    text = ("some   words, and more\n" * 3000).encode()
+        assert words.ids([x.encode()])[0].tolist() == tok.encode(x, add_special_tokens=False).ids
+    tok = Tokenizer.from_file(BYTE)
+    both = [a[:60] + b[:60] for a in ODD for b in ODD]
+    for size in (1, 7, 40):
+        assert ByteLevelCounter(BYTE, size, 100).counts([x.encode() for x in both]).tolist() == [len(tok.encode(x, add_special_tokens=False)) for x in both]
+    text = ("some   words, and more\n" * 3000).encode()
     assert b"".join(safe_pieces(text, 1000)) == text
-    assert counter.counts([text])[0] == len(tok.encode(text.decode(), add_special_tokens=False))
+    assert ByteLevelCounter(BYTE, 1000).counts([text])[0] == len(tok.encode(text.decode(), add_special_tokens=False))
 
 
 @pytest.mark.parametrize("n_open", [1, 8])
