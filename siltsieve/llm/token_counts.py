@@ -1,7 +1,8 @@
 """Token counts of whole texts.
 
-Texts come in Arrow batches; each batch is dealt into slices of about equal bytes, so that neither
-many short nor a few long texts make a slice large, and only lengths leave the worker.
+Texts come in Arrow batches. Long ones are cut at safe boundaries, and all pieces are encoded in
+batches of about equal bytes, so that neither many short nor a few long texts make a batch large; only
+lengths leave the worker.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty result;
 repeated rows are counted each; further columns, also any named like the results, are left out.
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, text_or_empty, texts
+from ._shared import text_or_empty, text_slices
 from .tokenizer_chunks import byte_level_counter
 
 SLICE_BYTES = 4 << 20
@@ -27,10 +28,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, over: int = 512, id_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = byte_level_counter(tokenizer_path)
         for batch in batches:
-            own = texts(batch)
-            sizes = [len(x) for x in own]
-            n = [int(k) for a, b in byte_slices(sizes, SLICE_BYTES) for k in counter.counts(own[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for some, own in text_slices(batch, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(counter.counts(own))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")

@@ -1,4 +1,4 @@
-"""The two pre-tokenizers whose chunk boundaries the operators rely on, on top of ChunkCache."""
+"""The two tokenizers whose boundaries the operators rely on: to cut long texts, and to remember chunks (ChunkCache)."""
 
 from __future__ import annotations
 
@@ -7,16 +7,9 @@ import re
 
 import numpy as np
 
-from ._shared import memo
+from ._shared import byte_slices, memo
 from .chunk_cache import ChunkCache, joined_encoder, sums
 
-#: White space outside ASCII, by its UTF-8 bytes; a text that has some is encoded without the memo.
-OTHER_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-GENERAL_PUNCTUATION = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
-#: Where white space stands beside white space or at an end, the split by single spaces would not be exact.
-UNEVEN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
-#: A chunk with the white space before it.
-CHUNK = re.compile(rb"[ \n\t\r\x0b\x0c]*[^ \n\t\r\x0b\x0c]+|[ \n\t\r\x0b\x0c]+")
 #: A safe place to cut a text: before a space or line end that follows a visible ASCII character.
 SAFE = re.compile(rb"(?<=[!-~])(?=[ \n])")
 
@@ -41,57 +34,22 @@ def safe_pieces(text: bytes, limit: int) -> list[bytes]:
     return [*out, text[a:]]
 
 
-def has_other_space(text: bytes) -> bool:
-    return any(x in text for x in OTHER_SPACE) or b"\xe2\x80" in text and GENERAL_PUNCTUATION.search(text) is not None
-
-
-def is_uneven(text: bytes) -> bool:
-    return any(x in text for x in UNEVEN) or text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n")
-
-
 class ByteLevelCounter:
     """Numbers of tokens of a byte-level BPE whose pattern lets a token hold a space only at its start.
 
-    A boundary from a visible character to white space is then always a boundary of tokens. In a
-    text with single spaces and line ends, " word" and "\\nword" are such chunks.
+    A boundary from a visible character to white space is then always a boundary of tokens, so long
+    texts are cut there, and all pieces are encoded in batches of about equal bytes.
     """
 
-    def __init__(self, path: str, piece_bytes: int = 16_384) -> None:
-        self.tokenizer, self.piece_bytes = load(path), piece_bytes
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        mark = np.zeros(max(vocab.values()) + 1, bool)
-        mark[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        shown = lambda x: (x if x[:1] in (b"\n", b"\x00") else b" " + x).decode(errors="replace").removeprefix("\x00")
-        plain = lambda t: t[0] == " " and t[1:].isalpha()
-        self.cache = ChunkCache(joined_encoder(self.tokenizer, shown, plain, mark, at_end=False), keep_ids=False)
+    def __init__(self, path: str, piece_bytes: int = 16_384, batch_bytes: int = 1 << 18) -> None:
+        self.tokenizer, self.piece_bytes, self.batch_bytes = load(path), piece_bytes, batch_bytes
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        chunks: list[bytes] = []
-        held: list[tuple[int, int, int]] = []  # text, number of its chunks, correction
-        direct: list[tuple[int, bytes]] = []
-        for i, text in enumerate(texts):
-            if has_other_space(text) or b"\x00" in text:
-                direct += [(i, p) for p in safe_pieces(text, self.piece_bytes)]
-            elif not text:
-                continue
-            elif is_uneven(text):
-                # As found, so marked by NUL that no text here holds.
-                own = [b"\x00" + x for x in CHUNK.findall(text)]
-                chunks += own
-                held.append((i, len(own), 0))
-            else:
-                own = (b"\n" + text).replace(b"\n", b" \n").split(b" ")[1:]
-                chunks += own
-                held.append((i, len(own), -1))  # for the line end put before the text
-        if held:
-            which, n, less = zip(*held, strict=True)
-            rows = self.cache.rows(chunks)
-            out[list(which)] = sums(self.cache.lens[rows], n) + less
-        for a in range(0, len(direct), 64):
-            part = direct[a : a + 64]
-            for (i, _), e in zip(part, self.tokenizer.encode_batch_fast([p.decode(errors="replace") for _, p in part], add_special_tokens=False), strict=True):
-                out[i] += len(e)
+        pieces = [(i, p) for i, text in enumerate(texts) for p in safe_pieces(text, self.piece_bytes)]
+        for a, b in byte_slices([len(p) for _, p in pieces], self.batch_bytes):
+            encoded = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for _, p in pieces[a:b]], add_special_tokens=False)
+            np.add.at(out, [i for i, _ in pieces[a:b]], [len(e) for e in encoded])
         return out
 
 
@@ -115,7 +73,7 @@ class WordPieceIds:
 
 @memo
 def byte_level_counter(path: str) -> ByteLevelCounter:
-    """One to a worker, which keeps its memo from task to task."""
+    """One to a worker, kept from task to task."""
     return ByteLevelCounter(path)
 
 
