@@ -10,13 +10,13 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_dir
 
-
-__all__ = ["Scratch", "byte_slices", "cut", "evict", "memo", "release", "shared_dir", "table", "text_or_empty", "texts", "whole_keys"]
+__all__ = ["Scratch", "byte_slices", "cut", "evict", "memo", "release", "shared_dir", "table", "text_or_empty", "text_slices", "texts", "whole_keys"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,14 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
+def text_slices(batch: pa.RecordBatch, limit: int, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """batch in slices of about limit bytes of text, each with its texts; only these are copied, slice by slice."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist()
+    for a, b in byte_slices(sizes, limit):
+        rows = batch.slice(a, b - a)
+        yield rows, texts(rows, name)
+
+
 def whole_keys(batches: Iterator[pa.RecordBatch], name: str, least: int) -> Iterator[list[pa.RecordBatch]]:
     """Batches that come sorted by a column of whole numbers, put together so that each has all rows of its keys, and at least so many rows but for the last."""
     held: list[pa.RecordBatch] = []

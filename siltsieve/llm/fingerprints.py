@@ -82,7 +82,7 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     heads = sorted((r.bucket, r.key) for r in bucketed(ids).groupBy("bucket").agg(F.max("key").alias("key")).collect())  # one for each range
     above = [heads[(i + 1) % len(heads)][0] for i in range(len(heads))]
-    table = spark.createDataFrame([(b, h, a) for (b, h), a in zip(heads, above, strict=True)], "bucket int, head long, above int")
+    table = spark.createDataFrame(pa.table({"bucket": pa.array([b for b, _ in heads], pa.int32()), "head": pa.array([h for _, h in heads], pa.int64()), "above": pa.array(above, pa.int32())}))
     to = F.array(F.struct("bucket", F.lit(0).alias("last")))
     both = F.when(F.col("key") == F.col("head"), F.concat(to, F.array(F.struct(F.col("above").alias("bucket"), F.lit(1).alias("last"))))).otherwise(to)
     rows = bucketed(rows).join(F.broadcast(table), "bucket").withColumn("to", F.explode(both)).select("to.*", "doc_id", "key", "text")

@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._shared import Scratch, byte_slices, evict, release, text_or_empty, texts, whole_keys
+from ._shared import Scratch, byte_slices, evict, release, text_or_empty, text_slices, whole_keys
 from .wordhash import Words, distinct, mix, shingles
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: The table of frequent columns holds at most so many, and none with fewer rows than LEAST_FREQUENT.
 MOST_FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 #: A frequent column with more rows is dealt into blocks of about so many.
@@ -60,7 +60,7 @@ GUESTS = 512
 #: A table of at most so many rows of a few numbers is broadcast, a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Rows and pairs that a task holds at once.
-CHUNK, PAIRS_AT_ONCE = 1 << 18, 1 << 18
+CHUNK, PAIRS_AT_ONCE = 1 << 17, 1 << 17
 #: Names of sets that a task remembers, to send each once.
 SEEN = 200_000
 NO_ID = -(1 << 63)
@@ -99,9 +99,8 @@ class Sets:
 def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, Sets]]:
     evict()
     for batch in batches:
-        own = texts(batch)
-        for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-            yield batch.slice(a, b - a), Sets(own[a:b], k)
+        for rows, own in text_slices(batch, SLICE_BYTES):
+            yield rows, Sets(own, k)
 
 
 #: Columns are counted by the first KEY_BITS of their hashes: PART_BITS give the part of the range, 32 are stored.
@@ -137,7 +136,7 @@ def count_columns(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 seen.clear()
             held.append(s.values[np.repeat(np.array(new), s.counts)])
             size += len(held[-1])
-            if size > 1_500_000:
+            if size > 1_000_000:
                 yield flush()
                 size = 0
         if size:

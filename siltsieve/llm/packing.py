@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, cut, text_or_empty, texts
+from ._shared import cut, text_or_empty, text_slices
 
 SLICE_BYTES = 4 << 20
 #: sequence_id of a merged window is this or more; a task's own are its number << 32 and on.
@@ -119,15 +119,14 @@ def pack(docs: DataFrame, encoder: Callable[[], object], size: int = 2048, separ
 
         packer, tokens = Packer(size, n_open, emit), encoder()
         for batch in batches:
-            own, names = texts(batch), batch.column(0).to_pylist()
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                flat, counts = tokens.ids(own[a:b])
+            for some, own in text_slices(batch, SLICE_BYTES):
+                flat, counts = tokens.ids(own)
                 if separator is not None:
                     ends = np.cumsum(counts)
                     flat = np.insert(flat, ends, separator)
                     counts = counts + 1
                 data, end = flat.astype("<u4").tobytes(), 0
-                for name, n in zip(names[a:b], counts.tolist(), strict=True):
+                for name, n in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):
                     doc = Doc()
                     doc.id, doc.n, doc.ids = name, n, data[4 * end : 4 * (end + n)]
                     end += n

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, cut, evict, text_or_empty, texts
+from ._shared import cut, evict, text_or_empty, text_slices
 from .wordhash import SPACE, Words, ngrams, sums
 
 SLICE_BYTES = 1 << 20
@@ -64,9 +64,8 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
         for batch in batches:
-            own = texts(batch)
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], *map(pa.array, count_batch(own[a:b]))], [batch.schema.names[0], "host", *COUNTS])
+            for some, own in text_slices(batch, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *map(pa.array, count_batch(own))], [batch.schema.names[0], "host", *COUNTS])
 
     first = F.struct(*docs.columns).alias("row") if whole else F.col(id_col).cast("long").alias("doc_id")
     rows = docs.select(first, text_or_empty(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def shard(docs: DataFrame, n_shards: int = 24, overhead: int = 8, id_col: str =
     for size, counts in least_loaded(sizes, n_shards):
         ends = [sum(counts[: i + 1]) for i in range(n_shards)]
         table.append((size, ends))
-    ends = scratch.cut(spark.createDataFrame(table, "bytes long, ends array<long>"))
+    ends = scratch.cut(spark.createDataFrame(pa.table({"bytes": pa.array([s for s, _ in table], pa.int64()), "ends": pa.array([e for _, e in table], pa.list_(pa.int64()))})))
     own, before, number = numbered(groups, "bytes", ["text_md5"], parts, scratch)
     own = own.join(few(before, before.count()), ["bytes", "part"]).join(few(ends, len(table)), "bytes")
     placed = scratch.cut(own.select("text_md5", F.size(F.filter("ends", lambda e: e <= number)).alias("shard")))

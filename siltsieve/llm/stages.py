@@ -1,7 +1,16 @@
 """The stages of corpus_pipeline.py: (spark, docs, sf_dir) -> DataFrame.
 
-All but the last return the columns of docs. Null and empty texts pass the filters that don't
-concern them and go where a rule says so; an empty table passes through all of them.
+All but the last return the columns of docs, also those whose names the operators use. What each does:
+
+- null and empty texts: toxicity scores them as texts without terms (they stay), quality rules reject
+  them (fewer than 50 words), the Jaccard join keeps them all, substring dedup leaves them alone,
+  packing gives them the separator alone;
+- repeated rows: the two filters and substring dedup treat each like the other, the Jaccard join keeps
+  one of them, packing packs each that is left;
+- ties: the Jaccard join keeps the smallest id (a null id first), of equal ids the smallest hash of the
+  text; substring dedup keeps a passage in the smallest id;
+- very long texts are read whole by all of them;
+- an empty table passes through.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, evict, text_or_empty, texts, whole_keys
+from ._shared import evict, text_or_empty, text_slices, whole_keys
 from .wordhash import BASE, SPACE, Words, mix
 
 SLICE_BYTES, CHUNK = 1 << 20, 1 << 18
@@ -108,12 +108,10 @@ def later_spans(rows: DataFrame) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
         for batch in batches:
-            own = texts(batch)
-            docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = []
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                h, text, begin, end = spans(own[a:b])
-                parts.append((h, docs[a:b][text], keys[a:b][text], begin, end))
+            for some, own in text_slices(batch, SLICE_BYTES):
+                h, text, begin, end = spans(own)
+                parts.append((h, some.column(0).to_numpy()[text], some.column(1).to_numpy()[text], begin, end))
             if parts:
                 h, doc, key, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order, first = firsts(h, doc, key, begin)

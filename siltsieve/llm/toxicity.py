@@ -27,10 +27,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import byte_slices, cut, evict, text_or_empty, texts
+from ._shared import cut, evict, text_or_empty, text_slices, texts
 from .wordhash import Words
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bound of the sample of labelled rows.
 MOST_EXAMPLES = 4096
 #: Examples of a block; blocks that every text is compared with.
@@ -341,10 +341,9 @@ def document_counts(rows: DataFrame, known: Broadcast) -> np.ndarray:
         terms = known.value
         total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
-            own = texts(batch)
-            total[-1] += len(own)
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                at = find(terms, distinct_terms(own[a:b])[1])
+            total[-1] += batch.num_rows
+            for _, own in text_slices(batch, SLICE_BYTES):
+                at = find(terms, distinct_terms(own)[1])
                 total[:-1] += np.bincount(at[at >= 0], minlength=len(terms))
         yield parts_of({i: x for i, a in enumerate(range(0, len(total), PART)) if (x := total[a : a + PART]).any()})
 
@@ -371,7 +370,7 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # Of rows with one id, one is the example.
     first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")
-    sample = cut(rows.join(F.broadcast(spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long")), "doc_id").groupBy("doc_id").agg(first).select("doc_id", F.col("m.text").alias("text")))
+    sample = cut(rows.join(F.broadcast(spark.createDataFrame(pa.table({"doc_id": pa.array([r.doc_id for r in chosen], pa.int64())}))), "doc_id").groupBy("doc_id").agg(first).select("doc_id", F.col("m.text").alias("text")))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
@@ -390,12 +389,11 @@ def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str =
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
         for batch in batches:
-            ids, own = batch.column(0).to_pylist(), texts(batch)
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                votes = np.full(b - a, shared.value.none)
-                for i, best, sim in shared.value.neighbours(own[a:b], k, ids[a:b]):
+            for some, own in text_slices(batch, SLICE_BYTES):
+                votes = np.full(len(own), shared.value.none)
+                for i, best, sim in shared.value.neighbours(own, k, some.column(0).to_pylist()):
                     votes[i] = shared.value.vote(best, sim)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(votes)], ["doc_id", "vote"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(votes)], ["doc_id", "vote"])
 
     votes = sorted((r.doc_id, r.vote) for r in sample.mapInArrow(own_votes, "doc_id long, vote double").collect())
     if votes:
@@ -415,14 +413,13 @@ def _scored(docs: DataFrame, index: Index, k: int, id_col: str, text_col: str, w
         index = shared.value
         index.slope, index.shift = fit
         for batch in batches:
-            own = texts(batch)
-            for a, b in byte_slices([len(x) for x in own], SLICE_BYTES):
-                votes, evidence = np.full(b - a, index.none), [[] for _ in range(b - a)]
-                for i, best, sim in index.neighbours(own[a:b], k):
+            for some, own in text_slices(batch, SLICE_BYTES):
+                votes, evidence = np.full(len(own), index.none), [[] for _ in own]
+                for i, best, sim in index.neighbours(own, k):
                     votes[i] = index.vote(best, sim)
                     evidence[i] = [{"doc_id": int(index.ids[j]), "similarity": float(s), "toxic": int(index.toxic[j])} for j, s in zip(best[:SHOWN], sim[:SHOWN], strict=True)]
                 more = [] if whole else [pa.array(evidence, kind)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(index.probability(votes)), *more], [batch.schema.names[0], "score", *["evidence"] * len(more)])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(index.probability(votes)), *more], [batch.schema.names[0], "score", *["evidence"] * len(more)])
 
     if whole:
         return docs.select(F.struct(*docs.columns).alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"row {docs.schema.simpleString()}, score double")
