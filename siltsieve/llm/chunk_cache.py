@@ -35,7 +35,7 @@ class _Rows(dict):
 class ChunkCache:
     """encode: gives for a list of chunks (ids of all in one int32 array, number of ids of each, and if it likes a flag for each)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 700_000, keep_ids: bool = True) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 300_000, keep_ids: bool = True) -> None:
         self.encode, self.limit, self.keep_ids = encode, limit, keep_ids
         self.clear()
 

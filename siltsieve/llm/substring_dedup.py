@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._shared import evict, text_or_empty, text_slices, whole_keys
 from .wordhash import BASE, SPACE, Words, mix
 
-SLICE_BYTES, CHUNK = 1 << 20, 1 << 18
+SLICE_BYTES, CHUNK, ROWS = 1 << 20, 1 << 18, 500
 #: 20 + 2 * 15 = 50 words.
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 15
 NO_ID = -(1 << 63)
@@ -187,7 +187,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        evict()
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             own, found = batch.column(at).cast(pa.large_binary()).to_pylist(), batch.column(len(columns)).to_pylist()
             gone = []
             for i, got in enumerate(found):
