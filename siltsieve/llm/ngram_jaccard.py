@@ -333,7 +333,8 @@ def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0) -> Da
     def pairs_of(lists: Lists) -> Iterator[pa.RecordBatch]:
         node, size, place = (lists.columns[c].astype(np.int64) for c in ("node", "size", "place"))
         part = lists.columns["component"] if again else None
-        x, y = [], []
+        batch_of = lambda x, y: pair_batch(node[x], node[y], size[x], size[y])
+        x, y, held = [], [], 0
         for r in range(LEADERS, LEADERS + again) if again else range(LEADERS):
             rank = mix(node.view(np.uint64) + np.uint64((r * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
             which = np.flatnonzero(lists.lens > (1 if r == 0 else LONG_LIST))
@@ -358,9 +359,12 @@ def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0) -> Da
                 ok &= part[leader] != part[at]
             x.append(leader[ok])
             y.append(at[ok])
-        if x and len(x := np.concatenate(x)):
-            y = np.concatenate(y)
-            yield pair_batch(node[x], node[y], size[x], size[y])
+            held += len(x[-1])
+            if held > PAIRS_AT_ONCE:
+                yield batch_of(np.concatenate(x), np.concatenate(y))
+                x, y, held = [], [], 0
+        if held:
+            yield batch_of(np.concatenate(x), np.concatenate(y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in lists_of(batches):
