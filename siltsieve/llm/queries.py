@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from ._shared import table
 from .fingerprints import fingerprints_and_classes
 from .ngram_jaccard import ngram_jaccard
@@ -71,8 +72,14 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_report(table(spark, sf_dir, "pages"), damaged)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints, op10_warc_fixity)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints, op10_warc_fixity, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
