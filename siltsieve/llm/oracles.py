@@ -56,4 +56,23 @@ WARC_FIXITY = f"""WITH {_replica(1, "'WARC/1.0'")}, {_replica(2, "CASE WHEN page
 SELECT d1.page_id, d1.file, d1."offset", d1.length, d1.sha256, d1.range_index, e1.hash AS range_hash, (SELECT hash FROM r1) AS root_hash, (SELECT hash FROM r2) AS replica_root_hash, CASE WHEN d1.sha256 = d2.sha256 THEN 'ok' ELSE 'corrupt' END AS status
 FROM d1 JOIN e1 ON d1.file = e1.file AND d1.range_index = e1.range_index JOIN d2 ON d1.page_id = d2.page_id AND d1."offset" = d2."offset" """
 
-SQL = {"op5_quality_rules": QUALITY_RULES, "op6_ngram_jaccard": NGRAM_JACCARD, "op10_warc_fixity": WARC_FIXITY}
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"""k AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+ c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j, x AS c FROM k ORDER BY sha256('1:' || vec_id) LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT vec_id, x, min({{'d': CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'j': j}}) AS m FROM k, c{i} GROUP BY vec_id, x)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT m.j AS j, p, CAST(sum(x[p]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) t(p) GROUP BY m.j, p),
+ l{i} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS c FROM s{i} GROUP BY j),
+ c{i + 1} AS (SELECT c{i}.j, coalesce(l{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN l{i} ON c{i}.j = l{i}.j)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(m.j AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON m.j = c{rounds}.j"""
+
+
+CENTROID_CLUSTERS = _clusters()
+
+SQL = {"op5_quality_rules": QUALITY_RULES, "op6_ngram_jaccard": NGRAM_JACCARD, "op13_centroid_clusters": CENTROID_CLUSTERS, "op10_warc_fixity": WARC_FIXITY}

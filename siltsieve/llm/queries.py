@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe
 from ._shared import table
+from .centroid_clusters import centroid_clusters
 from .fingerprints import fingerprints_and_classes
 from .ngram_jaccard import ngram_jaccard
 from .oracles import SQL
@@ -22,6 +23,7 @@ from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 from .toxicity import held_out, score, train
 from .warc_fixity import fixity_report
+from .whitening import whitened
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +80,18 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened(table(spark, sf_dir, "embeddings"))
+    # A long holds the deviation up to about 100 million vectors; beyond that the decimal does.
+    return rows.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_decimal"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints, op10_warc_fixity, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_token_counts, op4_toxicity, op5_quality_rules, op6_ngram_jaccard, op7_substring_dedup, op8_sharding, op9_fingerprints, op10_warc_fixity, op11_byte_bpe, op12_whitening, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
