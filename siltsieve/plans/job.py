@@ -8,29 +8,40 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import ConfigError
 from ..functions.order import with_tid
-from ..functions.shared import shared_dir
-from ..sources.lines import kafka_lines, parse_delimited, read_lines, to_lines
+from ..functions.shared import cut, shared_dir
+from ..sources.lines import kafka_lines, parse_delimited, parse_key, read_lines, to_lines
 from .cleaner import Cleaner
 from .config import Config, parse_config
 
 
 def tuples(lines: DataFrame, config: Config) -> DataFrame:
-    """Lines as tuples; the first attribute is the key and becomes kid."""
-    df = parse_delimited(lines, config.columns, config.separator)
+    """Lines as tuples; the first attribute is the key and becomes kid. Lines whose key is no whole number are none, see bad_lines."""
+    df = parse_delimited(lines, config.columns, config.separator).where(F.col(config.columns[0]).isNotNull())
     return df if config.columns[0] == "kid" else df.withColumn("kid", F.col(config.columns[0]))
 
 
+def bad_lines(lines: DataFrame, config: Config) -> DataFrame:
+    """(value) of the lines that tuples leaves out, as they are."""
+    return lines.where(parse_key("value", config.separator).isNull()).select("value")
+
+
 def cleaner(config: Config) -> Cleaner:
     return Cleaner(config.rules, config.mode, config.window_step, config.repair_mode, config.columns)
 
 
 def run_batch(spark: SparkSession, text: str, prefix: str | None = None, separator: str = "|") -> DataFrame:
-    """Repair the lines at the configuration's input in the order of their keys and write them to its output; what was written, with repaired and changed."""
+    """Repair the lines at the configuration's input in the order of their keys and write them to its output; what was written, with repaired and changed.
+
+    Lines whose key is no whole number can't be placed in that order: they go, as they are, to the
+    output's name with `_bad` after it. So every line is in one of the two.
+    """
     config = parse_config(text, prefix)
     if not config.input or not config.output:
         raise ConfigError("a batch job needs an input and an output")
-    out = cleaner(config).repair(with_tid(tuples(read_lines(spark, config.input), config)))
+    lines = read_lines(spark, config.input)
+    out = cut(cleaner(config).repair(with_tid(tuples(lines, config))))
     to_lines(out, config.columns, separator).write.mode("errorifexists").text(config.output)
+    bad_lines(lines, config).write.mode("errorifexists").text(f"{config.output.rstrip('/')}_bad")
     return out
 
 

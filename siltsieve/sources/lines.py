@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROBE_EVERY = 100
@@ -13,8 +13,13 @@ PROBE_EVERY = 100
 def parse_delimited(lines: DataFrame, columns: Sequence[str], separator: str = r"\|", value: str = "value") -> DataFrame:
     """Columns of lines split at a regular expression; empty ones at the end are kept, the first is a whole number, all others text, missing ones null."""
     parts = F.split(F.col(value).cast("string"), separator, -1)
-    rows = lines.select(parts.alias("parts"))
-    return rows.select(F.try_element_at("parts", F.lit(1)).try_cast("long").alias(columns[0]), *[F.try_element_at("parts", F.lit(i + 2)).alias(c) for i, c in enumerate(columns[1:])])
+    rows = lines.select(parts.alias("parts"), parse_key(value, separator).alias("key"))
+    return rows.select(F.col("key").alias(columns[0]), *[F.try_element_at("parts", F.lit(i + 2)).alias(c) for i, c in enumerate(columns[1:])])
+
+
+def parse_key(value: str = "value", separator: str = r"\|") -> Column:
+    """The first part of a line as a whole number, null where it is none."""
+    return F.try_element_at(F.split(F.col(value).cast("string"), separator, -1), F.lit(1)).try_cast("long")
 
 
 def parse_control(lines: DataFrame, separator: str = r"\|", value: str = "value") -> DataFrame:

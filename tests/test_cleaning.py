@@ -183,41 +183,22 @@ def test_config(spark):
         repair.repair_rule(spark.range(1), RULE, "basic")
 
 
-def test_a_whole_configuration():
-    """All kinds of keys that a deployed job has, also those that mean nothing here."""
-    text = """job.topology.name=job
-job.topology.maxspoutpending=5000
-job.topology.spout.num=1
-
-# rw-basic 1, rw-ir 2, rw-dr 3
-job.topology.rw=3
-job.window=job
-job.window.size=2000000
-job.input=inputdata/sample
-#job.output=/elsewhere
-job.output=outputdata/sample_output
-job.topology.repair.worker.bolt.num=3
-job.repair.proposal.size=5
-job.schema=kid,item,store,ticket,store_name,item_id
-job.rule.num=3
-#job.rule.0=CFD,store,item_id,(store neq null)
-job.rule.0=CFD,item,item_id,(item neq null)
-job.rule.1=CFD,store,store_name,(store neq null)
-job.rule.2=CFD,ticket,store_name,(ticket neq null)
-#job.rule.3=CFD,item,store,(item neq null)
-hdfs.fs=hdfs://host:9000
-zookeeper.host=host:2181
-kafka.control.topic=control
-kafka.topic=data
-kafka.server=host
-kafka.server.port=9093
-#kafka.producer.msgnum
-kafka.data.delimiter=\\\\|
-"""
-    c = parse_config(text)
-    assert (c.mode, c.window_step, c.repair_mode, c.separator, c.proposal_size) == ("cumulative", 2_000_000, "delayed", "\\|", 5)
-    assert (c.input, c.output, c.topic, c.control_topic, c.servers) == ("inputdata/sample", "outputdata/sample_output", "data", "control", "host:9093")
-    assert [(r.lhs, r.rhs, r.cond_attr) for r in c.rules] == [("item", "item_id", "item"), ("store", "store_name", "store"), ("ticket", "store_name", "ticket")]
+def test_every_key_of_a_configuration():
+    """Each key by itself, in any order, with white space and escapes; keys of other things are kept aside."""
+    keys = {
+        "depot.rule.1": "FD, shelf, aisle", "depot.rule.0": "CFD,sku,label,(shelf eq B7)", "depot.rule.num": "2",
+        "depot.schema": "box, sku, label,shelf ,aisle", "depot.window": "Basic", "depot.window.size": "64", "depot.topology.rw": "1", "depot.topology.name": "night run",
+        "depot.repair.proposal.size": "9", "depot.input": "/in/a=b", "depot.output": "/out", "kafka.topic": "boxes", "kafka.control.topic": "orders", "kafka.server": "broker",
+        "kafka.data.delimiter": r"\\t", "other.thing": "1",
+    }
+    c = parse_config("! a remark\n\n" + "\n".join(f"  {k} = {v} " for k, v in keys.items()) + "\nno pair\n# depot.rule.num=7\n")
+    assert c.columns == ["box", "sku", "label", "shelf", "aisle"]
+    assert c.rules == [Rule(0, "sku", "label", "shelf", "eq", "B7"), Rule(1, "shelf", "aisle")]
+    assert (c.mode, c.window_step, c.repair_mode, c.separator, c.proposal_size) == ("basic", 64, "delayed", r"\t", 9)
+    assert (c.input, c.output, c.topic, c.control_topic, c.servers) == ("/in/a=b", "/out", "boxes", "orders", "broker:9092")
+    assert c.other["other.thing"] == "1" and c.other["depot.topology.name"] == "night run"
+    few = parse_config("depot.schema=a\nkafka.server=x\nkafka.server.port=7")
+    assert (few.mode, few.window_step, few.rules, few.input, few.topic, few.servers) == ("none", None, [], None, None, "x:7")
 
 
 def test_lines(spark):
@@ -233,6 +214,15 @@ def test_tids_are_dense(spark):
     assert with_tid(df.limit(0)).count() == 0
 
 
+def test_rows_without_a_key_have_tids_too(spark):
+    rows = [(None if i % 10 == 0 else 5 * i, i, "a", "b") for i in range(1000)]
+    df = spark.createDataFrame(rows, "kid long, n int, part string, AT string")
+    got = with_tid(df).orderBy("tid").collect()
+    assert [r.tid for r in got] == list(range(1, 1001)) and {(r.kid, r.n, r.part, r.AT) for r in got} == set(rows)
+    assert [r.kid for r in got[:100]] == [None] * 100 and [r.kid for r in got[100:]] == sorted(r[0] for r in rows if r[0] is not None)
+    assert sorted(r.tid for r in with_tid(spark.createDataFrame([(None, 7), (None, 7), (3, 7)], "kid long, tid int")).collect()) == [1, 2, 3]
+
+
 @pytest.mark.parametrize(("mode", "step"), [("none", None), ("basic", 7), ("cumulative", 7)])
 def test_streams_equal_batches(spark, mode, step):
     rows = [("pqrs"[i * 7 % 11 % 4], "xyz"[i * i % 7 % 3]) for i in range(120)]
@@ -368,6 +358,17 @@ def test_a_job_from_lines_to_lines(spark, tmp_path):
         run_batch(spark, job_config(tmp_path).replace("x.input", "x.other"))
 
 
+def test_every_line_of_a_job_goes_somewhere(spark, tmp_path):
+    from siltsieve.plans.job import run_batch
+
+    good, bad = ["1|p|A", "2|p|A", "3|p|B", "4|q"], ["broken|x|A", "|y|C", "", "1.5|z|D"]
+    spark.createDataFrame([(x,) for x in good + bad], "value string").write.text(f"{tmp_path}/in")
+    out = run_batch(spark, job_config(tmp_path))
+    assert {(r.kid, r.city, r.repaired) for r in out.collect()} == {(1, "A", False), (2, "A", False), (3, "A", True), (4, None, False)}
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == ["1|p|A", "2|p|A", "3|p|A", "4|q|"]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out_bad").collect()) == sorted(bad)
+
+
 @pytest.mark.parametrize("bad", [False, True])
 def test_a_stream_job_and_its_metrics(spark, tmp_path, bad):
     import time
