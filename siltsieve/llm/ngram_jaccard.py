@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..operators.graph import components
 from ._shared import Scratch, byte_slices, evict, release, text_or_empty, text_slices, whole_keys
 from .wordhash import Words, distinct, mix, shingles
@@ -686,12 +687,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     rows = rows.select(place.alias("place"), "component")
     chosen = rows.groupBy("component").agg(F.min("place").alias("chosen"))
     rows = rows.groupBy("component", "place").agg(F.count("*").alias("n")).join(chosen, "component")
+    at, own, stays = fresh(docs.columns, "at", "own", "stays")
     # Nothing to do for a chosen row that stands once.
-    rows = scratch.cut(rows.select(F.col("place.id").alias("__id"), F.col("place.key").alias("__key"), (F.col("place") == F.col("chosen")).alias("__stays"), "n").where("not __stays or n > 1").drop("n"))
-    columns = docs.columns
-    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(text_or_empty(text_col))})
-    marked = marked.join(few(rows, rows.count()), ["__id", "__key"], "left")
-    once = marked.where("__stays is null")
-    if not rows.where("__stays").isEmpty():
-        once = once.unionByName(marked.where("__stays").dropDuplicates(["__id", "__key"]))
-    return once.select(columns)
+    rows = scratch.cut(rows.select(F.col("place.id").alias(at), F.col("place.key").alias(own), (F.col("place") == F.col("chosen")).alias(stays), "n").where(~F.col(stays) | (F.col("n") > 1)).drop("n"))
+    marked = docs.withColumns({at: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), own: F.xxhash64(text_or_empty(text_col))})
+    marked = marked.join(few(rows, rows.count()), [at, own], "left")
+    once = marked.where(F.col(stays).isNull())
+    if not rows.where(stays).isEmpty():
+        once = once.unionByName(marked.where(stays).dropDuplicates([at, own]))
+    return once.select(docs.columns)

@@ -58,8 +58,8 @@ def count_batch(own: list[bytes]) -> list[np.ndarray]:
     return [w.counts.astype(np.int64), w.sums_of(_CHAR), w.sums_of(_SYMBOL), dup, repeat_words(w.hashes, w.counts)]
 
 
-def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False) -> DataFrame:
-    """(doc_id, host and COUNTS) of every row, or with the whole row as a struct `row` for doc_id; a null text counts as one without words."""
+def document_counts(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False) -> DataFrame:
+    """(doc_id, host and COUNTS) of every row, or with the whole row as a struct `row` for doc_id; a null text counts as one without words. id_col: None for no ids."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict()
@@ -67,7 +67,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for some, own in text_slices(batch, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *map(pa.array, count_batch(own))], [batch.schema.names[0], "host", *COUNTS])
 
-    first = F.struct(*docs.columns).alias("row") if whole else F.col(id_col).cast("long").alias("doc_id")
+    first = F.struct(*docs.columns).alias("row") if whole else (F.col(id_col) if id_col else F.lit(None)).cast("long").alias("doc_id")
     rows = docs.select(first, text_or_empty(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
     return rows.mapInArrow(count, f"{f'row {docs.schema.simpleString()}' if whole else 'doc_id long'}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
@@ -130,5 +130,5 @@ def quality_rules(docs: DataFrame, limit: float = LIMIT, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, limit: float = LIMIT, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs, whole, that quality_rules keeps. Texts are counted twice instead of being shuffled."""
     counted = _failures(document_counts(docs, text_col=text_col, host_col=host_col, whole=True))
-    verdicts = host_verdicts(_failures(document_counts(docs, docs.columns[0], text_col, host_col)), limit).where("host_rejected").select("host")
+    verdicts = host_verdicts(_failures(document_counts(docs, None, text_col, host_col)), limit).where("host_rejected").select("host")
     return counted.where(~F.col("fail_base")).join(verdicts, "host", "left_anti").select("row.*")

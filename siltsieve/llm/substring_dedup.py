@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ._shared import evict, text_or_empty, text_slices, whole_keys
 from .wordhash import BASE, SPACE, Words, mix
 
@@ -179,9 +180,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key, doc = F.xxhash64(text_or_empty(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc_id"), key.alias("key"), text_or_empty(text_col).alias("text"))
-    later = later_spans(rows).groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
     columns = [c for c in docs.columns if c != "removed"]
-    both = docs.select(*columns).withColumns({"__doc": doc, "__key": key}).join(later.withColumnsRenamed({"doc_id": "__doc", "key": "__key"}), ["__doc", "__key"], "left")
+    at_doc, at_key, found = fresh(docs.columns, "doc", "key", "spans")
+    later = later_spans(rows).groupBy(F.col("doc_id").alias(at_doc), F.col("key").alias(at_key)).agg(F.collect_list(F.struct("begin", "end")).alias(found))
+    both = docs.select(*columns).withColumns({at_doc: doc, at_key: key}).join(later, [at_doc, at_key], "left").select(*columns, found)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     at = columns.index(text_col)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -201,4 +203,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out[at] = pa.array(own, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*out, pa.array(gone, kind)], [*columns, "removed"])
 
-    return both.select(*columns, "__spans").mapInArrow(strip, f"{fields}, removed array<struct<begin: long, end: long>>")
+    return both.mapInArrow(strip, f"{fields}, removed array<struct<begin: long, end: long>>")

@@ -104,3 +104,11 @@ def test_one_of_each_group_stays(spark):
     nulls = spark.createDataFrame([(None, a), (None, a + " more"), (4, a)], "doc_id long, text string")
     assert [r.doc_id for r in keep_one(nulls).collect()] == [None]
     assert keep_one(nulls.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    text = "one two three four five six seven"
+    rows = [(text, 77, "p", True, 1.0, 5, 3), (text, 99, "q", False, 2.0, 6, 1), ("other words", 77, "r", None, 3.0, 7, 2)]
+    docs = spark.createDataFrame(rows, "text string, __id long, __key string, __stays boolean, at double, OWN int, doc_id long")
+    got = keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted([rows[1], rows[2]])

@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from siltsieve.llm.quality_rules import quality_rules
+from siltsieve.llm.quality_rules import keep_good, quality_rules
 
 ODD = ["", " ", "\n\n", "a", "a b c a b c", "a a a a", "x" * 9000, "é ü ß # $ |", "l\nl\n l\nl", "one two three " * 40, "same line here\n" * 60, "\x0b\x0c\t a\x1cb"]
 
@@ -46,3 +46,9 @@ def test_empty_and_clashing_columns(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, source string, n int, host string")).count() == 0
     rows = quality_rules(spark.createDataFrame([(1, "a b", "s", 1, "h", True), (1, "a b", "s", 1, "h", True)], "doc_id long, text string, source string, n int, host string, kept boolean")).collect()
     assert [(r.doc_id, r.n_words, r.kept) for r in rows] == [(1, 2, False)] * 2
+
+
+def test_keep_good_reads_no_column_by_its_place(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(good, "s", "x", None), ("short", "s", "y", 2), (None, None, None, None)], "text string, source string, row string, doc_id long")
+    assert [tuple(r) for r in keep_good(docs).collect()] == [(good, "s", "x", None)]

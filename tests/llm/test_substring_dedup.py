@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import Row
+
 from siltsieve.llm.substring_dedup import LONG, MIN_SENTENCES, MIN_WORDS, spans, substring_dedup
 from siltsieve.llm.wordhash import Words
 
@@ -147,3 +149,13 @@ def test_any_passage_of_50_words_holds_a_span(spark):
     assert not missed
     got = {x.doc_id: x.removed for x in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(bool(v) == bool(d % 2) for d, v in got.items())
+
+
+def test_columns_of_any_name(spark):
+    passage = " ".join(f"shared{i}" for i in range(60)) + "."
+    rows = [(f"{passage} end {i}.", f"k{i}", i, 10 * i, True, 1.5, i) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, "text string, __key string, __doc int, doc int, key boolean, SPANS double, doc_id long")
+    got = sorted(substring_dedup(docs).collect(), key=lambda r: r.doc_id)
+    assert got[0].asDict() == dict(zip(docs.columns, rows[0])) | {"removed": []}
+    cut = got[1].removed[0].end
+    assert got[1].asDict() == dict(zip(docs.columns, rows[1])) | {"text": rows[1][0][cut:], "removed": [Row(begin=0, end=cut)]} and cut > 300
