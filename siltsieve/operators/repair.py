@@ -37,6 +37,19 @@ def _before_growing(counts: DataFrame) -> DataFrame:
     return out.withColumn("lead", F.min(F.struct((-(F.col("before") + F.col("n"))).alias("c"), F.col("r").alias("v"))).over(all_before))
 
 
+def decided(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """events that have a tid, with fix: the most frequent value r of their group l among all events up to their place `at`. events: l, at, r, n (how often), tid, and further columns; those at a tuple's place count for it."""
+    rows = cut(events.withColumns({"e": F.lit(0).cast("long"), "p": F.expr(f"(at - 1) div {chunk}")}))
+    base = _before_growing(rows.groupBy("l", "e", "p", "r").agg(F.sum("n").alias("n")))
+    order = ["at", F.col("tid").isNotNull()]  # a tuple comes after all else at its place
+    own = Window.partitionBy("l", "e", "p", "r").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy("l", "e", "p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.sum("n").over(own))
+    led = counted.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
+    fix = F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v"))
+    return led.where("tid is not null").select(*[c for c in events.columns], fix.alias("fix"))
+
+
 def _before_basic(counts: DataFrame) -> DataFrame:
     """As _before_growing, with the pane before as the only one that counts."""
     last = counts.select("l", "e", (F.col("p") + 1).alias("p"), "r", F.col("n").alias("before"))

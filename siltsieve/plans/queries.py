@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import pane
 from ..functions.rules import Rule, intersecting, parse_rule
-from ..operators import classes, detect, dynamics, repair
+from ..operators import arrival, classes, detect, dynamics, repair
 from ..sources import lines
 from .cleaner import Cleaner
 from .fixtures import COLUMNS, DIRTY_SQL, EVENT_RULES, EVENTS_SQL, RULES, dirty_orders, event_stream
@@ -415,6 +415,26 @@ def rw_dr(spark, d):  # noqa: ANN001, ANN201
     return classes.repair_shared(dirty_orders(spark, d), PAIR)
 
 
+def arrival_sql(rules: list[Rule]) -> str:
+    """Each tuple by the classes as they stand when it comes: cell (with the birth of its cause), link, reach (causes of a violating tuple's class), n (counts of values there)."""
+    m = " UNION ALL ".join(f"SELECT {r.rid} AS rid, {r.lhs} AS l, kid, tid, {r.rhs} AS v FROM dirty WHERE {cond(r)}" for r in rules)
+    return f"""m AS ({m}), first AS (SELECT rid, l, v, min(tid) AS t FROM m GROUP BY rid, l, v),
+ second AS (SELECT rid, l, t, row_number() OVER (PARTITION BY rid, l ORDER BY t) AS k FROM first),
+ cell AS (SELECT m.rid || ':' || m.l AS vc, kid, tid, v, t AS born FROM m JOIN second ON m.rid = second.rid AND m.l = second.l AND k = 2),
+ link AS (SELECT a.vc AS x, b.vc AS y, min(greatest(a.tid, a.born, b.born)) AS w FROM cell a JOIN cell b ON a.kid = b.kid AND a.vc <> b.vc GROUP BY ALL),
+ asks AS (SELECT kid, tid, v, min(vc) AS vc, bool_or(tid = born) AS is_new FROM cell WHERE tid >= born GROUP BY ALL),
+ reach(tid, vc) AS (SELECT tid, vc FROM asks UNION SELECT reach.tid, link.y FROM reach JOIN link ON reach.vc = link.x AND link.w <= reach.tid),
+ seen AS (SELECT DISTINCT reach.tid, cell.kid, cell.v FROM reach JOIN cell ON reach.vc = cell.vc AND cell.tid <= reach.tid AND cell.born <= reach.tid),
+ n AS (SELECT tid, v, count(*) AS n FROM seen GROUP BY tid, v), best AS (SELECT tid, min({{'a': -n, 'v': v}}) AS m FROM n GROUP BY tid)"""
+
+
+@query(f"""WITH RECURSIVE {DIRTY_SQL}, {arrival_sql(PAIR)}
+ SELECT dirty.kid, dirty.tid, asks.tid IS NOT NULL AS violating, coalesce(is_new, false) AS is_new, CASE WHEN n.n = -m.a THEN n.v ELSE m.v END AS fix
+ FROM dirty LEFT JOIN asks ON dirty.tid = asks.tid LEFT JOIN n ON asks.tid = n.tid AND asks.v = n.v LEFT JOIN best ON asks.tid = best.tid""")
+def rw_basic(spark, d):  # noqa: ANN001, ANN201
+    return arrival.repair_shared_arrival(dirty_orders(spark, d), PAIR)
+
+
 def window_classes_sql(rules: list[Rule], mode: str) -> str:
     """Classes of every window w as they stand at the end of pane w: cell, comp, dc, n, best."""
     out = []
@@ -556,11 +576,6 @@ def stream_repair_cumulative(spark, d):  # noqa: ANN001, ANN201
     return _streamed(spark, d, Cleaner([RULES[6]], "cumulative", STEP)).select("kid", "tid", "violating", "fix")
 
 
-@query()
-def rw_basic(spark, d):  # noqa: ANN001, ANN201
-    return _streamed(spark, d, Cleaner(PAIR)).select("kid", "tid", "violating", "is_new", "fix")
-
-
 @query()
 def rw_ir(spark, d):  # noqa: ANN001, ANN201
     return _streamed(spark, d, Cleaner(PAIR, repair_mode="immediate")).select("kid", "tid", "violating", "is_new", "fix")
