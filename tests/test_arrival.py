@@ -7,7 +7,7 @@ import random
 import pytest
 
 from siltsieve.functions.rules import Rule
-from siltsieve.operators import arrival
+from siltsieve.operators import arrival, classes
 from siltsieve.streaming.machines import ClassMachine
 
 RULES = [Rule(0, "k", "v"), Rule(1, "l", "v"), Rule(2, "m", "v", "k", "neq", "p")]
@@ -53,3 +53,16 @@ def test_ways_are_short(spark):
     longest = max(len(r.way) for r in way.collect())
     assert longest <= 9  # log2 of the causes
     assert all([x.w for x in r.way] == sorted(x.w for x in r.way) for r in way.collect())
+
+
+def test_windowed_classes_take_rows_in_proportion_to_panes(spark):
+    """One hot group that violates in every pane, and others that come and go."""
+    rules, step, sizes = RULES[:2], 20, []
+    for panes in (10, 20, 40):
+        rows = [(t, t, "hot", f"l{t // 7}", f"v{t % 3}") for t in range(1, panes * step + 1)]
+        df = spark.createDataFrame(rows, "kid long, tid long, k string, l string, v string")
+        _, cells = classes.window_cells(df, rules, "cumulative", step)
+        sizes.append((cells.count(), classes.window_counts(classes.window_changes(cells)).count(), classes.window_links(cells).count()))
+    for a, b in zip(sizes, sizes[1:]):
+        assert all(y <= 2.3 * x for x, y in zip(a, b)), sizes
+    assert sizes[0][0] <= 10 * step
