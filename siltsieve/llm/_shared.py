@@ -16,17 +16,28 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_dir
 
-__all__ = ["Scratch", "byte_slices", "cut", "evict", "memo", "release", "shared_dir", "table", "text_or_empty", "text_slices", "texts", "whole_keys"]
+__all__ = ["Scratch", "bounded_batches", "byte_slices", "cut", "evict", "memo", "release", "shared_dir", "table", "text_or_empty", "text_slices", "texts", "whole_keys"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches in which rows go to Python workers, where the session has no bound: else rows alone count, and thousands of long texts or sets stand in memory outside the heap at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 class Scratch:
     """Tables of steps in the shared folder: a lost executor loses nothing of them, and those that no result needs any more can be dropped."""
 
     def __init__(self, spark: SparkSession) -> None:
+        bounded_batches(spark)
         self.spark, self.place, self.tables = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}", {}
 
     def cut(self, df: DataFrame) -> DataFrame:
