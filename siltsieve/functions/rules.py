@@ -3,12 +3,17 @@
 Text form: `FD,lhs,rhs` or `CFD,lhs,rhs,(attribute op value)` with op `eq` or `neq`; white space
 around the parts does not matter. Missing values are empty strings: SQL NULL counts as one, and
 `neq` is false for them. The text `null` is an ordinary value.
+
+Other kinds of rules derive from Rule. What the operators, in batch and on streams, ask of a rule is
+what it says of a tuple as columns: `sees` (whether it applies), `left` and `right` (text, by which tuples are
+grouped and what has to agree in a group), besides `rhs` (the attribute that is repaired), `attributes`
+(all that it reads) and `text` (a form that parse_rule reads again, by the name given to add_kind).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +50,19 @@ class Rule:
     def attributes(self) -> list[str]:
         return list(dict.fromkeys(a for a in (self.lhs, self.rhs, self.cond_attr) if a))
 
+    @property
+    def text(self) -> str:
+        """What parse_rule reads."""
+        return f"CFD,{self.lhs},{self.rhs},({self.cond_attr} {self.op} {self.cond_val})" if self.cond_attr else f"FD,{self.lhs},{self.rhs}"
+
+    def left(self) -> Column:
+        """What tuples are grouped by."""
+        return value(self.lhs)
+
+    def right(self) -> Column:
+        """What has to agree within a group, and is repaired."""
+        return value(self.rhs)
+
     def condition(self) -> Column:
         """Whether a tuple meets the rule's condition."""
         if not self.cond_attr:
@@ -77,21 +95,36 @@ class Rule:
         return (self.rid, self.kind, self.lhs, self.rhs, self.cond_attr, self.op, self.cond_val, self.from_tid, self.to_tid)
 
 
+def _parse_fd(rid: int, rest: str) -> Rule | None:
+    parts = [p.strip() for p in rest.split(",")]
+    return Rule(rid, *parts) if len(parts) == 2 and all(parts) else None
+
+
+def _parse_cfd(rid: int, rest: str) -> Rule | None:
+    m = re.fullmatch(r"\s*([^,\s]+)\s*,\s*([^,\s]+)\s*,\s*\(\s*(\S+)\s+(\S+)\s+([^\s,)]+)\s*\)\s*", rest)
+    if m and m[4] not in ("eq", "neq"):
+        raise RuleDefinitionError(f"rule {rid}: unknown operator {m[4]}")
+    return Rule(rid, *m.groups()) if m else None
+
+
+KINDS: dict[str, Callable[[int, str], Rule | None]] = {"FD": _parse_fd, "CFD": _parse_cfd}
+
+
+def add_kind(name: str, parse: Callable[[int, str], Rule | None]) -> None:
+    """Let parse_rule read `name,...`; parse gets the rule's number and what follows the comma, and gives None where it can't read that."""
+    if name in KINDS:
+        raise RuleDefinitionError(f"there is a kind {name} already")
+    KINDS[name] = parse
+
+
 def parse_rule(rid: int, text: str) -> Rule:
     kind, _, rest = text.strip().partition(",")
-    if kind.strip() == "FD":
-        parts = [p.strip() for p in rest.split(",")]
-        if len(parts) == 2 and all(parts):
-            return Rule(rid, *parts)
-    elif kind.strip() == "CFD":
-        if m := re.fullmatch(r"\s*([^,\s]+)\s*,\s*([^,\s]+)\s*,\s*\(\s*(\S+)\s+(\S+)\s+([^\s,)]+)\s*\)\s*", rest):
-            lhs, rhs, attr, op, const = m.groups()
-            if op not in ("eq", "neq"):
-                raise RuleDefinitionError(f"rule {rid}: unknown operator {op}")
-            return Rule(rid, lhs, rhs, attr, op, const)
-    else:
+    if kind.strip() not in KINDS:
         raise RuleDefinitionError(f"rule {rid}: unknown kind {kind.strip()}")
-    raise RuleDefinitionError(f"rule {rid}: can't read {text!r}")
+    found = KINDS[kind.strip()](rid, rest)
+    if found is None:
+        raise RuleDefinitionError(f"rule {rid}: can't read {text!r}")
+    return found
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:

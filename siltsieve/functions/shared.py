@@ -26,3 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared folder; a lost executor loses nothing of it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, wherever they lie; one that is not there is no matter."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule, value
+from ..functions.rules import Rule
 from ..functions.shared import cut
 from .detect import turning_points
 from .graph import components
@@ -38,20 +38,35 @@ BOUND = 1 << 18
 def shared_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(kid, tid, v, l0, l1, ...) of the tuples that a rule sees; l<i>: the left-hand side of rule i, null where it does not see the tuple."""
     names = [f"l{i}" for i in range(len(rules))]
-    lhs = [F.when(r.sees(), value(r.lhs)).alias(c) for r, c in zip(rules, names, strict=True)]
-    return df.select("kid", "tid", value(rules[0].rhs).alias("v"), *lhs).where(F.coalesce(*names).isNotNull())
+    lhs = [F.when(r.sees(), r.left()).alias(c) for r, c in zip(rules, names, strict=True)]
+    return df.select("kid", "tid", rules[0].right().alias("v"), *lhs).where(F.coalesce(*names).isNotNull())
 
 
-def with_causes(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """rows with causes: array of (born, vc), by place of birth; vc: `rid:lhs`."""
+def births(firsts: DataFrame) -> DataFrame:
+    """(rid, l, born, vc) of the groups with two values; firsts: (rid, l, r, tid), tuples, of each value of a group the first one at least."""
+    rows = firsts.select(F.struct("rid", "l").alias("l"), F.lit(0).alias("p"), "r", "tid")
+    turns = turning_points(rows, False).select("l.rid", "l.l", F.col("t2").alias("born"))
+    return turns.withColumn("vc", F.concat_ws(":", "rid", "l"))
+
+
+def with_births(rows: DataFrame, rules: Sequence[Rule], turns: DataFrame) -> DataFrame:
+    """(kid, tid, v, causes) of rows; causes: array of (born, vc), by place of birth; vc: `rid:lhs`. turns: as births gives them."""
     for i, r in enumerate(rules):
-        own = rows.select(F.col(f"l{i}").alias("l"), F.lit(0).alias("p"), F.col("v").alias("r"), "tid").where("l is not null")
-        turns = turning_points(own, False).select(F.col("l").alias(f"l{i}"), F.struct(F.col("t2").alias("born"), F.concat(F.lit(f"{r.rid}:"), "l").alias("vc")).alias(f"c{i}"))
-        rows = rows.join(turns, f"l{i}", "left")
+        own = turns.where(F.col("rid") == r.rid).select(F.col("l").alias(f"l{i}"), F.struct("born", "vc").alias(f"c{i}"))
+        rows = rows.join(own, f"l{i}", "left")
     found = F.array_sort(F.filter(F.array(*[f"c{i}" for i in range(len(rules))]), lambda c: c.isNotNull()))
     return rows.select("kid", "tid", "v", found.alias("causes"))
 
 
+def with_causes(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """with_births of all rows by themselves."""
+    firsts = None
+    for i, r in enumerate(rules):
+        own = rows.where(F.col(f"l{i}").isNotNull()).select(F.lit(r.rid).alias("rid"), F.col(f"l{i}").alias("l"), F.col("v").alias("r"), "tid")
+        firsts = own if firsts is None else firsts.unionByName(own)
+    return with_births(rows, rules, births(firsts))
+
+
 def cause_links(cells: DataFrame) -> DataFrame:
     """(a, b, w): two causes with a tuple in common, and the place from which on they are linked."""
     rest = F.explode(F.slice("causes", 2, F.size("causes") - 1)).alias("c")
@@ -94,17 +109,25 @@ def _by_component(edges: DataFrame, key, merges: bool) -> DataFrame:  # noqa: AN
     return rows.mapInPandas(lambda batches: _kruskal(batches, merges), schema)
 
 
-def merge_order(links: DataFrame, bound: int = BOUND) -> DataFrame:
-    """(c, into, w): the class of each cause but one of a component goes into another one at place w. links: a, b, w."""
+def merge_order(links: DataFrame, bound: int = BOUND, sizes: DataFrame | None = None) -> DataFrame:
+    """(c, into, w): the class of each cause but one of a component goes into another one at place w. links: a, b, w; sizes: (class, size) where a and b are classes already (others have size 1)."""
     found = components(links).withColumnRenamed("node", "a")
     edges = cut(links.join(found, "a").select("component", "a", "b", "w"))
     one = [F.lit(1).cast("long").alias(x) for x in ("size_a", "size_b")]
+
+    def sized(own: DataFrame) -> DataFrame:
+        if sizes is None:
+            return own.select("*", *one)
+        for x in ("a", "b"):
+            own = own.join(sizes.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}")), x, "left").withColumn(f"size_{x}", F.coalesce(f"size_{x}", F.lit(1).cast("long")))
+        return own
+
     while True:  # links that close a cycle in any part of a component are not needed
-        sizes = edges.groupBy("component").agg(F.count("*").alias("n"))
-        row = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        found = edges.groupBy("component").agg(F.count("*").alias("n"))
+        row = found.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
         if not row.all or row.most <= bound:
             break
-        parts = sizes.select("component", F.ceil(F.col("n") / bound).alias("parts"))
+        parts = found.select("component", F.ceil(F.col("n") / bound).alias("parts"))
         some = edges.join(parts, "component").select("*", *one)
         fewer = cut(_by_component(some, F.xxhash64("component", F.pmod(F.xxhash64("a", "b"), "parts")), False))
         if 10 * fewer.count() > 9 * row.all:
@@ -112,7 +135,7 @@ def merge_order(links: DataFrame, bound: int = BOUND) -> DataFrame:
             break
         edges = fewer
     if not row.all or row.most <= bound:
-        return cut(_by_component(edges.select("*", *one), F.xxhash64("component"), True))
+        return cut(_by_component(sized(edges), F.xxhash64("component"), True))
     # More causes than a task takes: slices of the order, one after another, each over the classes that those before left.
     place = F.row_number().over(Window.partitionBy("component").orderBy("w", "a", "b"))
     edges = cut(edges.withColumn("slice", F.floor((place - 1) / bound)))
@@ -120,11 +143,11 @@ def merge_order(links: DataFrame, bound: int = BOUND) -> DataFrame:
     for i in range(edges.agg(F.max("slice")).first()[0] + 1):
         own = edges.where(F.col("slice") == i).drop("slice")
         if out is None:
-            own = own.select("*", *one)
+            own = sized(own)
         else:
-            nodes = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-            now = nodes.join(ways(out), "c", "left").select("c", F.coalesce(F.element_at("way", -1)["into"], "c").alias("top"))
-            now = cut(now.join(now.groupBy("top").agg(F.count("*").alias("size")), "top"))
+            nodes = sized(edges.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("b", F.col("a"))).select(F.col("a").alias("c"), F.col("size_a").alias("own"))
+            now = nodes.join(ways(out), "c", "left").select("c", "own", F.coalesce(F.element_at("way", -1)["into"], "c").alias("top"))
+            now = cut(now.join(now.groupBy("top").agg(F.sum("own").alias("size")), "top"))
             for x in ("a", "b"):
                 own = own.join(now.select(F.col("c").alias(x), F.col("top").alias(f"top_{x}"), F.col("size").alias(f"size_{x}")), x).drop(x).withColumnRenamed(f"top_{x}", x)
         got = _by_component(own, F.xxhash64("component"), True)
@@ -149,15 +172,19 @@ def class_at(c, way, at):  # noqa: ANN001, ANN201
     return F.coalesce(F.try_element_at(F.filter(way, lambda x: x["w"] <= at), F.lit(-1))["into"], c)
 
 
-def class_events(cells: DataFrame, way: DataFrame) -> DataFrame:
-    """(class, at, v, n, kid, tid, is_new): what counts in a class from a place on; kid: of the tuple that asks for a decision there, or null."""
+def class_events(cells: DataFrame, way: DataFrame, after: int = 0, classes: DataFrame | None = None) -> DataFrame:
+    """(class, at, v, n, kid, tid, is_new): what counts in a class from a place on; kid: of the tuple that asks for a decision there, or null. after: only what begins later; classes: (vc, class) of the causes whose class has another name, way being that of classes."""
     first = F.col("causes")[0]
     asks = F.col("tid") >= first["born"]
+    if after:
+        cells = cells.where(F.greatest("tid", first["born"]) > after)
     own = cells.select("v", first["vc"].alias("c"), F.greatest("tid", first["born"]).alias("at"), F.when(asks, F.col("kid")).alias("kid"), F.when(asks, F.col("tid")).alias("tid"), F.exists("causes", lambda c: c["born"] == F.col("tid")).alias("is_new"), asks.alias("asks"))
     # Tuples from before the birth count together.
     early = own.where("not asks").groupBy("c", "at", "v").agg(F.count("*").alias("n"))
     none = [F.lit(None).cast(cells.schema[x].dataType).alias(x) for x in ("kid", "tid")]
     events = own.where("asks").select("c", "at", "v", F.lit(1).cast("long").alias("n"), "kid", "tid", "is_new").unionByName(early.select("c", "at", "v", "n", *none, F.lit(None).cast("boolean").alias("is_new")))
+    if classes is not None:
+        events = events.join(classes.select(F.col("vc").alias("c"), "class"), "c", "left").withColumn("c", F.coalesce("class", "c")).drop("class")
     events = cut(events.join(way, "c", "left"))
     own = events.select(class_at(F.col("c"), F.col("way"), F.col("at")).alias("class"), "at", "v", "n", "kid", "tid", "is_new")
     later = events.where("way is not null").select("at", "v", "n", F.explode("way").alias("x")).where("x.w > at")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import pane
-from ..functions.rules import Rule, value
+from ..functions.rules import Rule
 from ..functions.shared import cut
 from .detect import members
 from .graph import components
@@ -78,8 +78,8 @@ def window_lives(seen: DataFrame, mode: str) -> DataFrame:
 def window_cells(df: DataFrame, rules: Sequence[Rule], mode: str, step: int) -> tuple[DataFrame, DataFrame]:
     """(rows, cells). rows: kid and cell; cells: (cell, p, v, n, spans) of each of them that belongs to a cause; spans: array of (f, t, last, vc), the windows f to t in which it is a cell of cause vc (`rid:birth:lhs`), by rule. One row for a cell's whole life; equal tuples of a pane are one cell, n of them."""
     names = [f"l{i}" for i in range(len(rules))]
-    lhs = [F.when(r.sees(), value(r.lhs)).alias(c) for r, c in zip(rules, names, strict=True)]
-    rows = df.select("kid", pane(step).alias("p"), value(rules[0].rhs).alias("v"), *lhs).where(F.coalesce(*names).isNotNull())
+    lhs = [F.when(r.sees(), r.left()).alias(c) for r, c in zip(rules, names, strict=True)]
+    rows = df.select("kid", pane(step).alias("p"), rules[0].right().alias("v"), *lhs).where(F.coalesce(*names).isNotNull())
     rows = rows.withColumn("cell", F.to_json(F.struct("p", "v", *names)))
     cells = cut(rows.groupBy("cell", "p", "v", *names).agg(F.count("*").alias("n")))
     found = cells

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import pane
-from ..functions.rules import Rule, rules_frame, value
+from ..functions.rules import Rule, rules_frame
 
 
 def members(df: DataFrame, rule: Rule, step: int | None = None, tid: str = "tid") -> DataFrame:
     """(kid, tid, l, r, p) of the tuples that a rule sees; p: the pane, 0 without windows. Only the rule's attributes are read."""
     p = pane(step, tid) if step else F.lit(0).cast("long")
-    return df.where(rule.sees(tid)).select("kid", F.col(tid).alias("tid"), value(rule.lhs).alias("l"), value(rule.rhs).alias("r"), p.alias("p"))
+    return df.where(rule.sees(tid)).select("kid", F.col(tid).alias("tid"), rule.left().alias("l"), rule.right().alias("r"), p.alias("p"))
 
 
 def turning_points(rows: DataFrame, windowed: bool) -> DataFrame:
@@ -60,10 +60,10 @@ def other_tuples(df: DataFrame, rule: Rule, step: int | None = None) -> DataFram
     """(kid, tid, l, r, othervalue, other_tid): new violations, a row for each tuple with the one value that stood before."""
     rows = members(df, rule, step)
     turns = turning_points(rows, step is not None)
-    fresh = rows.join(turns, ["l", "p"]).where("tid = t2").select("kid", "tid", "l", "r", "p", F.col("other").alias("othervalue"))
+    panes = F.explode(F.array(F.col("p") - 1, F.col("p")) if step else F.array("p")).alias("q")  # so that a group's panes meet only those beside them
+    fresh = rows.join(turns, ["l", "p"]).where("tid = t2").select("kid", "tid", "l", "r", F.col("other").alias("othervalue"), panes)
     old = rows.select("l", F.col("p").alias("q"), F.col("tid").alias("other_tid"), F.col("r").alias("othervalue"))
-    near = F.col("q").between(F.col("p") - 1, F.col("p"))
-    return fresh.join(old, ["l", "othervalue"]).where(near & (F.col("other_tid") < F.col("tid"))).select("kid", "tid", "l", "r", "othervalue", "other_tid")
+    return fresh.join(old, ["l", "q", "othervalue"]).where(F.col("other_tid") < F.col("tid")).select("kid", "tid", "l", "r", "othervalue", "other_tid")
 
 
 def new_violations(df: DataFrame, rule: Rule, step: int | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ only. So a hot group is spread over its panes, and no task sorts more than one o
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,38 +59,59 @@ def _before_basic(counts: DataFrame) -> DataFrame:
     return counts.join(last, ["l", "e", "p", "r"], "left").withColumn("before", F.coalesce("before", F.lit(0))).join(lead, ["l", "e", "p"], "left")
 
 
-def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None = None) -> DataFrame:
-    """(kid, tid, r, violating, fix) of every tuple that the rule sees; fix: null where it does not violate."""
+def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None = None, past: DataFrame | None = None) -> DataFrame:
+    """(kid, tid, r, violating, is_new, fix) of every tuple that the rule sees; fix: null where it does not violate.
+
+    past: (l, p, r, n, t), tuples before all of df, n of them from t on with one value in one pane (0
+    without windows); of those, what a window may still reach.
+    """
     if mode not in MODES:
         raise ConfigError(f"unknown window mode {mode}")
     if (mode == "none") == bool(step):
         raise ConfigError("a window needs a step, and only a window has one")
     # They are read several times below; the order of tuples behind them is computed once.
-    rows = cut(members(df, rule, step))
+    rows = members(df, rule, step).withColumn("n", F.lit(1).cast("long"))
+    if past is not None:
+        groups = rows.select("l").distinct()
+        old = past.join(groups, "l", "left_semi").select(F.lit(None).cast(df.schema["kid"].dataType).alias("kid"), F.col("t").alias("tid"), "l", "r", "p", "n")
+        rows = rows.unionByName(old)
+    rows = cut(rows)
     turns = turning_points(rows, bool(step)).select("l", "p", "t2")
-    rows = rows.join(turns, ["l", "p"], "left").withColumn("violating", F.coalesce(F.col("tid") >= F.col("t2"), F.lit(False))).drop("t2")
+    rows = rows.join(turns, ["l", "p"], "left").withColumn("violating", F.coalesce(F.col("tid") >= F.col("t2"), F.lit(False))).withColumn("is_new", F.coalesce(F.col("tid") == F.col("t2"), F.lit(False))).drop("t2")
     if mode == "none":
         # Groups without two values need no counts.
         rows = rows.withColumn("p", F.expr(f"(tid - 1) div {CHUNK}")).withColumn("e", F.lit(0).cast("long"))
         turned = turns.select("l")
         live, quiet = rows.join(turned, "l", "left_semi"), rows.join(turned, "l", "left_anti")
-        base = _before_growing(live.groupBy("l", "e", "p", "r").agg(F.count("*").alias("n")))
+        base = _before_growing(live.groupBy("l", "e", "p", "r").agg(F.sum("n").alias("n")))
     elif mode == "basic":
         live, quiet = rows.withColumn("e", F.lit(0).cast("long")), None
-        base = _before_basic(live.groupBy("l", "e", "p", "r").agg(F.count("*").alias("n")))
+        base = _before_basic(live.groupBy("l", "e", "p", "r").agg(F.sum("n").alias("n")))
     else:
-        lives = episodes(rows.where("violating").select("l", "p").distinct())
+        # A value that a pane had before may not tell where its tuples stand, so panes are judged by their values.
+        lives = episodes(violating_panes(rows))
         with_birth = lives.unionByName(lives.select("l", (F.col("birth") - 1).alias("p"), "birth").distinct()).withColumnRenamed("birth", "e")
-        counts = rows.groupBy("l", "p", "r").agg(F.count("*").alias("n")).join(with_birth, ["l", "p"])
+        counts = rows.groupBy("l", "p", "r").agg(F.sum("n").alias("n")).join(with_birth, ["l", "p"])
         base = _before_growing(counts.select("l", "e", "p", "r", "n"))
         live, quiet = rows.join(lives.withColumnRenamed("birth", "e"), ["l", "p"]), rows.join(lives, ["l", "p"], "left_anti")
     own = Window.partitionBy("l", "e", "p", "r").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("l", "e", "p").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = live.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.count("*").over(own))
+    counted = live.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.sum("n").over(own))
     led = counted.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
     fix = F.when(F.col("violating"), F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v")))
-    out = led.select("kid", "tid", "r", "violating", fix.alias("fix"))
-    return out if quiet is None else out.unionByName(quiet.select("kid", "tid", "r", "violating", F.lit(None).cast("string").alias("fix")))
+    out = led.where("kid is not null" if past is not None else "true").select("kid", "tid", "r", "violating", "is_new", fix.alias("fix"))
+    if quiet is None:
+        return out
+    quiet = quiet.where("kid is not null" if past is not None else "true")
+    return out.unionByName(quiet.select("kid", "tid", "r", "violating", "is_new", F.lit(None).cast("string").alias("fix")))
+
+
+def violating_panes(rows: DataFrame) -> DataFrame:
+    """(l, p) of the panes in which a tuple violates: they have tuples, and two values with those of the pane before. rows: l, p, r."""
+    seen = rows.select("l", "p", "r").distinct()
+    both = seen.select("l", "p", "r", F.lit(1).alias("own")).unionByName(seen.select("l", (F.col("p") + 1).alias("p"), "r", F.lit(0).alias("own")))
+    found = both.groupBy("l", "p").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.max("own").alias("own"))
+    return found.where("a <> b and own = 1").select("l", "p")
 
 
 def candidates(df: DataFrame, rule: Rule, k: int) -> DataFrame:
@@ -111,6 +134,15 @@ def merged_proposals(partial: DataFrame) -> DataFrame:
     return partial.groupBy("l", "r").agg(F.sum("n").alias("n"))
 
 
+def tuple_proposals(df: DataFrame, rules: Sequence[Rule], k: int) -> DataFrame:
+    """(kid, attr, value, n): what all rules together propose for a tuple: the k most frequent values of each of its violating groups with their counts, summed up by value."""
+    out = None
+    for r in rules:
+        one = members(df, r).select("kid", "l").join(candidates(df, r, k), "l").select("kid", F.lit(r.rhs).alias("attr"), F.col("r").alias("value"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kid", "attr", "value").agg(F.sum("n").alias("n"))
+
+
 def decisions(counts: DataFrame) -> DataFrame:
     """(l, n, v): the most frequent value of each group, the smallest of those."""
     best = counts.groupBy("l").agg(F.min(F.struct((-F.col("n")).alias("c"), F.col("r").alias("v"))).alias("m"))

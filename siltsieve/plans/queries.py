@@ -324,22 +324,22 @@ def supercell_cumulative(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"WITH {DIRTY_SQL}, {s_sql(RULES[6])}, {NONE_SQL} SELECT kid, tid, violating, fix FROM fixed")
 def window_none(spark, d):  # noqa: ANN001, ANN201
-    return repair.repair_rule(dirty_orders(spark, d), RULES[6]).drop("r")
+    return repair.repair_rule(dirty_orders(spark, d), RULES[6]).drop("r", "is_new")
 
 
 @query(f"WITH {DIRTY_SQL}, {s_sql(RULES[6])}, {pane_sql(STEP)}, {BASIC_SQL} SELECT kid, tid, violating, fix FROM fixed")
 def window_basic(spark, d):  # noqa: ANN001, ANN201
-    return repair.repair_rule(dirty_orders(spark, d), RULES[6], "basic", STEP).drop("r")
+    return repair.repair_rule(dirty_orders(spark, d), RULES[6], "basic", STEP).drop("r", "is_new")
 
 
 @query(f"WITH {DIRTY_SQL}, {s_sql(RULES[6])}, {pane_sql(STEP)}, {CUMULATIVE_SQL} SELECT kid, tid, violating, fix FROM fixed")
 def window_cumulative(spark, d):  # noqa: ANN001, ANN201
-    return repair.repair_rule(dirty_orders(spark, d), RULES[6], "cumulative", STEP).drop("r")
+    return repair.repair_rule(dirty_orders(spark, d), RULES[6], "cumulative", STEP).drop("r", "is_new")
 
 
 @query(f"WITH {EVENTS_SQL}, {s_sql(EVENT_RULES[1], table='ev')}, {pane_sql(EVENT_STEP)}, {CUMULATIVE_SQL} SELECT kid, tid, violating, fix FROM fixed")
 def window_cumulative_events(spark, d):  # noqa: ANN001, ANN201
-    return repair.repair_rule(event_stream(spark, d), EVENT_RULES[1], "cumulative", EVENT_STEP).drop("r")
+    return repair.repair_rule(event_stream(spark, d), EVENT_RULES[1], "cumulative", EVENT_STEP).drop("r", "is_new")
 
 
 LAST = f"CAST(floor((tid - 1) / {STEP}) AS BIGINT) + 1 >= (SELECT CAST(floor((max(tid) - 1) / {STEP}) AS BIGINT) FROM dirty)"
@@ -499,9 +499,16 @@ def repair_proposal_merge(spark, d):  # noqa: ANN001, ANN201
     return _merged(spark, d)
 
 
-@query(f"{BAD_SQL} SELECT l, max(n) AS n FROM n GROUP BY l")
+def _ranked(r: Rule) -> str:
+    i = r.rid
+    return f"""{s_sql(r, f"s{i}")}, n{i} AS (SELECT l, r, count(*) AS n, count(*) OVER (PARTITION BY l) AS k FROM s{i} GROUP BY l, r),
+ k{i} AS (SELECT l, r, n FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY n DESC, r) AS rank FROM n{i} WHERE k > 1) z WHERE rank <= {TOP})"""
+
+
+@query(f"""WITH {DIRTY_SQL}, {", ".join(map(_ranked, PAIR))}, z AS ({" UNION ALL ".join(f"SELECT s{r.rid}.kid, '{r.rhs}' AS attr, k{r.rid}.r AS value, n FROM s{r.rid} JOIN k{r.rid} ON s{r.rid}.l = k{r.rid}.l" for r in PAIR)})
+ SELECT kid, attr, value, CAST(sum(n) AS BIGINT) AS n FROM z GROUP BY ALL""")
 def aggregate_proposals(spark, d):  # noqa: ANN001, ANN201
-    return _merged(spark, d).groupBy("l").agg(F.max("n").alias("n"))
+    return repair.tuple_proposals(dirty_orders(spark, d), PAIR, TOP)
 
 
 @query(f"{BAD_SQL}, m AS (SELECT l, min({{'a': -n, 'v': r}}) AS m FROM n GROUP BY l) SELECT l, -m.a AS n, m.v AS v FROM m")

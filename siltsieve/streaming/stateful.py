@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.rules import Rule, value
+from ..functions.rules import Rule
 from .machines import ClassMachine, GroupMachine
 
 OUT = "kid long, tid long, attr string, violating boolean, is_new boolean, fix string"
@@ -32,9 +32,9 @@ def repair_stream(sdf: DataFrame, rules: Sequence[Rule], mode: str = "none", ste
     rids = {attr: {r.rid for r in own} for attr, own in by.items()}
     sides = []
     for attr, own in by.items():
-        groups = F.filter(F.array(*[F.when(r.sees(), F.struct(F.lit(r.rid).alias("rid"), value(r.lhs).alias("l"))) for r in own]), lambda x: x.isNotNull())
-        key = F.lit(f"class:{attr}") if len(own) > 1 else F.concat(F.lit(f"{own[0].rid}:"), value(own[0].lhs))
-        sides.append(F.struct(key.alias("key"), F.lit(attr).alias("attr"), value(attr).alias("r"), groups.alias("groups")))
+        groups = F.filter(F.array(*[F.when(r.sees(), F.struct(F.lit(r.rid).alias("rid"), r.left().alias("l"))) for r in own]), lambda x: x.isNotNull())
+        key = F.lit(f"class:{attr}") if len(own) > 1 else F.concat(F.lit(f"{own[0].rid}:"), own[0].left())
+        sides.append(F.struct(key.alias("key"), F.lit(attr).alias("attr"), own[0].right().alias("r"), groups.alias("groups")))
     rows = sdf.select("kid", "tid", F.explode(F.array(*sides)).alias("s")).select("kid", "tid", "s.*").where(F.size("groups") > 0)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
