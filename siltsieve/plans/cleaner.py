@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions.rules import Rule
 from ..functions.shared import cut
 from ..operators import classes, repair
 from ..operators.detect import clean, detect_all
 from .config import parse_config
 
+if TYPE_CHECKING:
+    from ..streaming.live import LiveCleaner
+
 
 @dataclass
 class Cleaner:
@@ -80,3 +85,16 @@ class Cleaner:
 
         self._check(sdf)
         return repair_stream(sdf, self.rules, self.mode, self.step, self.repair_mode)
+
+    def can_live(self) -> bool:
+        """Whether a LiveCleaner does what these rules and modes ask for: all but windows on right-hand sides of several rules, and immediate repair of these."""
+        shared = len({r.rhs for r in self.rules}) < len(self.rules)
+        return not shared or (self.mode == "none" and self.repair_mode == "delayed")
+
+    def live(self, spark: SparkSession, place: str) -> LiveCleaner:
+        """For a stream of tuples with rules that may change; see streaming.live."""
+        from ..streaming.live import LiveCleaner
+
+        if not self.can_live():
+            raise ConfigError("use repair_stream for windows or immediate repair on right-hand sides of several rules")
+        return LiveCleaner(spark, self.rules, place, self.mode, self.step)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..errors import ConfigError
 from ..functions.order import with_tid
 from ..functions.shared import cut, shared_dir
-from ..sources.lines import kafka_lines, parse_delimited, parse_key, read_lines, to_lines
+from ..sources.lines import kafka_lines, parse_control, parse_delimited, parse_key, read_lines, to_lines
 from .cleaner import Cleaner
 from .config import Config, parse_config
 
@@ -56,3 +56,18 @@ def start_stream(spark: SparkSession, text: str, prefix: str | None = None, line
         lines = kafka_lines(spark, config.servers, config.topic)
     found = cleaner(config).repair_stream(tuples(lines, config).withColumn("tid", F.col("kid")))
     return found.writeStream.format("parquet").option("checkpointLocation", f"{shared_dir(spark)}/{name}-checkpoint").option("path", config.output).outputMode("append").trigger(availableNow=True).start()
+
+
+def start_live(spark: SparkSession, text: str, prefix: str | None = None, lines: DataFrame | None = None, control: DataFrame | None = None, available_now: bool = True) -> StreamingQuery:
+    """Whole repaired tuples from a stream of lines, with rules that a stream of control lines changes while it runs; both by default from the configuration's topics. The key is the order. The output is a LiveCleaner's place: its `tuples` are the result, its `state` and `checkpoint` let a stopped query go on."""
+    config = parse_config(text, prefix)
+    if not config.output:
+        raise ConfigError("a job needs an output")
+    if lines is None:
+        if not config.topic or not config.servers:
+            raise ConfigError("a stream needs a topic and a server")
+        lines = kafka_lines(spark, config.servers, config.topic)
+        if control is None and config.control_topic:
+            control = kafka_lines(spark, config.servers, config.control_topic, earliest=False)
+    own = tuples(lines, config).withColumn("tid", F.col("kid"))
+    return cleaner(config).live(spark, config.output).start(own, None if control is None else parse_control(control), available_now)

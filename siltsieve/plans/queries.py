@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -428,9 +429,12 @@ def arrival_sql(rules: list[Rule]) -> str:
  n AS (SELECT tid, v, count(*) AS n FROM seen GROUP BY tid, v), best AS (SELECT tid, min({{'a': -n, 'v': v}}) AS m FROM n GROUP BY tid)"""
 
 
-@query(f"""WITH RECURSIVE {DIRTY_SQL}, {arrival_sql(PAIR)}
+ARRIVAL_SQL = f"""WITH RECURSIVE {DIRTY_SQL}, {arrival_sql(PAIR)}
  SELECT dirty.kid, dirty.tid, asks.tid IS NOT NULL AS violating, coalesce(is_new, false) AS is_new, CASE WHEN n.n = -m.a THEN n.v ELSE m.v END AS fix
- FROM dirty LEFT JOIN asks ON dirty.tid = asks.tid LEFT JOIN n ON asks.tid = n.tid AND asks.v = n.v LEFT JOIN best ON asks.tid = best.tid""")
+ FROM dirty LEFT JOIN asks ON dirty.tid = asks.tid LEFT JOIN n ON asks.tid = n.tid AND asks.v = n.v LEFT JOIN best ON asks.tid = best.tid"""
+
+
+@query(ARRIVAL_SQL)
 def rw_basic(spark, d):  # noqa: ANN001, ANN201
     return arrival.repair_shared_arrival(dirty_orders(spark, d), PAIR)
 
@@ -583,6 +587,38 @@ def stream_repair_cumulative(spark, d):  # noqa: ANN001, ANN201
     return _streamed(spark, d, Cleaner([RULES[6]], "cumulative", STEP)).select("kid", "tid", "violating", "fix")
 
 
+def _live(spark: SparkSession, d: str, rules: list[Rule], cuts: list[int], messages: dict | None = None):  # noqa: ANN202
+    import uuid
+
+    from ..functions.shared import shared_dir
+    from ..streaming.run import drain_live
+
+    own = Cleaner(rules).live(spark, f"{shared_dir(spark)}/live_{uuid.uuid4().hex}")
+    drain_live(spark, dirty_orders(spark, d), own, cuts, messages)
+    return own
+
+
+@query(ARRIVAL_SQL)
+def stream_shared(spark, d):  # noqa: ANN001, ANN201
+    return _streamed(spark, d, Cleaner(PAIR)).select("kid", "tid", "violating", "is_new", "fix")
+
+
+@query(f"{REPAIRED_SQL} SELECT dirty.kid, dirty.tid, custkey, loc, segment, coalesce(fix, cname) AS cname, status, violating AS repaired, coalesce(fix <> cname, false) AS changed FROM dirty JOIN fixed ON dirty.kid = fixed.kid")
+def stream_tuples(spark, d):  # noqa: ANN001, ANN201
+    return spark.read.parquet(f"{_live(spark, d, [RULES[6]], [CUT, 2 * CUT]).place}/tuples").drop("batch")
+
+
+def _sides(*parts: tuple[str, Rule]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM (WITH {s_sql(r)}, {NONE_SQL} SELECT kid, tid, '{attr}' AS attr, violating, fix FROM fixed) z" for attr, r in parts)
+
+
+@query(f"WITH {DIRTY_SQL} {_sides(('cname', replace(RULES[6], to_tid=CUT)), ('segment', replace(RULES[0], from_tid=CUT)))}")
+def ctl_stream(spark, d):  # noqa: ANN001, ANN201
+    messages = {1: [("del_rule", "6"), ("add_rule", "9;FD,custkey,segment"), ("dw_add_rule", "9;FD,custkey,segment")]}
+    own = _live(spark, d, [RULES[6]], [CUT], messages)
+    return spark.read.parquet(f"{own.place}/decisions").select("kid", "tid", "attr", "violating", "fix")
+
+
 @query()
 def rw_ir(spark, d):  # noqa: ANN001, ANN201
     return _streamed(spark, d, Cleaner(PAIR, repair_mode="immediate")).select("kid", "tid", "violating", "is_new", "fix")

@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_dir
+from ..functions.shared import cut, shared_dir
 from ..plans.cleaner import Cleaner
+from .live import LiveCleaner
+from .stateful import OUT
+
+
+def in_files(df: DataFrame, place: str, cuts: Sequence[int]) -> None:
+    """df as Parquet files of ascending places, a new one from each of cuts on."""
+    for a, b in zip([0, *cuts], [*cuts, None]):
+        some = df.where(F.col("tid") >= a) if b is None else df.where((F.col("tid") >= a) & (F.col("tid") < b))
+        some.coalesce(1).write.mode("append").parquet(place)
+
+
+def drain_live(spark: SparkSession, df: DataFrame, live: LiveCleaner, cuts: Sequence[int], messages: dict[int, Sequence[tuple[str, str]]] | None = None) -> None:
+    """Run live to the end of df, in micro-batches that begin at cuts; messages: control messages by the number of the micro-batch that brings them."""
+    df = cut(df)
+    in_files(df, f"{live.place}/in", cuts)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{live.place}/in")
+    control = None
+    if messages:
+        schema = "name string, payload string"
+        for i in range(len(cuts) + 1):
+            spark.createDataFrame(list(messages.get(i, ())), schema).coalesce(1).write.mode("append").parquet(f"{live.place}/control")
+        control = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{live.place}/control")
+    live.start(stream, control).awaitTermination()
 
 
-def drain(spark: SparkSession, df: DataFrame, cleaner: Cleaner, name: str, batches: int = 3) -> DataFrame:
-    """df in a few files by order of tid, read as a stream, repaired, and written as Parquet in the shared folder; the rows written."""
+def drain(spark: SparkSession, df: DataFrame, cleaner: Cleaner, name: str, batches: int = 3, live: bool = True) -> DataFrame:
+    """df in a few files by order of tid, read as a stream and repaired; the decisions (see streaming.stateful.OUT). live: by a LiveCleaner, where there is one for such rules, else by keyed state."""
     place = f"{shared_dir(spark)}/{name}"
+    df = cut(df)  # the order of tuples, once
     last = df.agg(F.max("tid")).first()[0] or 0
     size = max(1, -(-last // batches))
-    for i in range(batches):
-        df.where(F.col("tid").between(i * size + 1, (i + 1) * size)).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    cuts = [i * size + 1 for i in range(1, batches)]
+    if live and cleaner.can_live():
+        own = cleaner.live(spark, f"{place}/live")
+        drain_live(spark, df, own, cuts)
+        return spark.read.schema(OUT).parquet(f"{own.place}/decisions").select("kid", "tid", "attr", "violating", "is_new", "fix")
+    in_files(df, f"{place}/in", cuts)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
     q = cleaner.repair_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
