@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

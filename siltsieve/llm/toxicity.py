@@ -363,6 +363,8 @@ def document_counts(rows: DataFrame, known: Broadcast) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
     """The index of at most MOST_EXAMPLES labelled rows that are not held out. Ids, labels and terms of that sample come to the driver, and the document frequencies of these terms."""
+    if MOST_EXAMPLES > np.iinfo(np.int16).max:
+        raise ValueError(f"examples are numbered in 16 bits, so MOST_EXAMPLES may not be {MOST_EXAMPLES}")
     spark = docs.sparkSession
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(F.col(label_col).cast("int")) == 1).alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_EXAMPLES).collect()
