@@ -31,6 +31,27 @@ def episodes(violating_panes: DataFrame) -> DataFrame:
     return runs.withColumn("birth", F.min("p").over(Window.partitionBy("l", "g"))).select("l", "p", "birth")
 
 
+def limited(lives: DataFrame, values: DataFrame, limit: int) -> DataFrame:
+    """lives with births moved on where a group has seen too many values: at the first pane that begins with more than limit values since the one before its birth, only that pane and the one before count from there on. values: (l, p, r).
+
+    Every round moves each run's next birth, all groups at once; there are as many rounds as the most that a group is reset.
+    """
+    lives = cut(lives)
+    seen = cut(values.join(lives.select("l").distinct(), "l", "left_semi").select("l", "p", "r").distinct())
+    while True:
+        reach = lives.unionByName(lives.groupBy("l", "birth").agg(F.lit(None).cast("long").alias("p")).withColumn("p", F.col("birth") - 1))
+        first = seen.join(reach, ["l", "p"]).groupBy("l", "birth", "r").agg(F.min("p").alias("p"))
+        grown = F.sum(F.count("*")).over(Window.partitionBy("l", "birth").orderBy("p"))
+        full = first.groupBy("l", "birth", "p").agg(grown.alias("n")).where(F.col("n") > limit).groupBy("l", "birth").agg((F.min("p") + 1).alias("again"))
+        # A birth's own pane and the one before count in any case.
+        full = full.withColumn("again", F.greatest("again", F.col("birth") + 1))
+        moved = lives.join(full, ["l", "birth"], "left").select("l", "p", F.when(F.col("p") >= F.col("again"), F.col("again")).otherwise(F.col("birth")).alias("birth"), (F.col("p") >= F.col("again")).alias("moved"))
+        moved = cut(moved)
+        lives = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return lives
+
+
 def _before_growing(counts: DataFrame) -> DataFrame:
     """(l, e, p, r, n, before, lead): what each value counted before the pane, and (-count, value) of the leading value then. counts: l, e, p, r, n."""
     own = Window.partitionBy("l", "e", "r").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,8 +80,8 @@ def _before_basic(counts: DataFrame) -> DataFrame:
     return counts.join(last, ["l", "e", "p", "r"], "left").withColumn("before", F.coalesce("before", F.lit(0))).join(lead, ["l", "e", "p"], "left")
 
 
-def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None = None, past: DataFrame | None = None) -> DataFrame:
-    """(kid, tid, r, violating, is_new, fix) of every tuple that the rule sees; fix: null where it does not violate.
+def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None = None, past: DataFrame | None = None, value_limit: int | None = None) -> DataFrame:
+    """(kid, tid, r, violating, is_new, fix) of every tuple that the rule sees; fix: null where it does not violate. value_limit: in cumulative mode, see limited.
 
     past: (l, p, r, n, t), tuples before all of df, n of them from t on with one value in one pane (0
     without windows); of those, what a window may still reach.
@@ -90,6 +111,8 @@ def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None
     else:
         # A value that a pane had before may not tell where its tuples stand, so panes are judged by their values.
         lives = episodes(violating_panes(rows))
+        if value_limit:
+            lives = limited(lives, rows, value_limit)
         with_birth = lives.unionByName(lives.select("l", (F.col("birth") - 1).alias("p"), "birth").distinct()).withColumnRenamed("birth", "e")
         counts = rows.groupBy("l", "p", "r").agg(F.sum("n").alias("n")).join(with_birth, ["l", "p"])
         base = _before_growing(counts.select("l", "e", "p", "r", "n"))

@@ -343,6 +343,23 @@ def window_cumulative_events(spark, d):  # noqa: ANN001, ANN201
     return repair.repair_rule(event_stream(spark, d), EVENT_RULES[1], "cumulative", EVENT_STEP).drop("r", "is_new")
 
 
+LIMITED, LIMIT = parse_rule(7, "FD,loc,cname"), 11
+
+
+@query(f"""WITH RECURSIVE {DIRTY_SQL}, {s_sql(LIMITED)}, {pane_sql(STEP)}, vp AS (SELECT DISTINCT l, p FROM det WHERE vio),
+ runs AS (SELECT l, p, min(p) OVER (PARTITION BY l, g) AS birth FROM (SELECT l, p, p - row_number() OVER (PARTITION BY l ORDER BY p) AS g FROM vp) z),
+ seen AS (SELECT x.l, x.p AS birth, y.p, count(DISTINCT b.r) AS k FROM vp x JOIN vp y ON x.l = y.l AND y.p >= x.p JOIN b ON b.l = x.l AND b.p BETWEEN x.p - 1 AND y.p GROUP BY ALL),
+ walk(l, p, birth) AS (SELECT l, p, birth FROM runs WHERE p = birth UNION ALL
+  SELECT runs.l, runs.p, CASE WHEN k > {LIMIT} THEN runs.p ELSE walk.birth END FROM walk JOIN runs ON runs.l = walk.l AND runs.p = walk.p + 1 AND runs.birth <= walk.p
+  JOIN seen ON seen.l = walk.l AND seen.birth = walk.birth AND seen.p = walk.p),
+ asks AS (SELECT det.kid, det.tid, det.l, det.r, det.p, birth FROM det JOIN walk ON det.l = walk.l AND det.p = walk.p WHERE vio),
+ n AS (SELECT asks.tid, b.r, count(*) AS n FROM asks JOIN b ON asks.l = b.l AND b.tid <= asks.tid AND b.p >= asks.birth - 1 GROUP BY ALL),
+ best AS (SELECT tid, min({{'a': -n, 'v': r}}) AS m FROM n GROUP BY tid)
+ SELECT asks.kid, asks.tid, CASE WHEN n.n = -m.a THEN asks.r ELSE m.v END AS fix FROM asks JOIN n ON asks.tid = n.tid AND asks.r = n.r JOIN best ON asks.tid = best.tid""")
+def value_limit_reset(spark, d):  # noqa: ANN001, ANN201
+    return repair.repair_rule(dirty_orders(spark, d), LIMITED, "cumulative", STEP, value_limit=LIMIT).where("violating").select("kid", "tid", "fix")
+
+
 LAST = f"CAST(floor((tid - 1) / {STEP}) AS BIGINT) + 1 >= (SELECT CAST(floor((max(tid) - 1) / {STEP}) AS BIGINT) FROM dirty)"
 
 

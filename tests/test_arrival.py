@@ -66,3 +66,16 @@ def test_windowed_classes_take_rows_in_proportion_to_panes(spark):
     for a, b in zip(sizes, sizes[1:]):
         assert all(y <= 2.3 * x for x, y in zip(a, b)), sizes
     assert sizes[0][0] <= 10 * step
+
+
+def test_a_class_of_too_many_values_counts_what_is_live(spark):
+    from siltsieve.operators import repair
+
+    # Pane 1 has 'old' four times; later panes of 5 bring a new value with each tuple.
+    rows = [(t, t, "k", "l", "old" if t <= 4 or t in (25, 30) else f"v{t}") for t in range(1, 31)]
+    df = spark.createDataFrame(rows, "kid long, tid long, k string, l string, v string")
+    free = {r.tid: r.fix for r in repair.repair_rule(df, RULES[0], "cumulative", 5).collect()}
+    some = {r.tid: r.fix for r in repair.repair_rule(df, RULES[0], "cumulative", 5, value_limit=8).collect()}
+    assert set(list(free.values())[5:]) == {"old"}
+    # Panes 1 and 2 have 7 values, with pane 3 there are 12: from pane 4 on, panes 3 and 4 count.
+    assert all(some[t] == "old" for t in range(6, 16)) and all(some[t] == f"v{t}" for t in range(16, 25))
