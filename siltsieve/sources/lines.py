@@ -52,6 +52,22 @@ def lines_to_kafka(spark: SparkSession, path: str, servers: str, topic: str) ->
     read_lines(spark, path).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
+def log_lines(spark: SparkSession, path: str, earliest: bool = True) -> DataFrame:
+    """kafka_lines of a log of lines (see linelog) in place of a topic."""
+    from .linelog import LineLog
+
+    spark.dataSource.register(LineLog)
+    return spark.readStream.format("linelog").option("path", path).option("startingOffsets", "earliest" if earliest else "latest").load()
+
+
+def lines_to_log(lines: DataFrame, path: str) -> None:
+    """Add (value) to a log of lines, as lines_to_kafka does to a topic."""
+    from .linelog import LineLog
+
+    lines.sparkSession.dataSource.register(LineLog)
+    lines.select("value").write.format("linelog").mode("append").option("path", path).save()
+
+
 def to_lines(df: DataFrame, columns: Sequence[str], separator: str = "|") -> DataFrame:
     """(value): rows as delimited lines, null as nothing."""
     return df.select(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), separator).alias("value"))
