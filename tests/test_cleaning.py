@@ -227,7 +227,7 @@ def test_rows_without_a_key_have_tids_too(spark):
 def test_streams_equal_batches(spark, mode, step):
     rows = [("pqrs"[i * 7 % 11 % 4], "xyz"[i * i % 7 % 3]) for i in range(120)]
     df = frame(spark, rows)
-    got = drain(spark, df, Cleaner([RULE], mode, step), f"t_{mode}", batches=4).orderBy("tid").collect()
+    got = drain(spark, df, Cleaner([RULE], mode, step), f"t_{mode}", batches=4, live=False).orderBy("tid").collect()
     assert [(r.violating, r.is_new, r.fix) for r in got] == model(rows, mode, step)
 
 
@@ -238,7 +238,7 @@ def test_shared_side_streams_in_both_modes(spark):
     for mode in ("delayed", "immediate"):
         m = ClassMachine(mode == "immediate")
         want = [m.process(t, v, [(0, k), (1, x)]) for t, (k, x, v) in enumerate(rows, 1)]
-        got = drain(spark, df, Cleaner(rules, repair_mode=mode), f"shared_{mode}").orderBy("tid").collect()
+        got = drain(spark, df, Cleaner(rules, repair_mode=mode), f"shared_{mode}", live=False).orderBy("tid").collect()
         assert [(r.violating, r.is_new, r.fix) for r in got] == want
     for mode in ("basic", "cumulative"):
         m = ClassMachine(False, mode, 7)
@@ -401,3 +401,62 @@ def test_a_stream_job_and_its_metrics(spark, tmp_path, bad):
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("tid").collect()
     machines = {z: GroupMachine("basic", 50) for z in "pq"}
     assert [(r.violating, r.is_new, r.fix) for r in got] == [machines[z].process(i, c) for i, z, c in rows]
+
+
+def test_probes_tell_how_long_tuples_take(spark, tmp_path):
+    import time
+
+    from siltsieve.streaming.metrics import Throughput, probed
+
+    spark.range(1, 251).selectExpr("id AS tid", "current_timestamp() - INTERVAL 50 SECONDS AS arrived").coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = Throughput()
+    spark.streams.addListener(seen)
+    try:
+        sdf = probed(spark.readStream.schema("tid long, arrived timestamp").parquet(f"{tmp_path}/in"))
+        sdf.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if seen.probes:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    got = seen.report()
+    assert got["probes"] == 2 and 50_000 <= got["probe_p95_ms"] < 400_000
+
+
+def test_a_kind_of_rule_of_ones_own(spark, tmp_path):
+    from siltsieve.functions import rules as kinds
+    from siltsieve.streaming.live import LiveCleaner
+
+    class Region(Rule):
+        """The first two letters of lhs decide rhs."""
+
+        def left(self):
+            return F.substring(kinds.value(self.lhs), 1, 2)
+
+        @property
+        def text(self):
+            return f"REGION,{self.lhs},{self.rhs}"
+
+    def parse(rid, rest):
+        parts = rest.split(",")
+        return Region(rid, *parts) if len(parts) == 2 else None
+
+    if "REGION" not in kinds.KINDS:
+        kinds.add_kind("REGION", parse)
+    with pytest.raises(RuleDefinitionError):
+        kinds.add_kind("FD", parse)
+    with pytest.raises(RuleDefinitionError):
+        parse_rule(0, "REGION,a")
+    rule = parse_rule(4, "REGION,k,v")
+    assert parse_rule(4, rule.text) == rule
+    rows = [(f"{'ab'[i % 2]}{'xy'[i % 3 % 2]}{i}", "pqr"[i * i % 7 % 3]) for i in range(40)]
+    df = frame(spark, rows, "k string, v string")
+    plain = frame(spark, [(k[:2], v) for k, v in rows], "k string, v string")
+    want = {(r.kid, r.fix) for r in Cleaner([Rule(4, "k", "v")]).fixes(plain).collect()}
+    assert want and {(r.kid, r.fix) for r in Cleaner([rule]).fixes(df).collect()} == want
+    assert {r.kid for r in Cleaner([rule]).detect(df).collect()} == {k for k, _ in want}
+    live = LiveCleaner(spark, [rule], f"{tmp_path}/live")
+    live.process(df.where("tid <= 15"), 0)
+    live.process(df.where("tid > 15"), 1)
+    assert {(r.kid, r.fix) for r in spark.read.parquet(f"{live.place}/decisions").where("violating").collect()} == want
