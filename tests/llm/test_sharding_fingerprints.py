@@ -3,6 +3,7 @@ from __future__ import annotations
 import binascii
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,3 +114,38 @@ def test_query_gives_classes_of_near_copies(spark):
     odd = spark.createDataFrame([(5, t), (5, "other words"), (7, t + " end"), (7, t + " end"), (None, t), (8, None), (None, "")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_chars, r.class_id) for r in fingerprints_and_classes(odd).collect())
     assert got == sorted([(5, len(t), 5), (5, 11, 5), (7, len(t) + 4, 5), (7, len(t) + 4, 5), (0, len(t), 5), (8, 0, 8), (0, 0, None)], key=lambda x: x[:2])
+
+
+def test_fingerprints_in_plain_python(spark):
+    from siltsieve.llm import wordhash
+    from siltsieve.llm.fingerprints import A, B, fingerprints
+
+    whole = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & whole
+        return x ^ (x >> 31)
+
+    def word(w):
+        return mix(sum(int(wordhash.TABLE[b + 32 if 65 <= b <= 90 else b]) * pow(int(wordhash.BASE), i, 1 << 64) for i, b in enumerate(w)) & whole)
+
+    def run(words):
+        return mix((sum(h * int(p) for h, p in zip(words, wordhash.PLACES)) + len(words)) & whole)
+
+    def printed(text):
+        words = [word(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+        grams = [run(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        least = [min(((x * int(a) + int(b)) & whole) >> 32 for x in grams) & 0xFFFF if grams else 0xFFFF for a, b in zip(A[:128], B[:128])]
+        return "".join(f"{x:04x}" for x in least)
+
+    texts = ["", "one", "One two\tthree", "a b c d e", "The same words and the SAME words and the same words, é日本 again", " ".join(f"w{i % 17}" for i in range(80))]
+    rows = {r.doc_id: r for r in fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i].fingerprint == printed(text)
+        following = texts[i - 1]  # descending ids; after the last the first
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        assert rows[i].edited_fingerprint == printed(edited)
+        a, b = printed(text), printed(edited)
+        assert rows[i].near_edited == sum(a[j : j + 4] == b[j : j + 4] for j in range(0, 512, 4)) / 128
