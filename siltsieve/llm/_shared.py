@@ -24,6 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH_BYTES = "1m"
+#: A writer holds a whole row group; each task has one.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -42,7 +44,7 @@ class Scratch:
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.place}/{len(self.tables)}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables[path] = out
         return out

@@ -598,6 +598,7 @@ class Rows:
 def rows_of(docs: DataFrame, k: int, lists: DataFrame, scratch: Scratch) -> Rows:
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(lists.select("node")))
     rows = scratch.cut(sets_wanted(docs, k, wanted))
+    wanted.unpersist()
     return Rows(rows.select("doc_id", "key", "size", "node"), rows.where("data is not null").select("node", "data"))
 
 
@@ -650,6 +651,7 @@ def ngram_rows(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataF
     frequent = spark.sparkContext.broadcast(frequent_columns(docs, k, parts, scratch))
     release(spark)
     lists = scratch.cut(shared_lists(postings(docs, k, percent, frequent), percent, parts))
+    frequent.unpersist()
     release(spark)
     rows = rows_of(docs, k, lists, scratch)
     found = linked_components(rows, lists, lambda pairs: overlapping(pairs, percent, SHARE), percent, parts, scratch)
