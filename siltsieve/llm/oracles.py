@@ -39,10 +39,10 @@ QUALITY_RULES = rf"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, ''
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_RULES["base"]}) AS base_failed, NOT ({_RULES["base"]}) AND NOT coalesce(bad, false) AS kept, coalesce(bad, false) AS host_rejected FROM c LEFT JOIN bad ON c.host = bad.host"""
 
 
-def _replica(k: int, version: str) -> str:
+def _replica(k: int, version: str, pages: str = "pages") -> str:
     end = "chr(13) || chr(10)"
     data = f"{version} || {end} || 'WARC-Type: resource' || {end} || 'WARC-Target-URI: ' || coalesce(url, '') || {end} || 'Content-Type: text/html' || {end} || 'Content-Length: ' || strlen(coalesce(html, '')) || {end} || {end} || coalesce(html, '') || {end} || {end}"
-    return f"""a{k} AS (SELECT page_id, coalesce(CAST(floor(page_id / {FILE_RECORDS}) AS BIGINT), -1) AS file, {data} AS data FROM pages),
+    return f"""a{k} AS (SELECT page_id, coalesce(CAST(floor(page_id / {FILE_RECORDS}) AS BIGINT), -1) AS file, {data} AS data FROM {pages}),
  b{k} AS (SELECT page_id, file, CAST(strlen(data) AS BIGINT) AS length, sha256(data) AS sha256 FROM a{k}),
  c{k} AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, sha256 ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset" FROM b{k}),
  d{k} AS (SELECT *, CAST(floor("offset" / {RANGE_BYTES}) AS BIGINT) AS range_index FROM c{k}),
@@ -52,10 +52,12 @@ def _replica(k: int, version: str) -> str:
  r{k} AS (SELECT sha256(string_agg(grp || ':' || hash, ',' ORDER BY grp)) AS hash FROM g{k})"""
 
 
-WARC_FIXITY = f"""WITH {_replica(1, "'WARC/1.0'")}, {_replica(2, "CASE WHEN page_id % 101 = 7 THEN 'WARC/1.1' ELSE 'WARC/1.0' END")}
-SELECT d1.page_id, d1.file, d1."offset", d1.length, d1.sha256, d1.range_index, e1.hash AS range_hash, (SELECT hash FROM r1) AS root_hash, (SELECT hash FROM r2) AS replica_root_hash, CASE WHEN d1.sha256 = d2.sha256 THEN 'ok' ELSE 'corrupt' END AS status
-FROM d1 JOIN e1 ON d1.file = e1.file AND d1.range_index = e1.range_index JOIN d2 ON d1.page_id = d2.page_id AND d1."offset" = d2."offset" """
-
+_OTHER = "(SELECT page_id, url, html FROM pages WHERE page_id % 1013 <> 499 UNION ALL SELECT -1000 - page_id, url, html FROM pages WHERE page_id % 503 = 17) z"
+WARC_FIXITY = f"""WITH {_replica(1, "'WARC/1.0'")}, {_replica(2, "CASE WHEN page_id % 101 = 7 THEN 'WARC/1.1' ELSE 'WARC/1.0' END", _OTHER)}
+SELECT coalesce(d1.page_id, d2.page_id) AS page_id, coalesce(d1.file, d2.file) AS file, coalesce(d1."offset", d2."offset") AS "offset", coalesce(d1.length, d2.length) AS length, coalesce(d1.sha256, d2.sha256) AS sha256,
+ coalesce(d1.range_index, d2.range_index) AS range_index, e1.hash AS range_hash, (SELECT hash FROM r1) AS root_hash, (SELECT hash FROM r2) AS replica_root_hash,
+ CASE WHEN d1.page_id IS NULL THEN 'extra' WHEN d2.page_id IS NULL THEN 'missing' WHEN d1.sha256 <> d2.sha256 THEN 'corrupt' WHEN d1."offset" <> d2."offset" THEN 'moved' ELSE 'ok' END AS status
+FROM d1 LEFT JOIN e1 ON d1.file = e1.file AND d1.range_index = e1.range_index FULL JOIN d2 ON d1.page_id = d2.page_id"""
 
 
 def _clusters(k: int = 16, rounds: int = 3) -> str:

@@ -22,7 +22,7 @@ from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .tokenizer_chunks import word_piece_ids
 from .toxicity import held_out, score, train
-from .warc_fixity import fixity_report
+from .warc_fixity import fixity_report, replica
 from .whitening import whitened
 
 
@@ -70,8 +70,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    damaged = F.when(F.col("page_id") % 101 == 7, "WARC/1.1").otherwise("WARC/1.0")
-    return fixity_report(table(spark, sf_dir, "pages"), damaged)
+    pages, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    return fixity_report(pages, replica(pages, n % 101 == 7, n % 1013 == 499, n % 503 == 17))
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

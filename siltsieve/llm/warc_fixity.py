@@ -128,13 +128,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"file=(-?\d+)", 1).cast("long").alias("file"), "content").mapInArrow(run, "file long, offset long, length long, sha256 string, url string, body binary")
 
 
-def fixity_report(pages: DataFrame, version: Column) -> DataFrame:
-    """A drill: the fixity table of pages, audited against a replica whose records' first line has another version where `version` says so.
+def replica(pages: DataFrame, damaged: Column, lost: Column, added: Column, id_col: str = "page_id") -> DataFrame:
+    """A replica's records for a drill: those of pages, of which some are damaged (their first line has another version of the same length), some lost (so that what follows in their file has moved), and some are there again under an id of their own (-1000 less theirs)."""
+    n = F.col(id_col).cast("long")
+    kept = pages.where(~F.coalesce(lost, F.lit(False)))
+    again = pages.where(added).withColumn(id_col, -F.lit(1000) - n)
+    version = F.when(damaged, "WARC/1.1").otherwise("WARC/1.0")
+    return records(kept, version, id_col).unionByName(records(again, None, id_col))
+
+
+def fixity_report(pages: DataFrame, other: DataFrame) -> DataFrame:
+    """The fixity table of pages' records, audited against other records (record_id, file, data).
 
-    (page_id, file, offset, length, sha256, range_index, range_hash, root_hash, replica_root_hash, status) of every record.
+    (page_id, file, offset, length, sha256, range_index, range_hash, root_hash, replica_root_hash, status) of
+    every record of pages (ok, corrupt, moved or missing in the other replica) and of those that only the
+    other one has (extra; their place is the one there, without a range_hash). A very long record is
+    hashed where it lies and is a range by itself; null and repeated rows as in records and audit.
     """
-    one, two = Tree(fixity(records(pages))), Tree(fixity(records(pages, version)))
-    # Extra records of the replica are none of these rows; of all others the place is that in the first replica.
-    bad = audit(one, two).where("status <> 'extra'").select("file", "offset", "status")
-    rows = one.records.join(one.ranges.withColumnRenamed("hash", "range_hash"), ["file", "range"]).join(bad, ["file", "offset"], "left")
-    return rows.select(F.col("record_id").alias("page_id"), "file", "offset", "length", "sha256", F.col("range").alias("range_index"), "range_hash", F.lit(one.root).alias("root_hash"), F.lit(two.root).alias("replica_root_hash"), F.coalesce("status", F.lit("ok")).alias("status"))
+    one, two = Tree(fixity(records(pages))), Tree(fixity(other))
+    found = cut(audit(one, two))
+    bad = found.where("status <> 'extra'").select("file", "offset", "status")
+    rows = one.records.join(one.ranges.withColumnRenamed("hash", "range_hash"), ["file", "range"]).join(bad, ["file", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("ok")))
+    extra = found.where("status = 'extra'").withColumns({"range": F.expr(f"offset div {RANGE_BYTES}"), "range_hash": F.lit(None).cast("string")})
+    both = rows.unionByName(extra.select(rows.columns))
+    return both.select(F.col("record_id").alias("page_id"), "file", "offset", "length", "sha256", F.col("range").alias("range_index"), "range_hash", F.lit(one.root).alias("root_hash"), F.lit(two.root).alias("replica_root_hash"), "status")

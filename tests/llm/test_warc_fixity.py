@@ -40,15 +40,28 @@ def test_audit_finds_each_kind(spark):
 
 
 def test_query_against_brute_force(spark):
-    rows = sorted(op10_warc_fixity(spark, "/root/testdata/sf0.01").collect(), key=lambda r: r.page_id)
-    pages = sorted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect(), key=lambda r: r.page_id)
-    at: dict[int, int] = {}
-    for r, p in zip(rows, pages, strict=True):
-        data = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {p.url}\r\nContent-Type: text/html\r\nContent-Length: {len(p.html.encode())}\r\n\r\n{p.html}\r\n\r\n".encode()
-        file = p.page_id // 1000
-        assert (r.page_id, r.file, r.offset, r.length, r.sha256) == (p.page_id, file, at.get(file, 0), len(data), hashlib.sha256(data).hexdigest())
-        assert r.status == ("corrupt" if p.page_id % 101 == 7 else "ok")
-        at[file] = at.get(file, 0) + len(data)
+    pages = {p.page_id: p for p in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()}
+    rows = op10_warc_fixity(spark, "/root/testdata/sf0.1").collect()
+
+    def replica(ids, damaged):
+        out, at = {}, {}
+        for i in sorted(ids):
+            p = pages[i if i >= 0 else -1000 - i]
+            first = "WARC/1.1" if damaged and i >= 0 and i % 101 == 7 else "WARC/1.0"
+            data = f"{first}\r\nWARC-Type: resource\r\nWARC-Target-URI: {p.url}\r\nContent-Type: text/html\r\nContent-Length: {len(p.html.encode())}\r\n\r\n{p.html}\r\n\r\n".encode()
+            out[i] = (i // 1000, at.get(i // 1000, 0), len(data), hashlib.sha256(data).hexdigest())
+            at[i // 1000] = out[i][1] + len(data)
+        return out
+
+    one = replica(pages, False)
+    two = replica([i for i in pages if i % 1013 != 499] + [-1000 - i for i in pages if i % 503 == 17], True)
+    want = {}
+    for i in one.keys() | two.keys():
+        a, b = one.get(i), two.get(i)
+        want[i] = (*(a or b), "extra" if a is None else "missing" if b is None else "corrupt" if a[3] != b[3] else "moved" if a != b else "ok")
+    assert {r.page_id: (r.file, r.offset, r.length, r.sha256, r.status) for r in rows} == want and len(rows) == len(want)
+    assert {w[4] for w in want.values()} >= ({"ok", "corrupt", "extra"} if len(pages) < 499 else {"ok", "corrupt", "extra", "missing", "moved"})
+    assert all((r.range_hash is None) == (r.status == "extra") for r in rows)
 
 
 def test_edges(spark):
@@ -56,4 +69,4 @@ def test_edges(spark):
     assert w.fixity(w.records(none)).count() == 0
     assert w.audit(w.Tree(w.fixity(w.records(none))), w.Tree(w.fixity(w.records(none)))).count() == 0
     tied = spark.createDataFrame([(1, "u", "h", 2)] * 3 + [(None, None, None, None)], "page_id long, url string, html string, file int")
-    assert [r.status for r in w.fixity_report(tied, F.lit("WARC/1.1")).collect()] == ["corrupt"] * 4
+    assert [r.status for r in w.fixity_report(tied, w.records(tied, F.lit("WARC/1.1"))).collect()] == ["corrupt"] * 4
