@@ -89,17 +89,11 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("last"), F.col("key").desc(), F.xxhash64("text")).select("bucket", "last", "doc_id", "text")
 
 
-def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text", node_col: str | None = None) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of docs.
+PRINTED = "doc_id long, n_chars long, edited_sha256 string, print binary, edited_print binary, near_edited double, near_next double, node long, size int"
 
-    The edited text has its last half replaced by the beginning of the next document in descending
-    order of ids (after the last: the first). near_*: the share of equal minima, 0 to 1.
-    node_col: also give the name of the text's shingle set (null without words) by this name.
 
-    Edge cases: a null text counts as empty; texts without words have equal fingerprints; of rows
-    with equal ids the order is that of their texts' hashes; a null id comes last; a single row is
-    its own next; an empty table gives an empty result; further columns are left out.
-    """
+def printed(docs: DataFrame, n_hashes: int, id_col: str, text_col: str) -> DataFrame:
+    """PRINTED of every row of docs: all that its text and the next one's are read for. print: the minima, 16 bits each, the high byte first; node, size: name and size of its shingle set, null and 0 without words."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
@@ -116,70 +110,100 @@ def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_i
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            prints = minhash_texts([r[3] for r in rows], n_hashes)
             own = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
             if not own:
                 continue
+            sets = Sets([r[3] for r in rows], WORDS)
+            prints = minhash(sets.values, sets.counts, n_hashes)
             new = [edited(rows[i][3], rows[i + 1][3]) for i in own]
             prints_new = minhash_texts([t for _, t in new], n_hashes)
             old = prints[own]
-            sets = Sets([rows[i][3] for i in own], WORDS) if node_col else None
-            more = [pa.array(sets.names, mask=sets.counts == 0)] if node_col else []
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([rows[i][2] for i in own], pa.int64()),
                     pa.array([n for n, _ in new], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for _, t in new]),
-                    pa.array([x.astype(">u2").tobytes().hex() for x in old]),
-                    pa.array([x.astype(">u2").tobytes().hex() for x in prints_new]),
+                    pa.array([x.astype(">u2").tobytes() for x in old], pa.binary()),
+                    pa.array([x.astype(">u2").tobytes() for x in prints_new], pa.binary()),
                     pa.array((old == prints_new).mean(axis=1)),
                     pa.array((old == prints[[i + 1 for i in own]]).mean(axis=1)),
-                    *more,
+                    pa.array(sets.names[own], mask=sets.counts[own] == 0),
+                    pa.array(sets.counts[own].astype(np.int32)),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *["node"] * len(more)],
+                ["doc_id", "n_chars", "edited_sha256", "print", "edited_print", "near_edited", "near_next", "node", "size"],
             )
 
-    out = in_ranges(docs, id_col, text_col).mapInArrow(compute, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + (", node long" if node_col else ""))
-    return out.withColumnsRenamed({"doc_id": id_col, "node": node_col} if node_col else {"doc_id": id_col})
+    return in_ranges(docs, id_col, text_col).mapInArrow(compute, PRINTED)
 
 
-def band_lists(docs: DataFrame, k: int, n_hashes: int, scratch: Scratch) -> DataFrame:
-    """(h, node, size, place, col, blocks) of every band of each distinct shingle set, as ngram_jaccard's postings; a band of too many sets for one task is dealt into blocks."""
+def shown(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """rows of printed with fingerprints as lower-case hexadecimal digits."""
+    prints = [F.lower(F.hex(c)).alias(n) for c, n in (("print", "fingerprint"), ("edited_print", "edited_fingerprint"))]
+    return rows.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", *prints, "near_edited", "near_next", *more)
+
+
+def fingerprints(docs: DataFrame, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of docs.
+
+    The edited text has its last half replaced by the beginning of the next document in descending
+    order of ids (after the last: the first). near_*: the share of equal minima, 0 to 1.
+
+    Edge cases: a null text counts as empty; texts without words have equal fingerprints; of rows
+    with equal ids the order is that of their texts' hashes; a null id comes last; a single row is
+    its own next; a very long text is read whole, beside the next one and its edited text; an empty
+    table gives an empty result; further columns are left out.
+    """
+    return shown(printed(docs, n_hashes, id_col, text_col), id_col)
+
+
+def set_prints(docs: DataFrame, k: int, n_hashes: int) -> DataFrame:
+    """(node, size, print) of the shingle sets of docs, as printed gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for _, s in sets_of(batches, k):
+            prints = minhash(s.values, s.counts, n_hashes).astype(">u2")
+            yield pa.RecordBatch.from_arrays([pa.array(s.names, mask=s.counts == 0), pa.array(s.counts.astype(np.int32)), pa.array([x.tobytes() for x in prints], pa.binary())], ["node", "size", "print"])
+
+    return docs.mapInArrow(run, "node long, size int, print binary")
+
+
+def band_lists(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, node, size, place, col, blocks) of every band of each distinct shingle set, as ngram_jaccard's postings; a band of too many sets for one task is dealt into blocks. prints: node, size, print."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            names, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             new = []
-            for i, (n, name) in enumerate(zip(s.counts.tolist(), s.names.tolist(), strict=True)):
-                if n and name not in seen:
+            for i, name in enumerate(names.tolist()):
+                if name not in seen:
                     seen.add(name)
                     new.append(i)
             if len(seen) > SEEN:
                 seen.clear()
             if not new:
                 continue
-            bands = np.ascontiguousarray(minhash(s.values, s.counts, n_hashes)[new]).view(np.uint64)
+            raw = batch.column(2).to_pylist()
+            bands = np.frombuffer(b"".join(raw[i] for i in new), ">u2").astype(np.uint16).reshape(len(new), -1).view(np.uint64)
             n = bands.shape[1]
             h = mix(bands + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(s.names[new], n)), pa.array(np.repeat(s.counts[new], n).astype(np.int32))], ["h", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(names[new], n)), pa.array(np.repeat(sizes[new], n).astype(np.int32))], ["h", "node", "size"])
 
-    bands = scratch.cut(docs.mapInArrow(run, "h long, node long, size int"))
+    bands = scratch.cut(prints.where("node is not null").select("node", "size", "print").mapInArrow(run, "h long, node long, size int"))
     large = scratch.cut(bands.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("h", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
     rows = bands.join(few(large, large.count()), "h", "left")
     split, h = F.col("blocks").isNotNull(), F.col("h")
     return rows.select(F.when(split, block_key("h", F.pmod("node", "blocks"))).otherwise(h).alias("h"), "node", "size", F.lit(0).alias("place"), F.when(split, h).alias("col"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
 
-def near_links(docs: DataFrame, k: int, percent: int, n_hashes: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[Rows, DataFrame]:
-    """(rows_of all documents, (node, component) of nodes with links of at least this similarity)."""
+def near_links(docs: DataFrame, prints: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[Rows, DataFrame]:
+    """(rows_of all documents, (node, component) of nodes with links of at least this similarity). docs: as keyed gives them; prints: node, size, print of their sets, a written table."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = keyed(docs, id_col, text_col)
 
     def often(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.sum("led").alias("led")).where(F.col("c") >= LEAST_BANDS).select(*by_lead())
 
-    lists = scratch.cut(shared_lists(band_lists(docs, k, n_hashes, scratch), percent, parts))
-    scratch.drop(but=lists)
+    lists = scratch.cut(shared_lists(band_lists(prints, scratch), percent, parts))
     release(docs.sparkSession)
     rows = rows_of(docs, k, lists, scratch)
     return rows, linked_components(rows, lists, often, percent, parts, scratch)
@@ -191,17 +215,22 @@ def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: in
     Edge cases: as ngram_jaccard; a text without words is alone.
     """
     scratch = Scratch(docs.sparkSession)
-    rows, found = near_links(docs, k, percent, n_hashes, id_col, text_col, scratch)
+    docs = keyed(docs, id_col, text_col)
+    rows, found = near_links(docs, scratch.cut(set_prints(docs, k, n_hashes)), k, percent, scratch)
     names = scratch.cut(named(rows.docs, found))
     return rows.docs.join(few(names, names.count()), "node", "left").select(F.col("doc_id").alias(id_col), F.coalesce("component_id", "doc_id").alias("class_id"))
 
 
 def fingerprints_and_classes(docs: DataFrame, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprints of every row of docs, each with near_copies' class_id; rows meet by their shingle sets, so repeated and null ids do no harm."""
+    """fingerprints of every row of docs, each with near_copies' class_id; rows meet by their shingle sets, so repeated and null ids do no harm. Minima are taken once: bands are cut from the written fingerprints."""
     scratch = Scratch(docs.sparkSession)
-    rows, found = near_links(docs, WORDS, percent, n_hashes, id_col, text_col, scratch)
-    names = scratch.cut(named(rows.docs, found).select(F.col("node").alias("__node"), F.col("component_id").alias("__class")))
-    scratch.drop(but=names)
+    own = scratch.cut(printed(docs, n_hashes, id_col, text_col))
+    release(docs.sparkSession)
+    rows, found = near_links(keyed(docs, id_col, text_col), own, WORDS, percent, scratch)
+    names = scratch.cut(named(rows.docs, found).select("node", "component_id"))
+    for table in list(scratch.tables.values()):
+        if table is not None and table is not own and table is not names:
+            scratch.drop(table)
     release(docs.sparkSession)
-    out = fingerprints(docs, n_hashes, id_col, text_col, node_col="__node")
-    return out.join(few(names, names.count()), "__node", "left").withColumn("class_id", F.coalesce("__class", id_col)).drop("__node", "__class")
+    out = own.join(few(names, names.count()), "node", "left").withColumn("class_id", F.coalesce("component_id", "doc_id"))
+    return shown(out, id_col, "class_id")
