@@ -98,7 +98,8 @@ def pack(docs: DataFrame, encoder: Callable[[], object], size: int = 2048, separ
 
     Edge cases: a null text counts as empty and gives the separator alone (without a separator,
     nothing); repeated rows are packed each; a row without id keeps a null id; an empty table gives
-    an empty result; further columns are left out.
+    an empty result; further columns are left out. A very long text is a slice by itself, whose ids a
+    task holds at once; it is cut into as many pieces as it fills windows.
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,8 +119,8 @@ def quality_rules(docs: DataFrame, limit: float = LIMIT, id_col: str = "doc_id",
     limit: a host is rejected if the shrunk rate of any rule is above it.
 
     Edge cases: a null text has no words and fails `base`; a null host is no host, its documents are
-    judged by themselves; repeated rows count each; an empty table gives an empty result; further
-    columns are left out.
+    judged by themselves; repeated rows count each; a very long text is counted whole, as a slice by
+    itself; an empty table gives an empty result; further columns are left out.
     """
     counts = cut(_failures(document_counts(docs, id_col, text_col, host_col)))
     out = counts.join(host_verdicts(counts, limit), "host", "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))

@@ -175,7 +175,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     sentencepiece are others, unequal is 1 and they stand.
 
     Edge cases: a null text counts as empty and has no ids; an empty table gives an empty result;
-    repeated rows are encoded each; further columns, also any named like the results, are left out.
+    repeated rows are encoded each; further columns, also any named like the results, are left out. A
+    very long text is encoded whole, in a batch of its own.
     """
     cores = threads or max(THREADS, int(docs.sparkSession.conf.get("spark.task.cpus", "1")))
 

@@ -175,8 +175,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Edge cases: a null text stays null; a text of fewer sentences or words than a span needs stays
     as it is; repeated rows (equal id and text) are one place and keep the same text; rows of equal
     ids and other texts are told apart by the texts' hash; a null id comes first in the order; all
-    other columns are kept, but for one named `removed`, which is replaced; an empty table gives an
-    empty result.
+    other columns are kept, but for one named `removed`, which is replaced; a very long text is cut into
+    sentences whole, as a slice by itself; an empty table gives an empty result.
     """
     key, doc = F.xxhash64(text_or_empty(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc_id"), key.alias("key"), text_or_empty(text_col).alias("text"))

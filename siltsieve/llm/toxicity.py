@@ -432,7 +432,8 @@ def _scored(docs: DataFrame, index: Index, k: int, id_col: str, text_col: str, w
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted, evidence) of every row of docs; evidence: the nearest examples, at most SHOWN, with their labels.
 
-    Edge cases: a null or empty text has no terms and gets the rate of examples without any;
+    Edge cases: a null or empty text has no terms and gets the rate of examples without any; a very long
+    one is read whole, as a slice by itself;
     repeated rows are scored each; an empty table gives an empty result; with one label only, no term leans on a label; without labels every text gets the same score; further columns are left out.
     """
     out = _scored(docs, index, k, id_col, text_col, whole=False)
