@@ -33,6 +33,8 @@ WORDS = 5
 N_HASHES = 128
 #: Hashes to a band: 64 bits. A pair of similarity 0.8 shares 13 of 32 bands on average, and fewer than LEAST_BANDS once in a million.
 BAND, LEAST_BANDS = 4, 2
+#: Leaders of a band's list at first. A near copy meets the same leader in most of its bands, so few will do; rows that they don't link are compared by blocks in any case.
+BAND_LEADERS = 3
 RANGES_A_PARTITION = 3
 
 _random = np.random.Generator(np.random.PCG64(7_061_993))
@@ -206,7 +208,7 @@ def near_links(docs: DataFrame, prints: DataFrame, k: int, percent: int, scratch
     lists = scratch.cut(shared_lists(band_lists(prints, scratch), percent, parts))
     release(docs.sparkSession)
     rows = rows_of(docs, k, lists, scratch)
-    return rows, linked_components(rows, lists, often, percent, parts, scratch)
+    return rows, linked_components(rows, lists, often, percent, parts, scratch, BAND_LEADERS)
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

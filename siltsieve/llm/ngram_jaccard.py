@@ -324,10 +324,10 @@ def by_lead() -> list[Column]:
     return [F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest")]
 
 
-def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0) -> DataFrame:
+def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0, first: int = LEADERS) -> DataFrame:
     """PAIRS of each column's rows with a few leaders that they could be similar to, chosen alike in all columns: the rows whose names come first in a few random orders.
 
-    again: for a later round, the number of new leaders of each long list, for lists with a column
+    first: how many leaders. again: for a later round, the number of new leaders of each long list, for lists with a column
     `component`; they come from the list's largest component and are set against rows of others.
     """
 
@@ -336,7 +336,7 @@ def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0) -> Da
         part = lists.columns["component"] if again else None
         batch_of = lambda x, y: pair_batch(node[x], node[y], size[x], size[y])
         x, y, held = [], [], 0
-        for r in range(LEADERS, LEADERS + again) if again else range(LEADERS):
+        for r in range(LEADERS, LEADERS + again) if again else range(first):
             rank = mix(node.view(np.uint64) + np.uint64((r * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
             which = np.flatnonzero(lists.lens > (1 if r == 0 else LONG_LIST))
             if not len(which):
@@ -602,10 +602,10 @@ def rows_of(docs: DataFrame, k: int, lists: DataFrame, scratch: Scratch) -> Rows
     return Rows(rows.select("doc_id", "key", "size", "node"), rows.where("data is not null").select("node", "data"))
 
 
-def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame], DataFrame], percent: int, parts: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes with links. lists: as shared_lists() gives them; stars: (home, guest) of PAIRS that are worth a comparison."""
+def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame], DataFrame], percent: int, parts: int, scratch: Scratch, first: int = LEADERS) -> DataFrame:
+    """(node, component) of all nodes with links. lists: as shared_lists() gives them; stars: (home, guest) of PAIRS that are worth a comparison; first: leaders of a list at first."""
     spark = lists.sparkSession
-    links = verified(stars(star_pairs(lists, percent, parts)), rows.sets, percent, parts, scratch)
+    links = verified(stars(star_pairs(lists, percent, parts, first=first)), rows.sets, percent, parts, scratch)
     release(spark)
     known = components(links)
 
