@@ -16,7 +16,8 @@ rule leaves such a side, or a second one comes to a side, its classes are made a
 
 Everything is written by micro-batch and overwritten when one runs again, so results are there once.
 Tuples have to come in the order of tid from batch to batch: one at or below the last place is a
-replay and is dropped; of equal keys within a batch the first stays. `report` counts both.
+replay and is dropped; of equal keys within a batch the first stays. `report` counts both, and rows
+without a key or a place with them.
 """
 
 from __future__ import annotations
@@ -108,7 +109,8 @@ class LiveCleaner:
         last, before = self.rules_before(batch)
         # On equal places the smaller key comes first; the rest are replays.
         first = Window.partitionBy("kid").orderBy("tid")
-        rows = df.where(F.col("tid") > last).withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+        came = Observation(f"came-{batch}-{id(self)}")
+        rows = df.observe(came, F.count("*").alias("n")).where((F.col("tid") > last) & F.col("kid").isNotNull()).withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
         seen = Observation(f"replays-{batch}-{id(self)}")
         rows = cut(rows.observe(seen, F.count("*").alias("n"), F.min("tid").alias("first"), F.max("tid").alias("last")))
         n, place, end = (seen.get[c] for c in ("n", "first", "last"))
@@ -129,6 +131,7 @@ class LiveCleaner:
         if bad:
             self.spark.createDataFrame(bad, "name string, payload string, error string").coalesce(1).write.mode("overwrite").parquet(f"{self.place}/bad_messages/batch={batch}")
         self.report["rows"] += n
+        self.report["replays"] += came.get["n"] - n
         self.report["bad_messages"] += len(bad)
         self.report["seconds"] = self.report.get("seconds", 0.0) + time.time() - began
 

@@ -109,4 +109,4 @@ def test_a_running_query_with_control_and_replays(spark, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA)
     want = {r.kid for r in late.detect(df).collect()} | {r.kid for r in Cleaner(PAIR[:1]).detect(df.where(f"tid <= {at}")).collect()}
     assert {r.kid for r in got if r.violating} == want
-    assert len(got) == len(rows) == spark.read.parquet(f"{live.place}/tuples").count() and live.report["rows"] == len(rows)
+    assert len(got) == len(rows) == spark.read.parquet(f"{live.place}/tuples").count() and live.report["rows"] == len(rows) and live.report["replays"] == 7
