@@ -9,9 +9,10 @@ only. So a hot group is spread over its panes, and no task sorts more than one o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
@@ -31,25 +32,39 @@ def episodes(violating_panes: DataFrame) -> DataFrame:
     return runs.withColumn("birth", F.min("p").over(Window.partitionBy("l", "g"))).select("l", "p", "birth")
 
 
+def _reset(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
+    """(l, p, birth) of panes whose values (l, start, p, r) come by run and pane. What is held are a run's values since its last reset."""
+    run, pane, birth = None, None, None
+    seen: set[str] = set()  # since the pane before birth
+    own: set[str] = set()  # of the pane
+    for df in batches:
+        out = []
+        for l, start, p, r in df[["l", "start", "p", "r"]].itertuples(index=False, name=None):
+            if (l, start) != run:
+                run, pane, birth, seen, own = (l, start), None, start, set(), set()
+            if p != pane:
+                # A birth's own pane and the one before count in any case.
+                if pane is not None and pane >= birth and len(seen) > limit:
+                    birth, seen = p, own
+                pane, own = p, set()
+                if p >= start:
+                    out.append((l, p, birth))
+            seen.add(r)
+            own.add(r)
+        yield pd.DataFrame(out, columns=["l", "p", "birth"])
+
+
 def limited(lives: DataFrame, values: DataFrame, limit: int) -> DataFrame:
     """lives with births moved on where a group has seen too many values: at the first pane that begins with more than limit values since the one before its birth, only that pane and the one before count from there on. values: (l, p, r).
 
-    Every round moves each run's next birth, all groups at once; there are as many rounds as the most that a group is reset.
+    Each run of violating panes is walked once, in order. More than limit + 1 values of one pane say no
+    more than these, so a run comes with at most so many for each pane, however many tuples it has.
     """
-    lives = cut(lives)
-    seen = cut(values.join(lives.select("l").distinct(), "l", "left_semi").select("l", "p", "r").distinct())
-    while True:
-        reach = lives.unionByName(lives.groupBy("l", "birth").agg(F.lit(None).cast("long").alias("p")).withColumn("p", F.col("birth") - 1))
-        first = seen.join(reach, ["l", "p"]).groupBy("l", "birth", "r").agg(F.min("p").alias("p"))
-        grown = F.sum(F.count("*")).over(Window.partitionBy("l", "birth").orderBy("p"))
-        full = first.groupBy("l", "birth", "p").agg(grown.alias("n")).where(F.col("n") > limit).groupBy("l", "birth").agg((F.min("p") + 1).alias("again"))
-        # A birth's own pane and the one before count in any case.
-        full = full.withColumn("again", F.greatest("again", F.col("birth") + 1))
-        moved = lives.join(full, ["l", "birth"], "left").select("l", "p", F.when(F.col("p") >= F.col("again"), F.col("again")).otherwise(F.col("birth")).alias("birth"), (F.col("p") >= F.col("again")).alias("moved"))
-        moved = cut(moved)
-        lives = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return lives
+    first = F.row_number().over(Window.partitionBy("l", "p").orderBy("r"))
+    seen = values.select("l", "p", "r").distinct().withColumn("k", first).where(F.col("k") <= limit + 1)
+    runs = lives.unionByName(lives.select("l", (F.col("birth") - 1).alias("p"), "birth").distinct()).withColumnRenamed("birth", "start")
+    rows = seen.join(runs, ["l", "p"]).select("l", "start", "p", "r").repartition("l", "start").sortWithinPartitions("l", "start", "p")
+    return cut(rows.mapInPandas(lambda batches: _reset(batches, limit), "l string, p long, birth long"))
 
 
 def _before_growing(counts: DataFrame) -> DataFrame:
@@ -60,17 +75,26 @@ def _before_growing(counts: DataFrame) -> DataFrame:
     return out.withColumn("lead", F.min(F.struct((-(F.col("before") + F.col("n"))).alias("c"), F.col("r").alias("v"))).over(all_before))
 
 
-def decided(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """events that have a tid, with fix: the most frequent value r of their group l among all events up to their place `at`. events: l, at, r, n (how often), tid, and further columns; those at a tuple's place count for it."""
+def counted(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """events that have a tid, with c, how often their value r of group l came up to their place `at`, and m, (-count, value) of the leading value there. events: l, at, r, n (how often), tid, and further columns; those at a tuple's place count for it."""
     rows = cut(events.withColumns({"e": F.lit(0).cast("long"), "p": F.expr(f"(at - 1) div {chunk}")}))
     base = _before_growing(rows.groupBy("l", "e", "p", "r").agg(F.sum("n").alias("n")))
     order = ["at", F.col("tid").isNotNull()]  # a tuple comes after all else at its place
     own = Window.partitionBy("l", "e", "p", "r").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("l", "e", "p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = rows.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.sum("n").over(own))
-    led = counted.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
-    fix = F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v"))
-    return led.where("tid is not null").select(*[c for c in events.columns], fix.alias("fix"))
+    with_c = rows.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.sum("n").over(own))
+    led = with_c.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
+    return led.where("tid is not null").select(*events.columns, "c", "m")
+
+
+def leading() -> Column:
+    """The leading value of m, or r where it leads with it."""
+    return F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v"))
+
+
+def decided(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """events that have a tid, with fix: the most frequent value r of their group l among all events up to their place `at` (see counted)."""
+    return counted(events, chunk).select(*events.columns, leading().alias("fix"))
 
 
 def _before_basic(counts: DataFrame) -> DataFrame:
@@ -119,9 +143,9 @@ def repair_rule(df: DataFrame, rule: Rule, mode: str = "none", step: int | None
         live, quiet = rows.join(lives.withColumnRenamed("birth", "e"), ["l", "p"]), rows.join(lives, ["l", "p"], "left_anti")
     own = Window.partitionBy("l", "e", "p", "r").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("l", "e", "p").orderBy("tid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = live.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.sum("n").over(own))
-    led = counted.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
-    fix = F.when(F.col("violating"), F.when(F.col("c") == -F.col("m.c"), F.col("r")).otherwise(F.col("m.v")))
+    with_c = live.join(base.select("l", "e", "p", "r", "before", "lead"), ["l", "e", "p", "r"]).withColumn("c", F.col("before") + F.sum("n").over(own))
+    led = with_c.withColumn("m", F.least(F.min(F.struct((-F.col("c")).alias("c"), F.col("r").alias("v"))).over(group), F.col("lead")))
+    fix = F.when(F.col("violating"), leading())
     out = led.where("kid is not null" if past is not None else "true").select("kid", "tid", "r", "violating", "is_new", fix.alias("fix"))
     if quiet is None:
         return out

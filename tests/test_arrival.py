@@ -79,3 +79,34 @@ def test_a_class_of_too_many_values_counts_what_is_live(spark):
     assert set(list(free.values())[5:]) == {"old"}
     # Panes 1 and 2 have 7 values, with pane 3 there are 12: from pane 4 on, panes 3 and 4 count.
     assert all(some[t] == "old" for t in range(6, 16)) and all(some[t] == f"v{t}" for t in range(16, 25))
+
+
+def limit_model(rows, step, limit):
+    """{(pane): birth} of one group's tuples (tid, value)."""
+    of, out, birth = {}, {}, None
+    for t, v in rows:
+        of.setdefault((t - 1) // step + 1, set()).add(v)
+    for p in sorted(of):
+        if len(of[p] | of.get(p - 1, set())) < 2:
+            continue
+        if p - 1 not in out:
+            birth = p
+        elif len(set().union(*(of.get(q, set()) for q in range(birth - 1, p)))) > limit:
+            birth = p
+        out[p] = birth
+    return out
+
+
+def test_many_resets_take_one_walk(spark, monkeypatch):
+    from siltsieve.operators import repair
+
+    r, step, jobs = random.Random(5), 6, []
+    cut = repair.cut
+    monkeypatch.setattr(repair, "cut", lambda df: jobs.append(1) or cut(df))
+    for limit in (1, 3, 20):
+        kinds = {k: [(t, f"v{r.randrange(n)}") for t in range(1, 400) if r.random() < share] for k, n, share in (("a", 2, 0.3), ("b", 30, 1), ("c", 400, 0.9), ("d", 5, 0.5), ("e", 1, 1))}
+        rows = spark.createDataFrame([(k, (t - 1) // step + 1, v) for k, own in kinds.items() for t, v in own], "l string, p long, r string").repartition(5)
+        jobs.clear()
+        got = repair.limited(repair.episodes(repair.violating_panes(rows)), rows, limit).collect()
+        assert {(x.l, x.p): x.birth for x in got} == {(k, p): b for k, own in kinds.items() for p, b in limit_model(own, step, limit).items()}
+        assert len(jobs) < 3  # a round for each reset before
