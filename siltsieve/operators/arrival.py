@@ -15,6 +15,11 @@ class counts only grow: what is left are the running counts of repair on arrival
 A tuple's links, ways and counts are joins and aggregates. Only the order of merges is worked out row
 by row, in the tasks, over the links of a component, at most BOUND of them at once: longer lists of
 links lose those that close a cycle in parts, and are then worked on in slices of the order.
+
+Immediate repair decides for a tuple before the earlier tuples of a group that it makes a cause link that
+one to others. Places are doubled for it: such links hold from the odd place on that follows the
+tuple's own. Only for these tuples, the group's earlier ones whose class is another one until then
+count in addition (extra_counts); a group becomes a cause once, so these are no more than cells.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from ..functions.rules import Rule
 from ..functions.shared import cut
 from .detect import turning_points
 from .graph import components
-from .repair import CHUNK, decided
+from .repair import CHUNK, counted, decided, leading
 
 #: Links of one component that a task works on at once.
 BOUND = 1 << 18
@@ -67,11 +72,12 @@ def with_causes(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return with_births(rows, rules, births(firsts))
 
 
-def cause_links(cells: DataFrame) -> DataFrame:
-    """(a, b, w): two causes with a tuple in common, and the place from which on they are linked."""
+def cause_links(cells: DataFrame, immediate: bool = False) -> DataFrame:
+    """(a, b, w): two causes with a tuple in common, and the place from which on they are linked (immediate: in doubled places)."""
     rest = F.explode(F.slice("causes", 2, F.size("causes") - 1)).alias("c")
     pairs = cells.where(F.size("causes") > 1).select("tid", F.col("causes")[0]["vc"].alias("a"), rest)
-    return pairs.select("a", F.col("c.vc").alias("b"), F.greatest("tid", "c.born").alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
+    at = F.when(F.col("tid") >= F.col("c.born"), 2 * F.col("tid")).otherwise(2 * F.col("c.born") + 1) if immediate else F.greatest("tid", "c.born")
+    return pairs.select("a", F.col("c.vc").alias("b"), at.alias("w")).groupBy("a", "b").agg(F.min("w").alias("w"))
 
 
 def _kruskal(batches: Iterator[pd.DataFrame], merges: bool) -> Iterator[pd.DataFrame]:
@@ -192,13 +198,42 @@ def class_events(cells: DataFrame, way: DataFrame, after: int = 0, classes: Data
     return own.unionByName(later.select("class", "at", "v", "n", *none, F.lit(None).cast("boolean").alias("is_new")))
 
 
-def repair_shared_arrival(df: DataFrame, rules: Sequence[Rule], bound: int = BOUND) -> DataFrame:
-    """(kid, tid, violating, is_new, fix) of every tuple that one of the rules sees; is_new: it is the first to violate some rule for its group. All rules have one right-hand side; no windows."""
+def extra_counts(cells: DataFrame, way: DataFrame) -> DataFrame:
+    """(tid, kid, class, v, extra): for tuples that make a group a cause, how many of its earlier ones count in another class at that place. way: in doubled places."""
+    first = F.col("causes")[0]
+    older = cells.select("tid", "v", first["vc"].alias("c"), first["born"].alias("from"), F.explode("causes").alias("x")).where("x.born > tid and x.born > from")
+    older = older.select(F.col("x.born").alias("at"), "tid", "v", "c").distinct()
+    older = older.join(way, "c", "left").select("at", "tid", "v", class_at(F.col("c"), F.col("way"), 2 * F.col("at")).alias("other"))
+    new = cells.where(F.exists("causes", lambda c: c["born"] == F.col("tid"))).select(F.col("tid").alias("at"), "kid", first["vc"].alias("c"))
+    new = new.join(way, "c", "left").select("at", "kid", class_at(F.col("c"), F.col("way"), 2 * F.col("at")).alias("class"))
+    both = older.join(new, "at").where("other <> class")
+    return both.groupBy(F.col("at").alias("tid"), "kid", "class", "v").agg(F.count("*").alias("extra"))
+
+
+def immediate_fixes(cells: DataFrame, way: DataFrame) -> DataFrame:
+    """(kid, tid, is_new, fix) of every violating tuple, decided before what is earlier links its new causes. way: in doubled places."""
+    doubled = cells.withColumns({"tid": 2 * F.col("tid"), "causes": F.transform("causes", lambda c: F.struct((2 * c["born"]).alias("born"), c["vc"].alias("vc")))})
+    extra = cut(extra_counts(cells, way))
+    events = class_events(doubled, way).select(F.col("class").alias("l"), "at", F.col("v").alias("r"), "n", "kid", "tid", "is_new", F.lit(0).cast("long").alias("extra"))
+    # What a value counts there is asked by a row that counts nothing.
+    asked = extra.select(F.col("class").alias("l"), (2 * F.col("tid")).alias("at"), F.col("v").alias("r"), F.lit(0).cast("long").alias("n"), "kid", (2 * F.col("tid")).alias("tid"), F.lit(None).cast("boolean").alias("is_new"), "extra")
+    found = counted(events.unionByName(asked), 2 * CHUNK).select("kid", (F.col("tid") / 2).cast("long").alias("tid"), "r", "is_new", "c", "m", "extra")
+    own, asked = found.where("is_new is not null"), found.where("is_new is null")
+    more = asked.groupBy("tid").agg(F.min(F.struct((-F.col("c") - F.col("extra")).alias("c"), F.col("r").alias("v"))).alias("more"))
+    own = own.join(more, "tid", "left").withColumn("m", F.least("m", "more"))
+    return own.select("kid", "tid", "is_new", leading().alias("fix"))
+
+
+def repair_shared_arrival(df: DataFrame, rules: Sequence[Rule], bound: int = BOUND, immediate: bool = False) -> DataFrame:
+    """(kid, tid, violating, is_new, fix) of every tuple that one of the rules sees; is_new: it is the first to violate some rule for its group. All rules have one right-hand side; no windows. immediate: decisions come before the links of what a tuple makes a cause."""
     rows = cut(with_causes(shared_rows(df, rules), rules))
     cells = rows.where(F.size("causes") > 0)
-    way = ways(merge_order(cause_links(cells), bound))
-    events = class_events(cells, way)
-    fixed = decided(events.select(F.col("class").alias("l"), "at", F.col("v").alias("r"), "n", "kid", "tid", "is_new"), CHUNK)
+    way = ways(merge_order(cause_links(cells, immediate), bound))
+    if immediate:
+        fixed = immediate_fixes(cells, way)
+    else:
+        events = class_events(cells, way)
+        fixed = decided(events.select(F.col("class").alias("l"), "at", F.col("v").alias("r"), "n", "kid", "tid", "is_new"), CHUNK)
     quiet = rows.where((F.size("causes") == 0) | (F.col("tid") < F.col("causes")[0]["born"]))
     no = F.lit(False)
     return fixed.select("kid", "tid", F.lit(True).alias("violating"), "is_new", "fix").unionByName(quiet.select("kid", "tid", no.alias("violating"), no.alias("is_new"), F.lit(None).cast("string").alias("fix")))

@@ -636,9 +636,13 @@ def ctl_stream(spark, d):  # noqa: ANN001, ANN201
     return spark.read.parquet(f"{own.place}/decisions").select("kid", "tid", "attr", "violating", "fix")
 
 
-@query()
+#: As ARRIVAL_SQL, but what a tuple makes a cause is linked by earlier tuples only after its decision, half a place on.
+IMMEDIATE_SQL = ARRIVAL_SQL.replace("min(greatest(a.tid, a.born, b.born)) AS w", "min(greatest(a.tid, a.born, b.born) + CASE WHEN a.tid < greatest(a.born, b.born) THEN 0.5 ELSE 0 END) AS w")
+
+
+@query(IMMEDIATE_SQL)
 def rw_ir(spark, d):  # noqa: ANN001, ANN201
-    return _streamed(spark, d, Cleaner(PAIR, repair_mode="immediate")).select("kid", "tid", "violating", "is_new", "fix")
+    return arrival.repair_shared_arrival(dirty_orders(spark, d), PAIR, immediate=True)
 
 
 def queries() -> dict[str, Query]:

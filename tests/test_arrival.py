@@ -44,6 +44,21 @@ def test_equals_the_model_tuple_by_tuple(spark, rules, bound):
         assert arrival.repair_shared_arrival(df.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("rules", [RULES, RULES[:2], RULES[:1]])
+def test_immediate_repair_equals_the_model_tuple_by_tuple(spark, rules):
+    rows, m, want = mixed(), ClassMachine(True), {}
+    for t, row in enumerate(rows, 1):
+        own = dict(zip("klmv", row, strict=True))
+        if groups := [(r.rid, own[r.lhs]) for r in rules if r.matches(own)]:
+            want[t] = m.process(t, own["v"], groups)
+    df = spark.createDataFrame([(10 * t, t, *row) for t, row in enumerate(rows, 1)], "kid long, tid long, k string, l string, m string, v string").repartition(5)
+    got = arrival.repair_shared_arrival(df, rules, immediate=True).collect()
+    assert {r.tid: (r.violating, r.is_new, r.fix) for r in got} == want
+    assert len(got) == len(want)
+    if len(rules) > 1:
+        assert want != model(rows, rules)
+
+
 def test_ways_are_short(spark):
     n = 300
     links = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}", i + 1) for i in range(n)], "a string, b string, w long")
