@@ -107,16 +107,21 @@ class LiveCleaner:
         """df: kid, tid and attributes."""
         began = time.time()
         last, before = self.rules_before(batch)
-        # On equal places the smaller key comes first; the rest are replays.
-        first = Window.partitionBy("kid").orderBy("tid")
         came = Observation(f"came-{batch}-{id(self)}")
-        rows = df.observe(came, F.count("*").alias("n")).where((F.col("tid") > last) & F.col("kid").isNotNull()).withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-        seen = Observation(f"replays-{batch}-{id(self)}")
-        rows = cut(rows.observe(seen, F.count("*").alias("n"), F.min("tid").alias("first"), F.max("tid").alias("last")))
-        n, place, end = (seen.get[c] for c in ("n", "first", "last"))
+        # Tuples are kept where a later rule, or a rule that goes, may need them.
+        log = f"{self.place}/state/log/batch-{batch}" if self.mode == "none" else None
+        rows = cut(df.observe(came, F.count("*").alias("n")).where((F.col("tid") > last) & F.col("kid").isNotNull()), log)
+        again = rows.groupBy("kid").agg(F.count("*").alias("n")).where("n > 1").select("kid")
+        if not again.isEmpty():
+            # Only keys that came twice are put in order; the first of a key stays, the rest are replays.
+            again, first = cut(again), Window.partitionBy("kid").orderBy("tid")
+            once = rows.join(again, "kid", "left_semi").select(rows.columns).repartition("kid").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+            rows = cut(rows.join(again, "kid", "left_anti").select(rows.columns).unionByName(once))
+            if log:
+                rows = cut(rows, log)
+        n, place, end = rows.agg(F.count("*"), F.min("tid"), F.max("tid")).first()
         rules, bad = self.controlled(before, place if n else last + 1, messages, df.columns)
         end = end if n else last
-        self._log(batch, rows)
         living = [r for r in rules if (r.to_tid is None or r.to_tid > last + 1) and n]
         decisions = self._decide(rows, batch, before, rules, living, last, end)
         decisions.write.mode("overwrite").parquet(f"{self.place}/decisions/batch={batch}")
@@ -135,11 +140,6 @@ class LiveCleaner:
         self.report["bad_messages"] += len(bad)
         self.report["seconds"] = self.report.get("seconds", 0.0) + time.time() - began
 
-    def _log(self, batch: int, rows: DataFrame) -> None:
-        """Tuples are kept where a later rule, or a rule that goes, may need them."""
-        if self.mode == "none":
-            rows.write.mode("overwrite").parquet(f"{self.place}/state/log/batch-{batch}")
-
     def _history(self, batch: int, schema) -> DataFrame:  # noqa: ANN001
         """All tuples of earlier batches."""
         if not batch:

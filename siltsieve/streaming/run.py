@@ -13,25 +13,26 @@ from .live import LiveCleaner
 from .stateful import OUT
 
 
-def in_files(df: DataFrame, place: str, cuts: Sequence[int]) -> None:
-    """df as Parquet files of ascending places, a new one from each of cuts on."""
-    for a, b in zip([0, *cuts], [*cuts, None]):
-        some = df.where(F.col("tid") >= a) if b is None else df.where((F.col("tid") >= a) & (F.col("tid") < b))
-        some.coalesce(1).write.mode("append").parquet(place)
+def parts(df: DataFrame, cuts: Sequence[int]) -> list[DataFrame]:
+    """df by ascending places, a new part from each of cuts on."""
+    at = F.col("tid")
+    bounds = [(at >= a) if b is None else (at >= a) & (at < b) for a, b in zip([0, *cuts], [*cuts, None])]
+    return [df.where(x) for x in bounds]
 
 
 def drain_live(spark: SparkSession, df: DataFrame, live: LiveCleaner, cuts: Sequence[int], messages: dict[int, Sequence[tuple[str, str]]] | None = None) -> None:
-    """Run live to the end of df, in micro-batches that begin at cuts; messages: control messages by the number of the micro-batch that brings them."""
-    df = cut(df)
-    in_files(df, f"{live.place}/in", cuts)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{live.place}/in")
-    control = None
-    if messages:
-        schema = "name string, payload string"
-        for i in range(len(cuts) + 1):
+    """Run live to the end of df, in micro-batches that begin at cuts; messages: control messages by the number of the micro-batch that brings them.
+
+    The query is started once for each micro-batch, which takes all files that are new, so these may be as many as tasks wrote.
+    """
+    schema = "name string, payload string"
+    for i, own in enumerate(parts(cut(df), cuts)):
+        own.write.mode("append").parquet(f"{live.place}/in")
+        control = None
+        if messages:
             spark.createDataFrame(list(messages.get(i, ())), schema).coalesce(1).write.mode("append").parquet(f"{live.place}/control")
-        control = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{live.place}/control")
-    live.start(stream, control).awaitTermination()
+            control = spark.readStream.schema(schema).parquet(f"{live.place}/control")
+        live.start(spark.readStream.schema(df.schema).parquet(f"{live.place}/in"), control).awaitTermination()
 
 
 def drain(spark: SparkSession, df: DataFrame, cleaner: Cleaner, name: str, batches: int = 3, live: bool = True) -> DataFrame:
@@ -45,8 +46,9 @@ def drain(spark: SparkSession, df: DataFrame, cleaner: Cleaner, name: str, batch
         own = cleaner.live(spark, f"{place}/live")
         drain_live(spark, df, own, cuts)
         return spark.read.schema(OUT).parquet(f"{own.place}/decisions").select("kid", "tid", "attr", "violating", "is_new", "fix")
-    in_files(df, f"{place}/in", cuts)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-    q = cleaner.repair_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for own in parts(df, cuts):
+        own.write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{place}/in")
+        q = cleaner.repair_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/out").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.parquet(f"{place}/out")

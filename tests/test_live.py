@@ -110,3 +110,24 @@ def test_a_running_query_with_control_and_replays(spark, tmp_path):
     want = {r.kid for r in late.detect(df).collect()} | {r.kid for r in Cleaner(PAIR[:1]).detect(df.where(f"tid <= {at}")).collect()}
     assert {r.kid for r in got if r.violating} == want
     assert len(got) == len(rows) == spark.read.parquet(f"{live.place}/tuples").count() and live.report["rows"] == len(rows) and live.report["replays"] == 7
+
+
+def test_micro_batches_of_many_files(spark, tmp_path):
+    from siltsieve.streaming.run import drain_live
+
+    rows = rows_of(80, seed=4)
+    live = LiveCleaner(spark, PAIR[:1], f"{tmp_path}/live")
+    drain_live(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), live, [31, 61], {1: [("add_rule", "1;FD,l,v")]})
+    got = spark.read.parquet(f"{live.place}/decisions").collect()
+    assert {(r.tid, r.attr): (r.violating, r.is_new, r.fix) for r in got} == shared_model(rows, [(1, PAIR[:1]), (31, PAIR)])
+    assert {r.batch for r in got} == {0, 1, 2}
+    assert len(spark.read.parquet(f"{live.place}/in").inputFiles()) > 6  # no part goes through one task
+
+
+def test_keys_that_come_twice_in_a_batch(spark, tmp_path):
+    rows = rows_of(40)
+    twice = [rows[3], rows[30], (rows[5][0], 39, "k0", "l0", "v9"), (rows[12][0], 40, "k0", "l0", "v9")]
+    live = LiveCleaner(spark, PAIR[:1], f"{tmp_path}/live")
+    got = run(spark, live, rows[:38] + twice, [])
+    assert got == group_model(rows[:38], "none", None) and live.report["replays"] == 4
+    assert spark.read.parquet(f"{live.place}/tuples").count() == 38 == spark.read.parquet(f"{live.place}/state/log/batch-0").count()
