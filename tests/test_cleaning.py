@@ -460,3 +460,11 @@ def test_a_kind_of_rule_of_ones_own(spark, tmp_path):
     live.process(df.where("tid <= 15"), 0)
     live.process(df.where("tid > 15"), 1)
     assert {(r.kid, r.fix) for r in spark.read.parquet(f"{live.place}/decisions").where("violating").collect()} == want
+
+
+def test_what_is_cut_is_read_by_column(spark):
+    from siltsieve.functions.shared import cut
+
+    df = cut(frame(spark, [("a", "x", "u")] * 5, "a string, b string, c string"))
+    plan = df.groupBy("b").count()._jdf.queryExecution().toString()
+    assert "c:string" not in plan.split("ReadSchema")[1].split("\n")[0]
