@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,8 @@ BLOCK, BLOCK_VALUES = 64, 1 << 16
 GUESTS = 512
 #: A table of at most so many rows of a few numbers is broadcast, a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
+#: About so many sets are dealt to tasks at once; more go in slices, MOST_SLICES of them at most, one after another.
+DEALT_ROWS, MOST_SLICES = 1 << 19, 32
 #: Rows and pairs that a task holds at once.
 CHUNK, PAIRS_AT_ONCE = 1 << 17, 1 << 17
 #: Names of sets that a task remembers, to send each once.
@@ -486,10 +489,10 @@ def wanted_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
-    """(doc_id, key, size, node, data) of every document; data: its set, where the filter wants it (once for equal sets in a task)."""
+    """(doc_id, key, size, node, at, data) of every document; data: its set, where the filter wants it (once for equal sets in a task), at: a number for each of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, n_sets = wanted.value, TaskContext.get().partitionId() << 40
         seen: set[int] = set()
         for rows, s in sets_of(batches, k):
             at = mix(s.names.view(np.uint64)) % np.uint64(FILTER_BITS)
@@ -501,9 +504,11 @@ def sets_wanted(docs: DataFrame, k: int, wanted) -> DataFrame:  # noqa: ANN001
                     seen.add(name)
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(s.counts.astype(np.int64)), pa.array([x if n else None for x, n in zip(s.names.tolist(), s.counts.tolist(), strict=True)], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "key", "size", "node", "data"])
+            numbers = n_sets + np.arange(len(data))
+            n_sets += len(data)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(s.counts.astype(np.int64)), pa.array([x if n else None for x, n in zip(s.names.tolist(), s.counts.tolist(), strict=True)], pa.int64()), pa.array(numbers), pa.array(data, pa.binary())], ["doc_id", "key", "size", "node", "at", "data"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, size long, node long, data binary")
+    return docs.mapInArrow(run, "doc_id long, key long, size long, node long, at long, data binary")
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:
@@ -543,26 +548,37 @@ class Block:
                 yield got[:, 0], got[:, 1]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int, scratch: Scratch, members: DataFrame | None = None) -> DataFrame:
-    """(a, b): components that similar rows of two blocks link. pairs: (home, guest); sets: (node, data); members: (block, node, component), or None where blocks are single rows.
+@dataclass
+class Rows:
+    """Of all documents: (doc_id, key, size, node), the sets (at, data) of those that stand in lists, and (node, at) of one set of each node."""
+
+    docs: DataFrame
+    sets: DataFrame
+    first: DataFrame
+
+
+def verified(pairs: DataFrame, rows: Rows, percent: int, parts: int, scratch: Scratch, members: DataFrame | None = None) -> DataFrame:
+    """(a, b): components that similar rows of two blocks link. pairs: (home, guest); members: (block, node, component), or None where blocks are single rows.
 
     A home's rows come once to a task, and its guests stream past them, so memory follows a block,
     not the number of pairs; a home with many guests is dealt over several tasks.
+
+    What moves until the last step are numbers; there each set that is needed is read where it lies and
+    sent straight to its tasks. Homes are taken in slices, so that disk follows DEALT_ROWS or a slice of
+    what has to meet, not all of it.
     """
     pairs = scratch.cut(pairs)
-    n = pairs.count()
     at = ["home", "salt"]
     homes = pairs.groupBy("home").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("k"))
-    salted = pairs.join(homes, "home").select("home", "guest", F.pmod(F.xxhash64("guest"), "k").cast("int").alias("salt"))
-    homes = homes.select("home", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    guests = pairs.join(homes, "home").select("home", F.pmod(F.xxhash64("guest"), "k").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("guest").alias("block"))
+    homes = homes.select("home", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("home").alias("block"))
+    meet = scratch.cut(homes.unionByName(guests))
     if members is None:
-        own = sets.select(F.col("node").alias("block"), F.col("node").alias("component"), "data")
+        dealt = n = meet.count()
     else:
-        used = pairs.select(F.col("home").alias("block")).union(pairs.select("guest")).distinct()
-        some = scratch.cut(members.join(few(used, 2 * n), "block", "left_semi"))
-        own = scratch.cut(sets.join(few(some, some.count()), "node").select("block", "component", "data"))
-    guests = own.join(few(salted, n), own.block == salted.guest).select(*at, F.lit(1).alias("kind"), "component", "data")
-    homes = own.join(few(homes, n), own.block == homes.home).select(*at, F.lit(0).alias("kind"), "component", "data")
+        of = members.groupBy("block").agg(F.count("*").alias("of"))
+        n, dealt = meet.join(of, "block").agg(F.count("*"), F.coalesce(F.sum("of"), F.lit(0))).first()
+    slices = min(MOST_SLICES, max(1, -(-dealt // DEALT_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, block = None, [], None
@@ -583,30 +599,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int, scratc
                     for got in block.links(own[x:y], [np.frombuffer(d, np.uint64) for d in data[x:y]], percent):
                         yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["a", "b"])
 
-    both = homes.unionByName(guests).repartition(parts, *at).sortWithinPartitions(*at, "kind")
-    return scratch.cut(both.mapInArrow(run, "a long, b long").distinct())
-
-
-@dataclass
-class Rows:
-    """Of all documents: (doc_id, key, size, node), and the sets (node, data) of those that stand in lists."""
-
-    docs: DataFrame
-    sets: DataFrame
+    out = None
+    for i in range(slices):
+        now = meet.where(F.pmod(F.xxhash64(*at), F.lit(slices)) == i) if slices > 1 else meet
+        used = now.select("block").distinct()
+        own = used.withColumns({"node": F.col("block"), "component": F.col("block")}) if members is None else members.join(few(used, n // slices), "block", "left_semi")
+        # Of equal sets that several tasks wrote, one is read.
+        own = scratch.cut(own.join(rows.first, "node").select("at", "block", "component"))
+        both = rows.sets.join(few(own, own.count()), "at").join(few(now, n // slices), "block").select(*at, "kind", "component", "data")
+        got = scratch.cut(both.repartition(parts, *at).sortWithinPartitions(*at, "kind").mapInArrow(run, "a long, b long").distinct())
+        out = got if out is None else out.unionByName(got)
+        scratch.drop(own)
+        release(meet.sparkSession)
+    scratch.drop(meet)
+    return out
 
 
 def rows_of(docs: DataFrame, k: int, lists: DataFrame, scratch: Scratch) -> Rows:
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(lists.select("node")))
     rows = scratch.cut(sets_wanted(docs, k, wanted))
     wanted.unpersist()
-    return Rows(rows.select("doc_id", "key", "size", "node"), rows.where("data is not null").select("node", "data"))
+    some = rows.where("data is not null")
+    return Rows(rows.select("doc_id", "key", "size", "node"), some.select("at", "data"), scratch.cut(some.groupBy("node").agg(F.min("at").alias("at"))))
 
 
 def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame], DataFrame], percent: int, parts: int, scratch: Scratch) -> DataFrame:
     """(node, component) of all nodes with links. lists: as shared_lists() gives them; stars: (home, guest) of PAIRS that are worth a comparison."""
-    spark = lists.sparkSession
-    links = verified(stars(star_pairs(lists, percent, parts)), rows.sets, percent, parts, scratch)
-    release(spark)
+    links = verified(stars(star_pairs(lists, percent, parts)), rows, percent, parts, scratch)
     known = components(links)
 
     def labelled() -> DataFrame:
@@ -614,8 +633,7 @@ def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame],
 
     def more(pairs: DataFrame, members: DataFrame | None = None) -> None:
         nonlocal links, known
-        got = verified(pairs, rows.sets, percent, parts, scratch, members)
-        release(spark)
+        got = verified(pairs, rows, percent, parts, scratch, members)
         if not got.isEmpty():
             links = links.unionByName(got)
             known = components(links)
