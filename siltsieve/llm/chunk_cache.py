@@ -22,10 +22,10 @@ class _Rows(dict):
     """chunk -> row number; an unseen chunk gets the next one and is noted in `new`."""
 
     def __init__(self) -> None:
-        self.new: list[bytes] = []
+        self.new: list[str] = []
         self.taken = 0
 
-    def __missing__(self, key: bytes) -> int:
+    def __missing__(self, key: str) -> int:
         self[key] = row = self.taken
         self.taken += 1
         self.new.append(key)
@@ -35,7 +35,7 @@ class _Rows(dict):
 class ChunkCache:
     """encode: gives for a list of chunks (ids of all in one int32 array, number of ids of each, and if it likes a flag for each)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 300_000, keep_ids: bool = True) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, ...]], limit: int = 300_000, keep_ids: bool = True) -> None:
         self.encode, self.limit, self.keep_ids = encode, limit, keep_ids
         self.clear()
 
@@ -51,7 +51,7 @@ class ChunkCache:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, len(a) * 3 // 2) - len(a), a.dtype)])
 
-    def rows(self, chunks: Sequence[bytes]) -> np.ndarray:
+    def rows(self, chunks: Sequence[str]) -> np.ndarray:
         """The row of each chunk; valid until the next call."""
         index = self.index
         if index.taken > self.limit:
@@ -94,7 +94,7 @@ def sums(values: np.ndarray, counts: Sequence[int]) -> np.ndarray:
     return total[ends] - total[ends - np.asarray(counts, dtype=np.int64)]
 
 
-def joined_encoder(tokenizer, shown: Callable[[bytes], str], plain: Callable[[str], bool], mark: np.ndarray, at_end: bool, lead: str = ""):
+def joined_encoder(tokenizer, shown: Callable[[str], str], plain: Callable[[str], bool], mark: np.ndarray, at_end: bool, lead: str = ""):
     """An encoder for ChunkCache on a tokenizers.Tokenizer.
 
     shown: a chunk as the library is to see it. plain: whether joined chunks can be told apart
@@ -105,7 +105,7 @@ def joined_encoder(tokenizer, shown: Callable[[bytes], str], plain: Callable[[st
     def one_by_one(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [shown(x) for x in chunks]
         ids: list[np.ndarray | None] = [None] * len(texts)
         easy = [i for i, t in enumerate(texts) if plain(t)]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
 from ._shared import byte_slices, memo
-from .chunk_cache import ChunkCache, joined_encoder, sums
+from .chunk_cache import WORDS_PER_TEXT, ChunkCache, joined_encoder, sums
 
 #: A safe place to cut a text: before a space or line end that follows a visible ASCII character.
 SAFE = re.compile(rb"(?<=[!-~])(?=[ \n])")
+#: How a tokenizer with word ends cuts small letters; PLAIN_WORDS does the same in PLAIN texts.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN, PLAIN_WORDS = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*"), re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
 
 
 def load(path: str):
@@ -21,6 +25,22 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def bare_bpe(path: str):
+    """A tokenizer that cuts by WORD_PATTERN, without its normalizer, for words between single spaces; None for another tokenizer."""
+    with open(path) as f:
+        made = json.load(f)
+    steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    cuts = [(s["pattern"], s["behavior"], s["invert"]) for s in steps if s["type"] == "Split"]
+    bytes_only = [s["add_prefix_space"] or s["use_regex"] for s in steps if s["type"] == "ByteLevel"]
+    if len(steps) != 2 or cuts != [({"Regex": WORD_PATTERN}, "Removed", True)] or bytes_only != [False]:
+        return None
+    from tokenizers import normalizers, pre_tokenizers
+
+    out = load(path)
+    out.normalizer, out.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
 def safe_pieces(text: bytes, limit: int) -> list[bytes]:
     """text in pieces of about limit bytes, cut at safe places only; a stretch without one stays whole."""
     if len(text) <= limit:
@@ -53,19 +73,68 @@ class ByteLevelCounter:
         return out
 
 
+def plain_words(text: str) -> list[str]:
+    """What WORD_PATTERN finds in a PLAIN text once its letters are small."""
+    return PLAIN_WORDS.findall(text.lower())
+
+
 class WordPieceIds:
-    """Ids of a BPE with word ends that drops white space: every white-space chunk is encoded by itself."""
+    """Ids of a BPE with word ends that drops white space: every white-space chunk is encoded by itself.
+
+    Most texts are ASCII and whole letters of Latin-1. Nothing is to be normalized there but the case
+    of letters, so these are cut here into the library's words, of which there are fewer different
+    ones; unseen words go to its BPE without its normalizer and pattern, which take most of its time.
+    All else passes through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        mark = np.zeros(max(vocab.values()) + 1, bool)
-        mark[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache = ChunkCache(joined_encoder(self.tokenizer, lambda x: x.decode(errors="replace"), str.isalpha, mark, at_end=True, lead=" "))
+        self.mark = np.zeros(max(vocab.values()) + 1, bool)
+        self.mark[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.whole = joined_encoder(self.tokenizer, str, str.isalpha, self.mark, at_end=True, lead=" ")
+        self.bare = bare_bpe(path)
+        self.cache = ChunkCache(self.encode if self.bare else self.whole)
+
+    def cut(self, text: bytes) -> list[str]:
+        """The words of a plain text, the chunks of others."""
+        shown = text.decode(errors="replace")
+        if self.bare and PLAIN.fullmatch(shown) and "<|" not in shown:
+            return plain_words(shown)
+        chunks = (text if b"<|" in text else text.lower()).split()  # ASCII letters lose case anyway, but for special strings
+        return b" ".join(chunks).decode(errors="replace").split(" ") if chunks else []
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [i for i, x in enumerate(chunks) if PLAIN.fullmatch(x) and "<|" not in x]
+        got = self.plain([chunks[i] for i in plain])
+        if got is None:
+            return self.whole(chunks)
+        rest = np.delete(np.arange(len(chunks)), plain).tolist()
+        other = self.whole([chunks[i] for i in rest])
+        lens = np.zeros(len(chunks), np.int32)
+        lens[plain], lens[rest] = got[1], other[1]
+        starts = np.cumsum(lens) - lens
+        out = np.zeros(int(lens.sum()), np.int32)
+        for which, (flat, n) in ((plain, got), (rest, other)):
+            out[np.arange(len(flat)) + np.repeat(starts[which] - (np.cumsum(n) - n), n)] = flat
+        return out, lens
+
+    def plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As encode, for PLAIN chunks; None where words can't be told apart by their ends."""
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        own = [plain_words(x) for x in chunks]
+        words, last = [w for x in own for w in x], np.cumsum([len(x) for x in own])
+        texts = [" ".join(words[i : i + WORDS_PER_TEXT]) for i in range(0, len(words), WORDS_PER_TEXT)]
+        flat = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.mark[flat]) + 1
+        if len(ends) != len(words):
+            return None
+        return flat, np.diff(ends[last - 1], prepend=0).astype(np.int32)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
-        own = [(t if b"<|" in t else t.lower()).split() for t in texts]  # ASCII letters lose case anyway, but for special strings
+        own = [self.cut(t) for t in texts]
         counts = [len(x) for x in own]
         flat, lens = self.cache.ids(self.cache.rows([w for x in own for w in x]))
         return flat, sums(lens, counts)

@@ -56,6 +56,16 @@ def test_memo_that_overflows_and_long_texts():
     assert ByteLevelCounter(BYTE, 1000).counts([text])[0] == len(tok.encode(text.decode(), add_special_tokens=False))
 
 
+def test_plain_texts_are_remembered_by_words():
+    words, tok = WordPieceIds(WORD), Tokenizer.from_file(WORD)
+    assert words.ids([b"ab, ab. CD, cd. ef, ef."])[0].tolist() == tok.encode("ab, ab. CD, cd. ef, ef.", add_special_tokens=False).ids
+    assert words.cache.index.taken == 5  # three words, two marks
+    letters = [chr(i) for i in range(0x180)]
+    some = [f"{a}{b}s x{b}{a} '{a}ll" for a in letters for b in letters[::7]]
+    flat, n = words.ids([x.encode() for x in some])
+    assert [p.tolist() for p in np.split(flat, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n_open", [1, 8])
 def test_packing_round_trip(spark, docs, n_open):
     tok = Tokenizer.from_file(WORD)
