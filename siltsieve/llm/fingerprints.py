@@ -33,6 +33,8 @@ WORDS = 5
 N_HASHES = 128
 #: Hashes to a band: 64 bits. A pair of similarity 0.8 shares 13 of 32 bands on average, and fewer than LEAST_BANDS once in a million.
 BAND, LEAST_BANDS = 4, 2
+#: A leader leads in one of so many long bands: near copies share most of 32, so that a few of them tell.
+TURNS = 4
 RANGES_A_PARTITION = 3
 
 _random = np.random.Generator(np.random.PCG64(7_061_993))
@@ -182,7 +184,7 @@ def near_links(docs: DataFrame, k: int, percent: int, n_hashes: int, id_col: str
     scratch.drop(but=lists)
     release(docs.sparkSession)
     rows = rows_of(docs, k, lists, scratch)
-    return rows, linked_components(rows, lists, often, percent, parts, scratch)
+    return rows, linked_components(rows, lists, often, percent, parts, scratch, TURNS)
 
 
 def near_copies(docs: DataFrame, k: int = WORDS, percent: int = 80, n_hashes: int = N_HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -327,32 +327,36 @@ def by_lead() -> list[Column]:
     return [F.when(first, F.col("a")).otherwise(F.col("b")).alias("home"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest")]
 
 
-def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0) -> DataFrame:
+def star_pairs(lists: DataFrame, percent: int, parts: int, again: int = 0, turns: int = 1) -> DataFrame:
     """PAIRS of each column's rows with a few leaders that they could be similar to, chosen alike in all columns: the rows whose names come first in a few random orders.
 
     again: for a later round, the number of new leaders of each long list, for lists with a column
     `component`; they come from the list's largest component and are set against rows of others.
+    turns: in each long list, only one of so many leaders leads, by the list's hash. That is for rows that
+    share many lists, whose pairs would stand in each of them; what stars leave apart meets in blocks.
     """
 
     def pairs_of(lists: Lists) -> Iterator[pa.RecordBatch]:
         node, size, place = (lists.columns[c].astype(np.int64) for c in ("node", "size", "place"))
         part = lists.columns["component"] if again else None
+        turn = (mix(lists.columns["h"][lists.begins].view(np.uint64)) % np.uint64(turns)).astype(np.int64)
         batch_of = lambda x, y: pair_batch(node[x], node[y], size[x], size[y])
+        long = lists.lens > LONG_LIST
+        main = np.zeros(len(node), bool)
+        if again:
+            for a, n in zip(lists.begins[long].tolist(), lists.lens[long].tolist(), strict=True):
+                names, count = np.unique(part[a : a + n], return_counts=True)
+                main[a : a + n] = part[a : a + n] == names[np.argmax(count)]
         x, y, held = [], [], 0
         for r in range(LEADERS, LEADERS + again) if again else range(LEADERS):
             rank = mix(node.view(np.uint64) + np.uint64((r * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
-            which = np.flatnonzero(lists.lens > (1 if r == 0 else LONG_LIST))
+            which = np.flatnonzero(long & (turn == r % turns) | (r == 0) & ~long & (lists.lens > 1))
             if not len(which):
                 continue
             begins, lens = lists.begins[which], lists.lens[which]
             offsets = np.cumsum(lens) - lens
             at = np.arange(lens.sum()) + np.repeat(begins - offsets, lens)  # rows of these lists
             if again:
-                if r == LEADERS:
-                    main = np.zeros(len(node), bool)
-                    for a, n in zip(begins.tolist(), lens.tolist(), strict=True):
-                        names, count = np.unique(part[a : a + n], return_counts=True)
-                        main[a : a + n] = part[a : a + n] == names[np.argmax(count)]
                 rank = np.where(main, rank, np.uint64(0xFFFFFFFFFFFFFFFF))
             least = np.minimum.reduceat(rank[at], offsets)
             own = np.flatnonzero(rank[at] == np.repeat(least, lens))
@@ -623,9 +627,9 @@ def rows_of(docs: DataFrame, k: int, lists: DataFrame, scratch: Scratch) -> Rows
     return Rows(rows.select("doc_id", "key", "size", "node"), some.select("at", "data"), scratch.cut(some.groupBy("node").agg(F.min("at").alias("at"))))
 
 
-def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame], DataFrame], percent: int, parts: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes with links. lists: as shared_lists() gives them; stars: (home, guest) of PAIRS that are worth a comparison."""
-    links = verified(stars(star_pairs(lists, percent, parts)), rows, percent, parts, scratch)
+def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame], DataFrame], percent: int, parts: int, scratch: Scratch, turns: int = 1) -> DataFrame:
+    """(node, component) of all nodes with links. lists: as shared_lists() gives them; stars: (home, guest) of PAIRS that are worth a comparison; turns: as in star_pairs()."""
+    links = verified(stars(star_pairs(lists, percent, parts, turns=turns)), rows, percent, parts, scratch)
     known = components(links)
 
     def labelled() -> DataFrame:
@@ -638,7 +642,7 @@ def linked_components(rows: Rows, lists: DataFrame, stars: Callable[[DataFrame],
             links = links.unionByName(got)
             known = components(links)
 
-    more(stars(star_pairs(labelled(), percent, parts, MORE_LEADERS)))
+    more(stars(star_pairs(labelled(), percent, parts, MORE_LEADERS, turns)))
     if not lists.where("col is not null").isEmpty():
         more(stars(star_pairs(leaders(labelled()), percent, parts)))
     unit = scratch.cut(units(labelled()))

@@ -7,8 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from siltsieve.llm import ngram_jaccard
 from siltsieve.llm.fingerprints import fingerprints, fingerprints_and_classes, minhash_texts, near_copies
+from siltsieve.llm.ngram_jaccard import star_pairs
 from siltsieve.llm.queries import op9_fingerprints
 from siltsieve.llm.sharding import least_loaded, shard
 from test_ngram_jaccard import brute
@@ -104,6 +107,25 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies(spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string")).where("class_id <> doc_id").count() == 0
 
 
+def test_pairs_of_a_large_group_are_few(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if j != k else f"x{k}" for j, w in enumerate(words)) for k in range(200)]
+    texts += [" ".join(r.choices("abcdefgh", k=40)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+
+    def counted(lists, *args, **named):
+        pairs = star_pairs(lists, *args, **named)
+        seen.append((lists.count(), pairs.agg(F.sum("c")).first()[0] or 0))
+        return pairs
+
+    monkeypatch.setattr(ngram_jaccard, "star_pairs", counted)
+    got = {r.doc_id: r.class_id for r in near_copies(docs).collect()}
+    assert got == {d: c for d, (_, c) in brute(list(enumerate(texts))).items()}
+    assert len(seen) >= 2 and all(pairs <= 3 * rows for rows, pairs in seen)
+
+
 def test_query_gives_classes_of_near_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = op9_fingerprints(spark, "/root/testdata/sf0.01").collect()
