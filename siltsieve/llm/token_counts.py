@@ -1,8 +1,8 @@
 """Token counts of whole texts.
 
-Texts come in Arrow batches. Long ones are cut at safe boundaries, and all pieces are encoded in
-batches of about equal bytes, so that neither many short nor a few long texts make a batch large; only
-lengths leave the worker.
+Texts come in Arrow batches. They are cut at safe boundaries, and the different pieces of a slice of
+texts are encoded in batches of about equal bytes, so that neither many short nor a few long texts make
+a batch large; only lengths leave the worker.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty result;
 repeated rows are counted each; further columns, also any named like the results, are left out.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._shared import text_or_empty, text_slices
 from .tokenizer_chunks import byte_level_counter
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, over: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import defaultdict
 
 import numpy as np
 
@@ -57,19 +58,25 @@ def safe_pieces(text: bytes, limit: int) -> list[bytes]:
 class ByteLevelCounter:
     """Numbers of tokens of a byte-level BPE whose pattern lets a token hold a space only at its start.
 
-    A boundary from a visible character to white space is then always a boundary of tokens, so long
-    texts are cut there, and all pieces are encoded in batches of about equal bytes.
+    A boundary from a visible character to white space is then always a boundary of tokens, so texts
+    are cut there. Equal pieces of the texts of one call have equal numbers: each different one is
+    encoded once, in batches of about equal bytes; nothing is kept from call to call.
     """
 
-    def __init__(self, path: str, piece_bytes: int = 16_384, batch_bytes: int = 1 << 18) -> None:
+    def __init__(self, path: str, piece_bytes: int = 1 << 18, batch_bytes: int = 1 << 18) -> None:
         self.tokenizer, self.piece_bytes, self.batch_bytes = load(path), piece_bytes, batch_bytes
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
+        parts = [(i, p) for i, text in enumerate(texts) for p in safe_pieces(text, self.piece_bytes)]
+        found = [np.fromiter(map(place.__getitem__, SAFE.split(p)), np.int32) for _, p in parts]
+        pieces = list(place)
+        n = np.zeros(len(pieces), np.int64)
+        for a, b in byte_slices([len(p) for p in pieces], self.batch_bytes):
+            n[a:b] = [len(e) for e in self.tokenizer.encode_batch_fast([p.decode(errors="replace") for p in pieces[a:b]], add_special_tokens=False)]
         out = np.zeros(len(texts), np.int64)
-        pieces = [(i, p) for i, text in enumerate(texts) for p in safe_pieces(text, self.piece_bytes)]
-        for a, b in byte_slices([len(p) for _, p in pieces], self.batch_bytes):
-            encoded = self.tokenizer.encode_batch_fast([p.decode(errors="replace") for _, p in pieces[a:b]], add_special_tokens=False)
-            np.add.at(out, [i for i, _ in pieces[a:b]], [len(e) for e in encoded])
+        np.add.at(out, [i for i, _ in parts], [n[x].sum() for x in found])
         return out
 
 

@@ -56,6 +56,30 @@ def test_memo_that_overflows_and_long_texts():
     assert ByteLevelCounter(BYTE, 1000).counts([text])[0] == len(tok.encode(text.decode(), add_special_tokens=False))
 
 
+class Asked:
+    """A tokenizer that notes what it is asked."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_equal_pieces_of_texts_are_encoded_once():
+    counter, tok = ByteLevelCounter(BYTE), Tokenizer.from_file(BYTE)
+    counter.tokenizer = Asked(counter.tokenizer)
+    some = [f"some words, and more words {i % 3}\n" * 50 for i in range(20)]
+    for _ in range(2):  # nothing is kept
+        counter.tokenizer.texts.clear()
+        assert counter.counts([x.encode() for x in some]).tolist() == [len(e) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+        assert len(counter.tokenizer.texts) == len(set(counter.tokenizer.texts)) < 20
+    letters = [chr(i) for i in range(0x3100) if i not in range(0xD800, 0xE000)]
+    some = [f"{a} b{a} {a}\n{a}! {a}" for a in letters]
+    assert counter.counts([x.encode() for x in some]).tolist() == [len(e) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+
+
 def test_plain_texts_are_remembered_by_words():
     words, tok = WordPieceIds(WORD), Tokenizer.from_file(WORD)
     assert words.ids([b"ab, ab. CD, cd. ef, ef."])[0].tolist() == tok.encode("ab, ab. CD, cd. ef, ef.", add_special_tokens=False).ids
