@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding from a file of ranks, in two tiers.
 
-A text is cut into pre-tokens by the pattern. All pre-tokens of a slice of texts are hashed at once and
+A text is cut into pre-tokens by the pattern. All different ones of a slice of texts are hashed at once and
 looked up through a minimal perfect hash of the vocabulary: what stands at the slot is compared byte by
 byte, and equal bytes are one token. The others are merged in the second tier: bytes as a linked list, a
 heap of neighbouring pairs by (rank, place), stale pairs left out as they come up. Results of merges
-are remembered up to a number of bytes, since misspelt and rare words come again.
+are remembered up to a number of bytes, the older half leaving, since misspelt and rare words come again.
 
 Decoding is a gather of the tokens' bytes.
 """
@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import re
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import memo, text_or_empty, text_slices
+from ._shared import bounded_batches, memo, text_or_empty, text_slices
 from .chunk_cache import sums
 from .tokenizer_chunks import safe_pieces
 from .wordhash import mix, powers
@@ -73,40 +76,53 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def merge(piece: bytes, first: list[int], pairs: dict[int, int]) -> list[int]:
+def merge(piece: bytes, first: list[int], pairs: dict[int, int], couples: list[list[int]] | None = None) -> list[int]:
     """Tokens of a pre-token: the neighbours of the lowest rank are merged first, the leftmost of equal ones.
 
-    first: the id of each byte. pairs: left id << 32 | right id -> the rank of both together.
+    first: the id of each byte. pairs: left id << 32 | right id -> the rank of both together. couples:
+    the rank of any two bytes together, or -1.
     """
     n = len(piece)
     ids = [first[x] for x in piece]
-    follows, before = [*range(1, n + 1)], [*range(-1, n)]  # starts of the parts after and before
     get = pairs.get
-    at = [get(x << 32 | y, -1) for x, y in zip(ids, ids[1:])]  # rank of the pair that begins here
+    at = [couples[x][y] for x, y in zip(piece, piece[1:])] if couples else [get(x << 32 | y, -1) for x, y in zip(ids, ids[1:])]  # rank of the pair that begins here
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    heap = [r << bits | i for i, r in enumerate(at) if r >= 0]
     at.append(-1)
-    heap = [r * n + i for i, r in enumerate(at) if r >= 0]
+    follows, before = [*range(1, n + 1)], [*range(-1, n)]  # starts of the parts after and before
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
-        r, a = divmod(pop(heap), n)
+        x = pop(heap)
+        r, a = x >> bits, x & low
         if at[a] != r:  # stale
             continue
         b = follows[a]
         c = follows[b]
         ids[a], follows[a], before[c], at[b], ids[b] = r, c, a, -1, -1
-        at[a] = -1
-        if c < n and (x := get(r << 32 | ids[c])) is not None:
-            at[a] = x
-            push(heap, x * n + a)
+        at[a] = x = get(r << 32 | ids[c], -1) if c < n else -1
+        if x >= 0:
+            push(heap, x << bits | a)
         if a:
             p = before[a]
-            at[p] = -1
-            if (x := get(ids[p] << 32 | r)) is not None:
-                at[p] = x
-                push(heap, x * n + p)
+            at[p] = x = get(ids[p] << 32 | r, -1)
+            if x >= 0:
+                push(heap, x << bits | p)
     return [i for i in ids if i >= 0]
 
 
+def ascii_findall(pattern: str) -> Callable[[str], list[str]] | None:
+    """What a pattern finds in texts of ASCII alone, by Python's own re, which is faster; None where that has no such pattern."""
+    classes = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+    for name, own in classes.items():
+        pattern = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(name, own), pattern).replace(name, f"[{own}]")  # noqa: B023
+    try:
+        return re.compile(pattern, re.ASCII).findall
+    except re.error:
+        return None
+
+
 class ByteBpe:
     """tokens: bytes -> rank, the rank being the id. All single bytes must be among them."""
 
@@ -114,9 +130,11 @@ class ByteBpe:
         import regex
 
         self.ranks, self.split = tokens, regex.compile(pattern).findall
+        self.split_ascii = ascii_findall(pattern) or self.split
         self.first = [tokens[bytes([i])] for i in range(256)]
         halves = ((tokens.get(t[:i]), tokens.get(t[i:]), r) for t, r in tokens.items() for i in range(1, len(t)))
         self.pairs = {x << 32 | y: r for x, y, r in halves if x is not None and y is not None}
+        self.couples = [[self.pairs.get(x << 32 | y, -1) for y in self.first] for x in self.first]
         own = sorted(tokens, key=tokens.get)
         self.lengths = np.zeros(max(tokens.values()) + 1, np.int64)  # by id
         ids = np.array([tokens[t] for t in own])
@@ -136,6 +154,7 @@ class ByteBpe:
         self.key_of = np.zeros(len(self.lengths), np.uint64)
         self.key_of[ids] = keys
         self.merged: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.merged_bytes = 0
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -146,31 +165,34 @@ class ByteBpe:
         return mix(np.add.reduceat(self.table[data] * powers(int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
 
     def _merge(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each pre-token, four bytes to an id."""
-        memo, out = self.merged, []
+        """The ids of each pre-token, four bytes to an id. Of what is remembered, the half that was not asked for of late goes when it is full."""
+        out = []
         for piece in pieces:
-            got = memo.get(piece)
+            got = self.merged.get(piece)
             if got is None:
-                got = np.array(merge(piece, self.first, self.pairs), "<u4").tobytes()
+                got = self.older.get(piece) or array("I", merge(piece, self.first, self.pairs, self.couples)).tobytes()
                 if len(piece) <= MEMO_LONGEST:
-                    if self.merged_bytes > MEMO_BYTES:
-                        memo.clear()
-                        self.merged_bytes = 0
-                    memo[piece] = got
+                    if self.merged_bytes > MEMO_BYTES // 2:
+                        self.older, self.merged, self.merged_bytes = self.merged, {}, 0
+                    self.merged[piece] = got
                     self.merged_bytes += len(piece)
             out.append(got)
         return out
 
     def _encode_pieces(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words, counts = [], []
+        number: defaultdict[str, int] = defaultdict()  # equal pre-tokens are looked up once
+        number.default_factory = number.__len__
+        found = []
         for t in own:
-            found = self.split(t.decode(errors="replace"))
-            words += found
-            counts.append(len(found))
+            cut = (self.split_ascii if t.isascii() else self.split)(t.decode(errors="replace"))
+            found.append(np.fromiter(map(number.__getitem__, cut), np.int64, len(cut)))
+        counts = np.array([len(x) for x in found], np.int64)
+        which = np.concatenate([np.zeros(0, np.int64), *found])
+        words = list(number)
+        del found, number
         data = np.frombuffer("".join(words).encode(), np.uint8)
         chars = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of code points
         ends = np.append(chars, len(data))[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
-        del words
         lengths = np.diff(ends, prepend=0)
         starts = ends - lengths
         keys = self._hashes(data, starts, lengths)
@@ -189,10 +211,11 @@ class ByteBpe:
         n = np.ones(len(ids), np.int64)
         n[missed] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         places = np.cumsum(n) - n
-        out = np.empty(int(n.sum()), np.uint32)
-        out[places[known]] = ids[known]
-        out[spans(places[missed], n[missed])] = np.frombuffer(b"".join(parts), "<u4")
-        return out, sums(n, np.array(counts, np.int64))
+        flat = np.empty(int(n.sum()), np.uint32)
+        flat[places[known]] = ids[known]
+        flat[spans(places[missed], n[missed])] = np.frombuffer(b"".join(parts), np.uint32)
+        n, places = n[which], places[which]
+        return flat[spans(places, n)], sums(n, counts)
 
     def encode(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -231,6 +254,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 raw = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([raw[a:b] for a, b in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)], pa.binary())], ["doc_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary").withColumnRenamed("doc_id", id_col)
 

@@ -92,3 +92,30 @@ def test_memo_that_overflows(library, monkeypatch):
     for text in ODD:
         assert own.encode([text.encode()])[0].tolist() == library.encode_ordinary(text)
     assert own.merged_bytes < 300
+
+
+def test_equal_pre_tokens_are_looked_up_once(library, monkeypatch):
+    own = byte_bpe.ByteBpe(library._mergeable_ranks, PATTERN)
+    seen, hashes = [], own._hashes
+    monkeypatch.setattr(own, "_hashes", lambda data, starts, lengths: seen.append(len(starts)) or hashes(data, starts, lengths))
+    ids, n = own.encode([b"one qzxv two qzxv two", b"one qzxv two qzxv"])
+    assert seen == [3]  # "one", " qzxv", " two"
+    assert [p.tolist() for p in np.split(ids, n[:1])] == [library.encode_ordinary("one qzxv two qzxv two"), library.encode_ordinary("one qzxv two qzxv")]
+
+
+def test_frequent_misses_stay_when_the_memo_is_full(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 400)
+    own, asked, merge = byte_bpe.ByteBpe(library._mergeable_ranks, PATTERN), [], byte_bpe.merge
+    monkeypatch.setattr(byte_bpe, "merge", lambda piece, *rest: asked.append(piece) or merge(piece, *rest))
+    for i in range(200):
+        own.encode([f"qzxvqzxv qzjk{i}qzjk".encode()])
+        assert sum(map(len, [*own.merged, *own.older])) < 500
+    assert asked.count(b"qzxvqzxv") == 1
+
+
+def test_all_pairs_of_ascii(library, bpe):
+    assert bpe.split_ascii != bpe.split
+    some = [f"x{chr(a)}{chr(b)} y{chr(b)}" for a in range(128) for b in range(128)]
+    ids, n = bpe.encode([x.encode() for x in some])
+    assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [library.encode_ordinary(x) for x in some]
+    assert byte_bpe.ascii_findall(r"\p{Lu}+") is None
